@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import neardup
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from . import neardup, packing, pieces
 from .shared import documents
 
 QUERIES = {}
@@ -18,3 +21,17 @@ def _query(f):
 def op9_minhash(spark, sf_dir):
     """Near-duplicate classes at 85 per cent of the union."""
     return neardup.near_duplicates(documents(spark, sf_dir), 85)
+
+
+@_query
+def op1_pieces(spark, sf_dir):
+    """Ids of every whole text by the 32k piece model and the text they decode to, as digests."""
+    out = pieces.transcode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@_query
+def op2_packing(spark, sf_dir):
+    """All documents, tokenised, in sequences of 1,024 tokens."""
+    cut_up = packing.tokenize(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(packing.digests(cut_up)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
