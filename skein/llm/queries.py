@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import neardup, packing, pieces
+from . import neardup, packing, pieces, quality_crf, rules
 from .shared import documents
 
 QUERIES = {}
@@ -35,3 +35,22 @@ def op2_packing(spark, sf_dir):
     """All documents, tokenised, in sequences of 1,024 tokens."""
     cut_up = packing.tokenize(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(packing.digests(cut_up)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@_query
+def op3_rules(spark, sf_dir):
+    """Counts and verdict of the quality rules for every whole text."""
+    out = rules.assess(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLE_SQL["op3_rules"] = rules.sql()
+
+
+@_query
+def op4_quality(spark, sf_dir):
+    """Quality of every whole text, learned from the labelled rows of two folds of three."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_crf.fit(docs, labels.where(quality_crf.fold(3) != 1))
+    out = quality_crf.score(docs, model)
+    return out.select("doc_id", (quality_crf.fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
