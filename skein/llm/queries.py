@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import neardup, packing, pieces, quality_crf, rules
+from . import langid, neardup, packing, pieces, quality_crf, rules
 from .shared import documents
 
 QUERIES = {}
@@ -54,3 +54,11 @@ def op4_quality(spark, sf_dir):
     model = quality_crf.fit(docs, labels.where(quality_crf.fold(3) != 1))
     out = quality_crf.score(docs, model)
     return out.select("doc_id", (quality_crf.fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query
+def op10_language(spark, sf_dir):
+    """Language of every whole text, learned from four folds of five."""
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.where(quality_crf.fold(5) != 0))
+    return langid.identify(docs, model).select("doc_id", (quality_crf.fold(5) == 0).alias("held_out"), "lang_pred", "score")
