@@ -12,6 +12,7 @@ are encoded by themselves and remembered.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,19 +24,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-_REMEMBERED, _REMEMBERED_CHARS = 300_000, 64
+_REMEMBERED, _REMEMBERED_CHARS = 150_000, 64
 _UNKNOWN_SURFACE = " ⁇ "
 
 
 class _Spans(dict):
-    """Span -> its ids as bytes."""
+    """Span -> its ids as bytes; when it is full, the spans asked for again are taken over from the older half."""
 
     def __init__(self, encode) -> None:
         self.encode = encode
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, span: str) -> bytes:
-        ids = np.array(self.encode(span), "<u4").tobytes()
+        ids = self.old.get(span)
+        if ids is None:
+            ids = self.encode(span)
         if len(span) <= _REMEMBERED_CHARS:
+            if len(self) >= _REMEMBERED:
+                self.old = dict(self)
+                self.clear()
             self[span] = ids
         return ids
 
@@ -79,18 +86,27 @@ class PieceModel:
         for p in reachable:
             self.trie.add_word(p, len(p))
         self.trie.make_automaton()
-        known = set(reachable)
-        self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in known), None) for p in reachable}
-        self.known = known
+        known = self.known = set(reachable)
         self.reach = max(map(len, known))
-        self._fits: dict[tuple[str, str], bool] = {}
+        self.text = {self.id[p]: p for p in reachable}
+        self.size = {i: len(p) for i, p in self.text.items()}
+        # the longest token that begins each path of the trie, and the next shorter one of each token
+        self.best: dict[str, int] = {}
+        for p in sorted(reachable, key=len):
+            for n in range(1, len(p) + 1):
+                if p[:n] not in self.best:
+                    self.best[p[:n]] = self.id[p[:n]] if p[:n] in known else self.best[p[: n - 1]]
+        self.shorter = {self.id[p]: self.best[p[:-1]] if len(p) > 1 else -1 for p in reachable}
+        self._fits: dict[int, bool] = {}
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
             self.spans = None
         else:
             # a line feed that no piece holds is a barrier too
             stop = "" if any("\n" in p for p in self.score) else "\n"
             self.spans = re.compile(f"{SPACE}*[^{SPACE}{stop}]+|{SPACE}+" + (f"|{stop}" if stop else ""))
+        self.beside = {p[i : i + 2] for p in known for i in range(len(p) - 1)}
         self.cache = _Spans(self._encode_span)
+        self.runs = _Spans(self._encode_run)
 
     def merged(self, text: str) -> list[str]:
         """Merge from characters: always the pair with the best score, the leftmost of equals."""
@@ -107,63 +123,75 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, a: str, b: str) -> bool:
+    def fits(self, a: int, b: int) -> bool:
         """Whether merging the text of two tokens gives these two tokens."""
-        found = self._fits.get((a, b))
+        key = a << 32 | b
+        found = self._fits.get(key)
         if found is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 500_000:
                 self._fits.clear()
-            found = self._fits[a, b] = self.merged(a + b) == [a, b]
+            x, y = self.text[a], self.text[b]
+            found = self._fits[key] = self.merged(x + y) == [x, y]
         return found
 
-    def backtrack(self, text: str) -> list[str]:
+    def backtrack(self, text: str) -> list[int]:
         """Tokens of a text whose characters all have pieces."""
-        tokens: list[str] = []
-        failed = bytearray(len(text) + 1)
-        at, n = 0, len(text)
-        longest = self.trie.longest_prefix
-        reach = self.reach
-        token = None
-        while at < n or token is not None:
-            if token is None:
-                token = text[at : at + longest(text[at : at + reach])]
-                if token not in self.known:
-                    token = self._known_prefix(token)
-            last = tokens[-1] if tokens else None
-            while token is not None:
-                if not failed[at + len(token)] and (last is None or self.fits(last, token)):
-                    tokens.append(token)
-                    at += len(token)
-                    break
-                token = self.shorter[token]
-            if token is None:
-                failed[at] = 1
-                if not tokens:
-                    raise ValueError("no tokens cover this text")
-                token = tokens.pop()
-                at -= len(token)
-            else:
-                token = None
+        longest, best, shorter, size, seen, reach = self.trie.longest_prefix, self.best, self.shorter, self.size, self._fits, self.reach
+        tokens: list[int] = []
+        at, n, last = 0, len(text), -1
+        # as long as no position has failed, the bitfield is all clear and need not be asked
+        while at < n:
+            token = best[text[at : at + longest(text[at : at + reach])]]
+            if last >= 0:
+                while token >= 0:
+                    ok = seen.get(last << 32 | token)
+                    if ok or ok is None and self.fits(last, token):
+                        break
+                    token = shorter[token]
+                else:
+                    return self._stepping_back(text, tokens, at)
+            tokens.append(token)
+            at += size[token]
+            last = token
         return tokens
 
-    def _known_prefix(self, token: str) -> str | None:
-        return next((token[:i] for i in range(len(token), 0, -1) if token[:i] in self.known), None)
-
-    def _encode_span(self, span: str) -> list[int]:
-        out: list[int] = []
-        start = 0
-        for i, c in enumerate(span):
-            if c not in self.known:
-                if i > start:
-                    out += [self.id[t] for t in self._tokens(span[start:i])]
-                out += [self.byte_id[b] for b in c.encode()]
-                start = i + 1
-        if start < len(span):
-            out += [self.id[t] for t in self._tokens(span[start:])]
-        return out
-
-    def _tokens(self, text: str) -> list[str]:
-        return self.backtrack(text)
+    def _stepping_back(self, text: str, tokens: list[int], at: int) -> list[int]:
+        """Go on from a position at which no token fits the one before it."""
+        longest, best, shorter, size = self.trie.longest_prefix, self.best, self.shorter, self.size
+        failed = bytearray(len(text) + 1)
+        token = -1
+        while True:
+            # the position failed: take the last token back and try what is shorter
+            failed[at] = 1
+            if not tokens:
+                raise ValueError("no tokens cover this text")
+            token = tokens.pop()
+            at -= size[token]
+            while True:
+                while token >= 0 and (failed[at + size[token]] or tokens and not self.fits(tokens[-1], token)):
+                    token = shorter[token]
+                if token < 0:
+                    break
+                tokens.append(token)
+                at += size[token]
+                if at == len(text):
+                    return tokens
+                token = best[text[at : at + longest(text[at : at + self.reach])]]
+
+    def _encode_span(self, span: str) -> bytes:
+        """Ids of a span, cut where no piece holds the two characters side by side: no merge crosses there."""
+        beside, cuts = self.beside, [0]
+        cuts += [i for i in range(1, len(span)) if span[i - 1 : i + 1] not in beside]
+        if len(cuts) == 1:
+            return self._encode_run(span)
+        cuts.append(len(span))
+        return b"".join([self.runs[span[i:j]] for i, j in zip(cuts, cuts[1:], strict=False)])
+
+    def _encode_run(self, run: str) -> bytes:
+        if len(run) == 1 and run not in self.known:
+            return np.array([self.byte_id[b] for b in run.encode()], "<u4").tobytes()
+        t = self.backtrack(run)
+        return struct.pack(f"<{len(t)}I", *t)
 
     def encode(self, text: str | None, ends: bool = True) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null is the empty text."""
@@ -171,8 +199,6 @@ class PieceModel:
         if text:
             marked = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
             spans = self.spans.findall(marked) if self.spans else [marked]
-            if len(self.cache) > _REMEMBERED:
-                self.cache.clear()
             ids = b"".join(map(self.cache.__getitem__, spans))
         if ends:
             ids = np.array([self.bos], "<u4").tobytes() + ids + np.array([self.eos], "<u4").tobytes()
