@@ -6,9 +6,11 @@ of two registers, and two sets agree on one with a probability of about their Ja
 so bands of registers are keys for a hash join. Candidates pass a joint maximum-likelihood
 estimate of the similarity (set sizes known) and are then confirmed on the full shingle sets.
 
-No pairs within a group are listed: copies with one shingle set are one node, each bucket first
-links its members to its smallest member only, and just the buckets that still span several
-components are compared in blocks, where the estimate decides which pairs leave the task.
+No pairs within a group are listed. Copies with one shingle set are one node, and each bucket first
+links its members to its smallest member only. What that leaves open are buckets that span several
+components. Documents there whose sketch is near one of another component are compared in blocks by
+an upper bound of their intersection, from shingles counted in CELLS cells, which no link fails; the
+few cross pairs that pass are confirmed like any other.
 """
 
 from __future__ import annotations
@@ -24,28 +26,30 @@ from .components import connected_components
 from .shared import cut
 from .textops import distinct, mix, slices
 
-BANDS, ROWS = 24, 3
+BANDS, ROWS = 32, 4
 BASE, RATE = 1.00005, 20.0
 _REGISTERS = BANDS * ROWS
 _LIMIT = (1 << 32) - 2
 #: A pair is dropped unread only if its estimate lies this far below the threshold: six standard errors.
-MARGIN = 0.26
+MARGIN = 0.2
 BLOCK = 1024
+CELLS = 8192
 
 _rng = np.random.default_rng(99)
-_XOR = _rng.integers(0, 1 << 63, _REGISTERS, dtype=np.uint64)
-_MUL = _rng.integers(0, 1 << 63, _REGISTERS, dtype=np.uint64) | np.uint64(1)
+_XOR = _rng.integers(0, 1 << 32, _REGISTERS, dtype=np.uint32)
+_MUL = _rng.integers(0, 1 << 32, _REGISTERS, dtype=np.uint32) | np.uint32(1)
 
 SKETCH = "doc_id long, n_shingles long, set_id binary, registers binary"
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
     """SetSketch registers of a set of 64-bit hashes; mergeable by the element-wise maximum."""
-    least = np.full(_REGISTERS, (1 << 64) - 1, np.uint64)
-    for i in range(0, len(shingles), 2048):
-        part = shingles[i : i + 2048]
+    least = np.full(_REGISTERS, (1 << 32) - 1, np.uint32)
+    high = (shingles >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(high), 1024):
+        part = high[i : i + 1024]
         np.minimum(least, ((part[:, None] ^ _XOR) * _MUL).min(axis=0), out=least)
-    x = -np.log1p(-np.minimum(least.astype(np.float64) / 2.0**64, 1 - 2.0**-53)) / RATE
+    x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1 - np.log(np.maximum(x, 1e-300)) / np.log(BASE)), 0, _LIMIT).astype(np.uint32)
 
 
@@ -73,34 +77,35 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sketches, SKETCH)
 
 
-def estimate(equal: np.ndarray, above: np.ndarray, below: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Maximum-likelihood Jaccard similarity from the counts of registers equal, above and below and both set sizes."""
-    u = n / (n + m)
-    v = 1 - u
-    top = np.minimum(u / v, v / u)
+def _likelihood(j: np.ndarray, equal: np.ndarray, above: np.ndarray, below: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Log-likelihood of the similarity j given registers equal, above and below; u: the first set's share of both sizes."""
     k = (BASE - 1) / BASE
+    hi, lo = (-np.log1p(-np.clip(x, 0, 1) * k) / np.log(BASE) for x in (u - (1 - u) * j, 1 - u - u * j))
+    return above * np.log(np.maximum(hi, 1e-12)) + below * np.log(np.maximum(lo, 1e-12)) + equal * np.log(np.maximum(1 - hi - lo, 1e-12))
 
-    def p(x: np.ndarray) -> np.ndarray:
-        return -np.log1p(-np.clip(x, 0, 1) * k) / np.log(BASE)
 
+def estimate(equal: np.ndarray, above: np.ndarray, below: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Maximum-likelihood Jaccard similarity from the counts of registers and both set sizes, to 1/128."""
+    u = n / (n + m)
+    top = np.minimum(u / (1 - u), (1 - u) / u)
     best, out = np.full(len(u), -np.inf), np.zeros(len(u))
-    for step in np.linspace(0, 1, 65):
-        j = top * step
-        hi, lo = p(u - v * j), p(v - u * j)
-        ll = above * np.log(np.maximum(hi, 1e-12)) + below * np.log(np.maximum(lo, 1e-12)) + equal * np.log(np.maximum(1 - hi - lo, 1e-12))
+    for step in np.linspace(0, 1, 129):
+        ll = _likelihood(top * step, equal, above, below, u)
         better = ll > best
-        best[better], out[better] = ll[better], j[better]
+        best[better], out[better] = ll[better], (top * step)[better]
     return out
 
 
 def _likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    small, large = np.minimum(n, m), np.maximum(n, m)
-    ok = 100 * small >= percent * large
+    """Whether sizes allow the similarity and its estimate is not far below: the likelihood, which has one peak, still rises there."""
+    ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
     got = np.flatnonzero(ok)
     if len(got):
         x, y = a[got], b[got]
-        est = estimate((x == y).sum(1), (x > y).sum(1), (x < y).sum(1), n[got].astype(float), m[got].astype(float))
-        ok[got] = est >= percent / 100 - MARGIN
+        u = n[got] / (n[got] + m[got])
+        counts = (x == y).sum(1), (x > y).sum(1), (x < y).sum(1)
+        t = percent / 100 - MARGIN
+        ok[got] = _likelihood(t + 1e-3, *counts, u) >= _likelihood(np.float64(t), *counts, u)
     return ok
 
 
@@ -142,26 +147,64 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long")
 
 
-def _blocks(percent: int):
+def _near(key: tuple, t: pa.Table, percent: int) -> pa.Table:
+    """The members of two blocks of a bucket whose sketch is near that of another component."""
+    need = int(np.floor((percent / 100 - MARGIN) * _REGISTERS))
+    block = t.column("block").to_numpy()
+    n = t.column("n").to_numpy()
+    # one byte of each register: equal registers stay equal
+    short, ids, comp = _matrix(t.column("registers").combine_chunks()).astype(np.uint8), t.column("id").to_numpy(), t.column("component").to_numpy()
+    left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+    near = np.zeros(len(ids), bool)
+    for k in left.tolist():
+        o = right[(comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k]))]
+        if len(o):
+            o = o[(short[o] == short[k]).sum(1) >= need]
+            near[o] = True
+            near[k] |= len(o) > 0
+    return pa.table({"id": pa.array(ids[near])})
+
+
+def _cross(key: tuple, t: pa.Table, percent: int) -> pa.Table:
+    """Pairs of different components whose shingles could be similar enough by their counts in cells."""
+    block, n, ids, comp = (t.column(c).to_numpy() for c in ("block", "n", "id", "component"))
+    cells = t.column("cells").to_pylist()
+    left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+    out = [np.zeros((2, 0), np.int64)]
+    if len(set(comp.tolist())) > 1:
+        has = np.zeros((len(right), CELLS), np.float32)
+        for i, k in enumerate(right.tolist()):
+            has[i, np.frombuffer(cells[k], np.uint16)] = 1
+        for at in range(0, len(left), 256):
+            some = left[at : at + 256]
+            counts = np.stack([np.bincount(np.frombuffer(cells[k], np.uint16), minlength=CELLS) for k in some.tolist()]).astype(np.float32)
+            most = np.minimum(counts @ has.T, np.minimum(n[some][:, None], n[right][None, :]))
+            ok = (comp[some][:, None] != comp[right][None, :]) & (100 * most >= percent * (n[some][:, None] + n[right][None, :] - most))
+            a, b = np.nonzero(ok)
+            out.append(np.stack((np.maximum(ids[some[a]], ids[right[b]]), np.minimum(ids[some[a]], ids[right[b]]))))
+    a, b = np.concatenate(out, axis=1)
+    return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = [(distinct(s.shingles(i)) % np.uint64(CELLS)).astype(np.uint16).tobytes() for s in slices(batch.column(1)) for i in range(len(s))]
+        yield pa.record_batch([batch.column(0), pa.array(got, pa.binary())], ["id", "cells"])
+
+
+def _in_blocks(rows: DataFrame, placed: DataFrame, work, percent: int, schema: str) -> DataFrame:
+    """Let ``work`` see the members of buckets (key, id) that span several components, in pairs of blocks of bounded size."""
+    of = rows.join(placed.select("id", "component"), "id")
+    open_ = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi")
+    open_ = open_.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
+    dealt = rows.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("nb").cast("long")).cast("int"))
+    dealt = dealt.select("key", "id", "block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    dealt = dealt.select("key", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        left = t.filter(pa.array(np.asarray(t.column("block")) == i))
-        right = t.filter(pa.array(np.asarray(t.column("block")) == j))
-        out_a, out_b = [], []
-        if left.num_rows and right.num_rows:
-            lr, rr = _matrix(left.column("registers").combine_chunks()), _matrix(right.column("registers").combine_chunks())
-            ln, rn = left.column("n").to_numpy(), right.column("n").to_numpy()
-            li, ri = left.column("id").to_numpy(), right.column("id").to_numpy()
-            lc, rc = left.column("component").to_numpy(), right.column("component").to_numpy()
-            for k in range(len(li)):
-                near = np.flatnonzero((rc != lc[k]) & ((ri > li[k]) | (i != j)) & (100 * np.minimum(rn, ln[k]) >= percent * np.maximum(rn, ln[k])))
-                if len(near):
-                    ok = near[_likely(np.broadcast_to(lr[k], (len(near), _REGISTERS)), rr[near], np.full(len(near), ln[k]), rn[near], percent)]
-                    out_a += np.maximum(li[k], ri[ok]).tolist()
-                    out_b += np.minimum(li[k], ri[ok]).tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+        return work(key, t, percent)
 
-    return run
+    return dealt.join(placed, "id").groupBy("key", "i", "j").applyInArrow(run, schema).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,19 +235,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     likely = cut(stars.join(left, "a").join(right, "b").mapInArrow(_filter_pairs(percent), "a long, b long"), "stars")
     links = cut(_confirmed(likely, texts, percent), "links")
     found = connected_components(links)
-    # Buckets that still span several components: whatever links them is among their cross pairs.
-    placed = classes.join(found, "id", "left").select("id", "n", "registers", F.coalesce("component", "id").alias("component"))
-    of = members.join(placed.select("id", "component"), "id")
-    open_ = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select(
-        "key", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb")
-    )
-    rows = members.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("nb").cast("long")).cast("int"))
-    dealt = rows.select(
-        "key", "id", "block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
-    ).select("key", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    cross = dealt.join(placed, "id").select("key", "i", "j", "block", "id", "n", "registers", "component")
-    tested = likely.select("a", "b")
-    more = cross.groupBy("key", "i", "j").applyInArrow(_blocks(percent), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+    placed = cut(classes.join(found, "id", "left").select("id", "n", "registers", F.coalesce("component", "id").alias("component")), "placed")
+    near = cut(_in_blocks(members, placed, _near, percent, "id long"), "near")
+    cells = near.join(texts.withColumnRenamed("doc_id", "id"), "id").select("id", "text").mapInArrow(_cells, "id long, cells binary")
+    cells = cut(cells.join(placed.select("id", "n", "component"), "id"), "cells")
+    more = _in_blocks(members.join(near, "id"), cells, _cross, percent, "a long, b long").join(likely, ["a", "b"], "left_anti")
     more = cut(more, "cross")
     if not more.isEmpty():
         links = links.unionByName(_confirmed(more, texts, percent))
