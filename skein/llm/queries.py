@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import langid, neardup, packing, pieces, quality_crf, rules
+from . import langid, neardup, packing, passages, pieces, ppm, quality_crf, rules
 from .shared import documents
 
 QUERIES = {}
@@ -62,3 +62,15 @@ def op10_language(spark, sf_dir):
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.where(quality_crf.fold(5) != 0))
     return langid.identify(docs, model).select("doc_id", (quality_crf.fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op5_passages(spark, sf_dir):
+    """Passages of 50 or more words that documents share, each with the smallest document that has it."""
+    return passages.shared_passages(documents(spark, sf_dir))
+
+
+@_query
+def op6_ppm(spark, sf_dir):
+    """Scores of every whole text, learned from four folds of five."""
+    return ppm.score(documents(spark, sf_dir), quality_crf.fold(5) == 1)
