@@ -1,20 +1,72 @@
-"""Documents to packed training sequences in stages, each a table that the next one reads."""
+"""Documents to packed training sequences in stages, each a table that the next one reads.
+
+Every stage but the last returns the columns of documents. A stage judges what its predecessor
+kept: models are fitted on these rows, copies are found among them.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from skein.llm import langid, packing, passages, quality_crf
 from skein.llm.neardup import near_duplicates
 from skein.llm.shared import cut, documents
 
+#: Line labels, centroids, sketches, passages and token ids are beyond SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
+def _kept(docs, verdict):
+    """The rows of ``docs`` whose doc_id is in ``verdict`` (a null id matches null)."""
+    ids = verdict.select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi").select(docs.columns)
+
+
+def quality(spark, docs, sf_dir):
+    """Documents that the classifier takes for bad go. It learns from the labels of the documents that are there; without labels all stay."""
+    model = quality_crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if isinstance(model, float):
+        return docs
+    return _kept(docs, quality_crf.score(docs, model).where("score >= 0.5"))
+
+
+def language(spark, docs, sf_dir):
+    """Documents without a letter or far from every known language go; where no language is known all stay."""
+    model = langid.fit(docs)
+    return docs if model is None else _kept(docs, langid.identify(docs, model).where("not rejected"))
+
+
 def minhash(spark, docs, sf_dir):
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id; a repeated doc_id stays as often as it is there."""
-    kept = near_duplicates(docs, 80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(docs.columns)
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
+    return _kept(docs, near_duplicates(docs, 80).where("kept"))
+
+
+def substring(spark, docs, sf_dir):
+    """Passages that a smaller doc_id has too are cut out; n_chars follows the text. Documents of which no word is left go."""
+    found = cut(passages.shared_passages(docs), "passages")
+    out = passages.without_passages(docs, found)
+    hit = found.select(F.col("doc_id").alias("_hit")).distinct()
+    out = out.join(hit, out["doc_id"] == hit["_hit"], "left")
+    gone = F.col("_hit").isNotNull() & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    n = F.when(F.col("_hit").isNotNull(), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    out = out.where(~F.coalesce(gone, F.lit(False)))
+    return (out if n is None else out.withColumn("n_chars", n)).select(docs.columns)
+
+
+def pack(spark, docs, sf_dir):
+    """Sequences of 1,024 tokens: a row per piece of a document with its ids, its sequence and its place there."""
+    cut_up = packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(cut_up).select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
 
 
-STAGES = [("minhash near-dedup", minhash)]
+STAGES = [
+    ("quality classifier", quality),
+    ("language ID", language),
+    ("minhash near-dedup", minhash),
+    ("substring dedup", substring),
+    ("best-fit packing", pack),
+]
 
 
 def run(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import langid, neardup, packing, passages, pieces, ppm, quality_crf, rules
+from . import chroma, langid, neardup, packing, passages, pieces, ppm, quality_crf, rules, toolcalls
 from .shared import documents
 
 QUERIES = {}
@@ -74,3 +74,34 @@ def op5_passages(spark, sf_dir):
 def op6_ppm(spark, sf_dir):
     """Scores of every whole text, learned from four folds of five."""
     return ppm.score(documents(spark, sf_dir), quality_crf.fold(5) == 1)
+
+
+@_query
+def op7_chroma(spark, sf_dir):
+    """Fingerprints of the vectors rendered as tones, aligned with one another."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    out = chroma.align(chroma.fingerprints(chroma.tones(vectors)))
+    return out.withColumnRenamed("rec_id", "vec_id")
+
+
+@_query
+def op8_toolcalls(spark, sf_dir):
+    """Every assistant turn as a call, with the turn after it as its result."""
+    calls, results = toolcalls.of_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    out = toolcalls.link_calls(calls, results, toolcalls.RESPOND)
+    return out.select("conv_id", "turn", "call_id", "name", "copies", "linked", "level", F.array_join("errors", "; ").alias("errors"), "json")
+
+
+ORACLE_SQL["op8_toolcalls"] = """
+with c as (select conv_id, turn, conv_id::varchar || '-' || turn::varchar as call_id, text,
+    case when turn >= 3 then conv_id::varchar || '-' || (turn - 2)::varchar end as after
+    from conversations where role = 'assistant'),
+r as (select conv_id::varchar || '-' || (turn - 1)::varchar as call_id, min(text) as result
+    from conversations where role <> 'assistant' and conv_id is not null and turn is not null group by 1),
+n as (select call_id, count(*) as copies from c group by 1)
+select c.conv_id, c.turn, c.call_id, 'respond' as name, n.copies, r.result is not null as linked, c.turn as level,
+    concat_ws('; ', case when c.text is null then 'text is missing' end,
+        case when c.after is not null and c.after not in (select call_id from c where call_id is not null) then 'waits for unknown: ' || c.after end) as errors,
+    '{"arguments":{"chars":' || length(c.text)::varchar || ',"text":' || to_json(c.text)::varchar || '},"id":"' || c.call_id || '","name":"respond","result":' || coalesce(to_json(r.result)::varchar, 'null') || '}' as json
+from c join n using (call_id) left join r using (call_id)
+"""
