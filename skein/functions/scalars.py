@@ -1,0 +1,199 @@
+"""Scalar helpers as Column expressions: names, addresses, dates, media, schedules."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from skein.sources.model import KINDS, SEGMENTS
+
+#: Minutes to wait after so many failures in a row.
+BACKOFF = [60, 180, 360, 720, 1440]
+MIN_INTERVAL, MAX_INTERVAL, UNDATED_CEILING = 60, 129_600, 1440
+EPISODE_CHARS, RIVER_DEFAULT = 1200, 60
+
+
+def clamp(x: Column, low: int, high: int) -> Column:
+    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def normalize_kind(kind: Column) -> Column:
+    k = F.lower(F.trim(kind))
+    return F.when(k.isin(KINDS), k)
+
+
+def normalize_kinds(kinds: Column) -> Column:
+    """Distinct known kinds of an array; null if there are none."""
+    out = F.array_distinct(F.filter(F.transform(kinds, lambda x: F.lower(F.trim(x))), lambda x: x.isin(KINDS)))
+    return F.when(F.size(out) > 0, out)
+
+
+def segment_kinds(segment: Column) -> Column:
+    out = F.when(F.lit(False), F.array().cast("array<string>"))
+    for name, kinds in SEGMENTS.items():
+        out = out.when(segment == name, F.array(*[F.lit(k) for k in kinds]))
+    return out
+
+
+def host_of(url: Column) -> Column:
+    """The host of an address, or the address itself where it has none."""
+    host = F.regexp_extract(F.lower(url), r"^https?://([^/?#:]+)", 1)
+    return F.when(host != "", host).otherwise(url)
+
+
+def apex_of(host: Column) -> Column:
+    """The last two labels."""
+    return F.array_join(F.slice(F.split(host, r"\."), F.greatest(F.size(F.split(host, r"\.")) - 1, F.lit(1)), 2), ".")
+
+
+def plausible_host(host: Column) -> Column:
+    """Labels of letters, digits and inner hyphens with a word at the end, or an IPv4 address."""
+    name = host.rlike(r"^(?=.{1,253}$)([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}$")
+    ip = host.rlike(r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$")
+    return name | ip
+
+
+def normalize_url(url: Column) -> Column:
+    """https where no scheme is named; http(s) with a plausible host only; no fragment; null otherwise."""
+    u = F.trim(url)
+    u = F.when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), u).otherwise(F.concat(F.lit("https://"), u))
+    u = F.regexp_replace(u, "#.*$", "")
+    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z]+)://", 1))
+    host = F.lower(F.regexp_extract(u, r"^[A-Za-z]+://(?:[^/@]*@)?([^/?:]+)", 1))
+    rest = F.regexp_extract(u, r"^[A-Za-z]+://[^/?]*(.*)$", 1)
+    port = F.regexp_extract(u, r"^[A-Za-z]+://[^/?:]+(:\d+)", 1)
+    return F.when(scheme.isin("http", "https") & plausible_host(host), F.concat(scheme, F.lit("://"), host, port, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
+
+
+def is_blocked_address(ip: Column) -> Column:
+    """Private, loopback, link-local, shared, multicast and reserved addresses, and what is no address."""
+    p = F.transform(F.split(ip, r"\."), lambda x: F.try_to_number(x, F.lit("999")).cast("int"))
+    a, b = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+    v4 = a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & b.isin(0, 168)) | ((a == 198) & b.isin(18, 19))
+    v6 = F.lower(ip).rlike(r"^(::1?|fc.*|fd.*|fe[89ab].*|ff.*)$")
+    return F.when(ip.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), v4).when(ip.contains(":"), v6).otherwise(True)
+
+
+def backoff_minutes(errors: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in BACKOFF]), clamp(errors.cast("int"), 1, len(BACKOFF)))
+
+
+def throttle_minutes(retry_after: Column) -> Column:
+    """Whole minutes, from 1 to a day; half an hour where nothing is said."""
+    return F.when(retry_after.isNull(), 30).otherwise(clamp(F.ceil(retry_after / 60), 1, 1440))
+
+
+def retry_after_seconds(header: Column, now: Column) -> Column:
+    """Seconds of a Retry-After header, a number or a date, within a day."""
+    number = F.when(F.trim(header).rlike(r"^\d+$"), F.trim(header).cast("double"))
+    date = F.try_to_timestamp(F.regexp_replace(header, r"^[A-Za-z]{3},\s*", ""), F.lit("dd MMM yyyy HH:mm:ss 'GMT'"))
+    return clamp(F.coalesce(number, (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double")), 0, 86_400)
+
+
+def billing_period_start(now: Column, day: int = 13) -> Column:
+    """The latest such day of a month up to now."""
+    this = F.make_date(F.year(now), F.month(now), F.lit(day))
+    return F.when(F.dayofmonth(now) >= day, this).otherwise(F.add_months(this, -1))
+
+
+def item_key(cluster: Column, slug: Column, guid: Column) -> Column:
+    """A story by its cluster, or else by its feed and identifier."""
+    return F.when(F.coalesce(cluster, F.lit("")) != "", F.concat(F.lit("c:"), cluster)).otherwise(F.concat(F.lit("g:"), slug, F.lit("\n"), guid))
+
+
+def is_transient(state: Column) -> Column:
+    return (state == "error") | state.rlike(r"^http-5\d\d$")
+
+
+def should_fetch(state: Column, fetched_at: Column, now: Column) -> Column:
+    """Passing failures are tried again after ten minutes, other ones after a day, what went well never."""
+    age = F.unix_timestamp(now) - F.unix_timestamp(fetched_at)
+    return F.when(state.isNull(), True).when(state == "ok", False).when(is_transient(state), age >= 600).otherwise(age >= 86_400)
+
+
+def freshness(status: Column, last_fetched: Column, next_fetch: Column, interval_minutes: Column, last_published: Column, now: Column) -> Column:
+    """unread, failing, overdue, dormant or live."""
+    late = F.unix_timestamp(now) - F.unix_timestamp(next_fetch)
+    return (F.when(last_fetched.isNull(), "unread").when(status.isin("error", "dead"), "failing").when(late > 2 * 60 * interval_minutes, "overdue")
+            .when(last_published.isNull() | (F.unix_timestamp(now) - F.unix_timestamp(last_published) > 365 * 86_400), "dormant").otherwise("live"))
+
+
+def human_gap(seconds: Column) -> Column:
+    def part(n: Column, unit: str) -> Column:
+        return F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"))
+
+    m, h, d = (F.floor(seconds / k).cast("long") for k in (60, 3600, 86_400))
+    return F.when(seconds < 3600, part(F.greatest(m, F.lit(1)), "minute")).when(seconds < 172_800, part(h, "hour")).otherwise(part(d, "day"))
+
+
+def eta_label(hours: Column) -> Column:
+    return F.when(hours.isNull(), None).when(hours < 1, F.concat(F.ceil(hours * 60).cast("string"), F.lit("m"))).when(hours < 48, F.concat(F.ceil(hours).cast("string"), F.lit("h"))).otherwise(F.concat(F.ceil(hours / 24).cast("string"), F.lit("d")))
+
+
+def media_kind(url: Column, mime: Column) -> Column:
+    """audio, video, youtube or peertube; null without media."""
+    return (F.when(url.isNull() | (url == ""), None).when(url.rlike(r"^https?://(www\.)?(youtube\.com|youtu\.be)/"), "youtube").when(url.rlike(r"/(videos/watch|w)/[0-9A-Za-z-]+"), "peertube")
+            .when(F.lower(mime).startswith("video/"), "video").when(F.lower(mime).startswith("audio/"), "audio"))
+
+
+def is_episode(url: Column, mime: Column, chars: Column) -> Column:
+    return media_kind(url, mime).isNotNull() & (F.coalesce(chars, F.lit(0)) < EPISODE_CHARS)
+
+
+def lane_for(kind: Column) -> Column:
+    return F.when(kind == "audio", "listen").when(kind.isin("video", "youtube", "peertube"), "watch").otherwise("read")
+
+
+def monogram(title: Column) -> Column:
+    return F.when(F.trim(title) != "", F.upper(F.substring(F.trim(title), 1, 1))).otherwise("?")
+
+
+def hash31(text: Column, modulus: int) -> Column:
+    """A string's hash in base 31, as a remainder."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)) % modulus)
+
+
+def clamp_text(text: Column, limit: int) -> Column:
+    """Cut at the last space if that is beyond 60 per cent of the limit, with an ellipsis."""
+    head = F.substring(text, 1, limit - 1)
+    space = F.length(head) - F.locate(" ", F.reverse(head))
+    at = F.when(F.contains(head, F.lit(" ")) & (space > 0.6 * limit), space).otherwise(limit - 1)
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.substring(head, F.lit(1), at.cast("int"))), F.lit("…")))
+
+
+def hms(seconds: Column) -> Column:
+    h, m, s = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60
+    return F.when(h > 0, F.format_string("%d:%02d:%02d", h.cast("long"), m.cast("long"), s.cast("long"))).otherwise(F.format_string("%d:%02d", m.cast("long"), s.cast("long")))
+
+
+def rfc822(ts: Column) -> Column:
+    days = F.array(*[F.lit(d) for d in ("Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat")])
+    return F.concat(F.element_at(days, F.dayofweek(ts)), F.lit(", "), F.date_format(ts, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+
+
+def escape_xml(text: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def duration(text: Column) -> Column:
+    """Seconds of s, m:s or h:m:s."""
+    p = F.split(F.trim(text), ":")
+    ok = F.trim(text).rlike(r"^\d+(:\d{1,2}){0,2}(\.\d+)?$")
+    return F.when(ok, F.aggregate(p, F.lit(0).cast("double"), lambda t, x: t * 60 + x.cast("double")).cast("long"))
+
+
+def normalize_lang(lang: Column) -> Column:
+    """The primary subtag of two letters, or null."""
+    code = F.regexp_extract(F.lower(F.trim(lang)), r"^([a-z]{2})(?:[-_].*)?$", 1)
+    return F.when(code != "", code)
+
+
+def chunk_filename(month: Column, part: Column) -> Column:
+    return F.format_string("sitemap-%s-%d.xml", month, part)
+
+
+def card_fit(width: Column, height: Column) -> Column:
+    return F.when((width >= 600) & (height >= 315), "large").when((width >= 200) & (height >= 200), "small").otherwise("none")
