@@ -1,0 +1,57 @@
+"""Full-text search: postings, BM25 and exact facets.
+
+Postings hold a row per term and text with the term's frequency; terms of a query are few, so they
+filter the postings by an IN list that reaches the scan, and everything after works on matches.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+K1, B = 1.2, 0.75
+
+
+def terms_of(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda t: t != "")
+
+
+def postings(docs: DataFrame, id_col: str, *texts: str) -> DataFrame:
+    """(term, id, tf, length) of the texts."""
+    d = docs.select(F.col(id_col).alias("id"), terms_of(F.concat_ws(" ", *texts)).alias("terms"))
+    d = d.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    return d.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+
+
+def match(index: DataFrame, query: str, mode: str = "all") -> DataFrame:
+    """Postings of the texts that have all (or any) of the query's terms."""
+    wanted = sorted({t for t in query.lower().split() if t})
+    hit = index.where(F.col("term").isin(wanted))
+    if mode == "any":
+        return hit
+    full = hit.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(wanted)).select("id")
+    return hit.join(full, "id", "left_semi")
+
+
+def search(index: DataFrame, query: str, docs: int, mean_length: float, mode: str = "all", limit: int | None = 40) -> DataFrame:
+    """(id, rank): BM25, negated so that the best is the smallest."""
+    hit = match(index, query, mode)
+    df = index.where(F.col("term").isin(sorted(set(query.lower().split())))).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.log((F.lit(float(docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean_length))))
+    out = hit.join(df, "term").groupBy("id").agg(F.round(-F.sum(score), 9).alias("rank")).orderBy("rank", "id")
+    return out if limit is None else out.limit(limit)
+
+
+def kind_counts(index: DataFrame, query: str, kinds: DataFrame, mode: str = "all") -> DataFrame:
+    """Exact counts of matches per kind; nothing is ranked for it."""
+    ids = match(index, query, mode).select("id").distinct()
+    return ids.join(kinds, "id").groupBy("kind").agg(F.count(F.lit(1)).alias("posts"), F.count_distinct("feed_id").alias("feeds"))
+
+
+def statistics(docs: DataFrame, id_col: str, *texts: str) -> tuple[int, float]:
+    """Number of texts and their mean length, two numbers for the score."""
+    r = docs.agg(F.count(F.lit(1)), F.avg(F.size(terms_of(F.concat_ws(" ", *texts))))).first()
+    return int(r[0]), float(r[1] or 0.0) or math.nan
