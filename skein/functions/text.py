@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that are left out of keywords and of story titles.
+#: Grammar words, never a topic.
 STOPWORDS = (
-    "a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our out over own re s same she should so some such t than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your"
+    "a an and are as at be been being but by can could did do does doing done for from had has have having he her here hers herself him himself his how i if in into is it its itself just "
+    "may me might more most my myself no nor not of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then "
+    "there these they this those through to too under until up us very was we were what when where which while who whom why will with would you your yours yourself yourselves all any each few many much another every either "
+    "ive im id ill dont cant wont didnt doesnt isnt arent wasnt werent hasnt havent hadnt wouldnt couldnt shouldnt thats theres theyre theyve youre youve youll weve wed lets "
+    "after before during since without within upon about above below between against again further both because per via"
+).split()
+#: Words that a phrase may hold but that are no topic alone.
+FURNITURE = (
+    "page website site click open close menu search login log sign subscribe view read learn see show next previous back home share follow loading new now today free best top get use using used "
+    "like just really thing things lot way ways going want need know think say says said make makes made still even also well around actually probably maybe something someone anything everything nothing"
+).split()
+#: Words of story titles that tell nothing.
+TITLE_STOPWORDS = "a an the and or but of to in on at for with from by is are was were be as it its this that how why what".split()
+#: Words of a keyword that carry no topic.
+RELEVANCE_STOPWORDS = "a an and are as at be best blog blogs by for from how in is of on or the to top with".split()
+#: Words in s that are no plurals.
+NEVER_PLURAL = (
+    "news physics mathematics economics politics ethics linguistics series species analysis basis crisis thesis chaos lens bus gas plus virus status focus bonus campus census "
+    "css js aws ios macos linux unix sass redis kubernetes"
 ).split()
-TITLE_STOPWORDS = "a an and are as at be by for from has have how in is it its of on or that the this to was what with you your".split()
-#: Words that a phrase may hold but that say nothing alone.
-FURNITURE = "new post posts blog update updates week weekly month monthly news read page today year years day days time part video podcast episode".split()
-SINGULAR_EXCEPTIONS = {"news": "news", "series": "series", "species": "species", "movies": "movie", "cookies": "cookie", "mathematics": "mathematics", "physics": "physics"}
 GENERIC_WORDS = 4
 MIN_BLOCK, MIN_WORD, MIN_PHRASE, MOST_KEYWORDS, MOST_TOPICS = 8, 3, 2, 250, 25
 
@@ -26,17 +40,15 @@ def tokenize(text: Column) -> Column:
 
 
 def singularize(word: Column) -> Column:
-    """English plurals to singulars by their ending; short words stay."""
-    out = F.when(F.length(word) < 4, word)
-    for a, b in SINGULAR_EXCEPTIONS.items():
-        out = out.when(word == a, b)
-    return (out.when(word.rlike("[^aeiou]ies$"), F.regexp_replace(word, "ies$", "y")).when(word.rlike("(ss|sh|ch|x|z|o)es$"), F.regexp_replace(word, "es$", ""))
+    """English plurals to singulars by their ending; short words and the exceptions stay."""
+    n = F.length(word)
+    return (F.when((n < 4) | word.isin(NEVER_PLURAL), word).when((n > 4) & word.endswith("ies"), F.regexp_replace(word, "ies$", "y")).when((n > 4) & word.rlike("(ss|sh|ch|x|z|o)es$"), F.regexp_replace(word, "es$", ""))
             .when(word.rlike("s$") & ~word.rlike("(ss|us|is|os)$"), F.regexp_replace(word, "s$", "")).otherwise(word))
 
 
 def topic_slug(keyword: Column) -> Column:
     """A keyword as an address: plus and sharp spelt out, hyphens between words, each in the singular, 60 characters at most."""
-    t = F.regexp_replace(F.regexp_replace(F.lower(keyword), r"\+", " plus "), "#", " sharp ")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(keyword), r"\+", " plus "), "#", " sharp "), "['’]", "")
     t = F.substring(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", ""), 1, 60)
     return F.array_join(F.transform(F.split(F.regexp_replace(t, "-+$", ""), "-"), singularize), "-")
 
@@ -92,12 +104,13 @@ def cluster_key(title: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
+    """A word without its plural's ending, for comparing and not for reading."""
     n = F.length(word)
-    return F.when((n > 4) & word.endswith("ies"), F.regexp_replace(word, "ies$", "")).when((n > 4) & word.rlike("(x|ch|sh|ss)es$"), F.regexp_replace(word, "es$", "")).when((n > 3) & word.endswith("s") & ~word.endswith("ss"), F.regexp_replace(word, "s$", "")).otherwise(word)
+    return F.when((n > 4) & word.endswith("ies"), F.regexp_replace(word, "ies$", "")).when((n > 4) & word.endswith("es"), F.regexp_replace(word, "es$", "")).when((n > 3) & word.endswith("s"), F.regexp_replace(word, "s$", "")).otherwise(word)
 
 
 def keyword_stems(keyword: Column) -> Column:
-    words = F.filter(F.split(F.regexp_replace(F.lower(keyword), "[^a-z0-9]+", " "), " "), lambda w: (F.length(w) >= 3) & ~w.isin(STOPWORDS))
+    words = F.filter(F.split(F.regexp_replace(F.lower(keyword), "[^a-z0-9]+", " "), " "), lambda w: (F.length(w) >= 3) & ~w.isin(RELEVANCE_STOPWORDS))
     return F.array_distinct(F.transform(words, stem))
 
 
@@ -222,15 +235,19 @@ def classify_link(url: Column) -> tuple[Column, Column]:
     return network, handle
 
 
-def kind_of_channel(medium: Column, feed_url: Column, videos: Column, audios: Column, podcast_tags: Column, newsroom: Column, sample: Column) -> Column:
-    """The class of a feed: what it declares, a video site, enclosures, podcast tags, newsroom, else blog."""
-    return (F.when(medium.isin("music", "video"), medium).when(medium == "podcast", "podcast").when(feed_url.rlike(r"youtube\.com/feeds"), "video").when(2 * videos > sample, "video")
-            .when((podcast_tags > 0) | (2 * audios > sample), "podcast").when(newsroom, "news").otherwise("blog"))
+def kind_of_channel(medium: Column, feed_url: Column, videos: Column, audios: Column, podcast_tags: Column, declared: Column, show_shaped: Column, newsroom: Column, sample: Column) -> Column:
+    """The class of a feed: the medium it declares, a video site, enclosures that tags or the shape of a show bear out, podcast tags with audio, a newsroom, else a blog."""
+    return (F.when(medium.isin("podcast", "music", "video"), medium).when(feed_url.rlike(r"youtube\.com/feeds"), "video").when((videos > 0) & (podcast_tags | show_shaped), "video")
+            .when(podcast_tags & (declared | (sample == 0) | (audios > 0)), "podcast").when(newsroom, "news").otherwise("blog"))
 
 
-def is_newsroom(per_day: Column, bylines: Column, says_news: Column, headlined: Column) -> Column:
-    """Enough posts a day for the signs of a newsroom that are there."""
-    return F.coalesce((per_day >= 12) | ((per_day >= 3) & (bylines >= 2)) | ((per_day >= 2) & (bylines >= 8)) | (says_news & (per_day >= 0.5)) | (headlined & (per_day >= 3)), F.lit(False))
+def says_it_is_news(text: Column) -> Column:
+    return text.rlike(r"(?i)\b(news|headlines|breaking news|newsroom|journalism|newspaper|current affairs)\b")
+
+
+def is_newsroom(per_day: Column, bylines: Column, declared: Column, headlined: Column) -> Column:
+    """A wire of articles, or two signs of a newsroom: the busier the feed the weaker the other may be."""
+    return F.coalesce(((per_day >= 12) & headlined) | ((per_day >= 3) & ((bylines >= 2) | declared)) | ((bylines >= 8) & (per_day >= 0.5)) | (declared & (per_day >= 2)), F.lit(False))
 
 
 def is_show_shaped(media: Column, brief: Column, sample: Column) -> Column:
@@ -249,3 +266,53 @@ def fts_query(query: Column, mode: str = "all") -> Column:
     """Quoted terms, all or any of them."""
     terms = F.filter(F.split(F.trim(query), r"\s+"), lambda t: t != "")
     return F.array_join(F.transform(terms, lambda t: F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))), " " if mode == "all" else " OR ")
+
+
+def normalize_name(name: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
+
+
+def identity_key(url: Column, name: Column, feed_url: Column) -> Column:
+    """Who a person is: their address, or else their name at the feed's host."""
+    from skein.functions.scalars import host_of
+
+    return F.coalesce(identity_url(url), F.concat(normalize_name(name), F.lit("@"), host_of(feed_url)))
+
+
+def links_back(html: Column, url: Column) -> Column:
+    """Whether a page links with rel=me to an address, compared by host and path."""
+    found = F.concat(F.regexp_extract_all(html, F.lit(r'(?i)<(?:a|link)\b[^>]*?\brel="[^"]*\bme\b[^"]*"[^>]*?\bhref="([^"]+)"'), F.lit(1)), F.regexp_extract_all(html, F.lit(r'(?i)<(?:a|link)\b[^>]*?\bhref="([^"]+)"[^>]*?\brel="[^"]*\bme\b'), F.lit(1)))
+    return F.exists(found, lambda f: identity_url(f).eqNullSafe(identity_url(url)))
+
+
+def meta_content(html: Column, name: str) -> Column:
+    """The content of a meta element by its property or name, in either order of attributes; null if there is none."""
+    a = F.regexp_extract(html, rf'(?i)<meta\b[^>]*?\b(?:property|name)="{name}"[^>]*?\bcontent="([^"]*)"', 1)
+    b = F.regexp_extract(html, rf'(?i)<meta\b[^>]*?\bcontent="([^"]*)"[^>]*?\b(?:property|name)="{name}"', 1)
+    return F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
+
+
+def card_candidates(html: Column) -> Column:
+    """Images that a page offers for its card."""
+    return F.array_distinct(F.array_compact(F.array(meta_content(html, "og:image"), meta_content(html, "twitter:image"))))
+
+
+def html_image(html: Column) -> Column:
+    """The first image that is neither a dot nor a tracker."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))
+    good = F.filter(tags, lambda t: ~t.rlike(r'(?i)\b(width|height)\s*=\s*"?[012]"?(\D|$)') & ~t.rlike(r"(?i)(pixel|beacon|tracking|feedburner|doubleclick)") & t.rlike(r'(?i)\bsrc="[^"]+"'))
+    return F.nullif(F.regexp_extract(F.get(good, F.lit(0)), r'(?i)\bsrc="([^"]+)"', 1), F.lit(""))
+
+
+def worth_searching(confidence: Column, name: Column, links: Column) -> Column:
+    return (confidence >= 0.8) & (F.size(F.split(F.trim(name), r"\s+")) >= 2) & (F.coalesce(links, F.lit(0)) == 0)
+
+
+def searches_for(authors: DataFrame, targets: list[str]) -> DataFrame:
+    """A query for each author and network."""
+    return authors.select("id", F.explode(F.array(*[F.lit(t) for t in targets])).alias("network"), "name").select("id", "network", F.concat(F.lit('"'), F.col("name"), F.lit('" '), F.col("network")).alias("query"))
+
+
+def age_of_newest(items: DataFrame, now: Column) -> DataFrame:
+    """Seconds since each feed's newest dated post."""
+    return items.groupBy("feed_id").agg((F.unix_timestamp(now) - F.unix_timestamp(F.max("published_at"))).alias("age"))

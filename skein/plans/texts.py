@@ -23,11 +23,10 @@ KEY = "case when len(" + TITLE + ") >= 4 then substr(sha1(array_to_string(list_s
 
 
 def sing(w):
-    exc = "".join(f" when {w} = '{a}' then '{b}'" for a, b in T.SINGULAR_EXCEPTIONS.items())
-    return f"case when length({w}) < 4 then {w}{exc} when regexp_matches({w}, '[^aeiou]ies$') then regexp_replace({w}, 'ies$', 'y') when regexp_matches({w}, '(ss|sh|ch|x|z|o)es$') then regexp_replace({w}, 'es$', '') when regexp_matches({w}, 's$') and not regexp_matches({w}, '(ss|us|is|os)$') then regexp_replace({w}, 's$', '') else {w} end"
+    return f"case when length({w}) < 4 or {w} in ({quoted(T.NEVER_PLURAL)}) then {w} when length({w}) > 4 and {w} like '%ies' then regexp_replace({w}, 'ies$', 'y') when length({w}) > 4 and regexp_matches({w}, '(ss|sh|ch|x|z|o)es$') then regexp_replace({w}, 'es$', '') when regexp_matches({w}, 's$') and not regexp_matches({w}, '(ss|us|is|os)$') then regexp_replace({w}, 's$', '') else {w} end"
 
 
-SLUG = "array_to_string(list_transform(string_split(regexp_replace(substr(regexp_replace(regexp_replace(replace(replace(lower({0}), '+', ' plus '), '#', ' sharp '), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', ''), '-'), lambda w: " + sing("w").replace("{", "{{").replace("}", "}}") + "), '-')"
+SLUG = "array_to_string(list_transform(string_split(regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(replace(replace(lower({0}), '+', ' plus '), '#', ' sharp '), '[''’]', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', ''), '-'), lambda w: " + sing("w").replace("{", "{{").replace("}", "}}") + "), '-')"
 add("txt02_tokenize", f"select doc_id, {TOKENS.format('title')} as tokens from texts", lambda m: m.texts.select("doc_id", T.tokenize(F.col("title")).alias("tokens")))
 add("txt03_singularize", f"with w as (select distinct unnest({TOKENS.format('title')}) as word from texts) select word, {sing('word')} as singular from w", lambda m: m.texts.select(F.explode(T.tokenize(F.col("title"))).alias("word")).distinct().select("word", T.singularize(F.col("word")).alias("singular")))
 add("txt04_topic_slug", f"select doc_id, {SLUG.format('title')} as slug from texts", lambda m: m.texts.select("doc_id", T.topic_slug(F.col("title")).alias("slug")))
@@ -46,8 +45,8 @@ add("txt06_feed_topics", f"""with {KW}, p as (select source, lang as keyword, 1
 add("txt09_title_words", f"select doc_id, {TITLE.format('title')} as words from texts", lambda m: m.texts.select("doc_id", T.title_words(F.col("title")).alias("words")))
 add("txt10_cluster_key", f"select doc_id, {KEY.format('title')} as cluster_key from texts", lambda m: m.texts.select("doc_id", T.cluster_key(F.col("title")).alias("cluster_key")))
 add("txt11_backfill_cluster_keys", f"select id, coalesce({KEY.format('title')}, '') as cluster_key from items where cluster_key = ''", lambda m: m.items.where("cluster_key = ''").select("id", F.coalesce(T.cluster_key(F.col("title")), F.lit("")).alias("cluster_key")))
-STEM = "case when length(w) > 4 and w like '%ies' then regexp_replace(w, 'ies$', '') when length(w) > 4 and regexp_matches(w, '(x|ch|sh|ss)es$') then regexp_replace(w, 'es$', '') when length(w) > 3 and w like '%s' and w not like '%ss' then regexp_replace(w, 's$', '') else w end"
-STEMS = "list_distinct(list_transform(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 3 and w not in (" + quoted(T.STOPWORDS) + f")), lambda w: {STEM}))"
+STEM = "case when length(w) > 4 and w like '%ies' then regexp_replace(w, 'ies$', '') when length(w) > 4 and w like '%es' then regexp_replace(w, 'es$', '') when length(w) > 3 and w like '%s' then regexp_replace(w, 's$', '') else w end"
+STEMS = "list_distinct(list_transform(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 3 and w not in (" + quoted(T.RELEVANCE_STOPWORDS) + f")), lambda w: {STEM}))"
 add("txt13_keyword_stems", f"select doc_id, list_sort({STEMS.format('title')}) as stems from texts", lambda m: m.texts.select("doc_id", F.array_sort(T.keyword_stems(F.col("title"))).alias("stems")))
 add("txt14_feed_text", "select source, string_agg(lower(title), ' ' order by doc_id) as text from (select *, row_number() over (partition by source order by doc_id) as n from texts) where n <= 30 group by 1",
     lambda m: m.spark.sql("select source, listagg(lower(title), ' ') within group (order by doc_id) as text from (select *, row_number() over (partition by source order by doc_id) as n from {t}) where n <= 30 group by 1", t=m.texts))
