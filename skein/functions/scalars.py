@@ -197,3 +197,180 @@ def chunk_filename(month: Column, part: Column) -> Column:
 
 def card_fit(width: Column, height: Column) -> Column:
     return F.when((width >= 600) & (height >= 315), "large").when((width >= 200) & (height >= 200), "small").otherwise("none")
+
+
+#: Slugs that name the directory's own pages.
+RESERVED = (
+    "api submit search opml llms.txt robots.txt sitemap.xml about feeds blog blogs news podcasts music videos comics lives reels topics authors feed admin static _next favicon.ico"
+).split()
+
+
+def is_reserved(slug: Column) -> Column:
+    return slug.isin(RESERVED)
+
+
+def published(value: Column) -> Column:
+    """Seconds since 1970 of a date in text, the smallest number where it is none."""
+    return F.coalesce(F.unix_timestamp(F.try_to_timestamp(value)), F.lit(-(2**62)))
+
+
+def is_candidate_link(link: Column) -> Column:
+    """A page of a site, and no file or platform."""
+    platforms = r"(facebook|twitter|x|instagram|linkedin|pinterest|reddit|youtube|tiktok|amazon|wikipedia|google)\.[a-z.]+$"
+    return ~host_of(link).rlike(rf"(^|\.){platforms}") & ~F.lower(F.regexp_replace(link, r"[?#].*$", "")).rlike(r"\.(pdf|docx?|xlsx?|pptx?|zip|jpe?g|png|gif|mp[34])$")
+
+
+def playlist_feed_url(playlist_id: Column) -> Column:
+    return F.concat(F.lit("https://www.youtube.com/feeds/videos.xml?playlist_id="), playlist_id)
+
+
+def instance_feed_url(host: Column, live: bool = False) -> Column:
+    return F.concat(F.lit("https://"), host, F.lit("/feeds/videos.xml?isLive=true" if live else "/feeds/videos.xml"))
+
+
+def guess_feed_urls(site: Column) -> Column:
+    """Addresses at which a site's feed often is."""
+    origin = F.regexp_extract(site, r"^(https?://[^/?#]+)", 1)
+    paths = ("feed", "feed/", "rss", "rss.xml", "feed.xml", "atom.xml", "index.xml", "feed.json", "blog/feed", "?feed=rss2")
+    return F.transform(F.array(*[F.lit(p) for p in paths]), lambda p: F.concat(origin, F.lit("/"), p))
+
+
+def looks_like_feed(content_type: Column, body: Column) -> Column:
+    head = F.lower(F.substring(F.ltrim(body), 1, 2000))
+    return F.coalesce(F.lower(content_type).rlike(r"(rss|atom|rdf|feed\+json)"), F.lit(False)) | head.rlike(r"<(rss|feed|rdf:rdf)[\s>]") | (head.startswith("{") & head.contains("jsonfeed.org"))
+
+
+def is_picture(html: Column) -> Column:
+    from skein.functions.text import text_length
+
+    return F.coalesce(html.rlike(r"(?i)<img\b"), F.lit(False)) & (text_length(html) < EPISODE_CHARS)
+
+
+def is_stream(mime: Column) -> Column:
+    return F.coalesce(F.lower(mime).contains("mpegurl"), F.lit(False))
+
+
+def is_watchable(kind: Column) -> Column:
+    return kind.isin("video", "youtube", "peertube")
+
+
+def lanes_offered(kind: Column) -> Column:
+    """The lanes a post may wait in; reading is always one."""
+    lane = lane_for(kind)
+    return F.when(lane == "read", F.array(F.lit("read"))).otherwise(F.array(lane, F.lit("read")))
+
+
+def peertube_embed(url: Column) -> Column:
+    """The player of a video's page on the same host."""
+    host, video = F.regexp_extract(url, r"^(https?://[^/]+)/(?:videos/watch|w)/([0-9A-Za-z-]+)", 1), F.regexp_extract(url, r"^(https?://[^/]+)/(?:videos/watch|w)/([0-9A-Za-z-]+)", 2)
+    return F.when(video != "", F.concat(host, F.lit("/videos/embed/"), video))
+
+
+def playable_media(url: Column, mime: Column) -> Column:
+    """Kind and source over https, null where there is nothing to play."""
+    kind = media_kind(url, mime)
+    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.regexp_replace(url, "^http:", "https:").alias("src")))
+
+
+def thumb_src(raw: Column) -> Column:
+    """An image's address over https, of bounded length."""
+    u = F.regexp_replace(F.trim(raw), "^http:", "https:")
+    return F.when(u.rlike("^https://") & (F.length(u) <= 1000), u)
+
+
+def post_thumb(*images: Column) -> Column:
+    return F.coalesce(*[thumb_src(i) for i in images])
+
+
+def parse_chunk_filename(name: Column) -> Column:
+    month, part = F.regexp_extract(name, r"^sitemap-(\d{4}-\d{2})-(\d+)\.xml$", 1), F.regexp_extract(name, r"^sitemap-(\d{4}-\d{2})-(\d+)\.xml$", 2)
+    return F.when(month != "", F.struct(month.alias("month"), part.cast("int").alias("part")))
+
+
+def river_limit(raw: Column, fallback: int = RIVER_DEFAULT) -> Column:
+    return clamp(F.coalesce(F.try_to_number(F.regexp_extract(raw, r"^\s*(\d{1,9})\s*$", 1), F.lit("999999999")).cast("int"), F.lit(fallback)), 1, 200)
+
+
+def fold(text: Column) -> Column:
+    """Lower case without the accents of Latin letters."""
+    return F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+
+def terms(query: Column) -> Column:
+    return F.filter(F.split(F.trim(fold(query)), r"\s+"), lambda t: t != "")
+
+
+#: What reasons in code mean.
+REASONS = {"comments-feed": "It is a feed of comments.", "partial-feed": "It is a part of a site's feed.", "too-few-items": "It has too few posts.", "abandoned": "Nothing was posted for long.", "duplicate-titles": "All posts have one title."}
+
+
+def explain(code: Column) -> Column:
+    out = F.when(F.lit(False), F.lit(""))
+    for k, v in REASONS.items():
+        out = out.when(code == k, v)
+    return out.otherwise(code)
+
+
+def text_line(at: Column, event: Column, status: Column, detail: Column) -> Column:
+    return F.concat_ws(" ", F.date_format(at, "yyyy-MM-dd HH:mm:ss"), event, status, detail)
+
+
+def playlist_extension(url: Column) -> Column:
+    return F.nullif(F.regexp_extract(F.lower(F.regexp_replace(url, r"[?#].*$", "")), r"(\.(?:m3u8?|pls|playlist))$", 1), F.lit(""))
+
+
+def has_playlist_header(body: Column) -> Column:
+    return F.coalesce(F.lower(F.substring(F.regexp_replace(body, "^[﻿\\s]+", ""), 1, 40)).rlike(r"^(#extm3u|\[playlist\])"), F.lit(False))
+
+
+def vod_seconds(text: Column) -> Column:
+    """Running time of a stream that has an end."""
+    total = F.aggregate(F.regexp_extract_all(text, F.lit(r"#EXTINF:\s*(\d+(?:\.\d+)?)"), F.lit(1)), F.lit(0.0), lambda t, x: t + x.cast("double"))
+    return F.when(text.contains("#EXT-X-ENDLIST"), F.round(total).cast("long"))
+
+
+def split_artist(raw: Column) -> Column:
+    """Artist of ``Artist - Title`` unless it only numbers."""
+    artist = F.trim(F.regexp_extract(raw, r"^(.{1,80}?)\s+[-–—]\s+.+$", 1))
+    return F.when((artist != "") & ~F.lower(artist).rlike(r"^(track|disc|cd|part|chapter|episode|ep)?\s*\d+$"), artist)
+
+
+def entity(code: Column) -> Column:
+    """The character of a code point, nothing for what is none."""
+    return F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def usable_title(title: Column) -> Column:
+    return (F.length(title) >= 12) & ~title.rlike(r"(?i)^(read more|continue reading|learn more|click here|subscribe|sign up|all posts)")
+
+
+def body_length(*bodies: Column) -> Column:
+    """Visible length of the first body that is not empty."""
+    from skein.functions.text import text_length
+
+    return text_length(F.coalesce(*[F.nullif(b, F.lit("")) for b in bodies], F.lit("")))
+
+
+def absolute_image(raw, base):
+    """An image's address against its page's, web addresses only."""
+    import pandas as pd
+
+    def run(raw, base):
+        from urllib.parse import urljoin
+
+        out = [urljoin(b or "", r.strip()) if r and r.strip() else None for r, b in zip(raw, base, strict=True)]
+        return pd.Series([u if u and u.startswith(("http://", "https://")) else None for u in out], dtype=object)
+
+    return F.pandas_udf(run, "string")(raw, base)
+
+
+def hash_ip(ip, salt: str | None):
+    """The first 32 hex digits of HMAC-SHA256; null where either is unset."""
+    import pandas as pd
+
+    def run(ip):
+        import hmac
+
+        return pd.Series([hmac.new(salt.encode(), x.encode(), "sha256").hexdigest()[:32] if x and salt else None for x in ip], dtype=object)
+
+    return F.pandas_udf(run, "string")(ip)

@@ -99,3 +99,18 @@ add("dml21_win_add_to_queue", "with r as (select id + 100000 as id, user_id, ite
 add("dml20_win_move", None, lambda m: M.move(m.queue_entries, 110, "read", 0).select("id", "position"))
 add("dml37_add_comment", "select id, item_id, body from comments union all select 10000000 + item_id, item_id, substr(trim(min(body)), 1, 4000) from comments where item_id < 20 group by item_id", lambda m: m.comments.select("id", "item_id", "body").unionByName(m.comments.where("item_id < 20").groupBy("item_id").agg(F.min("body").alias("body")).select((F.col("item_id") + 10000000).alias("id"), "item_id", F.substring(F.trim("body"), 1, M.COMMENT_CHARS).alias("body"))))
 add("dml06_replace_feed_keywords", "select feed_id, slug, count from feed_keywords where feed_id <> 77 union all select 77, 'topic-1', 5", lambda m: M.delete_where(m.feed_keywords.select("feed_id", "slug", "count"), "feed_id = 77").unionByName(m.spark.sql("select 77L as feed_id, 'topic-1' as slug, 5L as count")))
+INSERTS_MORE = [
+    ("dml03_insert_feed", "feeds", "id slug title", "select 900001 as id, 'new-feed' as slug, 'New' as title"),
+    ("dml09_insert_submission", "submissions", "id ip_hash", "select 900001 as id, 'ip1' as ip_hash"),
+    ("dml12_stage_import_entries", "import_entries", "id submission_id url", "select 900001 as id, 13 as submission_id, 'https://x.example/' as url"),
+    ("dml23_record_author_search", "author_searches", "id author_id queries", "select 900001 as id, 7 as author_id, 2 as queries"),
+    ("dml24_insert_run", "runs", "id provider", "select 900001 as id, 'list' as provider"),
+    ("str03_append_crawl_log", "log", "id event", "select 900001 as id, 'crawl' as event union all select 900002, 'crawl-error'"),
+]
+for _name, _relation, _columns, _rows in INSERTS_MORE:
+    add(_name, f"select {', '.join(_columns.split())} from {_relation} union all {_rows}", lambda m, r=_relation, c=_columns, q=_rows: getattr(m, r).select(*c.split()).unionByName(m.spark.sql(q)))
+add("dml18_add_feed_links", "with n as (select feed_id, url, 'site' as network, true as verified from feed_links where feed_id % 8 = 1 union all select 999999, 'https://new.example/', 'site', false) select feed_id, url, coalesce(l.network, n.network) as network, coalesce(l.verified, false) or coalesce(n.verified, false) as verified from feed_links l full join n using (feed_id, url)",
+    lambda m: M.merge(m.feed_links.select("feed_id", "url", "network", "verified"), m.feed_links.where("feed_id % 8 = 1").select("feed_id", "url", F.lit("site").alias("network"), F.lit(True).alias("verified")).unionByName(m.spark.sql("select 999999L as feed_id, 'https://new.example/' as url, 'site' as network, false as verified")), ["feed_id", "url"], verified=F.col("old_verified") | F.col("new_verified")))
+add("dml31_save_extract", "select item_id, case when item_id % 10 = 1 then 'ok' else state end as state from extracts", lambda m: M.merge(m.extracts.select("item_id", "state"), m.extracts.where("item_id % 10 = 1").select("item_id", F.lit("ok").alias("state")), ["item_id"], state=M.latest("state")))
+add("dml54_add_channel", "with n as (select user_id, kind, target, true as enabled, 0 as failures from channels where id % 6 = 2 union all select 1, 'email', 'new', true, 0) select user_id, kind, target, coalesce(n.enabled, c.enabled) as enabled, coalesce(n.failures, c.failures)::bigint as failures from channels c full join n using (user_id, kind, target)",
+    lambda m: M.merge(m.channels.select("user_id", "kind", "target", "enabled", "failures"), m.channels.where("id % 6 = 2").select("user_id", "kind", "target", F.lit(True).alias("enabled"), F.lit(0).cast("long").alias("failures")).unionByName(m.spark.sql("select 1L as user_id, 'email' as kind, 'new' as target, true as enabled, 0L as failures")), ["user_id", "kind", "target"], enabled=M.latest("enabled"), failures=M.latest("failures")))
