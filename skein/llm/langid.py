@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .textops import Slice, slices
 
 #: At most so many texts of known language are learned from (those with the smallest hashes of their ids).
-SAMPLE = 6000
+SAMPLE = 4000
 BINS = 4096
 CENTROIDS = 4
 UNKNOWN = "und"
@@ -63,8 +63,10 @@ class Centroids:
     floors: np.ndarray
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
-        v = np.log1p(counts) * self.idf
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        v = np.log1p(counts)
+        v *= self.idf
+        v /= np.sqrt(np.maximum(np.einsum("ij,ij->i", v, v), 1e-24))[:, None]
+        return v
 
     def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(centroid, cosine) of each text."""
@@ -110,9 +112,15 @@ def train(counts: np.ndarray, langs: list[str]) -> Centroids:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Centroids | None:
-    """Learn from the text and non-null lang of ``docs`` (doc_id, text, lang); None where there are none.
+    """Learn from the text and non-null lang of ``docs`` (doc_id, text, lang); None where there are none."""
+    counts, langs = sample_counts(docs, sample)
+    return train(counts, langs) if langs else None
 
-    Only the ids of the sample and then its n-gram counts come to the driver.
+
+def sample_counts(docs: DataFrame, sample: int) -> tuple[np.ndarray, list[str]]:
+    """(n-gram counts, lang) of at most ``sample`` texts with a letter and a language.
+
+    Only the ids of the sample and then its counts come to the driver.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     picked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "lang").limit(sample).select("doc_id", "lang").distinct()
@@ -128,13 +136,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Centroids | None:
                     ["doc_id", "lang", "at", "n"])
 
     rows = known.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, at binary, n binary")
-    rows = rows.toPandas().sort_values(["doc_id", "lang"], kind="stable")
-    if not len(rows):
-        return None
-    counts = np.zeros((len(rows), BINS), np.float32)
+    rows = rows.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    counts = np.zeros((rows.num_rows, BINS), np.float32)
     for i, (at, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
-        counts[i, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<f4")
-    return train(counts, rows.lang.tolist())
+        counts[i, np.frombuffer(at.as_py(), "<u2")] = np.frombuffer(n.as_py(), "<f4")
+    return counts, rows["lang"].to_pylist()
 
 
 def identify(docs: DataFrame, model: Centroids | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from .rules import STOP_WORDS
 from .textops import Slice, mix, slices
 
 #: At most so many labelled documents are learned from (those with the smallest hashes of their ids).
-SAMPLE = 6000
+SAMPLE = 4000
 NEIGHBOURS = (-2, -1, 1, 2)
 
 _UPPER, _LOWER_, _DIGIT, _SYMBOL, _SHOUT, _STOP, _PIPE, _OTHER = range(8)
@@ -112,7 +112,7 @@ def with_neighbours(f: np.ndarray, first: np.ndarray) -> np.ndarray:
         at = np.clip(at, 0, max(n - 1, 0))
         ok &= text_of[at] == text_of
         parts.append(f[at] * ok[:, None])
-    return np.concatenate([*parts, np.ones((n, 1))], axis=1)
+    return np.concatenate([*parts, np.ones((n, 1), f.dtype)], axis=1)
 
 
 def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +176,7 @@ def train(f: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray,
     """Fit by gradient ascent on the conditional likelihood; a line has its document's label."""
     lengths = np.diff(np.concatenate((first, [len(f)])))
     mean, scale = f.mean(0), f.std(0) + 1e-6
-    x = with_neighbours((f - mean) / scale, first)
+    x = with_neighbours(((f - mean) / scale).astype(np.float32), first)
     y = np.repeat(label, lengths).astype(float)
     # lines count by document, so that long ones do not decide alone
     weight = np.repeat(1 / lengths, lengths)
@@ -233,13 +233,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CrfModel |
                     ["doc_id", "quality", "f", "size"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", F.col("quality").cast("int").alias("quality"))), "doc_id")
-    rows = joined.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, f binary, size binary").toPandas().sort_values("doc_id", kind="stable")
-    label = rows.quality.to_numpy()
+    rows = joined.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, f binary, size binary").toArrow().sort_by("doc_id")
+    label = rows["quality"].to_numpy()
     if len(set(label.tolist())) < 2:
         return float(label.mean()) if len(label) else 0.5
-    f = np.frombuffer(b"".join(rows.f), "<f4").reshape(-1, FEATURES).astype(float)
-    size = np.frombuffer(b"".join(rows["size"]), "<i8")
-    lengths = np.array([len(x) // 8 for x in rows["size"]])
+    f = np.frombuffer(b"".join(rows["f"].to_pylist()), "<f4").reshape(-1, FEATURES).astype(float)
+    sizes = rows["size"].to_pylist()
+    size = np.frombuffer(b"".join(sizes), "<i8")
+    lengths = np.array([len(x) // 8 for x in sizes])
     return train(f, size, np.concatenate(([0], np.cumsum(lengths)[:-1])), label)
 
 

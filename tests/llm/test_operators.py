@@ -207,14 +207,37 @@ def test_exact_repeats_all_found(spark):
 
 
 # 6
-def naive_ppm(training, word, order):
+def naive_counts(training, order):
+    """Counts of bytes by context, for one cluster."""
     counts = defaultdict(Counter)
     for w, c in training.items():
-        s = " \n" if w == "\n" else f" {w} "
-        s = s.encode()
+        s = (" \n" if w == "\n" else f" {w} ").encode()
         for i in range(1, len(s)):
             for k in range(min(order, i) + 1):
                 counts[s[i - k : i]][s[i]] += c
+    return counts
+
+
+def naive_escapes(all_counts):
+    """Left out once, does the rest of its context have a byte? By order and sizes, over all clusters."""
+    novel, total = Counter(), Counter()
+    for counts in all_counts:
+        for context, c in counts.items():
+            n, d = sum(c.values()), len(c)
+            for m in c.values():
+                if n > 1:
+                    at = int(ppm.Trie._class(len(context), np.array(n - 1), np.array(d - (m == 1))))
+                    total[at] += m
+                    novel[at] += m == 1 and 1
+
+    def escape(order, n, d):
+        at = int(ppm.Trie._class(order, np.array(n), np.array(d)))
+        return (novel[at] + 20 * d / (n + d)) / (total[at] + 20)
+
+    return escape
+
+
+def naive_ppm(counts, escape, word, order):
     total, s = 0.0, (" \n" if word == "\n" else f" {word} ").encode()
     for i in range(1, len(s)):
         out: set = set()
@@ -225,26 +248,39 @@ def naive_ppm(training, word, order):
             open_ = {b: n for b, n in c.items() if b not in out}
             if not open_:
                 continue
-            n, d = sum(open_.values()), len(open_)
+            n = sum(open_.values())
+            e = escape(k, n, len(open_))
             if s[i] in open_:
-                total += math.log10(open_[s[i]] / (n + d))
+                total += math.log10((1 - e) * open_[s[i]] / n)
                 break
-            total += math.log10(d / (n + d))
+            total += math.log10(e)
             out |= set(c)
         else:
             total += math.log10(1 / max(257 - len(out), 1))
     return total
 
 
-def test_ppm_equals_a_plain_one(spark, odd, docs):
+@pytest.mark.parametrize("many", [1, 3])
+def test_ppm_equals_a_plain_one(spark, odd, docs, monkeypatch, many):
+    import pyarrow as pa
+
     rng = random.Random(8)
-    d = docs([prose(rng, 40) for _ in range(12)], 100).unionByName(odd.where("length(text) < 1000 or text is null"))
-    got = ppm.score(d, F.col("doc_id") % 3 == 1, 4).collect()
-    training = Counter()
+    made = ppm.clusters
+    monkeypatch.setattr(ppm, "clusters", lambda d: made(d, many))
+    d = docs([prose(rng, 40) for _ in range(12)] + [" ".join(f"{rng.choice('xyz')}{rng.randint(0, 99)}" for _ in range(30)) for _ in range(8)], 100).unionByName(odd.where("length(text) < 1000 or text is null"))
     rows = d.collect()
+    learn = lambda r: r.doc_id is not None and r.doc_id % 3 != 1
+    model = made(d.where("doc_id % 3 <> 1"), many)
+    home = {}
     for r in rows:
-        if r.doc_id is not None and r.doc_id % 3 != 1:
-            training.update([*words(r.text), "\n"])
+        home[r.doc_id] = int(model.nearest(ppm.grams(next(slices(pa.array([r.text], pa.string())))))[0][0])
+    got = ppm.score(d, F.col("doc_id") % 3 == 1, 4).collect()
+    training, own = Counter(), defaultdict(Counter)
+    for r in filter(learn, rows):
+        training.update([*words(r.text), "\n"])
+        own[home[r.doc_id]].update([*words(r.text), "\n"])
+    counts = {k: naive_counts(own[k], 4) for k in range(len(model.vectors))}
+    escape = naive_escapes(counts.values())
     n, v = sum(training.values()), len(training)
     by = {r.doc_id: r for r in got}
     assert len(got) == len(rows)
@@ -253,7 +289,7 @@ def test_ppm_equals_a_plain_one(spark, odd, docs):
         g = by[r.doc_id]
         assert (g.n_tokens, g.n_known, g.train_tokens) == (len(w), sum(training[x] > 0 for x in w), n)
         assert math.isclose(g.base_score, sum(math.log10((training[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
-        assert math.isclose(g.score, sum(naive_ppm(training, x, 4) for x in w), rel_tol=1e-5)
+        assert math.isclose(g.score, sum(naive_ppm(counts[home[r.doc_id]], escape, x, 4) for x in w) - math.log10(len(model.vectors)), rel_tol=1e-5)
 
 
 # 7
