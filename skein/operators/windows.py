@@ -25,7 +25,7 @@ def dedupe_items(rows: DataFrame, key: str, *order: Column) -> DataFrame:
 
 def merge_river(sources: list[DataFrame], key: str = "cluster_key", limit: int = RIVER_LIMIT) -> DataFrame:
     """Posts of all sources, newest first, undated ones last, one row a story."""
-    order = [F.col("published_at").desc_nulls_last(), F.col("id")]
+    order = [F.col("published_at").desc_nulls_last(), F.col("id"), F.col(key)]
     rows = reduce(DataFrame.unionByName, sources)
     return dedupe_items(rows, key, *order).orderBy(*order).limit(limit)
 
@@ -38,8 +38,8 @@ def top_per(rows: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
 def following(items: DataFrame, sources: DataFrame, limit: int = RIVER_LIMIT) -> DataFrame:
     """A user's river: of each source (source, feed_id) its newest posts, merged."""
     own = items.join(sources, "feed_id")
-    own = top_per(own, "source", PER_SOURCE, F.col("published_at").desc_nulls_last(), F.col("id")).drop("source")
-    return merge_river([own.dropDuplicates(["id"])], limit=limit)
+    own = top_per(own, "source", PER_SOURCE, F.col("published_at").desc_nulls_last(), F.col("id"), F.col("cluster_key")).select("id", "cluster_key", "published_at")
+    return merge_river([own.distinct()], limit=limit)
 
 
 def select_batch(pool: DataFrame, sent: DataFrame, cap: int, size: int = MESSAGE_ITEMS) -> DataFrame:

@@ -11,7 +11,7 @@ from skein.plans.joins import cols
 from skein.plans.reads import _now, add
 from skein.sources.model import AS_OF, duck_sql
 
-RIVER = "order by published_at desc nulls last, id"
+RIVER = "order by published_at desc nulls last, id, cluster_key"
 FOLD = """select id, cluster_key, published_at, 0 as duplicates from {t} where cluster_key = '' union all
     select id, cluster_key, published_at, n - 1 from (select *, row_number() over (partition by cluster_key order by published_at desc nulls last, id) as r, count(*) over (partition by cluster_key) as n from {t} where cluster_key <> '') where r = 1"""
 ITEM = ["id", "cluster_key", "published_at"]
@@ -19,7 +19,7 @@ add("win01_dedupe_items", f"with x as (select id, cluster_key, published_at from
 add("win02_merge_river", f"with x as (select id, cluster_key, published_at from items where feed_id in (1, 77) union all select id, cluster_key, published_at from items where feed_id between 100 and 400) select * from ({FOLD.format(t='x')}) {RIVER} limit 60",
     lambda m: W.merge_river([m.items.where("feed_id in (1, 77)").select(ITEM), m.items.where("feed_id between 100 and 400").select(ITEM)]))
 add("win03_following", f"""with s as (select 'feeds' as source, feed_id from follows where user_id < 200 union all select distinct 'topics', k.feed_id from feed_keywords k join topic_follows t on t.slug = k.slug where t.user_id = 110),
-    p as (select *, row_number() over (partition by source order by published_at desc nulls last, id) as n from (select i.id, i.cluster_key, i.published_at, s.source from items i join s on s.feed_id = i.feed_id)),
+    p as (select *, row_number() over (partition by source order by published_at desc nulls last, id, cluster_key) as n from (select i.id, i.cluster_key, i.published_at, s.source from items i join s on s.feed_id = i.feed_id)),
     x as (select distinct id, cluster_key, published_at from p where n <= 60) select * from ({FOLD.format(t='x')}) {RIVER} limit 60""",
     lambda m: W.following(m.items.select("feed_id", *ITEM), m.follows.where("user_id < 200").select(F.lit("feeds").alias("source"), "feed_id").unionByName(
         m.feed_keywords.join(m.topic_follows.where("user_id = 110").select("slug").distinct(), "slug").select(F.lit("topics").alias("source"), "feed_id").distinct())).select(*ITEM, "duplicates"))
