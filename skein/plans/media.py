@@ -9,28 +9,28 @@ from skein.sources import documents, outlines, pages, sinks
 from skein.streaming import rollups
 
 TEXT = "select feed_id, 'a' as x from items"
-#: Posts in their place, as the writers take them (feeds below 40; equal rows of the base are one).
-POSTS = "p as (select feed_id, row_number() over (partition by feed_id order by published_at desc nulls last, id, title) as pos, title, 'https://post.example/' || id::varchar as url, id::varchar as guid, summary, published_at, audio_url, audio_type, audio_seconds from items where feed_id < 40)"
+#: Posts in their place, as the writers take them.
+POSTS = "p as (select feed_id, row_number() over (partition by feed_id order by published_at desc nulls last, id, title) as pos, title, 'https://post.example/' || id::varchar as url, id::varchar as guid, summary, published_at, audio_url, audio_type, audio_seconds from items)"
 
 
 def _posts(m):
-    return m.spark.sql("select feed_id, row_number() over (partition by feed_id order by published_at desc nulls last, id, title) as pos, title, 'https://post.example/' || id as url, string(id) as guid, summary, published_at, audio_url, audio_type, audio_seconds from {i} where feed_id < 40", i=m.items)
+    return m.spark.sql("select feed_id, row_number() over (partition by feed_id order by published_at desc nulls last, id, title) as pos, title, 'https://post.example/' || id as url, string(id) as guid, summary, published_at, audio_url, audio_type, audio_seconds from {i}", i=m.items)
 
 
 def _channels(m):
-    return m.feeds.where("id < 40").select(F.col("id").alias("feed_id"), "title", F.col("site_url").alias("link"), "description")
+    return m.feeds.select(F.col("id").alias("feed_id"), "title", F.col("site_url").alias("link"), "description")
 
 
 add("src41_build_rss", f"""with {POSTS}, b as (select feed_id, string_agg('<item><title>' || title || '</title><link>' || url || '</link><guid isPermaLink="false">' || guid || '</guid>' || coalesce('<pubDate>' || strftime(published_at, '%a, %d %b %Y %H:%M:%S') || ' GMT</pubDate>', '') || '<description>' || summary || '</description>' || coalesce('<enclosure url="' || audio_url || '" type="' || audio_type || '" length="0"/>', '') || '</item>', '' order by pos) as body from p group by 1)
-    select f.id as feed_id, '<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>' || title || '</title><link>' || site_url || '</link><description>' || description || '</description>' || coalesce(body, '') || '</channel></rss>' as document from feeds f left join b on b.feed_id = f.id where f.id < 40""", lambda m: sinks.syndicate("rss", _channels(m), _posts(m)))
+    select f.id as feed_id, '<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>' || title || '</title><link>' || site_url || '</link><description>' || description || '</description>' || coalesce(body, '') || '</channel></rss>' as document from feeds f left join b on b.feed_id = f.id""", lambda m: sinks.syndicate("rss", _channels(m), _posts(m)))
 add("src42_build_atom", f"""with {POSTS}, b as (select feed_id, string_agg('<entry><title>' || title || '</title><id>' || url || '#' || guid || '</id><link href="' || url || '"/><updated>' || coalesce(strftime(published_at, '%Y-%m-%dT%H:%M:%S') || '.000Z', '1970-01-01T00:00:00.000Z') || '</updated><summary>' || summary || '</summary></entry>', '' order by pos) as body from p group by 1)
-    select f.id as feed_id, '<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>' || title || '</title><id>' || site_url || '</id><link href="' || site_url || '"/>' || coalesce(body, '') || '</feed>' as document from feeds f left join b on b.feed_id = f.id where f.id < 40""", lambda m: sinks.syndicate("atom", _channels(m), _posts(m)))
+    select f.id as feed_id, '<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>' || title || '</title><id>' || site_url || '</id><link href="' || site_url || '"/>' || coalesce(body, '') || '</feed>' as document from feeds f left join b on b.feed_id = f.id""", lambda m: sinks.syndicate("atom", _channels(m), _posts(m)))
 add("src43_build_json_feed", None, lambda m: sinks.syndicate("json", _channels(m), _posts(m)))
 add("src44_build_markdown", None, lambda m: sinks.syndicate("md", _channels(m), _posts(m)))
 add("src45_build_m3u", f"""with {POSTS}, b as (select feed_id, string_agg('#EXTINF:' || audio_seconds::varchar || ',' || title || chr(10) || audio_url || chr(10), '' order by pos) as body from p where audio_url is not null group by 1)
-    select f.id as feed_id, '#EXTM3U' || chr(10) || '#PLAYLIST:' || title || chr(10) || coalesce(body, '') as document from feeds f left join b on b.feed_id = f.id where f.id < 40""", lambda m: sinks.syndicate("m3u", _channels(m), _posts(m)))
+    select f.id as feed_id, '#EXTM3U' || chr(10) || '#PLAYLIST:' || title || chr(10) || coalesce(body, '') as document from feeds f left join b on b.feed_id = f.id""", lambda m: sinks.syndicate("m3u", _channels(m), _posts(m)))
 add("src46_build_pls", f"""with {POSTS}, q as (select *, row_number() over (partition by feed_id order by pos) as k from p where audio_url is not null), b as (select feed_id, count(*) as n, string_agg('File' || k::varchar || '=' || audio_url || chr(10) || 'Title' || k::varchar || '=' || title || chr(10) || 'Length' || k::varchar || '=' || audio_seconds::varchar || chr(10), '' order by k) as body from q group by 1)
-    select f.id as feed_id, '[playlist]' || chr(10) || coalesce(body, '') || 'NumberOfEntries=' || coalesce(n, 0)::varchar || chr(10) || 'Version=2' || chr(10) as document from feeds f left join b on b.feed_id = f.id where f.id < 40""", lambda m: sinks.syndicate("pls", _channels(m), _posts(m)))
+    select f.id as feed_id, '[playlist]' || chr(10) || coalesce(body, '') || 'NumberOfEntries=' || coalesce(n, 0)::varchar || chr(10) || 'Version=2' || chr(10) as document from feeds f left join b on b.feed_id = f.id""", lambda m: sinks.syndicate("pls", _channels(m), _posts(m)))
 add("src48_ad_positions", "select id, list_filter([10, 20, 30], lambda p: p < item_count + 5) as positions from feeds", lambda m: m.feeds.select("id", sinks.ad_positions(F.col("item_count") + 5).alias("positions")))
 add("src50_build_opml", """select title, id, '<outline type="rss" text="' || title || '" xmlUrl="' || feed_url || '" htmlUrl="' || site_url || '"/>' as outline from feeds""", lambda m: sinks.opml_outline(m.feeds))
 add("src51_feeds_for_export", "select id, title from feeds where status <> 'dead' order by title, id limit 5000", lambda m: sinks.export_page(m.feeds, limit=5000).select("id", "title"))

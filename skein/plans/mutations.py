@@ -76,13 +76,13 @@ for _name, _relation, _key, _rest, _rows in INSERTS:
     add(_name, f"with n as (select distinct on ({', '.join(_key.split())}) {', '.join(_cols)} from ({_rows}) order by {', '.join(_cols)}) select {', '.join(_cols)} from {_relation} union all select {', '.join(_cols)} from n where not exists (select 1 from {_relation} t where {_on})",
         lambda m, r=_relation, k=_key, c=_cols, q=_rows: M.insert_new(getattr(m, r).select(*c), m.spark.sql(q.replace(f"from {r}", "from {t}"), t=getattr(m, r)), *k.split()))
 
-add("dml01_upsert_items", """with o as (select feed_id, guid, title, case when id % 5 = 0 then null else published_at end as published_at, audio_url from items where feed_id < 300 and id % 3 <> 0 qualify row_number() over (partition by feed_id, guid order by id, title) = 1),
-    n as (select feed_id, guid, 'new ' || title as title, published_at, coalesce(audio_url, 'x') as audio_url from items where feed_id < 300 qualify row_number() over (partition by feed_id, guid order by id, title) = 1)
+add("dml01_upsert_items", """with o as (select feed_id, guid, title, case when id % 5 = 0 then null else published_at end as published_at, audio_url from items where id % 3 <> 0 qualify row_number() over (partition by feed_id, guid order by id, title) = 1),
+    n as (select feed_id, guid, 'new ' || title as title, published_at, coalesce(audio_url, 'x') as audio_url from items qualify row_number() over (partition by feed_id, guid order by id, title) = 1)
     select feed_id, guid, coalesce(o.title, n.title) as title, coalesce(o.published_at, n.published_at) as published_at, coalesce(o.audio_url, n.audio_url) as audio_url from o full join n using (feed_id, guid)""",
     lambda m: (lambda one: M.merge(one.where("id % 3 <> 0").select("feed_id", "guid", "title", F.expr("case when id % 5 = 0 then null else published_at end").alias("published_at"), "audio_url"),
                                    one.select("feed_id", "guid", F.concat(F.lit("new "), "title").alias("title"), "published_at", F.coalesce("audio_url", F.lit("x")).alias("audio_url")), ["feed_id", "guid"], published_at=M.fill("published_at"), audio_url=M.fill("audio_url")))(
-        m.spark.sql("select * from (select *, row_number() over (partition by feed_id, guid order by id, title) as n from {t} where feed_id < 300) where n = 1", t=m.items)))
-add("dml02_newest_items", "select feed_id, guid, id, title from items where feed_id < 500 qualify row_number() over (partition by feed_id order by published_at desc nulls last, id desc, title) <= 2", lambda m: top_per(m.items.where("feed_id < 500"), "feed_id", 2, F.col("published_at").desc_nulls_last(), F.col("id").desc(), F.col("title")).select("feed_id", "guid", "id", "title"))
+        m.spark.sql("select * from (select *, row_number() over (partition by feed_id, guid order by id, title) as n from {t}) where n = 1", t=m.items)))
+add("dml02_newest_items", "select feed_id, guid, id, title from items qualify row_number() over (partition by feed_id order by published_at desc nulls last, id desc, title) <= 2", lambda m: top_per(m.items, "feed_id", 2, F.col("published_at").desc_nulls_last(), F.col("id").desc(), F.col("title")).select("feed_id", "guid", "id", "title"))
 add("dml15_upsert_author", "with n as (select id, case when id % 2 = 0 then '' else 'New ' || name end as name, case when id % 3 = 1 then 'n@example.org' end as email, 0.5 as confidence from authors where id < 60 union all select 1000, 'Someone', null, 0.4) select id, case when a.id is null then n.name when n.id is null then a.name else coalesce(nullif(n.name, ''), a.name) end as name, case when n.id is null then a.email else coalesce(nullif(n.email, ''), a.email) end as email, (case when a.id is null then n.confidence when n.id is null then a.confidence else greatest(a.confidence, n.confidence) end)::double as confidence from (select id, name, email, confidence from authors) a full join n using (id)",
     lambda m: M.merge(m.authors.select("id", "name", "email", "confidence"), m.spark.sql("select id, case when id % 2 = 0 then '' else 'New ' || name end as name, case when id % 3 = 1 then 'n@example.org' end as email, 0.5D as confidence from {a} where id < 60 union all select 1000, 'Someone', null, 0.4D", a=m.authors), ["id"], name=M.prefer_new("name"), email=M.prefer_new("email"), confidence=M.highest("confidence")))
 add("dml20_link_feed_author", "with n as (select feed_id, author_id, 'owner' as role, 9.5 as confidence from feed_authors where author_id % 9 = 1) select feed_id, author_id, case when n.role = 'owner' or x.role = 'owner' then 'owner' else x.role end as role, greatest(x.confidence, n.confidence)::double as confidence from feed_authors x left join n using (feed_id, author_id)",
@@ -94,8 +94,8 @@ add("dml32_save_translation", "with n as (select item_id, lang, 'new' as title,
 add("dml33_record_usage", "select user_id, day, sum(used)::bigint as used from (select user_id, day, used from usage union all select user_id, day, 1 from usage where user_id < 20) group by 1, 2", lambda m: m.usage.unionByName(m.usage.where("user_id < 20").withColumn("used", F.lit(1).cast("long"))).groupBy("user_id", "day").agg(F.sum("used").alias("used")))
 for _n, _c, _v in (("dml35_set_like", "liked", "true"), ("dml36_set_vote", "vote", "1")):
     add(_n, f"select item_id, user_id, case when item_id % 5 = 0 then {_v} else {_c} end as {_c} from reactions", lambda m, c=_c, v=_v: M.merge(m.reactions.select("item_id", "user_id", c), m.reactions.where("item_id % 5 = 0").select("item_id", "user_id", F.expr(v).alias(c)), ["item_id", "user_id"], **{c: M.latest(c)}))
-add("dml21_win_add_to_queue", "with r as (select id + 100000 as id, user_id, item_id, lane, row_number() over (partition by user_id, lane order by id) as k from queue_entries where done and user_id < 300), l as (select user_id, lane, max(position) as last from queue_entries group by 1, 2), o as (select id, user_id, item_id, lane, position, done from queue_entries q where not exists (select 1 from r where r.user_id = q.user_id and r.lane = q.lane and r.item_id = q.item_id)) select * from o union all select id, user_id, item_id, lane, coalesce(last, 0) + k, false from r left join l using (user_id, lane)",
-    lambda m: M.enqueue(m.queue_entries, m.queue_entries.where("done and user_id < 300").select((F.col("id") + 100000).alias("id"), "user_id", "item_id", "lane")))
+add("dml21_win_add_to_queue", "with r as (select id + 100000 as id, user_id, item_id, lane, row_number() over (partition by user_id, lane order by id) as k from queue_entries where done), l as (select user_id, lane, max(position) as last from queue_entries group by 1, 2), o as (select id, user_id, item_id, lane, position, done from queue_entries q where not exists (select 1 from r where r.user_id = q.user_id and r.lane = q.lane and r.item_id = q.item_id)) select * from o union all select id, user_id, item_id, lane, coalesce(last, 0) + k, false from r left join l using (user_id, lane)",
+    lambda m: M.enqueue(m.queue_entries, m.queue_entries.where("done").select((F.col("id") + 100000).alias("id"), "user_id", "item_id", "lane")))
 add("dml20_win_move", None, lambda m: M.move(m.queue_entries, 110, "read", 0).select("id", "position"))
 add("dml37_add_comment", "select id, item_id, body from comments union all select 10000000 + item_id, item_id, substr(trim(min(body)), 1, 4000) from comments where item_id < 20 group by item_id", lambda m: m.comments.select("id", "item_id", "body").unionByName(m.comments.where("item_id < 20").groupBy("item_id").agg(F.min("body").alias("body")).select((F.col("item_id") + 10000000).alias("id"), "item_id", F.substring(F.trim("body"), 1, M.COMMENT_CHARS).alias("body"))))
 add("dml06_replace_feed_keywords", "select feed_id, slug, count from feed_keywords where feed_id <> 77 union all select 77, 'topic-1', 5", lambda m: M.delete_where(m.feed_keywords.select("feed_id", "slug", "count"), "feed_id = 77").unionByName(m.spark.sql("select 77L as feed_id, 'topic-1' as slug, 5L as count")))

@@ -15,13 +15,13 @@ RIVER = "order by published_at desc nulls last, id, cluster_key"
 FOLD = """select id, cluster_key, published_at, 0 as duplicates from {t} where cluster_key = '' union all
     select id, cluster_key, published_at, n - 1 from (select *, row_number() over (partition by cluster_key order by published_at desc nulls last, id) as r, count(*) over (partition by cluster_key) as n from {t} where cluster_key <> '') where r = 1"""
 ITEM = ["id", "cluster_key", "published_at"]
-add("win01_dedupe_items", f"with x as (select id, cluster_key, published_at from items where feed_id < 2000) {FOLD.format(t='x')}", lambda m: W.dedupe_items(m.items.where("feed_id < 2000").select(ITEM), "cluster_key", F.col("published_at").desc_nulls_last(), F.col("id")))
+add("win01_dedupe_items", f"with x as (select id, cluster_key, published_at from items) {FOLD.format(t='x')}", lambda m: W.dedupe_items(m.items.select(ITEM), "cluster_key", F.col("published_at").desc_nulls_last(), F.col("id")))
 add("win02_merge_river", f"with x as (select id, cluster_key, published_at from items where feed_id in (1, 77) union all select id, cluster_key, published_at from items where feed_id between 100 and 400) select * from ({FOLD.format(t='x')}) {RIVER} limit 60",
     lambda m: W.merge_river([m.items.where("feed_id in (1, 77)").select(ITEM), m.items.where("feed_id between 100 and 400").select(ITEM)]))
-add("win03_following", f"""with s as (select 'feeds' as source, feed_id from follows where user_id < 200 union all select distinct 'topics', k.feed_id from feed_keywords k join topic_follows t on t.slug = k.slug where t.user_id = 110),
+add("win03_following", f"""with s as (select 'feeds' as source, feed_id from follows where user_id = 110 union all select distinct 'topics', k.feed_id from feed_keywords k join topic_follows t on t.slug = k.slug where t.user_id = 110),
     p as (select *, row_number() over (partition by source order by published_at desc nulls last, id, cluster_key) as n from (select i.id, i.cluster_key, i.published_at, s.source from items i join s on s.feed_id = i.feed_id)),
     x as (select distinct id, cluster_key, published_at from p where n <= 60) select * from ({FOLD.format(t='x')}) {RIVER} limit 60""",
-    lambda m: W.following(m.items.select("feed_id", *ITEM), m.follows.where("user_id < 200").select(F.lit("feeds").alias("source"), "feed_id").unionByName(
+    lambda m: W.following(m.items.select("feed_id", *ITEM), m.follows.where("user_id = 110").select(F.lit("feeds").alias("source"), "feed_id").unionByName(
         m.feed_keywords.join(m.topic_follows.where("user_id = 110").select("slug").distinct(), "slug").select(F.lit("topics").alias("source"), "feed_id").distinct())).select(*ITEM, "duplicates"))
 add("win04_select_batch", """with pool as (select o.user_id, o.source, i.id, i.created_at, case when i.cluster_key <> '' then 'c:' || i.cluster_key else 'g:' || i.id::varchar end as item_key from items i join (select user_id, feed_id, 'f' || (feed_id % 3)::varchar as source from follows where alerts) o on o.feed_id = i.feed_id),
     p as (select user_id, source, count(*) as n, max(created_at) as e from pool group by 1, 2), h as (select user_id, min(case when n >= 8 then e end) as horizon from p group by 1),
@@ -45,12 +45,12 @@ add("win12_queue_feeds", f"with {ENTRIES}, f as (select * from e qualify row_num
     lambda m: W.queue_feeds(m.import_entries.select("id", F.when(F.col("id") % 5 == 0, F.concat(F.lit("HTTPS://host17.example/feed/"), F.col("id").cast("string"))).otherwise(F.col("url")).alias("url")), m.feeds, F.expr(f"{AS_OF}"), 60).select("id", "url", "place", "next_fetch_at"))
 add("win13_claim_slugs", None, lambda m: W.claim_slugs(m.import_entries.select("id", F.concat(F.lit("feed-"), (F.col("id") % 50).cast("string")).alias("base")), m.feeds.select("slug")))
 add("win14_import_feeds", "select id, url from (select *, row_number() over (partition by lower(url) order by id) as n from import_entries) where n = 1 and lower(url) not in (select lower(feed_url) from feeds)", lambda m: W.queue_feeds(m.import_entries, m.feeds, _now(), 60).select("id", "url"))
-add("win16_series_authors", "select feed_id, min_by(name, id) as name, min(id) as id from (select feed_id, id, case when id % 2 = 0 then upper('supplier ' || (supplier % 3)::varchar) else 'Supplier ' || (supplier % 3)::varchar end as name from items where feed_id < 500) group by feed_id, lower(name)",
-    lambda m: W.first_spelling(m.items.where("feed_id < 500").select("feed_id", "id", F.expr("case when id % 2 = 0 then upper('supplier ' || cast(supplier % 3 as string)) else 'Supplier ' || cast(supplier % 3 as string) end").alias("name")), "name", "id", "feed_id"))
+add("win16_series_authors", "select feed_id, min_by(name, id) as name, min(id) as id from (select feed_id, id, case when id % 2 = 0 then upper('supplier ' || (supplier % 3)::varchar) else 'Supplier ' || (supplier % 3)::varchar end as name from items) group by feed_id, lower(name)",
+    lambda m: W.first_spelling(m.items.select("feed_id", "id", F.expr("case when id % 2 = 0 then upper('supplier ' || cast(supplier % 3 as string)) else 'Supplier ' || cast(supplier % 3 as string) end").alias("name")), "name", "id", "feed_id"))
 add("win17_candidate_sites", f"select id as pos, {HOST} as host from feeds qualify row_number() over (partition by {HOST} order by id) = 1", lambda m: W.candidate_sites(m.feeds.withColumnRenamed("id", "pos"), S.host_of(F.col("feed_url"))).select("pos", "host"))
 add("win18_parse_keywords", None, lambda m: W.parse_keywords(m.spark.sql("select 'Rust, go\\nrust\\n ,Spark' as raw")))
 add("win19_merge_credits", None, lambda m: W.merge_credits(m.feed_authors.join(m.authors.select(F.col("id").alias("author_id"), "name", "email", F.col("identity_key").alias("url")), "author_id").select("feed_id", "name", "role", "confidence", "email", "url", F.col("author_id").alias("pos"))))
 add("win24_rate_limit", None, lambda m: W.first_window_limit(m.log.select(F.col("subject").alias("identity"), "at"), 3))
-add("set03_keyword_diff", """with a as (select feed_id, slug, keyword, case when feed_id % 3 = 0 then count + 1 else count end as count from feed_keywords where feed_id % 5 <> 0 and feed_id < 3000), b as (select feed_id, slug, keyword, count from feed_keywords where feed_id % 7 <> 0 and feed_id < 3000)
+add("set03_keyword_diff", """with a as (select feed_id, slug, keyword, case when feed_id % 3 = 0 then count + 1 else count end as count from feed_keywords where feed_id % 5 <> 0), b as (select feed_id, slug, keyword, count from feed_keywords where feed_id % 7 <> 0)
     select coalesce(a.feed_id, b.feed_id) as feed_id, coalesce(a.slug, b.slug) as slug, case when a.slug is null then 'delete' when b.slug is null then 'insert' else 'update' end as op from a full join b on a.feed_id = b.feed_id and a.slug = b.slug where a.slug is null or b.slug is null or a.count <> b.count or a.keyword <> b.keyword""",
-    lambda m: W.keyword_diff(m.feed_keywords.where("feed_id % 5 <> 0 and feed_id < 3000").withColumn("count", F.expr("case when feed_id % 3 = 0 then count + 1 else count end")), m.feed_keywords.where("feed_id % 7 <> 0 and feed_id < 3000")).select("feed_id", "slug", "op"))
+    lambda m: W.keyword_diff(m.feed_keywords.where("feed_id % 5 <> 0").withColumn("count", F.expr("case when feed_id % 3 = 0 then count + 1 else count end")), m.feed_keywords.where("feed_id % 7 <> 0")).select("feed_id", "slug", "op"))
