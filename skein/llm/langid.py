@@ -22,6 +22,8 @@ from .textops import Slice, slices
 #: At most so many texts of known language are learned from (those with the smallest hashes of their ids).
 SAMPLE = 4000
 BINS = 4096
+#: Texts whose counts are held at once.
+ROWS = 256
 CENTROIDS = 4
 UNKNOWN = "und"
 #: A text is rejected below this share of the 0.5 per cent quantile of the training texts' cosines.
@@ -40,17 +42,22 @@ def grams(s: Slice) -> np.ndarray:
         return out
     text_of = np.repeat(np.arange(len(s)), np.diff(s.offsets))
     two = b[:-1] << 8 | b[1:]
-    flat = np.zeros(len(s) * BINS, np.int64)
     ok = (text_of[:-1] == text_of[1:]) & (two != 0x2020)
-    flat += np.bincount(text_of[:-1][ok] * BINS + _bin(two[ok]), minlength=len(flat))
+    flat = np.bincount(text_of[:-1][ok] * BINS + _bin(two[ok]), minlength=out.size)
     if len(b) > 2:
         three = two[:-1] << 8 | b[2:]
         ok = (text_of[:-2] == text_of[2:]) & ((three & 0xFFFF) != 0x2020) & ((three >> 8) != 0x2020)
-        flat += np.bincount(text_of[:-2][ok] * BINS + _bin(three[ok] | 0x1000000), minlength=len(flat))
+        flat += np.bincount(text_of[:-2][ok] * BINS + _bin(three[ok] | 0x1000000), minlength=out.size)
     out[:] = flat.reshape(len(s), BINS)
     return out
 
 
+def gram_parts(s: Slice) -> Iterator[tuple[int, np.ndarray]]:
+    """(first text, counts) of a slice in bounded pieces."""
+    for p in s.parts(ROWS):
+        yield p.first, grams(p)
+
+
 def _bin(code: np.ndarray) -> np.ndarray:
     return ((code * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
 
@@ -74,6 +81,11 @@ class Centroids:
         at = cos.argmax(1)
         return at, np.clip(cos[np.arange(len(at)), at], 0, 1)
 
+    def nearest_texts(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """(centroid, cosine) of each text of a slice."""
+        found = [self.nearest(g) for _, g in gram_parts(s)]
+        return np.concatenate([a for a, _ in found]), np.concatenate([c for _, c in found])
+
 
 def cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means from far-apart starts; fewer centroids where texts are alike."""
@@ -128,12 +140,12 @@ def sample_counts(docs: DataFrame, sample: int) -> tuple[np.ndarray, list[str]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b.column("text")):
-                g = grams(s)
-                at = [np.flatnonzero(x) for x in g]
-                yield pa.record_batch(
-                    [b.column("doc_id").slice(s.first, len(s)), b.column("lang").slice(s.first, len(s)),
-                     pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([x[a].astype("<f4").tobytes() for x, a in zip(g, at, strict=True)], pa.binary())],
-                    ["doc_id", "lang", "at", "n"])
+                for i, g in gram_parts(s):
+                    at = [np.flatnonzero(x) for x in g]
+                    yield pa.record_batch(
+                        [b.column("doc_id").slice(s.first + i, len(g)), b.column("lang").slice(s.first + i, len(g)),
+                         pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([x[a].astype("<f4").tobytes() for x, a in zip(g, at, strict=True)], pa.binary())],
+                        ["doc_id", "lang", "at", "n"])
 
     rows = known.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, at binary, n binary")
     rows = rows.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
@@ -156,7 +168,7 @@ def identify(docs: DataFrame, model: Centroids | None, id_col: str = "doc_id", t
             letters = np.asarray(b.column(2).to_pylist(), bool)
             pred, score, out = np.full(b.num_rows, UNKNOWN, object), np.zeros(b.num_rows), np.ones(b.num_rows, bool)
             for s in slices(b.column(1)) if model is not None else ():
-                at, cos = model.nearest(grams(s))
+                at, cos = model.nearest_texts(s)
                 here = np.flatnonzero(letters[s.first : s.first + len(s)])
                 pred[s.first + here] = np.array(model.langs, object)[at[here]]
                 score[s.first + here] = cos[here]

@@ -13,7 +13,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 SHINGLE_WORDS = 5
 
 _SPACE = np.zeros(256, bool)
@@ -62,6 +62,12 @@ class Slice:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
+    def parts(self, rows: int) -> Iterator[Slice]:
+        """The slice in pieces of at most ``rows`` texts, whose first counts within this one."""
+        for i in range(0, len(self), rows):
+            o = self.offsets[i : i + rows + 1]
+            yield Slice(i, self.data[o[0] : o[-1]], o - o[0], self.lower)
+
     @cached_property
     def bytes_(self) -> np.ndarray:
         return _LOWER[self.data] if self.lower else self.data
