@@ -3,6 +3,7 @@ import sys
 
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 
@@ -17,10 +18,8 @@ def docs(spark):
     return make
 
 
-LONG = "word " * 30_000 + "end"
-ODD = [None, "", " \n\t ", "a", "Ein Wort\n\nzwei", "é\U0001F600 中", LONG, Ellipsis, "same text here for you all", "same text here for you all"]
-
-
 @pytest.fixture()
 def odd(docs):
+    from odd_rows import ODD
+
     return docs(ODD)

@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
-from conftest import ODD
+from odd_rows import ODD
 from pyspark.sql import functions as F
 
 from skein.llm import chroma, langid, neardup, packing, passages, pieces, ppm, quality_crf, queries, rules, toolcalls
@@ -273,7 +273,7 @@ def test_ppm_equals_a_plain_one(spark, odd, docs, monkeypatch, many):
     model = made(d.where("doc_id % 3 <> 1"), many)
     home = {}
     for r in rows:
-        home[r.doc_id] = int(model.nearest(ppm.grams(next(slices(pa.array([r.text], pa.string())))))[0][0])
+        home[r.doc_id] = int(model.nearest_texts(next(slices(pa.array([r.text], pa.string()))))[0][0])
     got = ppm.score(d, F.col("doc_id") % 3 == 1, 4).collect()
     training, own = Counter(), defaultdict(Counter)
     for r in filter(learn, rows):
