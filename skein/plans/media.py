@@ -10,11 +10,11 @@ from skein.streaming import rollups
 
 TEXT = "select feed_id, 'a' as x from items"
 #: Posts in their place, as the writers take them.
-POSTS = "p as (select feed_id, row_number() over (partition by feed_id order by published_at desc nulls last, id, title) as pos, title, 'https://post.example/' || id::varchar as url, id::varchar as guid, summary, published_at, audio_url, audio_type, audio_seconds from items)"
+POSTS = "p as (select feed_id, row_number() over (partition by feed_id order by published_at desc nulls last, id, title, summary, audio_url) as pos, title, 'https://post.example/' || id::varchar as url, id::varchar as guid, summary, published_at, audio_url, audio_type, audio_seconds from items)"
 
 
 def _posts(m):
-    return m.spark.sql("select feed_id, row_number() over (partition by feed_id order by published_at desc nulls last, id, title) as pos, title, 'https://post.example/' || id as url, string(id) as guid, summary, published_at, audio_url, audio_type, audio_seconds from {i}", i=m.items)
+    return m.spark.sql("select feed_id, row_number() over (partition by feed_id order by published_at desc nulls last, id, title, summary, audio_url) as pos, title, 'https://post.example/' || id as url, string(id) as guid, summary, published_at, audio_url, audio_type, audio_seconds from {i}", i=m.items)
 
 
 def _channels(m):
