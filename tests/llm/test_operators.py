@@ -206,6 +206,25 @@ def test_exact_repeats_all_found(spark):
     assert expected <= {r.doc_id for r in passages.shared_passages(d).collect()}
 
 
+def test_passages_whose_leader_has_a_part_only(spark, docs):
+    rng = random.Random(16)
+    fresh = lambda n: [f"u{rng.randint(0, 10**9)}" for _ in range(n)]
+    texts, expected = [], set()
+    for _ in range(40):
+        line = fresh(40)
+        before, after = fresh(4), fresh(6)
+        n = len(texts)
+        # the first has the line alone, once or twice; the next two a passage of 50 words around it
+        texts += [" ".join(x) for x in (fresh(30) + line + fresh(60) + line + fresh(9), fresh(25) + before + line + after + fresh(35), fresh(70) + before + line + after + fresh(15))]
+        expected.add((n + 2, n + 1, 70, 120))
+    # a leader that has the line first and the whole passage later
+    texts += [" ".join(x) for x in (fresh(50) + line + fresh(70) + before + line + after + fresh(9), fresh(20) + before + line + after)]
+    n = len(texts) - 2
+    got = {(r.doc_id, r.source_doc_id, r.start_word, r.end_word) for r in passages.shared_passages(docs(texts)).collect()}
+    assert {g for g in got if g[0] < n} == expected
+    assert any(g[0] == n + 1 and g[2] <= 20 and g[3] == 70 for g in got)
+
+
 # 6
 def naive_counts(training, order):
     """Counts of bytes by context, for one cluster."""
