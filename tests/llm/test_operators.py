@@ -225,6 +225,32 @@ def test_passages_whose_leader_has_a_part_only(spark, docs):
     assert any(g[0] == n + 1 and g[2] <= 20 and g[3] == 70 for g in got)
 
 
+def test_passages_with_words_put_in(spark, docs):
+    rng = random.Random(17)
+    fresh = lambda n: [f"u{rng.randint(0, 10**9)}" for _ in range(n)]
+    texts = []
+    for i in range(60):
+        exact, p = fresh(55), fresh(52 + i % 12)
+        at = len(p) // 2
+        q = p[:at] + fresh(1) + p[at:] if i % 2 else p[:at] + p[at + 1 :]
+        # an exact passage as well as one with a word put in or left out
+        texts += [" ".join(x) for x in (fresh(20) + exact + fresh(30) + p + fresh(25), fresh(10) + q + fresh(40) + exact + fresh(5))]
+    found = passages.shared_passages(docs(texts)).collect()
+    exact = {r.doc_id for r in found if r.similarity == 1}
+    edited = {r.doc_id for r in found if r.similarity < 1 and r.start_word < 20}
+    assert len(exact) == 60 and len(edited) >= 48
+    assert all(r.similarity >= 0.8 and r.end_word - r.start_word >= 50 and r.source_end - r.source_start >= 50 for r in found)
+
+
+def test_runs_are_joined_from_each():
+    x = np.arange(1, 78, dtype=np.uint64)
+    y = x.copy()
+    y[22:27] = y[47:52] = 999
+    # runs of 22, 20 and 25
+    got = passages.aligned(x, y, np.array([[10, 0, 40, 10, 0, 40]]))
+    assert {g[:2] for g in got} == {(0, 51), (27, 81)}
+
+
 # 6
 def naive_counts(training, order):
     """Counts of bytes by context, for one cluster."""
