@@ -2,8 +2,9 @@
 
 DataFrame functions only. Calls and results meet in a hash join on their identifier, results first
 reduced to one a call. A call's level is 0 if it waits for none and otherwise one more than the
-highest of those it waits for. Levels of conversations whose calls wait for earlier turns only come
-from their turns; the others are put in levels round by round, and calls on a cycle get none.
+highest of those it waits for. Conversations whose calls wait for earlier turns of their own only have
+the turns as levels, as the query's SQL has them; the others, and those that they wait for, are put in
+levels round by round, and calls on a cycle get none. So a call is always above what it waits for.
 """
 
 from __future__ import annotations
@@ -70,15 +71,21 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     """
     c = calls.select("conv_id", "turn", "call_id", "name", "arguments", "after")
     one = results.where("call_id is not null").groupBy("call_id").agg(F.min("content").alias("result"))
-    same = c.where("call_id is not null").groupBy("call_id").agg(F.count(F.lit(1)).alias("copies"), F.min("turn").alias("at"))
+    same = c.where("call_id is not null").groupBy("call_id").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("conv_id").alias("own"), F.max("turn").alias("at"),
+        F.coalesce(F.min("conv_id") == F.max("conv_id"), F.lit(True)).alias("alike"), F.count("conv_id").alias("convs"), F.count("turn").alias("turns"))
+    same = same.withColumn("alike", F.col("alike") & ((F.col("convs") == 0) | (F.col("convs") == F.col("copies")))).drop("convs")
     waits = c.where("call_id is not null").select("conv_id", "turn", "call_id", F.explode("after").alias("after")).where("after is not null")
-    known = waits.join(same.select(F.col("call_id").alias("after"), F.col("at").alias("earlier")), "after", "left")
-    lost = known.where("earlier is null").groupBy("call_id").agg(F.array_join(F.array_sort(F.collect_set("after")), ",").alias("lost"))
-    real = known.where("earlier is not null")
-    backward = real.where(F.coalesce(F.col("earlier") >= F.col("turn"), F.lit(True))).select(F.col("conv_id").alias("_conv")).distinct()
-    # earlier turns only: the level is the turn's own order, told by the turn
-    hard = cut(real.join(backward, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi").select("call_id", "after"), "hard")
-    in_hard = c.join(backward, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi").select("call_id").where("call_id is not null")
+    known = waits.join(same.select(F.col("call_id").alias("after"), "own", F.when(F.col("turns") == F.col("copies"), F.col("at")).alias("earlier"), "alike"), "after", "left")
+    lost = known.where("alike is null").groupBy("call_id").agg(F.array_join(F.array_sort(F.collect_set("after")), ",").alias("lost"))
+    real = known.where("alike is not null")
+    # in one conversation and for earlier turns only: the level is the turn's own order, told by the turn
+    apart = real.where(~F.coalesce(F.col("alike") & F.col("conv_id").eqNullSafe(F.col("own")) & (F.col("earlier") < F.col("turn")), F.lit(False)))
+    # conversations that wait otherwise, those that they wait for, and those with an identifier of another
+    met = c.select("conv_id", "call_id").join(apart.select(F.col("after").alias("call_id")).unionByName(same.where("not alike").select("call_id")).distinct(), "call_id", "left_semi")
+    rounds = cut(apart.select(F.col("conv_id").alias("_conv")).unionByName(met.select(F.col("conv_id").alias("_conv"))).distinct(), "rounds")
+    hard = cut(real.join(rounds, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi").select("call_id", "after"), "hard")
+    in_hard = c.join(rounds, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi").select("call_id").where("call_id is not null")
     levels = _levels(in_hard, hard) if not hard.isEmpty() else hard.select("call_id", F.lit(0).cast("long").alias("level")).limit(0)
     hard_ids = in_hard.distinct().withColumn("by_rounds", F.lit(True))
     rows = c.join(same.select("call_id", "copies"), "call_id", "left").join(one, "call_id", "left").join(lost, "call_id", "left").join(levels, "call_id", "left").join(hard_ids, "call_id", "left")

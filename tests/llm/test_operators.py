@@ -375,6 +375,21 @@ def test_tool_calls(spark):
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
 
 
+def test_tool_calls_wait_across_conversations(spark):
+    calls = spark.createDataFrame([
+        # by rounds, waits for a conversation by turns
+        (1, 5, "a", ["b"]), (1, 6, "b", ["c3"]), (2, 1, "c1", []), (2, 3, "c3", ["c1"]),
+        # an earlier turn of another conversation, with a greater level there
+        (3, 9, "d9", ["d8"]), (3, 8, "d8", []), (4, 10, "e", ["d9"]), (4, 11, "e2", ["e"]),
+        # an identifier that two conversations have
+        (5, 1, "f", []), (6, 7, "f", []), (6, 8, "g", ["f"]),
+        (7, 1, "h1", []), (7, 3, "h3", ["h1"]),
+    ], "conv_id long, turn long, call_id string, after array<string>").selectExpr("*", "'t' as name", "'{}' as arguments")
+    results = spark.createDataFrame([], "call_id string, content string")
+    got = {r.call_id: r.level for r in toolcalls.link_calls(calls, results, {"t": {}}).collect()}
+    assert got == {"c1": 0, "c3": 1, "b": 2, "a": 3, "d8": 0, "d9": 1, "e": 2, "e2": 3, "f": 0, "g": 1, "h1": 1, "h3": 3}
+
+
 # 9
 def brute_components(rows, percent):
     sets = {r.doc_id: shingles(r.text) for r in rows if r.doc_id is not None}
