@@ -355,6 +355,19 @@ def test_chroma_aligns_shifted_recordings(spark):
     assert got[5].class_id == 1 and abs(got[3].offset) == 20 and got[6].n_frames == 0
 
 
+def test_chroma_checks_every_offset_with_votes(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(1, 1 << 32, 60, dtype=np.uint32)
+    b = rng.integers(1, 1 << 32, 60, dtype=np.uint32)
+    # alike at offset 0 in all places but for a bit, and equal in few; more places are equal at offset 30
+    b[:] = a ^ np.uint32(1)
+    b[:4] = a[:4]
+    b[20:28] = a[50:58]
+    prints = [(1, bytearray(a.astype("<u4").tobytes())), (2, bytearray(b.astype("<u4").tobytes()))]
+    got = {r.rec_id: r for r in chroma.align(spark.createDataFrame(prints, "rec_id long, print binary")).collect()}
+    assert got[2].component_id == 1 and got[2].offset == 0 and got[2].match_id == 1
+
+
 # 8
 def test_tool_calls(spark):
     calls = spark.createDataFrame([
