@@ -225,21 +225,77 @@ def test_passages_whose_leader_has_a_part_only(spark, docs):
     assert any(g[0] == n + 1 and g[2] <= 20 and g[3] == 70 for g in got)
 
 
-def test_passages_with_words_put_in(spark, docs):
-    rng = random.Random(17)
-    fresh = lambda n: [f"u{rng.randint(0, 10**9)}" for _ in range(n)]
-    texts = []
-    for i in range(60):
-        exact, p = fresh(55), fresh(52 + i % 12)
-        at = len(p) // 2
-        q = p[:at] + fresh(1) + p[at:] if i % 2 else p[:at] + p[at + 1 :]
-        # an exact passage as well as one with a word put in or left out
-        texts += [" ".join(x) for x in (fresh(20) + exact + fresh(30) + p + fresh(25), fresh(10) + q + fresh(40) + exact + fresh(5))]
-    found = passages.shared_passages(docs(texts)).collect()
-    exact = {r.doc_id for r in found if r.similarity == 1}
-    edited = {r.doc_id for r in found if r.similarity < 1 and r.start_word < 20}
-    assert len(exact) == 60 and len(edited) >= 48
-    assert all(r.similarity >= 0.8 and r.end_word - r.start_word >= 50 and r.source_end - r.source_start >= 50 for r in found)
+def test_exact_repeats_are_covered_whole(spark):
+    """Every word of a stretch of 50 that a smaller doc_id has is in a row of its document, or the document has the stretch earlier."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: words(r.text) for r in d.collect()}
+    covered = defaultdict(set)
+    for r in passages.shared_passages(d).collect():
+        assert r.source_doc_id < r.doc_id
+        if r.similarity == 1:
+            assert texts[r.doc_id][r.start_word : r.end_word] == texts[r.source_doc_id][r.source_start : r.source_end]
+        covered[r.doc_id] |= {i for i in range(r.start_word, r.end_word)}
+    first = {}
+    for i in sorted(texts):
+        seen = set()
+        for j in range(len(texts[i]) - 49):
+            g = tuple(texts[i][j : j + 50])
+            if first.setdefault(g, i) < i and g not in seen:
+                assert covered[i] >= set(range(j, j + 50))
+            seen.add(g)
+
+
+EDITS = ["replace", "insert", "delete"]
+
+
+@pytest.mark.parametrize("n", [50, 60, 80])
+def test_recall_of_edited_passages(spark, docs, n):
+    """Pairs of passages at similarity 0.8 or more in fresh surroundings: nine of ten are found, by edit and length."""
+    rng = random.Random(17 + n)
+    fresh = lambda k: [f"u{rng.randint(0, 10**9)}" for _ in range(k)]
+    texts, of = [], []
+    while len(of) < 360:
+        kind = EDITS[len(of) % 3]
+        p = fresh(n)
+        q = list(p)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            at = rng.randrange(len(q))
+            q[at : at + (kind != "insert")] = [] if kind == "delete" else fresh(1)
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (p, q))
+        if len(x & y) < 0.8 * len(x | y) or min(len(p), len(q)) < 50:
+            if kind == "delete" and n == 50:  # it leaves fewer than 50 words: nothing to find
+                of.append(None)
+            continue
+        texts += [" ".join(t) for t in (fresh(20) + p + fresh(25), fresh(10) + q + fresh(40))]
+        of.append((kind, len(texts) - 1, 10, 10 + len(q)))
+    found = defaultdict(list)
+    for r in passages.shared_passages(docs(texts)).collect():
+        assert r.similarity >= 0.8 and r.end_word - r.start_word >= 50 and r.source_end - r.source_start >= 50
+        found[r.doc_id].append((r.start_word, r.end_word))
+    for kind in EDITS:
+        some = [x for x in of if x and x[0] == kind]
+        hit = [any(min(e, z) - max(s, a) >= 45 for s, e in found[i]) for _, i, a, z in some]
+        assert not some or np.mean(hit) >= 0.9, (kind, np.mean(hit), len(some))
+
+
+def test_periodic_and_repeated_texts(spark, docs):
+    """Texts of one word or one line over and over give few rows, and go whole where a smaller document has the same."""
+    rng = random.Random(18)
+    line = " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(60))
+    d = docs(["lorem " * 400, "lorem " * 900, (line + "\n") * 40, "start " + (line + "\n") * 70, "end " + line])
+    found = passages.shared_passages(d)
+    assert {(r.doc_id, r.source_doc_id) for r in found.collect()} == {(1, 0), (3, 2), (4, 2)} and found.count() < 40
+    left = {r.doc_id: words(r.text) for r in passages.without_passages(d, found).collect()}
+    assert (len(left[0]), left[1], len(left[2]), left[3], left[4]) == (400, [], 2400, ["start"], ["end"])
+
+
+def test_passages_of_odd_columns(spark, docs):
+    d = docs([WORDS[0] + " " + " ".join(f"a{i}" for i in range(60)), " ".join(f"a{i}" for i in range(60)), None, ""]).withColumns({"of": F.lit(1), "_of": F.lit(2), "ranges": F.lit(3), "key": F.lit(4)})
+    found = passages.shared_passages(d)
+    assert [(r.doc_id, r.start_word, r.end_word) for r in found.collect()] == [(1, 0, 60)]
+    out = passages.without_passages(d, found)
+    assert out.columns == d.columns and {r.doc_id: (r.of, r.ranges) for r in out.collect()} == {i: (1, 3) for i in range(4)}
+    assert passages.shared_passages(d.limit(0)).count() == 0 and passages.without_passages(d.limit(0), found).count() == 0
 
 
 def test_runs_are_joined_from_each():
@@ -247,7 +303,7 @@ def test_runs_are_joined_from_each():
     y = x.copy()
     y[22:27] = y[47:52] = 999
     # runs of 22, 20 and 25
-    got = passages.aligned(x, y, np.array([[10, 0, 40, 10, 0, 40]]))
+    got = passages.aligned(x, y, 10, 10)
     assert {g[:2] for g in got} == {(0, 51), (27, 81)}
 
 
