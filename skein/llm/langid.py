@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import keep_rows, unused
 from .textops import Slice, slices
 
 #: At most so many texts of known language are learned from (those with the smallest hashes of their ids).
@@ -132,7 +133,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Centroids | None:
 def sample_counts(docs: DataFrame, sample: int) -> tuple[np.ndarray, list[str]]:
     """(n-gram counts, lang) of at most ``sample`` texts with a letter and a language.
 
-    Only the ids of the sample and then its counts come to the driver.
+    Only the ids of the sample and then its counts come to the driver. Of rows with one doc_id and
+    one language the one with the smallest text counts.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     picked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "lang").limit(sample).select("doc_id", "lang").distinct()
@@ -147,7 +149,8 @@ def sample_counts(docs: DataFrame, sample: int) -> tuple[np.ndarray, list[str]]:
                          pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([x[a].astype("<f4").tobytes() for x, a in zip(g, at, strict=True)], pa.binary())],
                         ["doc_id", "lang", "at", "n"])
 
-    rows = known.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, at binary, n binary")
+    one = known.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = one.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, at binary, n binary")
     rows = rows.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     counts = np.zeros((rows.num_rows, BINS), np.float32)
     for i, (at, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
@@ -155,6 +158,22 @@ def sample_counts(docs: DataFrame, sample: int) -> tuple[np.ndarray, list[str]]:
     return counts, rows["lang"].to_pylist()
 
 
+def _identified(model: Centroids | None, texts: pa.Array, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language, cosine, rejected) of texts."""
+    pred, score, out = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.ones(len(texts), bool)
+    for s in slices(texts) if model is not None else ():
+        at, cos = model.nearest_texts(s)
+        here = np.flatnonzero(letters[s.first : s.first + len(s)])
+        pred[s.first + here] = np.array(model.langs, object)[at[here]]
+        score[s.first + here] = cos[here]
+        out[s.first + here] = cos[here] < model.floors[at[here]]
+    return pred, score, out
+
+
+def _letter(text_col: str):
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, model: Centroids | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every whole text; score is the cosine to the nearest centroid.
 
@@ -165,15 +184,15 @@ def identify(docs: DataFrame, model: Centroids | None, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            letters = np.asarray(b.column(2).to_pylist(), bool)
-            pred, score, out = np.full(b.num_rows, UNKNOWN, object), np.zeros(b.num_rows), np.ones(b.num_rows, bool)
-            for s in slices(b.column(1)) if model is not None else ():
-                at, cos = model.nearest_texts(s)
-                here = np.flatnonzero(letters[s.first : s.first + len(s)])
-                pred[s.first + here] = np.array(model.langs, object)[at[here]]
-                score[s.first + here] = cos[here]
-                out[s.first + here] = cos[here] < model.floors[at[here]]
+            pred, score, out = _identified(model, b.column(1), np.asarray(b.column(2).to_pylist(), bool))
             yield pa.record_batch([b.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(out)], ["doc_id", "lang_pred", "score", "rejected"])
 
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), letter.alias("letter")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _letter(text_col).alias("letter"))
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def keep_known(docs: DataFrame, model: Centroids | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and is near enough to a language. Each row is judged by its own text."""
+    letter = unused(docs, "letter")
+    judged = keep_rows(docs.withColumn(letter, _letter(text_col)), lambda b: pa.array(~_identified(model, b.column(text_col), np.asarray(b.column(letter).to_pylist(), bool))[2]))
+    return judged.drop(letter)

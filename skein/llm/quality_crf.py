@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rules import STOP_WORDS
+from .shared import keep_rows
 from .textops import Slice, mix, slices
 
 #: At most so many labelled documents are learned from (those with the smallest hashes of their ids).
@@ -217,7 +218,8 @@ def train(f: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CrfModel | float:
     """Learn from ``labels`` (doc_id, quality); a constant where there are not both labels.
 
-    Features are made on the executors; the driver gets those of at most ``sample`` documents.
+    Features are made on the executors; the driver gets those of at most ``sample`` documents. Of a
+    doc_id with several rows the one with the smallest text counts, of several labels the largest.
     """
     chosen = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -233,7 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CrfModel |
                     ["doc_id", "quality", "f", "size"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", F.col("quality").cast("int").alias("quality"))), "doc_id")
-    rows = joined.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, f binary, size binary").toArrow().sort_by("doc_id")
+    one = joined.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = one.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, f binary, size binary").toArrow().sort_by("doc_id")
     label = rows["quality"].to_numpy()
     if len(set(label.tolist())) < 2:
         return float(label.mean()) if len(label) else 0.5
@@ -244,6 +247,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CrfModel |
     return train(f, size, np.concatenate(([0], np.cumsum(lengths)[:-1])), label)
 
 
+def _judged(model: CrfModel | float, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(score, bad lines) of texts."""
+    out, bad = np.empty(len(texts)), np.zeros(len(texts), np.int64)
+    for s in slices(texts):
+        here = slice(s.first, s.first + len(s))
+        if isinstance(model, float):
+            out[here] = model
+            continue
+        f, size, first = line_features(s)
+        f = f.astype(np.float32).astype(float)
+        good = model.lines(f, first)
+        m = np.add.reduceat(good * size, first) / np.add.reduceat(size, first)
+        out[here] = 1 / (1 + np.exp(-(model.slope * (m - 0.5) + model.shift)))
+        bad[here] = np.add.reduceat((good < 0.5).astype(np.int64), first)
+    return out, bad
+
+
 def score(docs: DataFrame, model: CrfModel | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, bad_lines) of every whole text; score is the probability of good quality.
 
@@ -253,23 +273,17 @@ def score(docs: DataFrame, model: CrfModel | float, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, bad = np.empty(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for s in slices(b.column(1)):
-                here = slice(s.first, s.first + len(s))
-                if isinstance(model, float):
-                    out[here] = model
-                    continue
-                f, size, first = line_features(s)
-                f = f.astype(np.float32).astype(float)
-                good = model.lines(f, first)
-                m = np.add.reduceat(good * size, first) / np.add.reduceat(size, first)
-                out[here] = 1 / (1 + np.exp(-(model.slope * (m - 0.5) + model.shift)))
-                bad[here] = np.add.reduceat((good < 0.5).astype(np.int64), first)
+            out, bad = _judged(model, b.column(1))
             yield pa.record_batch([b.column(0), pa.array(out), pa.array(bad)], ["doc_id", "score", "bad_lines"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, bad_lines long")
 
 
+def keep_good(docs: DataFrame, model: CrfModel | float, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores ``least`` or more. Each row is judged by its own text, whatever else has its doc_id."""
+    return keep_rows(docs, lambda b: pa.array(_judged(model, b.column(text_col))[0] >= least))
+
+
 def fold(parts: int, id_col: str = "doc_id"):
     """crc32 of the id as text, modulo ``parts``; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts, F.lit(-1))

@@ -61,12 +61,12 @@ def op10_language(spark, sf_dir):
     """Language of every whole text, learned from four folds of five."""
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.where(quality_crf.fold(5) != 0))
-    return langid.identify(docs, model).select("doc_id", (quality_crf.fold(5) == 0).alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, model).select("doc_id", (quality_crf.fold(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 @_query
 def op5_passages(spark, sf_dir):
-    """Passages of 50 or more words that documents share, each with the smallest document that has it."""
+    """Passages of 50 or more words that documents share, each with a smaller document that has it (of equal passages the smallest)."""
     return passages.shared_passages(documents(spark, sf_dir))
 
 

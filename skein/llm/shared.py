@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,5 +41,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def keep_rows(docs: DataFrame, judge: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that ``judge`` says true for; their texts are read where they are, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(judge(b))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
