@@ -11,47 +11,39 @@ from pyspark.sql import functions as F
 
 from skein.llm import langid, packing, passages, quality_crf
 from skein.llm.neardup import near_duplicates
-from skein.llm.shared import cut, documents
+from skein.llm.shared import cut, documents, unused
 
-#: Line labels, centroids, sketches, passages and token ids are beyond SQL; the tests hold each stage against a brute-force version.
+#: Line labels, centroids, sketches, passages and token ids are beyond SQL.
 ORACLE_SQL = None
 
 
-def _kept(docs, verdict):
-    """The rows of ``docs`` whose doc_id is in ``verdict`` (a null id matches null)."""
-    ids = verdict.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi").select(docs.columns)
-
-
 def quality(spark, docs, sf_dir):
     """Documents that the classifier takes for bad go. It learns from the labels of the documents that are there; without labels all stay."""
     model = quality_crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    if isinstance(model, float):
-        return docs
-    return _kept(docs, quality_crf.score(docs, model).where("score >= 0.5"))
+    return docs if isinstance(model, float) else quality_crf.keep_good(docs, model)
 
 
 def language(spark, docs, sf_dir):
     """Documents without a letter or far from every known language go; where no language is known all stay."""
     model = langid.fit(docs)
-    return docs if model is None else _kept(docs, langid.identify(docs, model).where("not rejected"))
+    return docs if model is None else langid.keep_known(docs, model)
 
 
 def minhash(spark, docs, sf_dir):
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
-    return _kept(docs, near_duplicates(docs, 80).where("kept"))
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id. Rows with a null doc_id stay, rows that repeat a doc_id stay or go together."""
+    gone = unused(docs, "gone")
+    ids = near_duplicates(docs, 80).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(ids, docs["doc_id"] == ids[gone], "left_anti")
 
 
 def substring(spark, docs, sf_dir):
     """Passages that a smaller doc_id has too are cut out; n_chars follows the text. Documents of which no word is left go."""
     found = cut(passages.shared_passages(docs), "passages")
-    out = passages.without_passages(docs, found)
-    hit = found.select(F.col("doc_id").alias("_hit")).distinct()
-    out = out.join(hit, out["doc_id"] == hit["_hit"], "left")
-    gone = F.col("_hit").isNotNull() & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    n = F.when(F.col("_hit").isNotNull(), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    out = out.where(~F.coalesce(gone, F.lit(False)))
-    return (out if n is None else out.withColumn("n_chars", n)).select(docs.columns)
+    hit = unused(docs, "hit")
+    out = passages.without_passages(docs.withColumn(hit, F.lit(False)), found, hit_col=hit)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(hit), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return out.where(~F.coalesce(F.col(hit) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select(docs.columns)
 
 
 def pack(spark, docs, sf_dir):
