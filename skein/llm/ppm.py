@@ -1,24 +1,23 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-The model is a trie of byte contexts of up to ORDER bytes, which reach back to the start of the
-word at most (the word's mark is the first of them). A context that has not seen the next byte
-escapes to the next shorter one, and what the longer context has seen is excluded there. How likely an
-escape is, is estimated from all contexts of the same order with about as many bytes seen (n) and
-about as many different ones (d): each training byte is left out once, and it counts whether the rest
-of its context has it; d / (n + d) is the estimate where there is little to count. The code length of
-a word then
-depends on the word alone, so each different word is scored once and a document's score is the sum
-over its words and its end.
-
-There is one trie for each of a few clusters of like texts (by the n-grams of a sample: languages,
-mostly), a document is coded by that of its nearest cluster, and naming the cluster costs it one
-choice of so many.
-
-Counting is distributed: a task gives the words of its documents, by cluster, numbers of its own (a *part*, of
-bounded size) and each document becomes a bag of these; words are counted across parts, and what a
-word costs goes back to the parts that have it. No table of words reaches the driver or a
-broadcast. The trie's counts do, after a check of their number; where they are too many the order
-is lowered, down to two, which 2**24 counts bound.
+A text is its lower-cased words with one space between them and an end. The model is a trie of byte
+contexts: the ORDER bytes before a byte, over words' borders, and before a text's start as many ends.
+A context that has not seen the next byte escapes to the next shorter one, and what the longer context
+has seen is excluded there. How likely an escape is, is estimated from all contexts of the same order
+with about as many bytes seen (n) and about as many different ones (d): each training byte is left out
+once, and it counts whether the rest of its context has it; d / (n + d) is the estimate where there is
+little to count.
+
+The code length of a byte depends on it and the ORDER bytes before it, so each different string of
+ORDER + 1 bytes is costed once and a document's score is the sum over its places. Strings are counted
+by Spark. The trie is split by the last three bytes of the contexts: all contexts of three bytes or
+more that escape to one another are in one part, the shorter ones (2**24 at most) are in all. What
+strings cost is sent to the executors, in as many passes over the texts as its size asks for; order
+and scores are the same at any size.
+
+The base score needs the counts of words. A task gives the words of its documents numbers of its own
+(a *part*, of bounded size) and each document becomes a bag of these; words are counted across parts,
+and the counts go back to the parts that have them. No table of words reaches the driver or a broadcast.
 """
 
 from __future__ import annotations
@@ -34,104 +33,73 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .langid import Centroids, sample_counts
 from .shared import cut
-from .textops import mix, slices
-
-ORDER = 4
-CLUSTERS = 6
-#: The texts that clusters are learned from at most (those with the smallest hashes of their ids).
-SAMPLE = 2000
-#: The trie's counts that are sent to executors at most (16 bytes each on the way, about 40 in a worker).
-MOST_COUNTS = 4_000_000
+from .textops import Slice, slices
+
+ORDER = 5
+#: Costs of strings that are sent to the executors at once (12 bytes each, 48 in a worker); more take more passes.
+MOST_SENT = 4_000_000
+#: Strings in one part of the trie, about.
+PART_STRINGS = 200_000
 PART_WORDS = 400_000
-MARK, END = 0x20, b"\n"
+MARK, END = 0x20, 0x0A
 _CLASSES, _PRIOR = 8 * 40 * 24, 20.0
 
-_ROWS = "part long, doc_id long, held_out boolean, n_tokens long, bag binary, word binary, cluster int, number int, train long"
-
-
-def clusters(docs: DataFrame, k: int = CLUSTERS, sample: int = SAMPLE) -> Centroids | None:
-    """Spherical k-means over n-grams of a sample of ``docs``: the best of several starts; None without texts."""
-    counts, some = sample_counts(docs.select("doc_id", "text", F.lit("all").alias("lang")), sample)
-    if not some:
-        return None
-    model = Centroids((np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32), np.zeros((0, counts.shape[1]), np.float32), [], np.zeros(0))
-    v = model.weigh(counts)
-    rng = np.random.default_rng(1)
-    best, won = -1.0, v[:1]
-    for _ in range(6):
-        c = v[rng.choice(len(v), min(k, len(v)), replace=False)]
-        for _ in range(10):
-            own = (v @ c.T).argmax(1)
-            c = np.stack([v[own == j].sum(0) if (own == j).any() else c[j] for j in range(len(c))])
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        fit = float((v @ c.T).max(1).sum())
-        if fit > best:
-            best, won = fit, c
-    model.vectors = won.astype(np.float32)
-    return model
-
-
-def _bags(model: Centroids | None):
-    """Rows of documents (their words' numbers and how often) and rows of each part's words."""
+_ROWS = "part long, doc_id long, digest long, held_out boolean, n_tokens long, bag binary, word binary, number int, train long"
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows doc_id, text, held_out, digest -> rows of documents (their words' numbers and how often) and rows of each part's words."""
     names = [x.split()[0] for x in _ROWS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
-    many = 1 if model is None else len(model.vectors)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
 
     def rows(**cols: pa.Array) -> pa.RecordBatch:
         n = len(next(iter(cols.values())))
         return pa.record_batch([cols.get(c, pa.nulls(n, k)) for c, k in zip(names, kinds, strict=True)], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 24
-        salt = mix(np.arange(1, many + 1, dtype=np.uint64))
-
-        def fresh() -> tuple[dict[int, int], list[bytes], list[int], np.ndarray]:
-            return {}, [END] * many, list(range(many)), np.zeros(1 << 16, np.int64)
-
-        number, words, of, train = fresh()
-
-        def flush() -> pa.RecordBatch:
-            return rows(part=pa.array(np.full(len(words), part, np.int64)), word=pa.array(words, pa.binary()), cluster=pa.array(of, pa.int32()), number=pa.array(np.arange(len(words), dtype=np.int32)), train=pa.array(train[: len(words)].copy()))
-
-        for batch in batches:
-            held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for s in slices(batch.column(1)):
-                per = np.diff(s.word_ranges)
-                cluster = np.zeros(len(s), np.int64) if model is None else model.nearest_texts(s)[0]
-                doc = np.repeat(np.arange(len(s)), per)
-                uniq, at, inverse = np.unique(s.word_hashes ^ salt[cluster[doc]], return_index=True, return_inverse=True)
-                ids = np.empty(len(uniq), np.int64)
-                data, starts, ends, own = s.bytes_.tobytes(), s.word_starts[at].tolist(), s.word_ends[at].tolist(), cluster[doc[at]].tolist()
-                for i, h in enumerate(uniq.tolist()):
-                    k = number.get(h)
-                    if k is None:
-                        k = number[h] = len(words)
-                        words.append(data[starts[i] : ends[i]])
-                        of.append(own[i])
-                    ids[i] = k
-                if len(words) > len(train):
-                    train = np.concatenate((train, np.zeros(max(len(train), len(words)), np.int64)))
-                here = held[s.first : s.first + len(s)]
-                # the end of each document is a word too, numbered by its cluster
-                used, tf = np.unique(np.concatenate((doc << 32 | ids[inverse], np.arange(len(s)) << 32 | cluster)), return_counts=True)
-                number_of, doc_of = used & 0xFFFFFFFF, used >> 32
-                np.add.at(train, number_of[~here[doc_of]], tf[~here[doc_of]])
-                cuts = np.searchsorted(doc_of, np.arange(len(s) + 1))
-                bags = []
-                for i in range(len(s)):
-                    a, b = cuts[i], cuts[i + 1]
-                    step = np.diff(number_of[a:b], prepend=0)
-                    bags.append(zlib.compress(np.concatenate((step, tf[a:b])).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
-                yield rows(part=pa.array(np.full(len(s), part, np.int64)), doc_id=batch.column(0).slice(s.first, len(s)), held_out=pa.array(here), n_tokens=pa.array(per.astype(np.int64) + 1), bag=pa.array(bags, pa.binary()))
-                if len(words) >= PART_WORDS:
-                    yield flush()
-                    part += 1
-                    number, words, of, train = fresh()
-        yield flush()
-
-    return run
+    part = TaskContext.get().partitionId() << 24
+
+    def fresh() -> tuple[dict[int, int], list[bytes], np.ndarray]:
+        return {}, [bytes([END])], np.zeros(1 << 16, np.int64)
+
+    number, words, train = fresh()
+
+    def flush() -> pa.RecordBatch:
+        return rows(part=pa.array(np.full(len(words), part, np.int64)), word=pa.array(words, pa.binary()), number=pa.array(np.arange(len(words), dtype=np.int32)), train=pa.array(train[: len(words)].copy()))
+
+    for batch in batches:
+        held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        for s in slices(batch.column(1)):
+            per = np.diff(s.word_ranges)
+            doc = np.repeat(np.arange(len(s)), per)
+            uniq, at, inverse = np.unique(s.word_hashes, return_index=True, return_inverse=True)
+            ids = np.empty(len(uniq), np.int64)
+            data, starts, ends = s.bytes_.tobytes(), s.word_starts[at].tolist(), s.word_ends[at].tolist()
+            for i, h in enumerate(uniq.tolist()):
+                k = number.get(h)
+                if k is None:
+                    k = number[h] = len(words)
+                    words.append(data[starts[i] : ends[i]])
+                ids[i] = k
+            if len(words) > len(train):
+                train = np.concatenate((train, np.zeros(max(len(train), len(words)), np.int64)))
+            here = held[s.first : s.first + len(s)]
+            # the end of each document is a word too, number 0
+            used, tf = np.unique(np.concatenate((doc << 32 | ids[inverse], np.arange(len(s)) << 32)), return_counts=True)
+            number_of, doc_of = used & 0xFFFFFFFF, used >> 32
+            np.add.at(train, number_of[~here[doc_of]], tf[~here[doc_of]])
+            cuts = np.searchsorted(doc_of, np.arange(len(s) + 1))
+            bags = []
+            for i in range(len(s)):
+                a, b = cuts[i], cuts[i + 1]
+                step = np.diff(number_of[a:b], prepend=0)
+                bags.append(zlib.compress(np.concatenate((step, tf[a:b])).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
+            yield rows(part=pa.array(np.full(len(s), part, np.int64)), doc_id=batch.column(0).slice(s.first, len(s)), digest=batch.column(3).slice(s.first, len(s)), held_out=pa.array(here), n_tokens=pa.array(per.astype(np.int64) + 1), bag=pa.array(bags, pa.binary()))
+            if len(words) >= PART_WORDS:
+                yield flush()
+                part += 1
+                number, words, train = fresh()
+    yield flush()
 
 
 def _unbag(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -140,77 +108,106 @@ def _unbag(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(x[:k]), x[k:]
 
 
-def _laid_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes of mark + word + mark for each, index of the word, place in the word); the end has no mark after it."""
-    parts = [b" \n" if w == END else b" " + w + b" " for w in words]
-    size = np.array([len(p) for p in parts], np.int64)
-    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
-    word = np.repeat(np.arange(len(parts)), size)
-    return data, word, np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
-
-
-def _codes(data: np.ndarray, at: np.ndarray, order: int, cluster: np.ndarray) -> np.ndarray:
-    """(cluster, order, context, symbol) at places as one number, the symbol in the low byte."""
-    code = cluster.astype(np.uint64) << np.uint64(59) | np.uint64(order) << np.uint64(56)
-    for j in range(order + 1):
-        code |= data[at - j] << np.uint64(8 * j)
+def laid_out(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, where each begins and the last one ends): words with one space between them, and an end."""
+    starts, ends, ranges = s.word_starts, s.word_ends, s.word_ranges
+    per = np.diff(ranges)
+    # a text without words is one of no length, and its end
+    items = np.maximum(per, 1)
+    first = np.cumsum(items) - items
+    size, begin = np.ones(items.sum(), np.int64), np.zeros(items.sum(), np.int64)
+    doc = np.repeat(np.arange(len(s)), per)
+    at = first[doc] + np.arange(len(starts)) - ranges[doc]
+    size[at] += ends - starts
+    begin[at] = starts
+    stop = np.cumsum(size)
+    source = np.repeat(begin - (stop - size), size) + np.arange(size.sum())
+    data = np.append(s.bytes_, np.uint8(0))[np.minimum(source, len(s.bytes_))]
+    data[stop - 1] = MARK
+    last = stop[first + items - 1]
+    data[last - 1] = END
+    return data, np.concatenate((np.zeros(1, np.int64), last))
+
+
+def strings(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
+    """Each place's byte (low) and the ``order`` bytes before it, as one number."""
+    n = np.diff(offsets)
+    to = np.arange(len(data)) + np.repeat(np.arange(1, len(n) + 1) * order, n)
+    wide = np.full(len(data) + order * len(n), END, np.uint64)
+    wide[to] = data
+    code = wide[to]
+    for j in range(1, order + 1):
+        code |= wide[to - j] << np.uint64(8 * j)
     return code
 
 
-def _by_cluster(places: pa.ListArray, many: int) -> np.ndarray:
-    """Training counts of each word in each cluster, from the words' places."""
-    own = np.repeat(np.arange(len(places)), pc.list_value_length(places).to_numpy())
-    flat = places.flatten()
-    return np.bincount(own * many + flat.field("cluster").to_numpy(), weights=flat.field("train").to_numpy(), minlength=len(places) * many).reshape(-1, many)
-
+def _count(order: int, most: int = 1 << 20):
+    """Rows doc_id, text, held_out -> strings and how often training has them."""
 
-def _count(order: int, many: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts = _by_cluster(b.column(1), many)
-            row, cluster = np.nonzero(counts)
-            all_ = b.column(0).to_pylist()
-            data, word, place = _laid_out([all_[i] for i in row.tolist()])
-            weight = counts[row, cluster]
-            for k in range(order + 1):
-                at = np.flatnonzero((place >= 1) & (place >= k))
-                code, inverse = np.unique(_codes(data, at, k, cluster[word[at]]), return_inverse=True)
-                n = np.bincount(inverse, weights=weight[word[at]]).astype(np.int64) if len(code) else np.zeros(0, np.int64)
-                yield pa.record_batch([pa.array(code.view(np.int64)), pa.array(n)], ["code", "n"])
+        codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            learn = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for s in slices(batch.column(1), most=1 << 21):
+                data, offsets = laid_out(s)
+                code = strings(data, offsets, order)
+                mine = np.repeat(learn[s.first : s.first + len(s)], np.diff(offsets))
+                code = code << np.uint64(1) | mine
+                code.sort()
+                string = code >> np.uint64(1)
+                new = np.flatnonzero(np.concatenate(([True], string[1:] != string[:-1])))
+                n = np.add.reduceat((code & np.uint64(1)).astype(np.int64), new)
+                codes, counts = _merged(np.concatenate((codes, string[new])), np.concatenate((counts, n)))
+                if len(codes) >= most:
+                    yield pa.record_batch([pa.array(codes.view(np.int64)), pa.array(counts)], ["code", "n"])
+                    codes, counts = codes[:0], counts[:0]
+        if len(codes):
+            yield pa.record_batch([pa.array(codes.view(np.int64)), pa.array(counts)], ["code", "n"])
 
     return run
 
 
+def _merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each code once, sorted, with the sum of its counts."""
+    by = np.argsort(codes, kind="stable")
+    codes, counts = codes[by], counts[by]
+    new = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
+    return codes[new], np.add.reduceat(counts, new) if len(new) else counts
+
+
+def _of_order(code: np.ndarray, k: int) -> np.ndarray:
+    """The order, and of each string the last k bytes before its last one."""
+    return code & np.uint64((1 << 8 * (k + 1)) - 1) | np.uint64(k << 56)
+
+
 class Trie:
-    """Counts of (context, symbol) for all orders, as sorted arrays."""
+    """Counts of (context, byte) of several orders, as sorted arrays."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(codes, kind="stable") if (codes[1:] < codes[:-1]).any() else slice(None)
-        self.codes, self.counts = codes[order], counts[order].astype(np.float32, copy=False)
+        self.codes, self.counts = codes, counts.astype(np.float64)
         context = self.codes >> np.uint64(8)
         first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, np.int64)
         self.contexts = context[first]
+        self.order_of = (self.contexts >> np.uint64(48)).astype(np.int64)
         self.context_of = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.concatenate((first, [len(context)]))))
         self.n = np.bincount(self.context_of, weights=self.counts, minlength=len(first))
         self.d = np.bincount(self.context_of, minlength=len(first)).astype(float)
-        # what a context's symbols amount to in the next shorter context
-        self.excluded = np.zeros(len(first), np.float64)
-        for at in range(0, len(self.codes), 1 << 18):
-            own = self.codes[at : at + (1 << 18)]
-            k = own >> np.uint64(56) & np.uint64(7)
-            low = np.uint64(8) * k
-            shorter = own >> np.uint64(59) << np.uint64(59) | (own & ((np.uint64(1) << low) - np.uint64(1))) | ((k - np.uint64(1)) << np.uint64(56))
-            found, pair = self._find(self.codes, np.where(k > 0, shorter, np.uint64(0)))
-            np.add.at(self.excluded, self.context_of[at : at + len(own)], np.where((k > 0) & found, self.counts[pair], 0))
-        self.top = self.order
-        once = np.bincount(self.context_of, weights=self.counts == 1, minlength=len(first))
-        order_of = (self.contexts >> np.uint64(48) & np.uint64(7)).astype(np.int64)
+        # what a context's bytes amount to in the next shorter context
+        k = self.codes >> np.uint64(56)
+        shorter = np.where(k > 0, self.codes & ((np.uint64(1) << np.uint64(8) * k) - np.uint64(1)) | (k - np.uint64(1)) << np.uint64(56), np.uint64(0))
+        found, pair = self._find(self.codes, shorter)
+        self.excluded = np.bincount(self.context_of, weights=np.where((k > 0) & found, self.counts[pair] if len(pair) else 0, 0), minlength=len(first))
+        self.novel, self.total = np.zeros(_CLASSES), np.zeros(_CLASSES)
+
+    def leave_out(self, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """By class, of contexts of these orders: training bytes that the rest of their context has not, and all."""
         novel, total = np.zeros(_CLASSES), np.zeros(_CLASSES)
-        new, old = self._class(order_of, self.n - 1, self.d - 1), self._class(order_of, self.n - 1, self.d)
-        some = self.n > 1
+        once = np.bincount(self.context_of, weights=self.counts == 1, minlength=len(self.n))
+        some = (self.n > 1) & (self.order_of >= least) & (self.order_of <= most)
+        new, old = self._class(self.order_of, self.n - 1, self.d - 1), self._class(self.order_of, self.n - 1, self.d)
         for at, seen, w in ((new, novel, once), (new, total, once), (old, total, self.n - once)):
             np.add.at(seen, at[some], w[some])
-        self.novel, self.total = novel, total
+        return novel, total
 
     @staticmethod
     def _class(order: np.ndarray, n: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -231,27 +228,19 @@ class Trie:
         at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
         return table[at] == keys, at
 
-    @property
-    def order(self) -> int:
-        return int((self.codes >> np.uint64(56) & np.uint64(7)).max()) if len(self.codes) else 0
-
-    def word_scores(self, words: list[bytes], cluster: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each word in its cluster."""
-        data, word, place = _laid_out(words)
-        total = np.zeros(len(words))
-        open_ = np.flatnonzero(place >= 1)
-        above = np.full(len(open_), -1)  # the context escaped from
-        logp = np.zeros(len(open_))
-        rest = np.arange(len(open_))
-        for k in range(self.top, -1, -1):
-            go = rest[place[open_[rest]] >= k]
-            code = _codes(data, open_[go], k, cluster[word[open_[go]]])
-            hit, pair = self._find(self.codes, code)
-            known, node = hit.copy(), np.zeros(len(go), np.int64)
+    def costs(self, code: np.ndarray, order: int) -> np.ndarray:
+        """log10 of the probability of each string's last byte after the others."""
+        above = np.full(len(code), -1)  # the context escaped from
+        logp = np.zeros(len(code))
+        rest = np.arange(len(code))
+        for k in range(order, -1, -1):
+            own = _of_order(code[rest], k)
+            hit, pair = self._find(self.codes, own)
+            known, node = hit.copy(), np.zeros(len(rest), np.int64)
             node[hit] = self.context_of[pair[hit]]
             miss = np.flatnonzero(~hit)
-            known[miss], node[miss] = self._find(self.contexts, code[miss] >> np.uint64(8))
-            go, node, hit, pair = go[known], node[known], hit[known], pair[known]
+            known[miss], node[miss] = self._find(self.contexts, own[miss] >> np.uint64(8))
+            go, node, hit, pair = rest[known], node[known], hit[known], pair[known]
             up = above[go]
             n = self.n[node] - np.where(up >= 0, self.excluded[up], 0) if len(go) else np.zeros(0)
             d = self.d[node] - np.where(up >= 0, self.d[up], 0) if len(go) else np.zeros(0)
@@ -260,88 +249,155 @@ class Trie:
             logp[go[some & hit]] += np.log10((1 - e[some & hit]) * self.counts[pair[some & hit]] / n[some & hit])
             logp[go[some & ~hit]] += np.log10(e[some & ~hit])
             above[go[~hit]] = node[~hit]
-            done = np.zeros(len(open_), bool)
+            done = np.zeros(len(code), bool)
             done[go[hit]] = True
             rest = rest[~done[rest]]
-        # none has seen it: all symbols that are not excluded are alike
+        # none has seen it: all bytes that are not excluded are alike
         up = above[rest]
         logp[rest] -= np.log10(np.maximum(257 - np.where(up >= 0, self.d[up] if len(self.d) else 0, 0), 1))
-        np.add.at(total, word[open_], logp)
-        return total
-
-
-def train(words: DataFrame, many: int, order: int = ORDER, most: int = MOST_COUNTS) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the tries of ``words`` (word, c, places); of a lower order if there are more than ``most`` counts."""
-    if not 2 <= order <= 6:
-        raise ValueError("the order is from 2 to 6")
-    counts = cut(words.where("c > 0").select("word", "places").mapInArrow(_count(order, many), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "trie")
-    sizes = {r.k: r.c for r in counts.groupBy(F.shiftright("code", 56).bitwiseAND(7).alias("k")).agg(F.count(F.lit(1)).alias("c")).collect()}
-    while order > 2 and sum(c for k, c in sizes.items() if k <= order) > most:
-        order -= 1
-    rows = counts.where(F.shiftright("code", 56).bitwiseAND(7) <= order).toArrow()
-    codes = rows.column("code").to_numpy().view(np.uint64)
-    by = np.argsort(codes, kind="stable")
-    return codes[by], rows.column("n").to_numpy()[by].astype(np.float32)
-
-
-_built: dict[int, Trie] = {}
-
-
-def _trie(key: int, codes: np.ndarray, counts: np.ndarray) -> Trie:
-    """The trie of a broadcast, once in each Python worker."""
-    if key not in _built:
-        _built.clear()
-        _built[key] = Trie(codes, counts)
-    return _built[key]
-
-
-def score(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        return logp
+
+
+def string_costs(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """(code, cost): log10 of the probability of the last byte of every string in ``rows`` (doc_id, text, held_out), learned from those not held out."""
+    if not 3 <= order <= 6:
+        raise ValueError("the order is from 3 to 6")
+    counts = cut(rows.mapInArrow(_count(order), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "strings")
+    many = counts.count()
+    short = counts.where("n > 0").groupBy(F.col("code").bitwiseAND((1 << 24) - 1).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    code, n = short.column("code").to_numpy().view(np.uint64), short.column("n").to_numpy()
+    levels = [_merged(_of_order(code, k), n) for k in range(3)]
+    low, low_n = (np.concatenate(x) for x in zip(*levels, strict=True))
+    parts = max(1, -(-many // PART_STRINGS))
+    # contexts with the same last three bytes stay together
+    dealt = counts.withColumn("part", F.pmod(F.xxhash64(F.shiftright("code", 8).bitwiseAND((1 << 24) - 1)), F.lit(parts)).cast("int"))
+
+    def trie(t: pa.Table) -> tuple[Trie, np.ndarray]:
+        code, n = t.column("code").to_numpy().view(np.uint64), t.column("n").to_numpy()
+        seen, own = code[n > 0], n[n > 0]
+        levels = [_merged(_of_order(seen, k), own) for k in range(3, order + 1)]
+        return Trie(np.concatenate((low, *(c for c, _ in levels))), np.concatenate((low_n, *(m for _, m in levels)))), code
+
+    def left_out(t: pa.Table) -> pa.Table:
+        novel, total = trie(t)[0].leave_out(3, order)
+        at = np.flatnonzero(total)
+        return pa.table({"class": pa.array(at.astype(np.int32)), "novel": pa.array(novel[at]), "total": pa.array(total[at])})
+
+    classes = dealt.groupBy("part").applyInArrow(left_out, "class int, novel double, total double").groupBy("class").agg(F.sum("novel").alias("novel"), F.sum("total").alias("total")).toArrow()
+    novel, total = Trie(low, low_n).leave_out(0, 2)
+    at = classes.column("class").to_numpy()
+    novel[at] += classes.column("novel").to_numpy()
+    total[at] += classes.column("total").to_numpy()
+
+    def cost(t: pa.Table) -> pa.Table:
+        own, code = trie(t)
+        own.novel, own.total = novel, total
+        return pa.table({"code": pa.array(code.view(np.int64)), "cost": pa.array(own.costs(code, order))})
+
+    return cut(dealt.groupBy("part").applyInArrow(cost, "code long, cost double"), "costs")
+
+
+class Lookup:
+    """Costs by string in an open table of twice as many slots or more; 0 for a string that it does not have."""
+
+    def __init__(self, codes: np.ndarray, costs: np.ndarray) -> None:
+        self.bits = max(4, (2 * len(codes)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64).view(np.uint64), np.zeros(1 << self.bits)
+        self.probes = 0
+        rest = np.arange(len(codes))
+        while len(rest):
+            slot = self._slot(codes[rest], self.probes)
+            free = self.keys[slot] == ~np.uint64(0)
+            self.keys[slot[free]] = codes[rest[free]]
+            won = self.keys[slot] == codes[rest]
+            self.values[slot[won]] = costs[rest[won]]
+            rest = rest[~won]
+            self.probes += 1
+
+    def _slot(self, codes: np.ndarray, probe: int) -> np.ndarray:
+        return ((codes + np.uint64(probe << 57)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(codes))
+        rest = np.arange(len(codes))
+        for probe in range(self.probes):
+            slot = self._slot(codes[rest], probe)
+            key = self.keys[slot]
+            hit = key == codes[rest]
+            out[rest[hit]] = self.values[slot[hit]]
+            rest = rest[~hit & (key != ~np.uint64(0))]
+            if not len(rest):
+                break
+        return out
+
+
+_tables: dict[int, Lookup] = {}
+
+
+def _lookup(key: int, sent) -> Lookup:  # noqa: ANN001
+    """The table of a broadcast, once in each Python worker."""
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = Lookup(*sent.value)
+    return _tables[key]
+
+
+def _summed(rows: DataFrame, costs: DataFrame, order: int, most: int) -> DataFrame:
+    """(doc_id, digest, score) of each different row: the costs of its strings, in as many passes as their number asks for."""
+    passes = max(1, -(-costs.count() // most))
+    out = None
+    for i in range(passes):
+        some = costs.where(F.pmod(F.xxhash64("code"), F.lit(passes)) == i).toArrow()
+        sent = rows.sparkSession.sparkContext.broadcast((some.column("code").to_numpy().view(np.uint64), some.column("cost").to_numpy()))
+        key = hash(uuid.uuid4())
+
+        def run(batches: Iterator[pa.RecordBatch], key: int = key, sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            table = _lookup(key, sent)
+            for b in batches:
+                got = np.zeros(b.num_rows)
+                for s in slices(b.column(1)):
+                    data, offsets = laid_out(s)
+                    got[s.first : s.first + len(s)] = np.add.reduceat(table(strings(data, offsets, order)), offsets[:-1])
+                yield pa.record_batch([b.column(0), b.column(3), pa.array(got)], ["doc_id", "digest", "score"])
+
+        one = rows.mapInArrow(run, "doc_id long, digest long, score double").groupBy("doc_id", "digest").agg(F.min("score").alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out if passes == 1 else out.groupBy("doc_id", "digest").agg(F.sum("score").alias("score"))
+
+
+def score(docs: DataFrame, held_out, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_SENT) -> DataFrame:
     """Score every whole text by models of those that are not ``held_out`` (a Boolean column).
 
     Tokens are lower-cased words and one end per document. Gives doc_id, held_out, n_tokens, n_known
     (tokens that training has), train_tokens, base_score (log10 probability by single tokens with
     0.5 added to each count) and score (by the trie). A null or empty text has its end alone. Rows
     that repeat are scored each, and learned from each; an empty table gives no rows; a null
-    ``held_out`` counts as true; other columns are ignored.
+    ``held_out`` counts as true; other columns are ignored. ``most`` costs of strings are sent to the
+    executors at once.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    model = clusters(rows.where("not held_out"))
-    many = 1 if model is None else len(model.vectors)
-    bags = cut(rows.mapInArrow(_bags(model), _ROWS), "bags")
-    words = bags.where("word is not null").groupBy("word").agg(F.sum("train").alias("c"), F.collect_list(F.struct("part", "number", "cluster", "train")).alias("places"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("digest"))
+    bags = cut(rows.mapInArrow(_bags, _ROWS), "bags")
+    words = bags.where("word is not null").groupBy("word").agg(F.sum("train").alias("c"), F.collect_list(F.struct("part", "number")).alias("places"))
     words = cut(words, "words")
     n, v = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    sent = docs.sparkSession.sparkContext.broadcast(train(words, many, order))
-    key = hash(uuid.uuid4())
-
-    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _trie(key, *sent.value)
-        for b in batches:
-            places = b.column(2)
-            own = np.repeat(np.arange(b.num_rows), pc.list_value_length(places).to_numpy())
-            flat = places.flatten()
-            # each word once for each cluster that has it
-            pair, at = np.unique(own * many + flat.field("cluster").to_numpy(), return_inverse=True)
-            all_ = b.column(0).to_pylist()
-            logp = t.word_scores([all_[i] for i in (pair // many).tolist()], pair % many)
-            yield pa.record_batch([flat.field("part"), flat.field("number"), pa.array(b.column(1).to_numpy()[own]), pa.array(logp[at])], ["part", "number", "c", "logp"])
-
-    costs = words.select("word", "c", "places").mapInArrow(cost, "part long, number int, c long, logp double")
-    base_of, name_of = np.log10(n + 0.5 * (v + 1)), -np.log10(many)
+    known = words.select("c", F.explode("places").alias("p")).select("p.part", "p.number", "c")
+    base_of = np.log10(n + 0.5 * (v + 1))
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         number = right.column("number").to_numpy()
-        c, logp = np.zeros(len(number), np.int64), np.zeros(len(number))
-        c[number], logp[number] = right.column("c").to_numpy(), right.column("logp").to_numpy()
+        c = np.zeros(len(number), np.int64)
+        c[number] = right.column("c").to_numpy()
         base = np.log10(c + 0.5) - base_of
-        known, b, s = [], [], []
+        known, b = [], []
         for bag in left.column("bag").to_pylist():
             at, tf = _unbag(bag)
             known.append(int(tf[c[at] > 0].sum()))
             b.append(float((tf * base[at]).sum()))
-            s.append(float((tf * logp[at]).sum() + name_of))
-        return pa.table([left.column("doc_id"), left.column("held_out"), left.column("n_tokens"), pa.array(known, pa.int64()), pa.array(np.full(len(known), n, np.int64)), pa.array(b, pa.float64()), pa.array(s, pa.float64())],
-                        names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    texts = bags.where("bag is not null").select("part", "doc_id", "held_out", "n_tokens", "bag")
-    return texts.groupBy("part").cogroup(costs.groupBy("part")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return pa.table([*(left.column(x) for x in ("doc_id", "digest", "held_out", "n_tokens")), pa.array(known, pa.int64()), pa.array(np.full(len(known), n, np.int64)), pa.array(b, pa.float64())],
+                        names=["doc_id", "digest", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"])
+
+    texts = bags.where("bag is not null").select("part", "doc_id", "digest", "held_out", "n_tokens", "bag")
+    based = texts.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(add_up, "doc_id long, digest long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double")
+    scored = _summed(rows, string_costs(rows.select("doc_id", "text", "held_out"), order), order, most).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "score")
+    out = based.join(scored, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

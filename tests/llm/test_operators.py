@@ -308,28 +308,31 @@ def test_runs_are_joined_from_each():
 
 
 # 6
-def naive_counts(training, order):
-    """Counts of bytes by context, for one cluster."""
+def as_bytes(text, order):
+    return b"\n" * order + " ".join(words(text)).encode() + b"\n"
+
+
+def naive_counts(texts, order):
+    """Counts of bytes by context."""
     counts = defaultdict(Counter)
-    for w, c in training.items():
-        s = (" \n" if w == "\n" else f" {w} ").encode()
-        for i in range(1, len(s)):
-            for k in range(min(order, i) + 1):
-                counts[s[i - k : i]][s[i]] += c
+    for t in texts:
+        s = as_bytes(t, order)
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                counts[s[i - k : i]][s[i]] += 1
     return counts
 
 
-def naive_escapes(all_counts):
-    """Left out once, does the rest of its context have a byte? By order and sizes, over all clusters."""
+def naive_escape(counts):
+    """Left out once, does the rest of its context have a byte? By order and sizes."""
     novel, total = Counter(), Counter()
-    for counts in all_counts:
-        for context, c in counts.items():
-            n, d = sum(c.values()), len(c)
-            for m in c.values():
-                if n > 1:
-                    at = int(ppm.Trie._class(len(context), np.array(n - 1), np.array(d - (m == 1))))
-                    total[at] += m
-                    novel[at] += m == 1 and 1
+    for context, c in counts.items():
+        n, d = sum(c.values()), len(c)
+        for m in c.values():
+            if n > 1:
+                at = int(ppm.Trie._class(len(context), np.array(n - 1), np.array(d - (m == 1))))
+                total[at] += m
+                novel[at] += m == 1 and 1
 
     def escape(order, n, d):
         at = int(ppm.Trie._class(order, np.array(n), np.array(d)))
@@ -338,11 +341,11 @@ def naive_escapes(all_counts):
     return escape
 
 
-def naive_ppm(counts, escape, word, order):
-    total, s = 0.0, (" \n" if word == "\n" else f" {word} ").encode()
-    for i in range(1, len(s)):
+def naive_ppm(counts, escape, text, order):
+    total, s = 0.0, as_bytes(text, order)
+    for i in range(order, len(s)):
         out: set = set()
-        for k in range(min(order, i), -1, -1):
+        for k in range(order, -1, -1):
             c = counts.get(s[i - k : i])
             if not c:
                 continue
@@ -361,27 +364,18 @@ def naive_ppm(counts, escape, word, order):
     return total
 
 
-@pytest.mark.parametrize("many", [1, 3])
-def test_ppm_equals_a_plain_one(spark, odd, docs, monkeypatch, many):
-    import pyarrow as pa
-
+@pytest.mark.parametrize("order,most,part", [(3, 10**6, 10**6), (5, 10**6, 100), (5, 500, 10**6)])
+def test_ppm_equals_a_plain_one(spark, odd, docs, monkeypatch, order, most, part):
+    """Whatever the parts of the trie and the passes over the texts."""
+    monkeypatch.setattr(ppm, "PART_STRINGS", part)
     rng = random.Random(8)
-    made = ppm.clusters
-    monkeypatch.setattr(ppm, "clusters", lambda d: made(d, many))
     d = docs([prose(rng, 40) for _ in range(12)] + [" ".join(f"{rng.choice('xyz')}{rng.randint(0, 99)}" for _ in range(30)) for _ in range(8)], 100).unionByName(odd.where("length(text) < 1000 or text is null"))
     rows = d.collect()
-    learn = lambda r: r.doc_id is not None and r.doc_id % 3 != 1
-    model = made(d.where("doc_id % 3 <> 1"), many)
-    home = {}
-    for r in rows:
-        home[r.doc_id] = int(model.nearest_texts(next(slices(pa.array([r.text], pa.string()))))[0][0])
-    got = ppm.score(d, F.col("doc_id") % 3 == 1, 4).collect()
-    training, own = Counter(), defaultdict(Counter)
-    for r in filter(learn, rows):
-        training.update([*words(r.text), "\n"])
-        own[home[r.doc_id]].update([*words(r.text), "\n"])
-    counts = {k: naive_counts(own[k], 4) for k in range(len(model.vectors))}
-    escape = naive_escapes(counts.values())
+    got = ppm.score(d, F.col("doc_id") % 3 == 1, order, most=most).collect()
+    learned = [r.text for r in rows if r.doc_id is not None and r.doc_id % 3 != 1]
+    training = Counter(x for t in learned for x in [*words(t), "\n"])
+    counts = naive_counts(learned, order)
+    escape = naive_escape(counts)
     n, v = sum(training.values()), len(training)
     by = {r.doc_id: r for r in got}
     assert len(got) == len(rows)
@@ -390,7 +384,27 @@ def test_ppm_equals_a_plain_one(spark, odd, docs, monkeypatch, many):
         g = by[r.doc_id]
         assert (g.n_tokens, g.n_known, g.train_tokens) == (len(w), sum(training[x] > 0 for x in w), n)
         assert math.isclose(g.base_score, sum(math.log10((training[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
-        assert math.isclose(g.score, sum(naive_ppm(counts[home[r.doc_id]], escape, x, 4) for x in w) - math.log10(len(model.vectors)), rel_tol=1e-5)
+        assert math.isclose(g.score, naive_ppm(counts, escape, r.text, order), rel_tol=1e-6)
+
+
+def test_ppm_hears_the_order_of_words(spark, docs):
+    rng = random.Random(9)
+    known = [prose(rng, 60) for _ in range(30)]
+    mixed = []
+    for t in known:
+        w = t.split()
+        rng.shuffle(w)
+        mixed.append(" ".join(w))
+    got = {r.doc_id: r for r in ppm.score(docs(known + mixed), F.col("doc_id") >= 30).collect()}
+    assert all(math.isclose(got[i].base_score, got[i + 30].base_score) and got[i].score > got[i + 30].score for i in range(30))
+
+
+def test_ppm_repeated_rows_and_no_training(spark, docs):
+    d = docs(["one text", "one text", None, "", Ellipsis, Ellipsis]).unionByName(docs(["one text", "other text"], 0))
+    assert ppm.score(d, F.lit(False)).count() == 8
+    none = ppm.score(d, F.lit(True)).collect()
+    assert len(none) == 8 and all(r.n_known == 0 and r.score < 0 for r in none)
+    assert ppm.score(d.limit(0), F.lit(False)).count() == 0
 
 
 # 7
