@@ -93,15 +93,22 @@ def op8_toolcalls(spark, sf_dir):
 
 
 ORACLE_SQL["op8_toolcalls"] = """
-with c as (select conv_id, turn, conv_id::varchar || '-' || turn::varchar as call_id, text,
-    case when turn >= 3 then conv_id::varchar || '-' || (turn - 2)::varchar end as after
+with recursive c as (select *, length(text) as n, conv_id::varchar || '-' || turn::varchar as call_id,
+    case when length(text) % 13 = 0 then conv_id::varchar || '-' || (turn + 2)::varchar when turn >= 3 then conv_id::varchar || '-' || (turn - 2)::varchar end as after
     from conversations where role = 'assistant'),
 r as (select conv_id::varchar || '-' || (turn - 1)::varchar as call_id, min(text) as result
     from conversations where role <> 'assistant' and conv_id is not null and turn is not null group by 1),
-n as (select call_id, count(*) as copies from c group by 1)
-select c.conv_id, c.turn, c.call_id, 'respond' as name, n.copies, r.result is not null as linked, c.turn as level,
-    concat_ws('; ', case when c.text is null then 'text is missing' end,
-        case when c.after is not null and c.after not in (select call_id from c where call_id is not null) then 'waits for unknown: ' || c.after end) as errors,
-    '{"arguments":{"chars":' || length(c.text)::varchar || ',"text":' || to_json(c.text)::varchar || '},"id":"' || c.call_id || '","name":"respond","result":' || coalesce(to_json(r.result)::varchar, 'null') || '}' as json
-from c join n using (call_id) left join r using (call_id)
+n as (select call_id, count(*) as copies from c group by 1),
+e as (select distinct c.call_id, c.after, c.conv_id from c where c.call_id is not null and c.after in (select call_id from c where call_id is not null)),
+size as (select conv_id, count(*) as calls from e group by 1),
+walk as (select call_id, after as at, conv_id, 1 as steps from e
+    union select w.call_id, e.after, w.conv_id, w.steps + 1 from walk w join e on e.call_id = w.at join size s on s.conv_id = w.conv_id where w.steps <= s.calls),
+depth as (select call_id, max(steps) as level, max(steps) > any_value(calls) as endless from walk join size using (conv_id) group by 1)
+select c.conv_id, c.turn, c.call_id, 'respond' as name, coalesce(n.copies, 1) as copies, r.result is not null as linked,
+    case when c.call_id is null or endless then null else coalesce(level, 0) end as level,
+    concat_ws('; ', case when c.text is null then 'chars is missing' when c.n % 7 = 0 then 'chars is no integer' end, case when c.text is null then 'text is missing' end,
+        case when c.after is not null and c.call_id is not null and c.after not in (select call_id from c where call_id is not null) then 'waits for unknown: ' || c.after end) as errors,
+    '{"arguments":' || case when c.text is null then '{}' else '{"chars":' || case when c.n % 7 = 0 then '"' || c.n::varchar || '"' else c.n::varchar end || ',"text":' || to_json(c.text)::varchar || '}' end
+        || ',"id":' || coalesce('"' || c.call_id || '"', 'null') || ',"name":"respond","result":' || coalesce(to_json(r.result)::varchar, 'null') || '}' as json
+from c left join n using (call_id) left join r using (call_id) left join depth using (call_id)
 """

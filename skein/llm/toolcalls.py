@@ -2,9 +2,8 @@
 
 DataFrame functions only. Calls and results meet in a hash join on their identifier, results first
 reduced to one a call. A call's level is 0 if it waits for none and otherwise one more than the
-highest of those it waits for. Conversations whose calls wait for earlier turns of their own only have
-the turns as levels, as the query's SQL has them; the others, and those that they wait for, are put in
-levels round by round, and calls on a cycle get none. So a call is always above what it waits for.
+highest of those it waits for, over conversations too; calls on a cycle or behind one get none. So a
+call is always above what it waits for.
 """
 
 from __future__ import annotations
@@ -41,22 +40,35 @@ def _errors(schemas: Schemas, name: Column, arguments: Column) -> Column:
     return F.array_compact(F.array(*out))
 
 
-def _levels(calls: DataFrame, waits: DataFrame) -> DataFrame:
-    """(call_id, level) by rounds: a call has its level once all that it waits for have theirs."""
-    edges = cut(waits.distinct(), "waits")
-    done = cut(calls.select("call_id").distinct().join(edges, "call_id", "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
-    total = done.count()
-    while True:
-        met = edges.join(done.withColumnRenamed("call_id", "after"), "after", "left").groupBy("call_id").agg(F.count_if(F.col("level").isNull()).alias("open"), F.max("level").alias("level"))
-        new = met.where("open = 0").select("call_id", (F.col("level") + 1).alias("level")).join(done.select("call_id"), "call_id", "left_anti")
-        new = cut(new, "levels")
-        n = new.count()
-        if not n:
-            return done
-        done = done.unionByName(new)
-        total += n
-        edges = edges.join(done.select("call_id"), "call_id", "left_anti").unionByName(edges.join(new.select(F.col("call_id").alias("after")), "after", "left_semi").join(done.select("call_id"), "call_id", "left_anti")).distinct()
-        edges = cut(edges, "waits")
+def _levels(waits: DataFrame) -> DataFrame:
+    """(call_id, level) of all calls in ``waits`` (call_id, after): 0 if it waits for none, else one more than the highest it waits for; calls on a cycle or behind one are left out.
+
+    Edges are long: (u, v, w) says that u is w levels above v at least, and a call's floor is what
+    settled calls ask of it. In each round edges to settled calls become floors, and edges to a call
+    that waits for one other only jump over it. So chains shrink by half in each round; what waits
+    for several in turn needs a round a level. A round that settles no call is the last: what is left
+    is on cycles or behind them.
+    """
+    edges = cut(waits.select(F.col("call_id").alias("u"), F.col("after").alias("v"), F.lit(1).cast("long").alias("w")).distinct(), "waits")
+    floors = cut(edges.select("u", F.lit(0).cast("long").alias("floor")).distinct(), "floors")
+    settled = edges.select(F.col("v").alias("call_id")).distinct().join(floors.select(F.col("u").alias("call_id")), "call_id", "left_anti").withColumn("level", F.lit(0).cast("long"))
+    found = new = cut(settled, "levels")
+    while not edges.isEmpty():
+        rows = cut(edges.join(new.select(F.col("call_id").alias("v"), "level"), "v", "left"), "rows")
+        # calls that wait for one other only, which is not settled yet
+        one = rows.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.count("level").alias("known"), F.first("v").alias("x"), F.first("w").alias("more")).where("n = 1 and known = 0")
+        one = one.join(floors, "u").select(F.col("u").alias("v"), "x", "more", F.col("floor").alias("least"))
+        met = cut(rows.join(one, "v", "left"), "met")
+        asked = met.select("u", F.when(F.col("level").isNotNull(), F.col("level") + F.col("w")).when(F.col("x").isNotNull(), F.col("least") + F.col("w")).alias("floor")).where("floor is not null")
+        floors = cut(floors.unionByName(asked).groupBy("u").agg(F.max("floor").alias("floor")), "floors")
+        edges = met.where("level is null").select("u", F.coalesce("x", "v").alias("v"), F.when(F.col("x").isNotNull(), F.col("w") + F.col("more")).otherwise(F.col("w")).alias("w"))
+        edges = cut(edges.groupBy("u", "v").agg(F.max("w").alias("w")), "waits")
+        new = cut(floors.join(edges.select("u"), "u", "left_anti").select(F.col("u").alias("call_id"), F.col("floor").alias("level")), "levels")
+        if new.isEmpty():
+            break
+        floors = cut(floors.join(edges.select("u"), "u", "left_semi"), "floors")
+        found = found.unionByName(new)
+    return found
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
@@ -64,32 +76,23 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
 
     calls: conv_id, turn, call_id, name, arguments (JSON text), after (array of call ids it waits
     for). results: call_id, content. A call with several results takes the smallest content; copies
-    counts the calls with its identifier. A wait for an unknown call is an error and orders nothing;
-    level is null on a cycle. json has its keys in order and no spaces; it is null if the arguments
-    are not JSON. Null identifiers link with nothing; empty tables give no rows; other columns are
-    ignored.
+    counts the calls with its identifier, which wait together for what any of them waits for. A wait
+    for an unknown call is an error and orders nothing; level is null on a cycle, behind one, and
+    where there is no identifier. json has its keys in order and no spaces; it is null if the
+    arguments are not JSON. Null identifiers link with nothing; empty tables give no rows; other
+    columns are ignored.
     """
     c = calls.select("conv_id", "turn", "call_id", "name", "arguments", "after")
     one = results.where("call_id is not null").groupBy("call_id").agg(F.min("content").alias("result"))
-    same = c.where("call_id is not null").groupBy("call_id").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("conv_id").alias("own"), F.max("turn").alias("at"),
-        F.coalesce(F.min("conv_id") == F.max("conv_id"), F.lit(True)).alias("alike"), F.count("conv_id").alias("convs"), F.count("turn").alias("turns"))
-    same = same.withColumn("alike", F.col("alike") & ((F.col("convs") == 0) | (F.col("convs") == F.col("copies")))).drop("convs")
-    waits = c.where("call_id is not null").select("conv_id", "turn", "call_id", F.explode("after").alias("after")).where("after is not null")
-    known = waits.join(same.select(F.col("call_id").alias("after"), "own", F.when(F.col("turns") == F.col("copies"), F.col("at")).alias("earlier"), "alike"), "after", "left")
-    lost = known.where("alike is null").groupBy("call_id").agg(F.array_join(F.array_sort(F.collect_set("after")), ",").alias("lost"))
-    real = known.where("alike is not null")
-    # in one conversation and for earlier turns only: the level is the turn's own order, told by the turn
-    apart = real.where(~F.coalesce(F.col("alike") & F.col("conv_id").eqNullSafe(F.col("own")) & (F.col("earlier") < F.col("turn")), F.lit(False)))
-    # conversations that wait otherwise, those that they wait for, and those with an identifier of another
-    met = c.select("conv_id", "call_id").join(apart.select(F.col("after").alias("call_id")).unionByName(same.where("not alike").select("call_id")).distinct(), "call_id", "left_semi")
-    rounds = cut(apart.select(F.col("conv_id").alias("_conv")).unionByName(met.select(F.col("conv_id").alias("_conv"))).distinct(), "rounds")
-    hard = cut(real.join(rounds, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi").select("call_id", "after"), "hard")
-    in_hard = c.join(rounds, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi").select("call_id").where("call_id is not null")
-    levels = _levels(in_hard, hard) if not hard.isEmpty() else hard.select("call_id", F.lit(0).cast("long").alias("level")).limit(0)
-    hard_ids = in_hard.distinct().withColumn("by_rounds", F.lit(True))
-    rows = c.join(same.select("call_id", "copies"), "call_id", "left").join(one, "call_id", "left").join(lost, "call_id", "left").join(levels, "call_id", "left").join(hard_ids, "call_id", "left")
-    rows = rows.withColumn("level", F.when(F.col("by_rounds"), F.col("level")).otherwise(F.col("turn")))
+    same = c.where("call_id is not null").groupBy("call_id").agg(F.count(F.lit(1)).alias("copies"))
+    waits = c.where("call_id is not null").select("call_id", F.explode("after").alias("after")).where("after is not null").distinct()
+    known = cut(waits.join(same.select(F.col("call_id").alias("after"), F.lit(True).alias("there")), "after", "left"), "known")
+    lost = known.where("there is null").groupBy("call_id").agg(F.array_join(F.array_sort(F.collect_set("after")), ",").alias("lost"))
+    real = known.where("there").select("call_id", "after")
+    levels = _levels(real).withColumn("settled", F.lit(True))
+    waiting = real.select("call_id").distinct().withColumn("waiting", F.lit(True))
+    rows = c.join(same, "call_id", "left").join(one, "call_id", "left").join(lost, "call_id", "left").join(levels, "call_id", "left").join(waiting, "call_id", "left")
+    rows = rows.withColumn("level", F.when(F.col("settled"), F.col("level")).when(F.col("waiting").isNull() & F.col("call_id").isNotNull(), F.lit(0).cast("long")))
     errors = F.array_compact(F.concat(_errors(schemas, F.col("name"), F.col("arguments")), F.array(F.when(F.col("lost").isNotNull(), F.concat(F.lit("waits for unknown: "), F.col("lost"))))))
     parsed = F.try_parse_json("arguments")
     text = F.concat(
@@ -107,11 +110,18 @@ RESPOND: Schemas = {"respond": {"chars": ("integer", True), "text": ("string", T
 
 
 def of_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of plain conversations: an assistant's turn is a call of ``respond`` that waits for the assistant's turn before, the turn after it is its result."""
+    """Calls and results of plain conversations, which hold none: an assistant's turn is a call of ``respond`` and the turn after it is its result.
+
+    It waits for the assistant's turn before it. A text whose length is a multiple of 13 waits for the
+    next one instead, which may be unknown or wait for it in turn; one whose length is a multiple of 7
+    gives that length as a text, which the schema refuses. Turns without text have no arguments.
+    """
     key = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
     whole = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    calls = conversations.where("role = 'assistant'").select(
-        "conv_id", "turn", F.when(whole, key(F.col("turn"))).alias("call_id"), F.lit("respond").alias("name"),
-        F.to_json(F.struct(F.length("text").alias("chars"), F.col("text"))).alias("arguments"), F.when(whole & (F.col("turn") >= 3), F.array(key(F.col("turn") - 2))).alias("after"))
+    n = F.length("text")
+    chars = F.when(n % 7 == 0, F.concat(F.lit('"'), n.cast("string"), F.lit('"'))).otherwise(n.cast("string"))
+    arguments = F.when(F.col("text").isNull(), F.lit("{}")).otherwise(F.concat(F.lit('{"chars":'), chars, F.lit(',"text":'), quoted("text"), F.lit("}")))
+    after = F.when(F.coalesce(n % 13 == 0, F.lit(False)), F.array(key(F.col("turn") + 2))).when(F.col("turn") >= 3, F.array(key(F.col("turn") - 2)))
+    calls = conversations.where("role = 'assistant'").select("conv_id", "turn", F.when(whole, key(F.col("turn"))).alias("call_id"), F.lit("respond").alias("name"), arguments.alias("arguments"), F.when(whole, after).alias("after"))
     results = conversations.where("role <> 'assistant'").where(whole).select(key(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results

@@ -460,7 +460,7 @@ def test_tool_calls(spark):
 
 def test_tool_calls_wait_across_conversations(spark):
     calls = spark.createDataFrame([
-        # by rounds, waits for a conversation by turns
+        # waits for a later turn, which waits for another conversation
         (1, 5, "a", ["b"]), (1, 6, "b", ["c3"]), (2, 1, "c1", []), (2, 3, "c3", ["c1"]),
         # an earlier turn of another conversation, with a greater level there
         (3, 9, "d9", ["d8"]), (3, 8, "d8", []), (4, 10, "e", ["d9"]), (4, 11, "e2", ["e"]),
@@ -470,7 +470,50 @@ def test_tool_calls_wait_across_conversations(spark):
     ], "conv_id long, turn long, call_id string, after array<string>").selectExpr("*", "'t' as name", "'{}' as arguments")
     results = spark.createDataFrame([], "call_id string, content string")
     got = {r.call_id: r.level for r in toolcalls.link_calls(calls, results, {"t": {}}).collect()}
-    assert got == {"c1": 0, "c3": 1, "b": 2, "a": 3, "d8": 0, "d9": 1, "e": 2, "e2": 3, "f": 0, "g": 1, "h1": 1, "h3": 3}
+    assert got == {"c1": 0, "c3": 1, "b": 2, "a": 3, "d8": 0, "d9": 1, "e": 2, "e2": 3, "f": 0, "g": 1, "h1": 0, "h3": 1}
+
+
+def test_tool_calls_in_levels(spark, monkeypatch):
+    """Against plain recursion: chains, forks, cycles, what stands behind them, repeated and unknown identifiers; rounds are few on chains."""
+    rng = random.Random(21)
+    waits = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(100)}
+    waits |= {f"r{i}": [f"r{i + rng.choice([2, 3, 5, 7]) * rng.choice([1, 1, 1, -1])}" for _ in range(rng.choice([0, 1, 1, 2]))] for i in range(60)}
+    waits |= {"own": ["own"], "p": ["q"], "q": ["s"], "s": ["p"], "behind": ["q", "c5"], "both": ["c99", "c3", "c99"]}
+
+    def level(x, path=()):
+        if x in path:
+            return None
+        below = [level(y, (*path, x)) for y in waits[x] if y in waits]
+        return None if None in below else max([b + 1 for b in below], default=0)
+
+    rows = [(1, i, k, v) for i, (k, v) in enumerate(waits.items())] + [(2, 1, "c7", [])]
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, after array<string>").selectExpr("*", "'t' as name", "'{}' as arguments")
+    out = toolcalls.link_calls(calls, spark.createDataFrame([], "call_id string, content string"), {"t": {}}).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.level == level(r.call_id), r
+        lost = sorted({w for w in waits[r.call_id] if w not in waits})
+        assert r.errors == (["waits for unknown: " + ",".join(lost)] if lost else [])
+    rounds = []
+    made = toolcalls.cut
+    monkeypatch.setattr(toolcalls, "cut", lambda df, name: rounds.append(name) or made(df, name))
+    chain = spark.createDataFrame([(f"k{i}", f"k{i - 1}") for i in range(1, 64)], "call_id string, after string")
+    assert {r.call_id: r.level for r in toolcalls._levels(chain).collect()} == {f"k{i}": i for i in range(64)} and rounds.count("met") <= 7
+
+
+def test_tool_calls_of_odd_turns(spark, sf):
+    rows = [(1, 1, "assistant", None), (1, 2, "user", None), (1, 3, "assistant", "x" * 13), (1, 5, "assistant", "x" * 26), (1, 7, "assistant", "seven ."), (1, 8, "tool", "b"), (1, 8, "user", "a"),
+            (2, 1, "assistant", "é\"\\\n"), (2, 3, "assistant", "é" * 91), (None, 1, "assistant", "n"), (3, None, "assistant", "n"), (None, None, None, None)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.register("conversations", d.toArrow())
+    names = ["conv_id", "turn", "call_id", "copies", "linked", "level", "errors", "json"]
+    expected = con.sql(queries.ORACLE_SQL["op8_toolcalls"]).select(*names).fetchall()
+    calls, results = toolcalls.of_turns(d)
+    got = toolcalls.link_calls(calls, results, toolcalls.RESPOND).withColumn("errors", F.array_join("errors", "; ")).select(*names)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected))
+    calls, results = toolcalls.of_turns(d.limit(0))
+    assert toolcalls.link_calls(calls, results, toolcalls.RESPOND).count() == 0
 
 
 # 9
