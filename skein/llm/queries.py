@@ -78,10 +78,13 @@ def op6_ppm(spark, sf_dir):
 
 @_query
 def op7_chroma(spark, sf_dir):
-    """Fingerprints of the vectors rendered as tones, aligned with one another."""
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    out = chroma.align(chroma.fingerprints(chroma.tones(vectors)))
-    return out.withColumnRenamed("rec_id", "vec_id")
+    """Fingerprints of the vectors rendered as tones in two takes, the second later and noisy, aligned with one another."""
+    takes = chroma.tones(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), takes=2)
+    out = chroma.align(chroma.fingerprints(takes.withColumn("rec_id", F.col("rec_id") * 2 + F.col("take"))))
+    of = lambda c: F.shiftright(c, 1)
+    return out.select(
+        of("rec_id").alias("vec_id"), F.pmod("rec_id", F.lit(2)).cast("int").alias("take"), "n_frames", of("class_id").alias("class_id"), of("component_id").alias("component_id"),
+        of("match_id").alias("match_id"), "offset", "bit_error")
 
 
 @_query

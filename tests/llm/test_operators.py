@@ -438,6 +438,85 @@ def test_chroma_checks_every_offset_with_votes(spark):
     assert got[2].component_id == 1 and got[2].offset == 0 and got[2].match_id == 1
 
 
+def test_chroma_against_all_pairs_and_offsets(spark):
+    """Components of shifted and noisy prints that hold silence in common, against every pair at every offset."""
+    rng = np.random.default_rng(4)
+    prints = {}
+    for g in range(25):
+        base = rng.integers(1, 1 << 32, 90, dtype=np.uint32)
+        for _ in range(4):
+            n = int(rng.integers(0, 40))
+            own = base[n : n + 50].copy()
+            for bit in range(32):
+                own[rng.random(len(own)) < 0.03] ^= np.uint32(1 << bit)
+            quiet = np.full(int(rng.integers(0, 12)), 77, np.uint32)
+            prints[len(prints) * 3 + 1] = np.concatenate((quiet, own, quiet))
+    ids = sorted(prints)
+    up = {i: i for i in ids}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    best = {}
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            x, y = prints[i], prints[j]
+            fits = [(*chroma.bit_error(x, y, d), d) for d in range(-len(y) + 24, len(x) - 23)]
+            fits = [(e, d) for e, n, d in fits if e <= chroma.MAX_BIT_ERROR and n >= chroma.MIN_OVERLAP]
+            if fits:
+                best[i, j] = min(fits)
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    rows = [(int(i), bytearray(x.astype("<u4").tobytes())) for i, x in prints.items()]
+    got = {r.rec_id: r for r in chroma.align(spark.createDataFrame(rows, "rec_id long, print binary")).collect()}
+    assert len(best) > 60
+    assert np.mean([got[i].component_id == root(i) for i in ids]) >= 0.97
+    pairs = {(max(r.rec_id, r.match_id), min(r.rec_id, r.match_id)): r for r in got.values() if r.match_id}
+    assert set(pairs) <= set(best) and all(math.isclose(r.bit_error, best[k][0], abs_tol=1e-12) for k, r in pairs.items())
+
+
+def test_fingerprint_is_a_sum_over_frames():
+    """The integral image gives what plain sums over rectangles give."""
+    rng = np.random.default_rng(5)
+    x = (9000 * np.sin(2 * np.pi * np.cumsum(np.repeat(440 * 2 ** (rng.integers(-12, 12, 20) / 12), 1024)) / 8000)).astype(np.float32)
+    c = chroma.chroma(x, 8000)
+    got = chroma.fingerprint(x, 8000)
+    for t in range(0, len(got), 5):
+        bits = 0
+        for kind, y, h, w in chroma.FILTERS:
+            box = c[t : t + w, y : y + h]
+            sign = np.zeros((w, h))
+            if kind == 0:
+                sign[:, : h // 2], sign[:, h // 2 :] = 1, -1
+            elif kind == 1:
+                sign[: w // 2], sign[w // 2 :] = 1, -1
+            elif kind == 2:
+                sign[: w // 2, : h // 2] = sign[w // 2 :, h // 2 :] = 1
+                sign[w // 2 :, : h // 2] = sign[: w // 2, h // 2 :] = -1
+            else:
+                sign[:] = -1
+                sign[w // 4 : w // 4 + w // 2] = 1
+            p, q = box[sign > 0].sum(), box[sign < 0].sum()
+            level = int(np.searchsorted(chroma.THRESHOLDS, np.log((0.05 + p) / (0.05 + q))))
+            bits = bits << 2 | [0, 1, 3, 2][level]
+        assert int(got[t]) == bits
+
+
+def test_tones_in_takes(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 64)]) for i in range(20)] + [(30, None), (31, [1.0, None]), (32, [float("nan")] * 64), (None, [0.1] * 64)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    takes = chroma.tones(v, takes=2)
+    got = chroma.align(chroma.fingerprints(takes.withColumn("rec_id", F.col("rec_id") * 2 + F.col("take")))).collect()
+    assert len(got) == 48
+    of = {r.rec_id: r for r in got if r.rec_id is not None}
+    assert sum(of[2 * i + 1].component_id == 2 * i for i in range(20)) >= 18
+    assert all(of[2 * i].n_frames == 0 and of[2 * i].match_id is None for i in (30, 31, 32))
+    assert chroma.align(chroma.fingerprints(chroma.tones(v.limit(0), takes=2))).count() == 0
+
+
 # 8
 def test_tool_calls(spark):
     calls = spark.createDataFrame([
