@@ -10,6 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch to Python at most: texts are long, and ten thousand of them fill a worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by BATCH_BYTES, where it has no smaller bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(2**31 - 1))) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -28,6 +39,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     Unlike a cached or locally checkpointed frame the table outlives the executors that made it.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -48,8 +60,10 @@ def keep_rows(docs: DataFrame, judge: Callable[[pa.RecordBatch], pa.Array]) -> D
         for b in batches:
             yield b.filter(judge(b))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
