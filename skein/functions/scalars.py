@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,8 +81,10 @@ def backoff_minutes(errors: Column) -> Column:
 
 
 def throttle_minutes(retry_after: Column) -> Column:
-    """Whole minutes, from 1 to a day; half an hour where nothing is said."""
-    return F.when(retry_after.isNull(), 30).otherwise(clamp(F.ceil(retry_after / 60), 1, 1440))
+    """Whole minutes of the seconds asked for, a day at most; half an hour where nothing above zero is said."""
+    seconds = retry_after.cast("double")
+    said = seconds.isNotNull() & ~F.isnan(seconds) & (seconds > 0) & (seconds < float("inf"))
+    return F.when(said, clamp(F.ceil(seconds / 60), 1, 1440)).otherwise(30)
 
 
 def retry_after_seconds(header: Column, now: Column) -> Column:
@@ -106,24 +110,32 @@ def is_transient(state: Column) -> Column:
 
 
 def should_fetch(state: Column, fetched_at: Column, now: Column) -> Column:
-    """Passing failures are tried again after ten minutes, other ones after a day, what went well never."""
+    """Passing failures are tried again after ten minutes, other ones after a day, what went well never; an unknown time counts as long ago."""
     age = F.unix_timestamp(now) - F.unix_timestamp(fetched_at)
-    return F.when(state.isNull(), True).when(state == "ok", False).when(is_transient(state), age >= 600).otherwise(age >= 86_400)
+    wait = F.when(is_transient(state), 600).otherwise(86_400)
+    return F.when(state.isNull(), True).when(state == "ok", False).otherwise(F.coalesce(age >= wait, F.lit(True)))
 
 
-def freshness(status: Column, last_fetched: Column, next_fetch: Column, interval_minutes: Column, last_published: Column, now: Column) -> Column:
-    """unread, failing, overdue, dormant or live."""
-    late = F.unix_timestamp(now) - F.unix_timestamp(next_fetch)
-    return (F.when(last_fetched.isNull(), "unread").when(status.isin("error", "dead"), "failing").when(late > 2 * 60 * interval_minutes, "overdue")
-            .when(last_published.isNull() | (F.unix_timestamp(now) - F.unix_timestamp(last_published) > 365 * 86_400), "dormant").otherwise("live"))
+def freshness(status: Column, last_error: Column, error_count: Column, last_success: Column, interval_minutes: Column, newest_post: Column, now: Column) -> Column:
+    """unread, failing, overdue (twice the interval since the last success), dormant (nothing for a year) or live."""
+    since = F.unix_timestamp(now) - F.unix_timestamp(last_success)
+    interval = 60 * F.greatest(F.coalesce(F.nullif(interval_minutes, F.lit(0)), F.lit(60)), F.lit(1))
+    failing = (status == "error") | ((F.coalesce(last_error, F.lit("")) != "") & (error_count > 0))
+    quiet = F.unix_timestamp(now) - F.unix_timestamp(newest_post) > 365 * 86_400
+    return (F.when(last_success.isNull(), "unread").when(F.coalesce(failing, F.lit(False)), "failing").when(since > 2 * interval, "overdue").when(F.coalesce(quiet, F.lit(False)), "dormant").otherwise("live"))
 
 
 def human_gap(seconds: Column) -> Column:
-    def part(n: Column, unit: str) -> Column:
+    """A plain interval of moments, minutes, hours, days, months or years, rounded half up."""
+    s = F.greatest(F.coalesce(seconds, F.lit(0)), F.lit(0))
+    minute, hour, day = 60, 3600, 86_400
+
+    def part(size: int, unit: str) -> Column:
+        n = F.floor(s / size + 0.5).cast("long")
         return F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"))
 
-    m, h, d = (F.floor(seconds / k).cast("long") for k in (60, 3600, 86_400))
-    return F.when(seconds < 3600, part(F.greatest(m, F.lit(1)), "minute")).when(seconds < 172_800, part(h, "hour")).otherwise(part(d, "day"))
+    return (F.when(s < minute, "moments").when(s < hour, part(minute, "minute")).when(s < day, part(hour, "hour")).when(s < 60 * day, part(day, "day"))
+            .when(s < 730 * day, part(30 * day, "month")).otherwise(part(365 * day, "year")))
 
 
 def eta_label(hours: Column) -> Column:
@@ -351,26 +363,21 @@ def body_length(*bodies: Column) -> Column:
     return text_length(F.coalesce(*[F.nullif(b, F.lit("")) for b in bodies], F.lit("")))
 
 
-def absolute_image(raw, base):
-    """An image's address against its page's, web addresses only."""
-    import pandas as pd
-
-    def run(raw, base):
-        from urllib.parse import urljoin
-
-        out = [urljoin(b or "", r.strip()) if r and r.strip() else None for r, b in zip(raw, base, strict=True)]
-        return pd.Series([u if u and u.startswith(("http://", "https://")) else None for u in out], dtype=object)
-
-    return F.pandas_udf(run, "string")(raw, base)
-
-
-def hash_ip(ip, salt: str | None):
-    """The first 32 hex digits of HMAC-SHA256; null where either is unset."""
-    import pandas as pd
-
-    def run(ip):
-        import hmac
-
-        return pd.Series([hmac.new(salt.encode(), x.encode(), "sha256").hexdigest()[:32] if x and salt else None for x in ip], dtype=object)
-
-    return F.pandas_udf(run, "string")(ip)
+def absolute_image(raw: Column, base: Column) -> Column:
+    """An image's address against its page's, web addresses only: whole, without a scheme, from the root, or beside the page."""
+    r, b = F.trim(raw), F.regexp_replace(base, r"[?#].*$", "")
+    site = F.regexp_extract(b, r"^(https?://[^/]+)", 1)
+    folder = F.when(b.rlike(r"^https?://[^/]+/"), F.regexp_extract(b, r"^(https?://[^/]+/(?:.*/)?)", 1)).otherwise(F.concat(site, F.lit("/")))
+    joined = (F.when(r.rlike(r"^https?://"), r).when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(r.startswith("//"), F.concat(F.regexp_extract(b, r"^(https?:)", 1), r))
+              .when(r.startswith("/"), F.concat(site, r)).otherwise(F.concat(folder, F.regexp_replace(r, r"^(\./)+", ""))))
+    return F.when((r != "") & joined.rlike("^https?://."), joined)
+
+
+def hash_ip(ip: Column, salt: str | None) -> Column:
+    """The first 32 hex digits of HMAC-SHA256; null where either is unset. The two hashes of the code are taken by Spark, over pads of the constant salt."""
+    if not salt:
+        return F.lit(None).cast("string")
+    key = salt.encode() if len(salt.encode()) <= 64 else hashlib.sha256(salt.encode()).digest()
+    inner, outer = (bytes(k ^ pad for k in key.ljust(64, b"\0")) for pad in (0x36, 0x5C))
+    first = F.unhex(F.sha2(F.concat(F.lit(inner), ip.cast("binary")), 256))
+    return F.when(ip != "", F.substring(F.sha2(F.concat(F.lit(outer), first), 256), 1, 32))
\ No newline at end of file

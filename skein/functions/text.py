@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +33,32 @@ GENERIC_WORDS = 4
 MIN_BLOCK, MIN_WORD, MIN_PHRASE, MOST_KEYWORDS, MOST_TOPICS = 8, 3, 2, 250, 25
 
 
+def _compatible() -> tuple[str, str]:
+    """Characters that stand for one other (full width, superscripts, presentation forms and such), and those others, by Unicode's rule NFKC."""
+    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
+    pairs = [(a, b) for a, b in pairs if a != b and len(b) == 1]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_FROM, _TO = _compatible()
+#: Ligatures.
+LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st", "\u0132": "IJ", "\u0133": "ij", "\u2026": "..."}
+
+
+def compatible(text: Column) -> Column:
+    """Compatible forms of characters as the plain ones: those that stand for one other, and ligatures. Accents in characters of their own stay apart."""
+    t = F.translate(text, _FROM, _TO)
+    for a, b in LIGATURES.items():
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), t).otherwise(text)
+
+
 def tokenize(text: Column) -> Column:
     """Words in lower case: letters, digits, + # and inner hyphens; no stop words, no bare numbers, two characters at least."""
-    t = F.regexp_replace(F.lower(text), "['’]", "")
+    t = F.regexp_replace(F.lower(compatible(text)), "['’]", "")
     t = F.regexp_replace(F.regexp_replace(t, "&", " and "), r"[^\p{L}\p{N}+#-]+", " ")
     words = F.transform(F.split(t, " "), lambda w: F.regexp_replace(w, r"^-+|-+$", ""))
-    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(STOPWORDS) & ~w.rlike(r"^\d+$"))
+    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(STOPWORDS) & ~w.rlike(r"^\p{N}+$"))
 
 
 def singularize(word: Column) -> Column:
@@ -69,10 +91,11 @@ def ngrams(words: Column, n: int) -> Column:
 def extract_keywords(blocks: DataFrame, by: str = "feed_id", text: str = "text", min_word: int = MIN_WORD, min_phrase: int = MIN_PHRASE, most: int = MOST_KEYWORDS) -> DataFrame:
     """(by, keyword, words, count): words and phrases by the number of different blocks that have them.
 
-    Blocks of fewer than eight characters are left out. Where nothing is frequent enough everything
-    counts. Partial counts are made before the shuffle, and the rank is per owner.
+    Blocks are compared with their white space folded, and those of fewer than eight characters are
+    left out. Where nothing is frequent enough everything counts. Partial counts are made before the
+    shuffle, and the rank is per owner; equal counts go by words, then by the keyword's code points.
     """
-    b = blocks.where(F.length(F.trim(text)) >= MIN_BLOCK).select(by, F.col(text).alias("text")).distinct()
+    b = blocks.select(by, F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text")).where(F.length("text") >= MIN_BLOCK).distinct()
     tokens = b.select(by, tokenize(F.col("text")).alias("words"))
     grams = tokens.select(by, F.explode(F.concat(ngrams(F.col("words"), 1), ngrams(F.col("words"), 2), ngrams(F.col("words"), 3))).alias("keyword"))
     counted = grams.groupBy(by, "keyword").agg(F.count(F.lit(1)).alias("count")).withColumn("words", F.size(F.split("keyword", " ")))
@@ -114,11 +137,26 @@ def keyword_stems(keyword: Column) -> Column:
     return F.array_distinct(F.transform(words, stem))
 
 
+def feed_text(owners: DataFrame, items: DataFrame, by: str, order: list[str], most: int = 30) -> DataFrame:
+    """(by, text): title and description of each owner and the titles and summaries of its first ``most`` posts, in lower case."""
+    first = items.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= most)
+    part = F.struct("_n", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))).alias("text"))
+    posts = first.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), " ").alias("posts"))
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")), "posts")
+    return owners.join(posts, by, "left").select(by, F.lower(text).alias("text"))
+
+
 def relevance(keyword: Column, text: Column) -> Column:
     """Whether at least half of a keyword's stems are in a text."""
+    return assess_relevance(keyword, text)[0]
+
+
+def assess_relevance(keyword: Column, text: Column) -> tuple[Column, Column, Column]:
+    """(relevant, matched, required): the keyword's stems that a text has, of which half, rounded up, must be there."""
     stems = keyword_stems(keyword)
-    found = F.size(F.filter(stems, lambda s: F.contains(F.lower(text), s)))
-    return (F.size(stems) == 0) | (found >= F.ceil(F.size(stems) / 2))
+    matched = F.filter(stems, lambda s: F.contains(F.lower(text), s))
+    required = F.ceil(F.size(stems) / 2).cast("int")
+    return F.size(matched) >= required, matched, required
 
 
 def strip_html(html: Column) -> Column:
@@ -140,26 +178,73 @@ def summarize(html: Column, most: int = 400) -> Column:
     return F.when(F.length(t) <= most, t).otherwise(F.concat(F.when(F.contains(head, F.lit(" ")), F.substring(head, F.lit(1), at)).otherwise(head), F.lit("…")))
 
 
-def assess_feed(feeds: DataFrame, items: DataFrame, now: Column) -> DataFrame:
-    """(id, worthy, score, reason): rejects for kind of address, few, old or equal posts; else points for volume, age, title, description and links."""
-    i = items.groupBy(F.col("feed_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("published_at").alias("newest"), F.count_distinct(F.lower(F.trim("title"))).alias("titles"), F.count("url").alias("linked"))
-    df = feeds.join(i, "id", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("age", (F.unix_timestamp(now) - F.unix_timestamp("newest")) / 86_400)
-    reason = (F.when(F.col("feed_url").rlike("/comments(/|$)"), "comments-feed").when(F.col("feed_url").rlike("/(tag|category|author)/"), "partial-feed").when(F.col("n") < 2, "too-few-items")
-              .when(F.col("age") > 548, "abandoned").when((F.col("titles") == 1) & (F.col("n") > 2), "duplicate-titles"))
-    score = (F.when(F.col("n") >= 10, 30).when(F.col("n") >= 5, 20).otherwise(10) + F.when(F.col("age").isNull(), 10).when(F.col("age") <= 30, 40).when(F.col("age") <= 90, 25).when(F.col("age") <= 365, 15).otherwise(10)
-             + F.when(F.length(F.trim("title")) > 0, 15).otherwise(0) + F.when(F.length(F.trim("description")) > 0, 10).otherwise(0) + F.when(2 * F.col("linked") >= F.col("n"), 5).otherwise(-20))
-    score = F.least(F.greatest(score, F.lit(0)), F.lit(100))
-    return df.select("id", (reason.isNull() & (score >= 50)).alias("worthy"), F.when(reason.isNull(), score).otherwise(0).alias("score"), reason.alias("reason"))
+def reasons_of(*pairs: tuple[Column, str]) -> Column:
+    """The names whose condition holds, in order."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(when, F.lit(False)), F.lit(name)) for when, name in pairs]))
 
 
-def assess_series(feeds: DataFrame, items: DataFrame) -> DataFrame:
-    """(id, accepted, score, reason) of collections: four posts, all linked, three authors at most."""
-    i = items.groupBy(F.col("feed_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count("url").alias("linked"), F.count_distinct(F.lower("author")).alias("authors"))
+def _named(title: Column) -> Column:
+    t = F.trim(F.coalesce(title, F.lit("")))
+    return (t != "") & (t != "(untitled)")
+
+
+#: Addresses of comment threads and of parts of a site.
+COMMENT_FEED = r"(?i)/comments/?(?:feed)?/?$|[?&]feed=comments|/comments\.rss$"
+PARTIAL_FEED = r"(?i)/(?:tag|tags|category|categories|label|search|author)/"
+
+
+def assess_feed(feeds: DataFrame, items: DataFrame, now: Column, least: int = 2, most_days: int = 548, enough: int = 50) -> DataFrame:
+    """(id, worthy, score, reasons): rejects for the kind of address, few, old or equal posts; else points for volume, age, title, description and links.
+
+    items: feed_id, title, url, published_at. A rejected feed has score 0 and that one reason; others
+    have all reasons that cost them points.
+    """
+    linked = F.count_if(F.trim(F.coalesce("url", F.lit(""))) != "")
+    i = items.groupBy(F.col("feed_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("published_at").alias("newest"), F.count_distinct(F.lower(F.trim(F.coalesce("title", F.lit(""))))).alias("titles"), linked.alias("linked"))
+    df = feeds.join(i, "id", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("age", F.unix_timestamp(now) - F.unix_timestamp("newest"))
+    address, day, n = F.coalesce("feed_url", F.lit("")), 86_400, F.col("n")
+    verdict = (F.when(address.rlike(COMMENT_FEED), "comments-feed").when(address.rlike(PARTIAL_FEED), "partial-feed").when(n < least, "too-few-items")
+               .when(F.col("age") > most_days * day, "abandoned").when((F.col("titles") == 1) & (n > 2), "duplicate-titles"))
+    points = (
+        F.when(n >= 10, 30).when(n >= 5, 20).otherwise(10)
+        + F.when(F.col("age").isNull(), 10).when(F.col("age") <= 90 * day, 40).when(F.col("age") <= 365 * day, 25).otherwise(15)
+        + F.when(_named(F.col("title")), 15).otherwise(0)
+        + F.when(F.trim(F.coalesce("description", F.lit(""))) != "", 10).otherwise(0)
+        + F.when(F.col("linked") == 0, -20).otherwise(5))
+    df = df.withColumn("verdict", verdict).withColumn("points", F.least(F.greatest(points, F.lit(0)), F.lit(100)))
+    found = reasons_of((F.col("age").isNull(), "undated"), (~_named(F.col("title")), "untitled"), (F.col("linked") == 0, "unlinked-items"))
+    return _judged(df, found, enough, "worthy")
+
+
+def _judged(df: DataFrame, found: Column, enough: int, name: str) -> DataFrame:
+    """The verdict alone where there is one, else points and reasons; a low score without a reason says so."""
+    low = F.col("points") < enough
+    reasons = F.when(F.col("verdict").isNotNull(), F.array("verdict")).when(low & (F.size(found) == 0), F.array(F.lit("low-score"))).otherwise(found)
+    score = F.when(F.col("verdict").isNull(), F.col("points")).otherwise(0)
+    return df.select("id", (F.col("verdict").isNull() & ~low).alias(name), score.alias("score"), reasons.alias("reasons"))
+
+
+def assess_series(feeds: DataFrame, items: DataFrame, least: int = 4, most_authors: int = 3, enough: int = 50) -> DataFrame:
+    """(id, accepted, score, reasons) of collections: four posts, some linked, three authors at most.
+
+    items: feed_id, url, author. Authors are told apart without regard to case.
+    """
+    author = F.lower(F.trim("author"))
+    linked = F.count_if(F.trim(F.coalesce("url", F.lit(""))) != "")
+    i = items.groupBy(F.col("feed_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), linked.alias("linked"), F.count_distinct(F.when(author != "", author)).alias("authors"))
     df = feeds.join(i, "id", "left").fillna(0, ["n", "linked", "authors"])
-    reason = F.when(F.col("n") < 4, "too-few-items").when(F.col("linked") == 0, "no-links").when(F.col("authors") > 3, "mixtape")
-    score = (F.when(F.col("n") >= 12, 35).when(F.col("n") >= 8, 28).otherwise(20) + F.when(F.col("authors") == 1, 35).when(F.col("authors") == 2, 15).otherwise(5)
-             + F.when(F.length(F.trim("title")) > 0, 20).otherwise(0) + F.when(F.length(F.trim("description")) > 0, 5).otherwise(0) + F.when(F.col("linked") == F.col("n"), 5).otherwise(0))
-    return df.select("id", (reason.isNull() & (score >= 50)).alias("accepted"), F.when(reason.isNull(), score).otherwise(0).alias("score"), reason.alias("reason"))
+    n, authors = F.col("n"), F.col("authors")
+    verdict = F.when(n < least, "too-short").when(F.col("linked") == 0, "unlinked-items").when(authors > most_authors, "mixtape")
+    points = (
+        F.when(n >= 12, 35).when(n >= 8, 28).otherwise(20)
+        + F.when(authors == 1, 35).when(authors > 1, 15).otherwise(5)
+        + F.when(_named(F.col("title")), 20).otherwise(0)
+        + F.when(F.trim(F.coalesce("description", F.lit(""))) != "", 5).otherwise(0)
+        + F.when(F.col("linked") < n, 0).otherwise(5))
+    df = df.withColumn("verdict", verdict).withColumn("points", F.least(F.greatest(points, F.lit(0)), F.lit(100)))
+    found = reasons_of((authors == 0, "unattributed"), (~_named(F.col("title")), "untitled"), (F.col("linked") < n, "some-unlinked-items"))
+    return _judged(df, found, enough, "accepted")
 
 
 def items_per_day(items: DataFrame, now: Column) -> DataFrame:
@@ -254,12 +339,34 @@ def is_show_shaped(media: Column, brief: Column, sample: Column) -> Column:
     return (2 * media > sample) & (2 * brief > media)
 
 
-def framing_verdict(csp: Column, xfo: Column, origin: str) -> Column:
-    """Whether a page lets itself be framed: frame-ancestors first, then X-Frame-Options."""
-    ancestors = F.regexp_extract(F.lower(csp), r"frame-ancestors\s+([^;]*)", 1)
-    allowed = F.split(F.trim(ancestors), r"\s+")
-    ok = F.exists(allowed, lambda a: (a == "*") | (a == origin) | ((a == "https:") & F.lit(origin.startswith("https:"))))
-    return F.when(F.coalesce(ancestors, F.lit("")) != "", ok).when(F.lower(F.trim(xfo)).isin("deny", "sameorigin"), False).otherwise(True)
+def frame_ancestors(csp: Column) -> Column:
+    """The sources of each policy that has the directive, in lower case; commas part policies."""
+    def sources(policy: Column) -> Column:
+        words = F.transform(F.split(policy, ";"), lambda d: F.split(F.lower(F.trim(d)), r"\s+"))
+        return F.get(F.filter(words, lambda w: F.get(w, F.lit(0)) == "frame-ancestors"), F.lit(0))
+
+    found = F.filter(F.transform(F.split(F.coalesce(csp, F.lit("")), ","), sources), lambda w: w.isNotNull())
+    return F.transform(found, lambda w: F.slice(w, F.lit(2), F.size(w)))
+
+
+def framing_verdict(csp: Column, xfo: Column, origin: str) -> tuple[Column, Column]:
+    """(whether a page lets itself be framed by ``origin``, why): every policy with frame-ancestors must allow it; else X-Frame-Options, a list of which any refusal counts."""
+    host = origin.split("://", 1)[-1]
+
+    def allows(source: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(source, "^https?://", ""), "/+$", "")
+        wild = bare.startswith("*.") & F.lit(host).endswith(F.substring(bare, F.lit(2), F.length(bare)))
+        scheme = source.isin("https:", "http:")
+        return ~source.isin("'none'", "'self'") & ((source == "*") | (scheme & F.lit(origin).startswith(source)) | (~scheme & ((bare == host) | wild)))
+
+    policies = frame_ancestors(csp)
+    allowed = F.forall(policies, lambda p: F.exists(p, allows))
+    tokens = F.transform(F.split(F.lower(F.coalesce(xfo, F.lit(""))), ","), lambda t: F.trim(t))
+    refusal = (F.when(F.array_contains(tokens, "deny"), "x-frame-options-deny").when(F.array_contains(tokens, "sameorigin"), "x-frame-options-sameorigin")
+               .when(F.exists(tokens, lambda t: t.startswith("allow-from")), "x-frame-options-allow-from"))
+    reason = (F.when((F.size(policies) > 0) & allowed, "csp-allows").when(F.size(policies) > 0, "csp-frame-ancestors").when(F.trim(F.coalesce(xfo, F.lit(""))) == "", "no-policy")
+              .otherwise(F.coalesce(refusal, F.lit("unrecognised-policy"))))
+    return reason.isin("csp-allows", "no-policy", "unrecognised-policy"), reason
 
 
 def fts_query(query: Column, mode: str = "all") -> Column:

@@ -127,16 +127,23 @@ def eta(backlog: Column, rate: Column) -> Column:
     return backlog / F.nullif(rate, F.lit(0))
 
 
-def job_state(backlog: Column, done: Column, errors: Column) -> Column:
-    """failing, done, clear, idle, working, stalled or behind."""
-    return (F.when((errors > 0) & (errors >= done), "failing").when((backlog == 0) & (done > 0), "done").when(backlog == 0, "clear").when(backlog.isNull(), "idle")
-            .when(done == 0, "stalled").when(eta(backlog, done) > 24, "behind").otherwise("working"))
-
-
-def job_rows(backlogs: DataFrame, activity: DataFrame) -> DataFrame:
-    """Jobs with backlog, what was done in the last hour, state and hours to go."""
-    df = backlogs.join(activity, "job", "left").fillna(0, ["done", "errors"])
-    return df.select("job", "backlog", "done", "errors", job_state(F.col("backlog"), F.col("done"), F.col("errors")).alias("state"), F.round(eta(F.col("backlog"), F.col("done")), 6).alias("eta"))
+def job_state(backlog: Column, rate: Column, last_at: Column, errors: Column, runs: Column, expect_full: Column, alarm_above: Column, finished: Column) -> Column:
+    """failing (every line an error), done, clear, idle, working, stalled or behind (more waits than the job's alarm)."""
+    moving, ran = F.coalesce(rate, F.lit(0)) > 0, last_at.isNotNull()
+    return (F.when((errors > 0) & (errors == runs), "failing").when(finished, "done").when(backlog == 0, F.when(ran, "clear").otherwise("idle"))
+            .when(backlog.isNull(), F.when(moving, "working").when(ran, "idle").otherwise("stalled")).when(~moving, F.when(ran, "stalled").otherwise("idle"))
+            .when(expect_full, "working").when(backlog > alarm_above, "behind").otherwise("working"))
+
+
+def job_rows(jobs: DataFrame, activity: DataFrame) -> DataFrame:
+    """Jobs (job, backlog, rate, events, expect_full, alarm_above, finished) with their lines in the log, state and hours to go.
+
+    activity has event, lines, errors and last_at; a job's lines are those of all its events.
+    """
+    of = jobs.select("job", F.explode("events").alias("event")).join(activity, "event").groupBy("job").agg(F.sum("lines").alias("runs"), F.sum("errors").alias("errors"), F.max("last_at").alias("last_at"))
+    df = jobs.join(of, "job", "left").fillna(0, ["runs", "errors"])
+    state = job_state(*(F.col(c) for c in ("backlog", "rate", "last_at", "errors", "runs", "expect_full", "alarm_above", "finished")))
+    return df.select("job", "backlog", "runs", "errors", "last_at", state.alias("state"), F.round(eta(F.col("backlog"), F.col("rate")), 6).alias("eta"))
 
 
 def queue_runtime(queue: DataFrame, items: DataFrame) -> DataFrame:

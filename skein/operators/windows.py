@@ -7,27 +7,35 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.text import cluster_key
+
 RIVER_LIMIT, PER_SOURCE, PER_HOST, MESSAGE_ITEMS = 60, 60, 8, 25
 
 
-def dedupe_items(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The first row of each story in the given order, with how many others it had.
+def newest_first(at: str = "published_at", *ties: str) -> Column:
+    """A rank that grows from the newest to the oldest, undated rows last, then by ``ties``."""
+    return F.struct(F.col(at).isNull().alias("undated"), (-F.unix_micros(F.col(at).cast("timestamp"))).alias("age"), *ties)
+
+
+def dedupe_items(rows: DataFrame, key: str, rank: Column, title: str | None = None) -> DataFrame:
+    """The row of each story with the smallest rank, and how many others it had.
 
-    Rows with an empty key belong to no story. They are spread by their order's hash, so that their
-    being many makes no large group.
+    A null key is made from the title where ``title`` names it; rows with an empty key, or none,
+    belong to no story and stay as they are. Stories are folded by partial aggregates before the
+    shuffle, so a story that many feeds tell makes no large group.
     """
-    w = Window.partitionBy("_story").orderBy(*order)
-    keyed = rows.where(F.col(key) != "").withColumn("_story", F.col(key))
-    keyed = keyed.withColumn("_n", F.row_number().over(w)).withColumn("duplicates", F.count(F.lit(1)).over(Window.partitionBy("_story")) - 1).where("_n = 1").drop("_n", "_story")
-    loose = rows.where((F.col(key) == "") | F.col(key).isNull()).withColumn("duplicates", F.lit(0).cast("long"))
-    return keyed.unionByName(loose)
+    own = F.coalesce(F.col(key), cluster_key(F.col(title))) if title else F.col(key)
+    all_ = rows.withColumn("_story", F.coalesce(own, F.lit("")))
+    first = all_.where("_story <> ''").groupBy("_story").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), rank).alias("row"), F.count(F.lit(1)).alias("n"))
+    loose = all_.where("_story = ''").drop("_story").withColumn("duplicates", F.lit(0).cast("long"))
+    return first.select("row.*", (F.col("n") - 1).alias("duplicates")).unionByName(loose)
 
 
 def merge_river(sources: list[DataFrame], key: str = "cluster_key", limit: int = RIVER_LIMIT) -> DataFrame:
     """Posts of all sources, newest first, undated ones last, one row a story."""
     order = [F.col("published_at").desc_nulls_last(), F.col("id"), F.col(key)]
     rows = reduce(DataFrame.unionByName, sources)
-    return dedupe_items(rows, key, *order).orderBy(*order).limit(limit)
+    return dedupe_items(rows, key, newest_first("published_at", "id", key)).orderBy(*order).limit(limit)
 
 
 def top_per(rows: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
@@ -58,10 +66,10 @@ def select_batch(pool: DataFrame, sent: DataFrame, cap: int, size: int = MESSAGE
     return ranked.select("user_id", "item_key", "id", "created_at", F.max("created_at").over(Window.partitionBy("user_id")).alias("next_cursor"))
 
 
-def cumulative_back(series: DataFrame, at: str, added: str, total: Column) -> DataFrame:
-    """A running total told backwards from today's."""
+def cumulative_back(series: DataFrame, at: str, added: str, total: DataFrame) -> DataFrame:
+    """A running total told backwards from today's, the one number of ``total``. A series has a row a day."""
     later = F.sum(added).over(Window.orderBy(at).rowsBetween(1, Window.unboundedFollowing))
-    return series.withColumn("running", total - F.coalesce(later, F.lit(0)))
+    return series.crossJoin(total.toDF("_total")).withColumn("running", F.col("_total") - F.coalesce(later, F.lit(0))).drop("_total")
 
 
 def day_labels(spark, today: str, days: int) -> DataFrame:
@@ -96,12 +104,24 @@ def group_by_host(feeds: DataFrame, host: Column) -> DataFrame:
     return feeds.groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("waiting"), F.min("next_fetch_at").alias("first_due")).orderBy(F.col("waiting").desc(), "host")
 
 
+def numbered(rows: DataFrame, by: str, ranges: int = 512) -> DataFrame:
+    """``rows`` with their place (from 0) in the order of a number, from ranks within equal ranges and the sizes of the ranges before: no task sees all rows."""
+    lo, hi = rows.agg(F.min(by), F.max(by)).first()
+    if lo is None:
+        return rows.withColumn("place", F.lit(None).cast("long"))
+    dealt = rows.withColumn("_range", F.floor((F.col(by) - lo) * ranges / (hi - lo + 1)))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # one row for each range
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(by)) - 1
+    return dealt.withColumn("_own", own).join(before, "_range").withColumn("place", (F.col("_own") + F.col("_before")).cast("long")).drop("_range", "_own", "_before")
+
+
 def queue_feeds(entries: DataFrame, feeds: DataFrame, start: Column, per_hour: int) -> DataFrame:
     """New addresses once each, without known ones, with due times one after another."""
-    first = entries.withColumn("_n", F.row_number().over(Window.partitionBy(F.lower("url")).orderBy("id"))).where("_n = 1").drop("_n")
-    new = first.join(feeds.select(F.lower("feed_url").alias("_url")), F.lower("url") == F.col("_url"), "left_anti")
-    place = F.row_number().over(Window.orderBy("id")) - 1
-    return new.withColumn("place", place.cast("long")).withColumn("next_fetch_at", start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("place") * F.lit(3600 // per_hour)).cast("decimal(18,6)")))
+    first = entries.groupBy(F.lower("url").alias("_key")).agg(F.min_by(F.struct(*entries.columns), "id").alias("row"))
+    new = first.join(feeds.select(F.lower("feed_url").alias("_url")), F.col("_key") == F.col("_url"), "left_anti").select("row.*")
+    return numbered(new, "id").withColumn("next_fetch_at", start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("place") * F.lit(3600 // per_hour)).cast("decimal(18,6)")))
 
 
 def claim_slugs(entries: DataFrame, taken: DataFrame, base: str = "base") -> DataFrame:

@@ -67,7 +67,6 @@ ON_TEXTS = [
     ("txt47_personal_email", ["write to Ann@a.org", "info@a.org"], "case when x like 'write%' then 'ann@a.org' end", lambda x: T.personal_email(x)),
     ("txt49_classify_link", ["https://github.com/ann", "https://m.example/@ann", "mailto:a@b.c", "https://a.example/"], "case when x like '%github%' then 'github' when x like '%@ann' then 'mastodon' when x like 'mailto%' then 'email' end", lambda x: T.classify_link(x)[0]),
     ("txt50_identity_key", ["Ann Bee"], "'ann bee@a.example'", lambda x: T.identity_key(F.lit(None).cast("string"), x, F.lit("https://a.example/f"))),
-    ("txt58_framing_verdict", ["default-src *; frame-ancestors 'none'", "frame-ancestors *", ""], "x not like '%none%'", lambda x: T.framing_verdict(x, F.lit(None).cast("string"), "https://o.example")),
 ]
 for _n, _values, _sql, _f in ON_TEXTS:
     _t = literals(_values)
@@ -87,9 +86,7 @@ add("sca40_playable_media", "select id, case when audio_url is not null then aud
 add("sca42_post_thumb", "select id, audio_url as v from items", lambda m: m.items.select("id", S.post_thumb(F.lit(None).cast("string"), F.col("audio_url")).alias("v")))
 add("sca54_text_line", "select id, concat_ws(' ', strftime(\"at\", '%Y-%m-%d %H:%M:%S'), event, status, detail) as v from log", lambda m: m.log.select("id", S.text_line(F.col("at"), F.col("event"), F.col("status"), F.col("detail")).alias("v")))
 add("sca60_entity", "select code, chr(code::int) as v from (values (65), (233), (128512)) t(code)", lambda m: m.spark.createDataFrame([(65,), (233,), (128512,)], "code int").select("code", S.entity(F.col("code").cast("long")).alias("v")))
-add("sca61_absolute_image", None, lambda m: m.spark.createDataFrame([("/a.png", "https://s.example/x"), ("data:x", "https://s.example/")], "raw string, base string").select(S.absolute_image("raw", "base").alias("v")))
 add("sca62_body_length", None, lambda m: m.base("pages").select("page_id", S.body_length(F.lit(""), F.col("html")).alias("v")))
-add("sca68_hash_ip", None, lambda m: m.submissions.select("id", S.hash_ip("ip_hash", "salt").alias("v")))
 add("sca07_text_length", None, lambda m: m.base("pages").select("page_id", T.text_length(F.col("html")).alias("v")))
 add("sca06_published", "select id, epoch(created_at)::bigint as v from feeds", lambda m: m.feeds.select("id", S.published(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")).alias("v")))
 add("txt17_age_of_newest", "select feed_id, (epoch(timestamp '2002-01-01') - epoch(max(published_at)))::bigint as age from items group by 1", lambda m: T.age_of_newest(m.items, F.expr("timestamp '2002-01-01'")))

@@ -72,11 +72,6 @@ KIND_N = "c as (select category, count(*) as n from feeds where status <> 'dead'
 add("agg42_filters_with_hits", f"with {KIND_N} select g.grp, sum(coalesce(n, 0))::bigint as n from {GROUPS} left join c on c.category = g.category group by 1 having sum(coalesce(n, 0)) > 0", lambda m: A.grouped_counts(L.live(m.feeds).where("category <> 'comic'").groupBy("category").agg(F.count(F.lit(1)).alias("n")), SEGMENTS))
 add("agg43_total_hits", f"with {KIND_N} select sum(n)::bigint as n from c", lambda m: L.live(m.feeds).where("category <> 'comic'").groupBy("category").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n")))
 add("agg44_groups_with_feeds", f"with k as (select f.category, count(*) as n from feed_keywords k join feeds f on f.id = k.feed_id where k.slug = 'topic-3' and f.status <> 'dead' group by 1) select g.grp, sum(coalesce(n, 0))::bigint as n from {GROUPS} left join k on k.category = g.category group by 1 having sum(coalesce(n, 0)) > 0", lambda m: A.grouped_counts(A.topic_kind_counts(m.feed_keywords, m.feeds, "topic-3").withColumnRenamed("feeds", "n"), SEGMENTS))
-add("agg45_job_rows", """with b as (select 'view' as job, count(*) as backlog from feeds where status = 'pending' union all select 'error', count(*) from import_entries union all select 'click', 0),
-    a as (select event as job, count(*) as done, count(*) filter (status = 'error') as errors from log group by 1), j as (select b.job, backlog, coalesce(done, 0) as done, coalesce(errors, 0) as errors from b left join a using (job))
-    select job, backlog, done, errors, case when errors > 0 and errors >= done then 'failing' when backlog = 0 and done > 0 then 'done' when backlog = 0 then 'clear' when done = 0 then 'stalled' when backlog / done > 24 then 'behind' else 'working' end as state, round(backlog / nullif(done, 0), 6) as eta from j""",
-    lambda m: A.job_rows(A.count(m.feeds.where("status = 'pending'"), "backlog").select(F.lit("view").alias("job"), "backlog").unionByName(A.count(m.import_entries, "backlog").select(F.lit("error").alias("job"), "backlog")).unionByName(m.spark.sql("select 'click' as job, 0L as backlog")),
-                         m.log.groupBy(F.col("event").alias("job")).agg(F.count(F.lit(1)).alias("done"), F.count_if(F.col("status") == "error").alias("errors"))))
 add("agg46_queue_runtime", "select q.user_id, case when 2 * count(case when i.audio_url is not null then i.audio_seconds end) >= count(*) then sum(case when i.audio_url is not null then i.audio_seconds end)::bigint end as seconds, count(*) as tracks from queue_entries q join items i on i.id = q.item_id group by 1", lambda m: A.queue_runtime(m.queue_entries, m.items))
 add("agg47_write_tally", "select event as shape, count(*) as calls, round(sum(amount), 4) as amount from log group by 1", lambda m: m.log.groupBy(F.col("event").alias("shape")).agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("amount"), 4).alias("amount")))
 add("set01_events", "select * from (select 'keyword' as source, id, \"at\", keyword as subject, status from run_keywords where run_id = 9 union all select 'site', id, \"at\", host, status from candidates where run_id = 9) order by \"at\", source, id limit 50",

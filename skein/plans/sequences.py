@@ -15,7 +15,6 @@ RIVER = "order by published_at desc nulls last, id, cluster_key"
 FOLD = """select id, cluster_key, published_at, 0 as duplicates from {t} where cluster_key = '' union all
     select id, cluster_key, published_at, n - 1 from (select *, row_number() over (partition by cluster_key order by published_at desc nulls last, id) as r, count(*) over (partition by cluster_key) as n from {t} where cluster_key <> '') where r = 1"""
 ITEM = ["id", "cluster_key", "published_at"]
-add("win01_dedupe_items", f"with x as (select id, cluster_key, published_at from items) {FOLD.format(t='x')}", lambda m: W.dedupe_items(m.items.select(ITEM), "cluster_key", F.col("published_at").desc_nulls_last(), F.col("id")))
 add("win02_merge_river", f"with x as (select id, cluster_key, published_at from items where feed_id in (1, 77) union all select id, cluster_key, published_at from items where feed_id between 100 and 400) select * from ({FOLD.format(t='x')}) {RIVER} limit 60",
     lambda m: W.merge_river([m.items.where("feed_id in (1, 77)").select(ITEM), m.items.where("feed_id between 100 and 400").select(ITEM)]))
 add("win03_following", f"""with s as (select 'feeds' as source, feed_id from follows where user_id = 110 union all select distinct 'topics', k.feed_id from feed_keywords k join topic_follows t on t.slug = k.slug where t.user_id = 110),
@@ -30,8 +29,6 @@ add("win04_select_batch", """with pool as (select o.user_id, o.source, i.id, i.c
     select user_id, item_key, id, created_at, max(created_at) over (partition by user_id) as next_cursor from k""",
     lambda m: W.select_batch(m.items.join(m.follows.where("alerts").select("user_id", "feed_id", F.concat(F.lit("f"), (F.col("feed_id") % 3).cast("string")).alias("source")), "feed_id").select(
         "user_id", "source", "id", "created_at", F.when(F.col("cluster_key") != "", F.concat(F.lit("c:"), "cluster_key")).otherwise(F.concat(F.lit("g:"), F.col("id").cast("string"))).alias("item_key")), m.alert_sent, 8, 5))
-add("win05_cumulative_back", "with d as (select cast(created_at as date) as day, count(*) as added from feeds where created_at >= timestamp '2000-06-01' group by 1) select day, added, (15000 - coalesce(sum(added) over (order by day rows between 1 following and unbounded following), 0))::bigint as running from d",
-    lambda m: W.cumulative_back(m.feeds.where("created_at >= timestamp '2000-06-01'").groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("added")), "day", "added", F.lit(15000)))
 add("win06_day_labels", "select cast(unnest(generate_series(date '2000-12-03', date '2001-01-01', interval 1 day)) as date) as day", lambda m: W.day_labels(m.spark, "2001-01-01", 30))
 add("win07_queue_history", "select hour, crawled from hourly where hour >= timestamp '2024-01-29 00:00:00' order by hour", lambda m: m.hourly.where("hour >= timestamp '2024-01-29 00:00:00'").select("hour", "crawled").orderBy("hour"))
 GRID = "g as (select unnest(generate_series(timestamp '2024-01-29 01:00:00', timestamp '2024-01-31 00:00:00', interval 1 hour)) as hour)"

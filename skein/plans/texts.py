@@ -48,17 +48,6 @@ add("txt11_backfill_cluster_keys", f"select id, coalesce({KEY.format('title')},
 STEM = "case when length(w) > 4 and w like '%ies' then regexp_replace(w, 'ies$', '') when length(w) > 4 and w like '%es' then regexp_replace(w, 'es$', '') when length(w) > 3 and w like '%s' then regexp_replace(w, 's$', '') else w end"
 STEMS = "list_distinct(list_transform(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 3 and w not in (" + quoted(T.RELEVANCE_STOPWORDS) + f")), lambda w: {STEM}))"
 add("txt13_keyword_stems", f"select doc_id, list_sort({STEMS.format('title')}) as stems from texts", lambda m: m.texts.select("doc_id", F.array_sort(T.keyword_stems(F.col("title"))).alias("stems")))
-add("txt14_feed_text", "select source, string_agg(lower(title), ' ' order by doc_id) as text from (select *, row_number() over (partition by source order by doc_id) as n from texts) where n <= 30 group by 1",
-    lambda m: m.spark.sql("select source, listagg(lower(title), ' ') within group (order by doc_id) as text from (select *, row_number() over (partition by source order by doc_id) as n from {t}) where n <= 30 group by 1", t=m.texts))
-add("txt15_relevance", f"with s as (select doc_id, {STEMS.format('title')} as stems, lower(summary) as text from texts) select doc_id, len(stems) = 0 or len(list_filter(stems, lambda x: contains(text, x))) >= ceil(len(stems) / 2) as relevant from s", lambda m: m.texts.select("doc_id", T.relevance(F.col("title"), F.col("summary")).alias("relevant")))
-add("txt16_assess_feed", f"""with i as (select feed_id, count(*) as n, max(published_at) as newest, count(distinct lower(trim(title))) as titles, count(audio_url) as linked from items group by 1),
-    d as (select f.id, f.feed_url, f.title, f.description, coalesce(n, 0) as n, titles, linked, (epoch({AS_OF}) - epoch(newest)) / 86400 as age from feeds f left join i on i.feed_id = f.id),
-    r as (select *, case when regexp_matches(feed_url, '/comments(/|$)') then 'comments-feed' when regexp_matches(feed_url, '/(tag|category|author)/') then 'partial-feed' when n < 2 then 'too-few-items' when age > 548 then 'abandoned' when titles = 1 and n > 2 then 'duplicate-titles' end as reason,
-        least(greatest(case when n >= 10 then 30 when n >= 5 then 20 else 10 end + case when age is null then 10 when age <= 30 then 40 when age <= 90 then 25 when age <= 365 then 15 else 10 end + case when length(trim(title)) > 0 then 15 else 0 end + case when length(trim(description)) > 0 then 10 else 0 end + case when 2 * linked >= n then 5 else -20 end, 0), 100) as s from d)
-    select id, reason is null and s >= 50 as worthy, case when reason is null then s else 0 end as score, reason from r""", lambda m: T.assess_feed(m.feeds, m.items.withColumnRenamed("audio_url", "url"), _now()))
-add("txt18_assess_series", """with i as (select feed_id, count(*) as n, count(audio_url) as linked, count(distinct 's' || supplier::varchar) as authors from items group by 1), d as (select f.id, f.title, f.description, coalesce(n, 0) as n, coalesce(linked, 0) as linked, coalesce(authors, 0) as authors from feeds f left join i on i.feed_id = f.id),
-    r as (select *, case when n < 4 then 'too-few-items' when linked = 0 then 'no-links' when authors > 3 then 'mixtape' end as reason, case when n >= 12 then 35 when n >= 8 then 28 else 20 end + case when authors = 1 then 35 when authors = 2 then 15 else 5 end + case when length(trim(title)) > 0 then 20 else 0 end + case when length(trim(description)) > 0 then 5 else 0 end + case when linked = n then 5 else 0 end as s from d)
-    select id, reason is null and s >= 50 as accepted, case when reason is null then s else 0 end as score, reason from r""", lambda m: T.assess_series(m.feeds, m.items.select("feed_id", F.col("audio_url").alias("url"), F.concat(F.lit("s"), F.col("supplier").cast("string")).alias("author"))))
 HTML = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[\\s\\x{a0}]+', ' ', 'g'))"
 add("txt20_summarize", f"with t as (select page_id, {HTML} as t from pages) select page_id, case when length(t) <= 400 then t else case when contains(substr(t, 1, 400), ' ') then regexp_replace(substr(t, 1, 400), '(?s)^(.*) [^ ]*$', '\\1') else substr(t, 1, 400) end || '…' end as summary from t", lambda m: m.base("pages").select("page_id", T.summarize(F.col("html")).alias("summary")))
 add("txt22_text_length", f"select page_id, length({HTML}) as chars from pages", lambda m: m.base("pages").select("page_id", T.text_length(F.col("html")).cast("long").alias("chars")))
@@ -91,11 +80,8 @@ SCALARS = [
     ("sca01_normalize_kind", "feeds", "id, case when lower(trim(category)) in ('blog','news','podcast','music','video','comic','live','reel') then lower(trim(category)) end as v", lambda: S.normalize_kind(F.col("category"))),
     ("sca12_apex_of", "feeds", "id, regexp_extract(regexp_extract(site_url, '^https?://([^/]+)', 1), '([^.]+\\.[^.]+)$', 1) as v", lambda: S.apex_of(S.host_of(F.col("site_url")))),
     ("sca17_backoff_minutes", "feeds", "id, [60,180,360,720,1440][least(greatest(error_count, 1), 5)] as v", lambda: S.backoff_minutes(F.col("error_count"))),
-    ("sca18_throttle_minutes", "feeds", "id, case when id % 7 = 0 then 30 else least(greatest(ceil(id / 60), 1), 1440) end::bigint as v", lambda: S.throttle_minutes(F.when(F.col("id") % 7 != 0, F.col("id"))).cast("long")),
     ("sca21_billing_period", "feeds", "id, cast(case when day(created_at) >= 13 then make_date(year(created_at), month(created_at), 13) else make_date(year(created_at), month(created_at), 13) - interval 1 month end as date) as v", lambda: S.billing_period_start(F.col("created_at"))),
     ("sca24_item_key", "items", "id, case when cluster_key <> '' then 'c:' || cluster_key else 'g:' || feed_id::varchar || chr(10) || guid end as v", lambda: S.item_key(F.col("cluster_key"), F.col("feed_id").cast("string"), F.col("guid"))),
-    ("sca28_should_fetch", "extracts", f"item_id as id, case when state = 'ok' then false when state = 'error' or regexp_matches(state, '^http-5\\d\\d$') then {HOURS} - epoch(fetched_at) >= 600 else {HOURS} - epoch(fetched_at) >= 86400 end as v", lambda: S.should_fetch(F.col("state"), F.col("fetched_at"), F.expr("timestamp '2001-01-01'"))),
-    ("sca29_freshness", "feeds", f"id, case when last_fetched_at is null then 'unread' when status in ('error','dead') then 'failing' when {HOURS} - epoch(next_fetch_at) > 120 * interval_minutes then 'overdue' when last_published_at is null or {HOURS} - epoch(last_published_at) > 365*86400 then 'dormant' else 'live' end as v", lambda: S.freshness(F.col("status"), F.col("last_fetched_at"), F.col("next_fetch_at"), F.col("interval_minutes"), F.col("last_published_at"), F.expr("timestamp '2001-01-01'"))),
     ("sca34_media_kind", "items", "id, case when audio_url is null then null when audio_type like 'video/%' then 'video' when audio_type like 'audio/%' then 'audio' end as v", lambda: S.media_kind(F.col("audio_url"), F.col("audio_type"))),
     ("sca44_monogram", "feeds", "id, upper(substr(trim(title), 1, 1)) as v", lambda: S.monogram(F.col("title"))),
     ("sca45_monogram_hue", "feeds", "id, list_reduce(list_prepend(0::bigint, list_transform(string_split(slug, ''), lambda c: ascii(c)::bigint)), lambda h, c: (h * 31 + c) % 360) as v", lambda: S.hash31(F.col("slug"), 360)),
@@ -103,7 +89,6 @@ SCALARS = [
     ("sca66_hms", "items", "id, case when audio_seconds >= 3600 then printf('%d:%02d:%02d', audio_seconds // 3600, audio_seconds % 3600 // 60, audio_seconds % 60) else printf('%d:%02d', audio_seconds // 60, audio_seconds % 60) end as v", lambda: S.hms(F.col("audio_seconds"))),
     ("sca65_rfc822", "feeds", "id, strftime(created_at, '%a, %d %b %Y %H:%M:%S') || ' GMT' as v", lambda: S.rfc822(F.col("created_at"))),
     ("sca67_esc", "texts", "doc_id as id, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') as v", lambda: S.escape_xml(F.col("title"))),
-    ("sca30_human_gap", "feeds", "id, case when s < 3600 then greatest(s // 60, 1)::varchar || ' minute' || case when greatest(s // 60, 1) = 1 then '' else 's' end when s < 172800 then (s // 3600)::varchar || ' hour' || case when s // 3600 = 1 then '' else 's' end else (s // 86400)::varchar || ' day' || case when s // 86400 = 1 then '' else 's' end end as v from (select id, id * 37 as s from feeds) feeds_", lambda: S.human_gap(F.col("id") * 37)),
     ("sca10_normalize_url", "feeds", "id, regexp_replace(feed_url, '#.*$', '') as v", lambda: S.normalize_url(F.concat(F.col("feed_url"), F.lit("#top")))),
 ]
 for _n, _r, _sql, _f in SCALARS:

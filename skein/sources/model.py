@@ -80,7 +80,7 @@ RELATIONS: dict[str, tuple[str, str]] = {
     "author_searches": ("orders", "select o_orderkey as id, o_orderkey % 100 as author_id, o_orderkey % 5 as queries, o_orderdate as at from orders where o_orderkey % 17 = 0"),
     "extracts": ("documents", f"select doc_id as item_id, case doc_id % 5 when 0 then 'ok' when 1 then 'error' when 2 then 'http-503' when 3 then 'http-404' else 'thin' end as state, {AS_OF} - MINUTES(doc_id * 7 % 4000) as fetched_at from documents"),
     "hourly": ("events", "select date_trunc('hour', ts) as hour, count(*) as crawled, sum(case when event_type = 'error' then 1 else 0 end) as failed, sum(case when event_type = 'view' then 1 else 0 end) as items from events group by 1"),
-    "texts": ("documents", "select doc_id, source, lang, split_part(text, LF, 1) as title, substr(text, length(split_part(text, LF, 1)) + 2, 400) as summary from documents"),
+    "texts": ("documents", "select doc_id, source, lang, split_part(text, LF, 1) as title, substr(text, length(split_part(text, LF, 1)) + 2) as summary from documents"),
 }
 
 
