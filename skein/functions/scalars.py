@@ -290,6 +290,17 @@ def thumb_src(raw: Column) -> Column:
     return F.when(u.rlike("^https://") & (F.length(u) <= 1000), u)
 
 
+#: Pixels of the smallest picture shown on a card, and of a large one.
+CARD_MIN, CARD_LARGE_WIDTH, CARD_LARGE_HEIGHT = 200, 600, 315
+
+
+def feed_card(url: Column, width: Column, height: Column) -> Column:
+    """(url, width, height, large) of a picture that is large enough for a card; null otherwise."""
+    at = thumb_src(url)
+    large = (width >= CARD_LARGE_WIDTH) & (height >= CARD_LARGE_HEIGHT)
+    return F.when(at.isNotNull() & (width >= CARD_MIN) & (height >= CARD_MIN), F.struct(at.alias("url"), width.alias("width"), height.alias("height"), large.alias("large")))
+
+
 def post_thumb(*images: Column) -> Column:
     return F.coalesce(*[thumb_src(i) for i in images])
 

@@ -75,6 +75,12 @@ def topic_slug(keyword: Column) -> Column:
     return F.array_join(F.transform(F.split(F.regexp_replace(t, "-+$", ""), "-"), singularize), "-")
 
 
+def search_slug(query: Column) -> Column:
+    """What a search for topics looks up: the query as a slug, or as it is where that leaves nothing."""
+    t = F.trim(F.lower(F.coalesce(query, F.lit(""))))
+    return F.when(t == "", "").otherwise(F.coalesce(F.nullif(topic_slug(t), F.lit("")), t))
+
+
 def slugify(text: Column, most: int = 80) -> Column:
     """An address of letters and digits; accents of Latin letters are dropped."""
     t = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")

@@ -175,3 +175,8 @@ def matches(haystack: Column, wanted: list[str]) -> Column:
 def lanes_for_items(queue: DataFrame, user_id: int) -> DataFrame:
     """The lanes each item of a user's queue waits in."""
     return queue.where(F.col("user_id") == user_id).groupBy("item_id").agg(F.array_sort(F.collect_set("lane")).alias("lanes"))
+
+
+def tail_of(rows: DataFrame, by: list[str], n: int) -> DataFrame:
+    """The last ``n`` rows in the order of ``by``, oldest first."""
+    return rows.orderBy(*[F.col(c).desc() for c in by]).limit(n).orderBy(*by)

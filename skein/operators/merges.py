@@ -103,3 +103,14 @@ def move(queue: DataFrame, user_id: int, lane: str, entry_id: int, up: bool = Tr
     near = own.select("id", "position", (F.lag if up else F.lead)(F.struct("id", "position")).over(w).alias("other")).where((F.col("id") == entry_id) & F.col("other").isNotNull())
     swap = near.select("id", F.col("other.position").alias("_to")).unionByName(near.select(F.col("other.id").alias("id"), F.col("position").alias("_to")))
     return queue.join(swap, "id", "left").withColumn("position", F.coalesce("_to", "position")).drop("_to").select(queue.columns)
+
+
+def move_all(queue: DataFrame, entries: DataFrame, up: bool = True) -> DataFrame:
+    """Each of ``entries`` (user_id, lane, id), one a user's lane, changes places with its neighbour among the open ones."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id", "lane").orderBy("position", "id")
+    own = queue.where(~F.col("done")).join(entries.select("user_id", "lane").distinct(), ["user_id", "lane"], "left_semi")
+    near = own.select("id", "position", (F.lag if up else F.lead)(F.struct("id", "position")).over(w).alias("other")).join(entries.select("id"), "id", "left_semi").where("other is not null")
+    swap = near.select("id", F.col("other.position").alias("_to")).unionByName(near.select(F.col("other.id").alias("id"), F.col("position").alias("_to")))
+    return queue.join(swap, "id", "left").withColumn("position", F.coalesce("_to", "position")).drop("_to").select(queue.columns)

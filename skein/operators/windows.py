@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.text import cluster_key
+from skein.functions.scalars import RESERVED
+from skein.functions.text import cluster_key, slugify
 
 RIVER_LIMIT, PER_SOURCE, PER_HOST, MESSAGE_ITEMS = 60, 60, 8, 25
 
@@ -141,6 +142,14 @@ def claim_slugs(entries: DataFrame, taken: DataFrame, base: str = "base") -> Dat
     return n.join(free, [base, "_k"]).withColumn("slug", F.when(F.col("_no") == 1, F.col(base)).otherwise(F.concat_ws("-", base, F.col("_no").cast("string")))).drop("_k", "_no")
 
 
+def unique_slugs(entries: DataFrame, taken: DataFrame) -> DataFrame:
+    """A free slug for each of ``entries`` (id, title, url): from the title, else from the address's host, else ``untitled``; reserved words count as taken."""
+    host = F.regexp_replace(F.regexp_extract(F.coalesce("url", F.lit("")), r"^https?://([^/?#]+)", 1), r"^www\.", "")
+    base = F.coalesce(F.nullif(slugify(F.coalesce("title", F.lit(""))), F.lit("")), F.nullif(slugify(host), F.lit("")), F.lit("untitled"))
+    reserved = entries.sparkSession.createDataFrame([(r,) for r in RESERVED], "slug string")
+    return claim_slugs(entries.withColumn("base", base), taken.select("slug").unionByName(reserved).distinct()).drop("base")
+
+
 def first_spelling(rows: DataFrame, name: str, at: str, *by: str) -> DataFrame:
     """Names without regard to case, each as it is spelt first."""
     return rows.groupBy(*by, F.lower(name).alias("_key")).agg(F.min_by(name, at).alias(name), F.min(at).alias(at)).drop("_key")
@@ -158,6 +167,13 @@ def parse_keywords(raw: DataFrame, column: str = "raw", most: int = 100) -> Data
     return once.orderBy("pos").limit(most).select("pos", "keyword")
 
 
+def keywords_of(raw: DataFrame, by: str, column: str = "raw", most: int = 100) -> DataFrame:
+    """(by, pos, keyword): words of each owner's list by lines or commas, once each without regard to case, the first ``most``."""
+    words = raw.select(by, F.posexplode(F.split(column, r"[\n,]")).alias("pos", "keyword")).withColumn("keyword", F.trim("keyword")).where("keyword <> ''")
+    once = words.groupBy(by, F.lower("keyword").alias("_k")).agg(F.min_by("keyword", "pos").alias("keyword"), F.min("pos").alias("pos"))
+    return top_per(once, by, most, F.col("pos")).select(by, "pos", "keyword")
+
+
 def merge_credits(credits: DataFrame, by: str = "feed_id") -> DataFrame:
     """One credit per person of a feed: equal names, and a single word with the one fuller name it begins.
 

@@ -81,20 +81,15 @@ add("sca23_segment_kinds", "select slug, case segment when 'audio' then ['podcas
 add("sca31_eta", "select id, round(item_count / nullif(error_count, 0), 6) as v from feeds", lambda m: m.feeds.select("id", F.round(A.eta(F.col("item_count"), F.col("error_count")), 6).alias("v")))
 add("sca32_eta_label", "select id, case when id % 90 < 48 then greatest(id % 90, 1)::varchar || 'h' else ceil((id % 90) / 24)::bigint::varchar || 'd' end as v from feeds", lambda m: m.feeds.select("id", S.eta_label(F.greatest(F.col("id") % 90, F.lit(1))).alias("v")))
 add("sca35_is_episode", "select id, audio_url is not null and audio_seconds < 1200 as v from items", lambda m: m.items.select("id", S.is_episode(F.col("audio_url"), F.col("audio_type"), F.col("audio_seconds")).alias("v")))
-add("sca36_is_picture", None, lambda m: m.base("pages").select("page_id", S.is_picture(F.col("html")).alias("v")))
 add("sca40_playable_media", "select id, case when audio_url is not null then audio_url end as v from items", lambda m: m.items.select("id", S.playable_media(F.col("audio_url"), F.col("audio_type"))["src"].alias("v")))
 add("sca42_post_thumb", "select id, audio_url as v from items", lambda m: m.items.select("id", S.post_thumb(F.lit(None).cast("string"), F.col("audio_url")).alias("v")))
 add("sca54_text_line", "select id, concat_ws(' ', strftime(\"at\", '%Y-%m-%d %H:%M:%S'), event, status, detail) as v from log", lambda m: m.log.select("id", S.text_line(F.col("at"), F.col("event"), F.col("status"), F.col("detail")).alias("v")))
 add("sca60_entity", "select code, chr(code::int) as v from (values (65), (233), (128512)) t(code)", lambda m: m.spark.createDataFrame([(65,), (233,), (128512,)], "code int").select("code", S.entity(F.col("code").cast("long")).alias("v")))
-add("sca62_body_length", None, lambda m: m.base("pages").select("page_id", S.body_length(F.lit(""), F.col("html")).alias("v")))
-add("sca07_text_length", None, lambda m: m.base("pages").select("page_id", T.text_length(F.col("html")).alias("v")))
 add("sca06_published", "select id, epoch(created_at)::bigint as v from feeds", lambda m: m.feeds.select("id", S.published(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")).alias("v")))
 add("txt17_age_of_newest", "select feed_id, (epoch(timestamp '2002-01-01') - epoch(max(published_at)))::bigint as age from items group by 1", lambda m: T.age_of_newest(m.items, F.expr("timestamp '2002-01-01'")))
 add("txt26_byline_count", "select feed_id, count(distinct supplier % 7) as bylines from items group by 1", lambda m: T.byline_count(m.items.select("feed_id", F.concat(F.lit("Ann N"), (F.col("supplier") % 7).cast("string")).alias("author"))))
 add("txt24_is_newsroom", "select id, (id % 20 >= 12 and id % 2 = 0) or (id % 20 >= 3 and (id % 5 >= 2 or id % 3 = 0)) or (id % 3 = 0 and id % 20 >= 2) as v from feeds", lambda m: m.feeds.select("id", T.is_newsroom(F.col("id") % 20, F.col("id") % 5, F.col("id") % 3 == 0, F.col("id") % 2 == 0).alias("v")))
 add("txt27_is_show_shaped", "select id, 2 * (id % 6) > 5 and 2 * (id % 4) > id % 6 as v from feeds", lambda m: m.feeds.select("id", T.is_show_shaped(F.col("id") % 6, F.col("id") % 4, F.lit(5)).alias("v")))
-add("txt30_html_image", None, lambda m: m.base("pages").select("page_id", T.html_image(F.col("html")).alias("v")))
-add("txt54_card_candidates", None, lambda m: m.base("pages").select("page_id", T.card_candidates(F.col("html")).alias("v")))
 add("txt55_card_fit", "select id, case when id % 900 >= 600 and id % 500 >= 315 then 'large' when id % 900 >= 200 and id % 500 >= 200 then 'small' else 'none' end as v from feeds", lambda m: m.feeds.select("id", S.card_fit(F.col("id") % 900, F.col("id") % 500).alias("v")))
 add("txt64_worth_searching", "select a.id, confidence >= 0.8 and coalesce(n, 0) = 0 as v from authors a left join (select author_id, count(*) as n from author_links group by 1) l on l.author_id = a.id", lambda m: m.authors.join(m.author_links.groupBy(F.col("author_id").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id", "left").select("id", T.worth_searching(F.col("confidence"), F.col("name"), F.col("n")).alias("v")))
 add("txt65_searches_for", "select id, n as network, '\"' || name || '\" ' || n as query from authors, (values ('github'), ('mastodon')) v(n)", lambda m: T.searches_for(m.authors, ["github", "mastodon"]))

@@ -96,7 +96,6 @@ for _n, _c, _v in (("dml35_set_like", "liked", "true"), ("dml36_set_vote", "vote
     add(_n, f"select item_id, user_id, case when item_id % 5 = 0 then {_v} else {_c} end as {_c} from reactions", lambda m, c=_c, v=_v: M.merge(m.reactions.select("item_id", "user_id", c), m.reactions.where("item_id % 5 = 0").select("item_id", "user_id", F.expr(v).alias(c)), ["item_id", "user_id"], **{c: M.latest(c)}))
 add("dml21_win_add_to_queue", "with r as (select id + 100000 as id, user_id, item_id, lane, row_number() over (partition by user_id, lane order by id) as k from queue_entries where done), l as (select user_id, lane, max(position) as last from queue_entries group by 1, 2), o as (select id, user_id, item_id, lane, position, done from queue_entries q where not exists (select 1 from r where r.user_id = q.user_id and r.lane = q.lane and r.item_id = q.item_id)) select * from o union all select id, user_id, item_id, lane, coalesce(last, 0) + k, false from r left join l using (user_id, lane)",
     lambda m: M.enqueue(m.queue_entries, m.queue_entries.where("done").select((F.col("id") + 100000).alias("id"), "user_id", "item_id", "lane")))
-add("dml20_win_move", None, lambda m: M.move(m.queue_entries, 110, "read", 0).select("id", "position"))
 add("dml37_add_comment", "select id, item_id, body from comments union all select 10000000 + item_id, item_id, substr(trim(min(body)), 1, 4000) from comments where item_id < 20 group by item_id", lambda m: m.comments.select("id", "item_id", "body").unionByName(m.comments.where("item_id < 20").groupBy("item_id").agg(F.min("body").alias("body")).select((F.col("item_id") + 10000000).alias("id"), "item_id", F.substring(F.trim("body"), 1, M.COMMENT_CHARS).alias("body"))))
 add("dml06_replace_feed_keywords", "select feed_id, slug, count from feed_keywords where feed_id <> 77 union all select 77, 'topic-1', 5", lambda m: M.delete_where(m.feed_keywords.select("feed_id", "slug", "count"), "feed_id = 77").unionByName(m.spark.sql("select 77L as feed_id, 'topic-1' as slug, 5L as count")))
 INSERTS_MORE = [

@@ -40,13 +40,10 @@ add("win11_group_by_host", f"select {HOST} as host, count(*) as waiting, min(nex
 ENTRIES = "e as (select id, case when id % 5 = 0 then 'HTTPS://host17.example/feed/' || id::varchar else url end as url from import_entries)"
 add("win12_queue_feeds", f"with {ENTRIES}, f as (select * from e qualify row_number() over (partition by lower(url) order by id) = 1), n as (select * from f where lower(url) not in (select lower(feed_url) from feeds)), p as (select id, url, row_number() over (order by id) - 1 as place from n) select id, url, place, {AS_OF} + to_seconds(place * 60) as next_fetch_at from p",
     lambda m: W.queue_feeds(m.import_entries.select("id", F.when(F.col("id") % 5 == 0, F.concat(F.lit("HTTPS://host17.example/feed/"), F.col("id").cast("string"))).otherwise(F.col("url")).alias("url")), m.feeds, F.expr(f"{AS_OF}"), 60).select("id", "url", "place", "next_fetch_at"))
-add("win13_claim_slugs", None, lambda m: W.claim_slugs(m.import_entries.select("id", F.concat(F.lit("feed-"), (F.col("id") % 50).cast("string")).alias("base")), m.feeds.select("slug")))
 add("win14_import_feeds", "select id, url from (select *, row_number() over (partition by lower(url) order by id) as n from import_entries) where n = 1 and lower(url) not in (select lower(feed_url) from feeds)", lambda m: W.queue_feeds(m.import_entries, m.feeds, _now(), 60).select("id", "url"))
 add("win16_series_authors", "select feed_id, min_by(name, id) as name, min(id) as id from (select feed_id, id, case when id % 2 = 0 then upper('supplier ' || (supplier % 3)::varchar) else 'Supplier ' || (supplier % 3)::varchar end as name from items) group by feed_id, lower(name)",
     lambda m: W.first_spelling(m.items.select("feed_id", "id", F.expr("case when id % 2 = 0 then upper('supplier ' || cast(supplier % 3 as string)) else 'Supplier ' || cast(supplier % 3 as string) end").alias("name")), "name", "id", "feed_id"))
 add("win17_candidate_sites", f"select id as pos, {HOST} as host from feeds qualify row_number() over (partition by {HOST} order by id) = 1", lambda m: W.candidate_sites(m.feeds.withColumnRenamed("id", "pos"), S.host_of(F.col("feed_url"))).select("pos", "host"))
-add("win18_parse_keywords", None, lambda m: W.parse_keywords(m.spark.sql("select 'Rust, go\\nrust\\n ,Spark' as raw")))
-add("win19_merge_credits", None, lambda m: W.merge_credits(m.feed_authors.join(m.authors.select(F.col("id").alias("author_id"), "name", "email", F.col("identity_key").alias("url")), "author_id").select("feed_id", "name", "role", "confidence", "email", "url", F.col("author_id").alias("pos"))))
 add("win24_rate_limit", None, lambda m: W.first_window_limit(m.log.select(F.col("subject").alias("identity"), "at"), 3))
 add("set03_keyword_diff", """with a as (select feed_id, slug, keyword, case when feed_id % 3 = 0 then count + 1 else count end as count from feed_keywords where feed_id % 5 <> 0), b as (select feed_id, slug, keyword, count from feed_keywords where feed_id % 7 <> 0)
     select coalesce(a.feed_id, b.feed_id) as feed_id, coalesce(a.slug, b.slug) as slug, case when a.slug is null then 'delete' when b.slug is null then 'insert' else 'update' end as op from a full join b on a.feed_id = b.feed_id and a.slug = b.slug where a.slug is null or b.slug is null or a.count <> b.count or a.keyword <> b.keyword""",

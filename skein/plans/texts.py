@@ -73,7 +73,9 @@ add("str13_settle", f"""with o as (select id, case id % 4 when 0 then 'crawled'
     select id, case when outcome = 'failed' and e >= 10 then 'dead' when outcome = 'failed' then 'error' when outcome = 'throttled' then status else 'active' end as status, e as error_count,
     case when outcome = 'failed' then [60, 180, 360, 720, 1440][least(greatest(e, 1), 5)] when outcome = 'throttled' then 2 when id % 3 > 0 then 60 else least(greatest(2 * interval_minutes, 60), 1440) end::bigint as wait from x""",
     lambda m: C.settle(m.feeds, m.feeds.select("id", F.expr("case id % 4 when 0 then 'crawled' when 1 then 'failed' when 2 then 'throttled' else 'unchanged' end").alias("outcome"), F.lit(None).cast("long").alias("minutes"), (F.col("id") % 3).alias("new_items"), F.lit(90).alias("retry_after")), _now()).drop("next_fetch_at"))
-add("cad02_content_signature", "select feed_id, sha1(array_to_string(list_sort(list_distinct(list(sha1(guid || chr(1) || title)))), ',')) as signature from items group by 1", lambda m: C.content_signature(m.items))
+POSTED = "select feed_id, case when id % 9 <> 0 then guid end as guid, case when id % 9 <> 0 then audio_url end as url, case when id % 9 <> 0 then title end as title from items"
+add("cad02_content_signature", f"with o as (select id as feed_id from feeds), s as (select feed_id, array_to_string(list_sort(list_distinct(list(sha1(coalesce(guid, '') || chr(1) || coalesce(url, '') || chr(1) || coalesce(title, ''))))), ',') as k from ({POSTED}) where coalesce(guid, url, title) is not null group by 1) select o.feed_id, sha1(coalesce(k, '')) as signature from o left join s using (feed_id)",
+    lambda m: C.content_signature(m.feeds.select(F.col("id").alias("feed_id")), m.items.select("feed_id", *[F.when(F.col("id") % 9 != 0, F.col(a)).alias(b) for a, b in (("guid", "guid"), ("audio_url", "url"), ("title", "title"))])))
 
 HOURS = "epoch(timestamp '2001-01-01')"
 SCALARS = [

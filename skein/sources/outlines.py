@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from html import unescape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,15 @@ def outline_urls(xml: Column) -> Column:
     return F.transform(F.regexp_extract_all(xml, F.lit(r'(?i)<outline\b[^>]*?\bxmlUrl\s*=\s*"([^"]*)"'), F.lit(1)), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
 
 
+def _read_all(bodies: pd.Series) -> pd.Series:
+    return pd.Series([parse_opml(b) for b in bodies], dtype=object)
+
+
+def read_opml(xml: str) -> Column:
+    """A column of the feeds of outlines, as an array of (url, title, site_url)."""
+    return F.pandas_udf(_read_all, "array<struct<url:string,title:string,site_url:string>>")(xml)
+
+
 def scan_urls(text: Column) -> Column:
     return F.filter(F.split(text, r"[\s,]+"), lambda u: u.rlike(r"(?i)^https?://"))
 

@@ -98,8 +98,9 @@ def opml_outline(feeds: DataFrame) -> DataFrame:
 
 
 def ad_positions(total: Column, every: int = AD_EVERY, most: int = AD_MAX) -> Column:
-    """After every tenth row, three at most, never after the last."""
-    return F.filter(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: i * every), lambda p: p < total)
+    """The places (from 0) of the posts that an ad follows: every tenth, three at most; at the last post it steps back by one, so that no list ends in an ad."""
+    tenth = F.filter(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: i * every - 1), lambda p: p < total)
+    return F.array_distinct(F.filter(F.transform(tenth, lambda p: F.when(p + 1 < total, p).otherwise(p - 1)), lambda p: p >= 0))
 
 
 def sitemap_chunks(feeds: DataFrame, size: int = SITEMAP_PART) -> DataFrame:
@@ -116,3 +117,8 @@ def export_page(feeds: DataFrame, after: tuple[str, int] | None = None, limit: i
     if after:
         df = df.where((F.col("title") > after[0]) | ((F.col("title") == after[0]) & (F.col("id") > after[1])))
     return df.orderBy("title", "id").limit(limit)
+
+
+def export_rows(feeds: DataFrame) -> DataFrame:
+    """All feeds of an export in the order of its pages, sorted in ranges; to be written as it is and not in pages."""
+    return feeds.where("status <> 'dead'").orderBy("title", "id")

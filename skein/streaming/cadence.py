@@ -17,13 +17,35 @@ def interval_from(gap: Column, silence: Column) -> Column:
 
 def intervals_from_dates(items: DataFrame, now: Column, by: str = "feed_id", at: str = "published_at") -> DataFrame:
     """(by, gap, silence, minutes) of owners with two different dates that are not in the future."""
-    t = items.where((F.col(at) <= now + F.make_dt_interval(F.lit(0), F.lit(AHEAD_HOURS)))).select(by, F.col(at).alias("at")).distinct()
+    t = published_times(items, now, by, at)
     gaps = t.withColumn("gap", (F.unix_timestamp("at") - F.unix_timestamp(F.lag("at").over(Window.partitionBy(by).orderBy("at")))) / 60)
     g = gaps.groupBy(by).agg(F.median("gap").alias("gap"), F.max("at").alias("newest"))
     silence = F.greatest((F.unix_timestamp(now) - F.unix_timestamp("newest")) / 60, F.lit(0.0))
     return g.where("gap is not null").select(by, F.col("gap"), silence.alias("silence"), interval_from(F.col("gap"), silence).alias("minutes"))
 
 
+def published_times(items: DataFrame, now: Column, by: str = "feed_id", at: str = "published_at") -> DataFrame:
+    """The different dates of each owner's posts that can be believed: not null, not more than a day ahead."""
+    return items.where(F.col(at).isNotNull() & (F.col(at) <= now + F.make_dt_interval(F.lit(0), F.lit(AHEAD_HOURS)))).select(by, F.col(at).alias("at")).distinct()
+
+
+def newest_published(items: DataFrame, now: Column, by: str = "feed_id", at: str = "published_at") -> DataFrame:
+    """(by, newest) of each owner with a date that can be believed; a date ahead counts as now."""
+    return published_times(items, now, by, at).groupBy(by).agg(F.least(F.max("at"), now).alias("newest"))
+
+
+def interval_from_changes(log: Column, now: Column) -> Column:
+    """Minutes by the times a feed was seen to change: the rule of dates, and with a single time its silence for the gap; null without times."""
+    times = F.array_sort(F.array_distinct(F.filter(log, lambda t: t.isNotNull() & (t <= now))))
+    seconds = F.transform(times, lambda t: F.unix_timestamp(t).cast("double"))
+    n = F.size(seconds)
+    gaps = F.array_sort(F.transform(F.slice(seconds, 2, F.greatest(n - 1, F.lit(0))), lambda t, i: (t - F.get(seconds, i)) / 60))
+    k = F.size(gaps)
+    median = (F.get(gaps, F.floor((k - 1) / 2).cast("int")) + F.get(gaps, F.floor(k / 2).cast("int"))) / 2
+    silence = (F.unix_timestamp(now) - F.get(seconds, n - 1)) / 60
+    return F.when(n >= 1, interval_from(F.when(n == 1, silence).otherwise(median), silence))
+
+
 def next_interval(dated: Column, new_items: Column, current: Column) -> Column:
     """What the dates say, or for undated feeds an hour after news and twice as long after none."""
     return F.coalesce(dated, F.when(new_items > 0, F.lit(MIN_INTERVAL)).otherwise(clamp(2 * current, MIN_INTERVAL, UNDATED_CEILING)))
@@ -38,10 +60,11 @@ def record_change(log: Column, changed: Column, now: Column) -> Column:
     return F.when(changed, F.slice(F.concat(F.array(now), F.coalesce(log, F.array().cast("array<timestamp>"))), 1, LOG_LIMIT)).otherwise(log)
 
 
-def content_signature(items: DataFrame, by: str = "feed_id") -> DataFrame:
-    """A hash of each owner's posts that does not depend on their order."""
-    own = F.sha1(F.concat_ws("\u0001", "guid", "title").cast("binary"))
-    return items.groupBy(by).agg(F.sha1(F.array_join(F.array_sort(F.collect_set(own)), ",").cast("binary")).alias("signature"))
+def content_signature(owners: DataFrame, items: DataFrame, by: str = "feed_id") -> DataFrame:
+    """(by, signature) of each owner: a hash of its posts' identifiers, links and titles that does not depend on their order; posts without any count as none."""
+    own = F.concat_ws("\u0001", *[F.coalesce(c, F.lit("")) for c in ("guid", "url", "title")])
+    some = items.where(own != "\u0001\u0001").groupBy(by).agg(F.array_join(F.array_sort(F.collect_set(F.sha1(own.cast("binary")))), ",").alias("all"))
+    return owners.select(by).join(some, by, "left").select(by, F.sha1(F.coalesce("all", F.lit("")).cast("binary")).alias("signature"))
 
 
 def scatter(key: Column) -> Column:
