@@ -88,10 +88,11 @@ def throttle_minutes(retry_after: Column) -> Column:
 
 
 def retry_after_seconds(header: Column, now: Column) -> Column:
-    """Seconds of a Retry-After header, a number or a date, within a day."""
+    """Seconds of a Retry-After header, a number or a date, within a day; null where it is neither."""
     number = F.when(F.trim(header).rlike(r"^\d+$"), F.trim(header).cast("double"))
     date = F.try_to_timestamp(F.regexp_replace(header, r"^[A-Za-z]{3},\s*", ""), F.lit("dd MMM yyyy HH:mm:ss 'GMT'"))
-    return clamp(F.coalesce(number, (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double")), 0, 86_400)
+    seconds = F.coalesce(number, (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double"))
+    return F.when(seconds.isNotNull(), clamp(seconds, 0, 86_400))
 
 
 def billing_period_start(now: Column, day: int = 13) -> Column:
@@ -105,6 +106,21 @@ def item_key(cluster: Column, slug: Column, guid: Column) -> Column:
     return F.when(F.coalesce(cluster, F.lit("")) != "", F.concat(F.lit("c:"), cluster)).otherwise(F.concat(F.lit("g:"), slug, F.lit("\n"), guid))
 
 
+def normalize_segment(segment: Column) -> Column:
+    return F.lower(F.trim(segment))
+
+
+def normalize_email(email: Column) -> Column:
+    return F.lower(F.trim(email))
+
+
+def looks_like_playlist(content_type: Column, body: Column, url: Column) -> Column:
+    """By the type, by the first characters, or by the address where the body is no markup."""
+    typed = F.coalesce(content_type, F.lit("")).rlike(r"(?i)mpegurl|scpls")
+    markup = F.coalesce(body, F.lit("")).rlike(r"^\s*<")
+    return typed | has_playlist_header(body) | (F.coalesce(playlist_extension(url).isNotNull(), F.lit(False)) & ~markup)
+
+
 def is_transient(state: Column) -> Column:
     return (state == "error") | state.rlike(r"^http-5\d\d$")
 

@@ -332,6 +332,11 @@ def kind_of_channel(medium: Column, feed_url: Column, videos: Column, audios: Co
             .when(podcast_tags & (declared | (sample == 0) | (audios > 0)), "podcast").when(newsroom, "news").otherwise("blog"))
 
 
+def is_series_feed(url: Column) -> Column:
+    """Whether an address is that of a playlist."""
+    return url.rlike("[?&]playlist_id=")
+
+
 def says_it_is_news(text: Column) -> Column:
     return text.rlike(r"(?i)\b(news|headlines|breaking news|newsroom|journalism|newspaper|current affairs)\b")
 
