@@ -40,7 +40,7 @@ ORDER = 5
 #: Costs of strings that are sent to the executors at once (12 bytes each, 48 in a worker); more take more passes.
 MOST_SENT = 4_000_000
 #: Strings in one part of the trie, about.
-PART_STRINGS = 200_000
+PART_STRINGS = 50_000
 PART_WORDS = 400_000
 MARK, END = 0x20, 0x0A
 _CLASSES, _PRIOR = 8 * 40 * 24, 20.0
