@@ -1,7 +1,9 @@
 """Full-text search: postings, BM25 and exact facets.
 
-Postings hold a row per term and text with the term's frequency; terms of a query are few, so they
-filter the postings by an IN list that reaches the scan, and everything after works on matches.
+Texts are searched where they are: the few terms of a query are counted in each text, one pass gives
+the corpus's statistics and another the matches with their ranks, and nothing but the best is shuffled.
+For many queries over one corpus, postings hold a row per term and text with the term's frequency;
+stored by term, a query's terms filter them by an IN list that reaches the scan.
 """
 
 from __future__ import annotations
@@ -18,6 +20,46 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda t: t != "")
 
 
+def wanted_terms(query: str) -> list[str]:
+    return sorted({t for t in query.lower().split() if t})
+
+
+def counted(docs: DataFrame, query: str, id_col: str, *texts: str) -> DataFrame:
+    """(id, length, tf) of every text: tf is an array with the count of each of the query's terms."""
+    d = docs.select(F.col(id_col).alias("id"), terms_of(F.concat_ws(" ", *texts)).alias("terms"))
+    of = lambda w: F.size(F.filter("terms", lambda t: t == w))
+    tf = [of(w) for w in wanted_terms(query)]
+    return d.select("id", F.size("terms").alias("length"), F.array(*tf).alias("tf"))
+
+
+def matches(mode: str = "all") -> Column:
+    """Whether a text has all (or any) of the terms."""
+    return (F.forall if mode == "all" else F.exists)("tf", lambda n: n > 0)
+
+
+def search_texts(docs: DataFrame, query: str, id_col: str, *texts: str, mode: str = "all", limit: int | None = 40) -> DataFrame:
+    """(id, rank) of the texts that match: BM25, negated so that the best is the smallest. No terms match nothing."""
+    wanted = wanted_terms(query)
+    rows = counted(docs, query, id_col, *texts)
+    if not wanted:
+        return rows.where("false").select("id", F.lit(0.0).alias("rank"))
+    n, mean, *df = rows.agg(F.count(F.lit(1)), F.avg("length"), *[F.count_if(F.col("tf")[i] > 0) for i in range(len(wanted))]).first()
+    part = lambda i: F.lit(max(math.log((n - df[i] + 0.5) / (df[i] + 0.5)), 1e-6)) * F.col("tf")[i] * (K1 + 1) / (F.col("tf")[i] + K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1))))
+    rank = F.round(-sum((part(i) for i in range(1, len(wanted))), part(0)), 9)
+    out = rows.where(matches(mode)).select("id", rank.alias("rank")).orderBy("rank", "id")
+    return out if limit is None else out.limit(limit)
+
+
+def kind_counts_of(docs: DataFrame, query: str, id_col: str, *texts: str, kind: str, feed: str, mode: str = "all") -> DataFrame:
+    """(kind, posts, feeds): exact counts of the texts that match; nothing is ranked for it."""
+    words = terms_of(F.concat_ws(" ", *texts))
+    has = [F.array_contains(words, w) for w in wanted_terms(query)]
+    both = F.lit(mode == "all")
+    for h in has:
+        both = both & h if mode == "all" else both | h
+    return docs.where(both & F.lit(bool(has))).groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("posts"), F.count_distinct(feed).alias("feeds"))
+
+
 def postings(docs: DataFrame, id_col: str, *texts: str) -> DataFrame:
     """(term, id, tf, length) of the texts."""
     d = docs.select(F.col(id_col).alias("id"), terms_of(F.concat_ws(" ", *texts)).alias("terms"))

@@ -57,15 +57,11 @@ add("txt63_normalize_lang", "select id, nullif(regexp_extract(lower(trim(languag
 PAIRS = "join04_search_items"
 POST = "w as (select doc_id as id, unnest(list_filter(string_split(regexp_replace(lower(title || ' ' || summary), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda t: t <> '')) as term from texts), p as (select term, id, count(*) as tf from w group by 1, 2), l as (select id, count(*) as len from w group by 1), c as (select (select count(*) from texts) as n, (select sum(len) from l) * 1.0 / (select count(*) from texts) as mean)"
 BM = "df as (select term, count(*) as df from p where term in ('the', 'of') group by 1), s as (select p.id, round(-sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) as rank, count(*) as k from p join df using (term) join l using (id), c group by 1)"
-
-
-def _index(m):
-    return search.postings(m.texts, "doc_id", "title", "summary"), search.statistics(m.texts, "doc_id", "title", "summary")
-
-
-add("join04_search_items", f"with {POST}, {BM} select id, rank from s where k = 2 order by rank, id limit 40", lambda m: (lambda i, s: search.search(i, "the of", *s))(*_index(m)))
-add("join05_search_any", f"with {POST}, {BM} select id, rank from s order by rank, id limit 20", lambda m: (lambda i, s: search.search(i, "the of", *s, mode="any", limit=20))(*_index(m)))
-add("agg08_search_kind_counts", f"with {POST} select t.lang as kind, count(*) as posts, count(distinct t.source) as feeds from texts t where doc_id in (select id from p where term = 'the') and doc_id in (select id from p where term = 'of') group by 1", lambda m: search.kind_counts(_index(m)[0], "the of", m.texts.select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), F.col("source").alias("feed_id"))))
+add("join04_search_items", f"with {POST}, {BM} select id, rank from s where k = 2 order by rank, id limit 40", lambda m: search.search_texts(m.texts, "the of", "doc_id", "title", "summary"))
+add("join05_search_any", f"with {POST}, {BM} select id, rank from s order by rank, id limit 20", lambda m: search.search_texts(m.texts, "the of", "doc_id", "title", "summary", mode="any", limit=20))
+add("agg08_search_kind_counts", f"with {POST} select t.lang as kind, count(*) as posts, count(distinct t.source) as feeds from texts t where doc_id in (select id from p where term = 'the') and doc_id in (select id from p where term = 'of') group by 1", lambda m: search.kind_counts_of(m.texts, "the of", "doc_id", "title", "summary", kind="lang", feed="source"))
+add("join04_search_postings", f"with {POST}, {BM} select id, rank from s where k = 2 order by rank, id limit 40",
+    lambda m: search.search(search.postings(m.texts, "doc_id", "title", "summary"), "the of", *search.statistics(m.texts, "doc_id", "title", "summary")))
 add("cad01_intervals_from_dates", f"""with t as (select distinct feed_id, published_at as at_ from items where published_at <= {AS_OF} + DAYS(1)), g as (select *, (epoch(at_) - epoch(lag(at_) over (partition by feed_id order by at_))) / 60 as gap from t),
     m as (select feed_id, median(gap) as gap, greatest((epoch({AS_OF}) - epoch(max(at_))) / 60, 0) as silence from g group by 1) select feed_id, gap, silence, least(greatest(round(case when silence <= 3 * gap then gap / 2 else silence / 4 end), 60), 129600)::bigint as minutes from m where gap is not null""", lambda m: C.intervals_from_dates(m.items, _now()))
 add("str13_settle", f"""with o as (select id, case id % 4 when 0 then 'crawled' when 1 then 'failed' when 2 then 'throttled' else 'unchanged' end as outcome from feeds),
