@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import scalars as S
 from skein.functions import text as T
+from skein.operators import discovery as D
 from skein.operators import listing as L
 from skein.operators import windows as W
 from skein.operators import writes
@@ -124,3 +125,15 @@ add("win15_unique_slug", f"""with b as (select id, case when trim(title) <> '' t
 CHANNEL = "select id, case id % 8 when 0 then 'music' when 1 then 'newsletter' end as medium, case when id % 10 = 3 then 'https://www.youtube.com/feeds/videos.xml?x' else feed_url end as feed_url, id % 3 as videos, id % 4 as audios, id % 5 < 2 as tags, id % 7 = 0 as declared, id % 11 = 0 as shaped, id % 13 < 4 as newsroom, id % 6 as sample from feeds"
 add("txt23_kind_of_channel", f"""select id, case when medium = 'music' then 'music' when feed_url like '%youtube.com/feeds%' then 'video' when videos > 0 and (tags or shaped) then 'video' when tags and (declared or sample = 0 or audios > 0) then 'podcast' when newsroom then 'news' else 'blog' end as v from ({CHANNEL})""",
     lambda m: derived(m, CHANNEL, feeds=m.feeds).select("id", T.kind_of_channel(*(F.col(c) for c in ("medium", "feed_url", "videos", "audios", "tags", "declared", "shaped", "newsroom", "sample"))).alias("v")))
+
+add("src37_due_sources", f"with s as (select * from (values ('keywords', 24), ('directory', 26), ('list', 72), ('never', 1)) v(source, hours)), r as (select provider as source, max(created_at) - to_days(case provider when 'keywords' then 1 when 'directory' then 1 else 3 end) as last_run from runs group by 1) select s.source, last_run from s left join r using (source) where last_run is null or epoch({AS_OF}) - epoch(last_run) >= 3600 * hours",
+    lambda m: D.due_sources(D.source_schedule(m.runs).select("source", (F.col("last_run") - F.expr("case source when 'keywords' then interval 1 day when 'directory' then interval 1 day else interval 3 day end")).alias("last_run")), {"keywords": 24, "directory": 26, "list": 72, "never": 1}, _now()))
+add("src39_source_yield", "select r.provider, count(*) as feeds from candidates c join runs r on r.id = c.run_id where c.status = 'accepted' group by 1", lambda m: D.source_yield(m.candidates, m.runs))
+add("src38_run_source", "select distinct host from candidates c where not exists (select 1 from feeds f where regexp_extract(f.feed_url, '^https?://([^/]+)', 1) = c.host)",
+    lambda m: D.new_hosts(m.candidates, m.feeds, F.expr("regexp_extract(feed_url, '^https?://([^/]+)', 1)")).select("host"))
+add("src34_rotate", "with n as (select id, row_number() over (order by id) - 1 as n, count(*) over () as total from authors) select id from n where (n - 7 * 5 % total + total) % total < 5", lambda m: D.rotate(m.authors, "id", 7, 5).select("id"))
+add("str40_source_schedule", "select provider as source, max(created_at) as last_run, count(*) as runs from runs group by 1", lambda m: D.source_schedule(m.runs))
+add("str25_refresh_run", "select run_id, count(*) as total, count(*) filter (status = 'queued') as queued, count(*) filter (status = 'queued') = 0 as done from candidates group by 1", lambda m: D.refresh_runs(m.candidates))
+WRITES = "select id, case id % 7 when 0 then 'INSERT  OR ignore' || chr(10) || ' INTO ' || event || '_log values (1)' when 1 then 'update ' || event || ' set a = 1' when 2 then '-- a note' || chr(10) || 'delete from ' || event || ' where 1' when 3 then 'replace into ' || event || ' values (2)' when 4 then 'select * from ' || event when 5 then 'insert into ' || event || '(a)' else ' ' end as sql from log"
+add("str41_statement_shape", "select id, case id % 7 when 0 then 'insert ' || event || '_log' when 1 then 'update ' || event when 2 then 'delete ' || event when 3 then 'replace ' || event when 5 then 'insert ' || event else 'other ?' end as v from log",
+    lambda m: derived(m, WRITES, log=m.log).select("id", D.statement_shape(F.col("sql")).alias("v")))

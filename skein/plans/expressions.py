@@ -8,8 +8,7 @@ from skein.functions import scalars as S
 from skein.functions import text as T
 from skein.operators import aggregates as A
 from skein.plans.reads import add
-from skein.plans.texts import STEM
-from skein.sources import pages, sinks
+from skein.sources import pages
 
 
 add("sca03_kind_filter", "select id from feeds where category in ('blog', 'comic')", lambda m: m.feeds.where(F.col("category").isin("blog", "comic")).select("id"))
@@ -32,9 +31,4 @@ add("txt55_card_fit", "select id, case when id % 900 >= 600 and id % 500 >= 315
 add("txt64_worth_searching", "select a.id, confidence >= 0.8 and coalesce(n, 0) = 0 as v from authors a left join (select author_id, count(*) as n from author_links group by 1) l on l.author_id = a.id", lambda m: m.authors.join(m.author_links.groupBy(F.col("author_id").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id", "left").select("id", T.worth_searching(F.col("confidence"), F.col("name"), F.col("n")).alias("v")))
 add("txt65_searches_for", "select id, n as network, '\"' || name || '\" ' || n as query from authors, (values ('github'), ('mastodon')) v(n)", lambda m: T.searches_for(m.authors, ["github", "mastodon"]))
 add("txt35_humans_txt", None, lambda m: m.spark.createDataFrame([(p["name"], p.get("role")) for p in pages.humans_txt("/* TEAM */\nDeveloper: Ann Bee\nContact: a@b.c\n\nEditor: Cy Dee\n")], "name string, role string"))
-add("str41_statement_shape", "select event, 'insert ' || event as v from (select distinct event from log)", lambda m: m.log.select("event").distinct().select("event", F.regexp_replace(F.concat(F.lit("insert into "), "event", F.lit(" values (1)")), r"^(\w+) into (\w+).*$", "$1 $2").alias("v")))
-add("str40_source_schedule", "select provider, max(created_at) as last_run, count(*) as runs from runs group by 1", lambda m: m.runs.groupBy("provider").agg(F.max("created_at").alias("last_run"), F.count(F.lit(1)).alias("runs")))
-add("str25_refresh_run", "select run_id, count(*) as total, count(*) filter (status = 'queued') as queued, count(*) filter (status = 'queued') = 0 as done from candidates group by 1", lambda m: m.candidates.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "queued").alias("queued"), (F.count_if(F.col("status") == "queued") == 0).alias("done")))
-add("src34_rotate", "select id from (select id, row_number() over (order by id) - 1 as n, count(*) over () as total from authors) where (n - 7 * 5 % total + total) % total < 5", lambda m: m.spark.sql("select id from (select id, row_number() over (order by id) - 1 as n, count(*) over () as total from {a}) where (n - 7 * 5 % total + total) % total < 5", a=m.authors))
-add("src38_run_source", "select distinct on (h) c.host as h from candidates c where not exists (select 1 from feeds f where regexp_extract(f.feed_url, '^https?://([^/]+)', 1) = c.host)", lambda m: m.candidates.join(m.feeds.select(S.host_of(F.col("feed_url")).alias("host")), "host", "left_anti").select(F.col("host").alias("h")).distinct())
 add("src56_month_bounds", "select distinct date_trunc('month', created_at)::date as lo, (date_trunc('month', created_at) + interval 1 month)::date as hi from feeds", lambda m: m.feeds.select(F.trunc("created_at", "month").alias("lo"), F.add_months(F.trunc("created_at", "month"), 1).alias("hi")).distinct())

@@ -37,8 +37,6 @@ add("src52_export_page", "select id, title from feeds where status <> 'dead' and
 add("src54_sitemap_chunks", "with c as (select strftime(created_at, '%Y-%m') as month, count(*) as n, max(created_at) as latest from feeds where status <> 'dead' group by 1) select month, unnest(generate_series(1, ceil(n / 50)::int))::int as part, n, latest from c", lambda m: sinks.sitemap_chunks(m.feeds, 50))
 add("src55_sitemap_chunk_feeds", "select id, slug from feeds where status <> 'dead' and created_at >= timestamp '1998-03-01' and created_at < timestamp '1998-04-01' order by created_at, id limit 20 offset 20", lambda m: m.feeds.where("status <> 'dead' and created_at >= timestamp '1998-03-01' and created_at < timestamp '1998-04-01'").orderBy("created_at", "id").offset(20).limit(20).select("id", "slug"))
 add("src58_authors_for_sitemap", "select id, slug from authors where confidence >= 0.6 order by confidence desc, id limit 20000", lambda m: m.authors.where("confidence >= 0.6").orderBy(F.col("confidence").desc(), "id").limit(20000).select("id", "slug"))
-add("src39_source_yield", "select r.provider, count(*) as feeds from candidates c join runs r on r.id = c.run_id where c.status = 'accepted' group by 1", lambda m: m.candidates.where("status = 'accepted'").join(m.runs.select(F.col("id").alias("run_id"), "provider"), "run_id").groupBy("provider").agg(F.count(F.lit(1)).alias("feeds")))
-add("src37_due_sources", "select provider, max(created_at) as last_run from runs group by 1 having max(created_at) <= timestamp '2001-01-01' - interval 0 hour", lambda m: m.runs.groupBy("provider").agg(F.max("created_at").alias("last_run")).where("last_run <= timestamp '2001-01-01'"))
 add("src17_feed_from_page", None, lambda m: m.base("pages").select("page_id", pages.page_feed("html", "url").alias("feed")).select("page_id", "feed.title", "feed.kind", F.size("feed.items").alias("posts")))
 add("src22_readable_article", None, lambda m: m.base("pages").select("page_id", pages.article("html", "url").alias("a")).select("page_id", "a.title", "a.chars"))
 add("src13_page_links", "select page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*?\\shref=\"([^\"]*)\"', 1) as links from pages", lambda m: m.base("pages").select("page_id", pages.hrefs(F.col("html")).alias("links")))
