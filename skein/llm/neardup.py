@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     same shingle set, kept is doc_id = component_id. Texts that are null, empty or without words
     have an empty set and are linked with nothing; a text of fewer than five words has one shingle;
     a null doc_id is linked with nothing, has null in component_id and is kept. Rows that repeat a
-    doc_id give a row each. An empty table gives no rows. Other columns are ignored.
+    doc_id give a row each; where their texts differ, the smallest text stands for the doc_id. An empty table gives no rows. Other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     all_ = cut(sketch(base), "sketch")
@@ -223,7 +223,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     classes = cut(
         some.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes"
     )
-    texts = base.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(all_) else base.where("doc_id is not null")
+    texts = base.where("doc_id is not null")
+    if _repeats(all_):
+        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     keys = F.array(*[
         F.xxhash64(F.lit(i), F.substring("registers", 1 + 4 * ROWS * i, 4 * ROWS)) for i in range(BANDS)
     ])

@@ -678,6 +678,48 @@ def test_language_held_out(spark):
     assert (out.lang_pred == out.lang).mean() >= 0.95 and out.score.between(0, 1).all()
 
 
+def plain_grams(text):
+    """Counts of the hashed pairs and triples of bytes of a text: letters folded, all else of ASCII a space."""
+    b = bytes(c if 0x61 <= c < 0x7B or c >= 0x80 else 0x20 for c in (text or "").translate(LOWER).encode())
+    out = np.zeros(langid.BINS)
+    place = lambda code: (code * 2654435761 & 0xFFFFFFFF) >> 20
+    for i in range(len(b) - 1):
+        if b[i : i + 2] != b"  ":
+            out[place(b[i] << 8 | b[i + 1])] += 1
+    for i in range(len(b) - 2):
+        if b[i : i + 2] != b"  " and b[i + 1 : i + 3] != b"  ":
+            out[place((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) | 0x1000000)] += 1
+    return out
+
+
+def test_language_by_plain_cosine(spark, odd):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(d)
+    some = d.orderBy("doc_id").limit(40).select("doc_id", "text").unionByName(odd.where("length(text) < 1000").select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
+    texts = {r.doc_id: r.text for r in some.collect()}
+    for r in langid.identify(some, model).collect():
+        if not re.search(r"[^\W\d_]", texts[r.doc_id] or ""):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0, True)
+            continue
+        v = np.log1p(plain_grams(texts[r.doc_id])) * model.idf
+        cos = model.vectors @ (v / max(np.linalg.norm(v), 1e-12))
+        k = int(cos.argmax())
+        assert math.isclose(r.score, min(1, max(0, cos[k])), abs_tol=1e-5) and r.rejected == bool(cos[k] < model.floors[k])
+        assert r.lang_pred == model.langs[k] or np.sort(cos)[-1] - np.sort(cos)[-2] < 1e-5
+
+
+def test_samples_of_repeated_ids(spark):
+    rows = [(1, "ein deutscher Text", "de"), (1, "an English text", "en"), (2, "un texto", "es"), (2, "otro texto", "es"), (3, "12", "fr"), (None, "text", "en"), (4, "text", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts, langs = langid.sample_counts(d, 100)
+    assert langs == ["de", "en", "es"]
+    for c, t in zip(counts, ["ein deutscher Text", "an English text", "otro texto"], strict=True):
+        assert (c == plain_grams(t)).all()
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (9, 1), (4, 7)], "doc_id long, quality int")
+    model = quality_crf.fit(d, labels)
+    assert isinstance(model, quality_crf.CrfModel) and all(0 <= r.score <= 1 for r in quality_crf.score(d, model).collect())
+
+
 # all
 def test_odd_rows(spark, odd):
     n = odd.count()
