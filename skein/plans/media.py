@@ -43,6 +43,6 @@ add("src13_page_links", "select page_id, regexp_extract_all(html, '(?i)<a\\b[^>]
 add("src15_scan_urls", "select doc_id, list_filter(regexp_split_to_array(text, '[\\s,]+'), lambda u: regexp_matches(u, '(?i)^https?://')) as urls from documents", lambda m: m.base("documents").select("doc_id", outlines.scan_urls(F.col("text")).alias("urls")))
 add("txt21_sanitize", None, lambda m: m.base("pages").select("page_id", pages.sanitized("html").alias("html")))
 add("txt34_identities", None, lambda m: m.base("pages").select("page_id", pages.page_identities("html", "url").alias("i")).select("page_id", F.size("i.profiles").alias("profiles"), F.size("i.people").alias("people")))
-add("src01_parse_feed", None, lambda m: documents.items_of(documents.read_feeds(sinks.syndicate("rss", _channels(m), _posts(m)).select(F.col("feed_id").cast("string").alias("url"), F.col("document").alias("body")))).select("feed_url", "pos", "guid", "title", "published_at"))
+add("src01_parse_feed", f"with {POSTS} select feed_id::varchar as feed_url, pos - 1 as pos, guid, title, published_at::timestamp as published_at from p", lambda m: documents.items_of(documents.read_feeds(sinks.syndicate("rss", _channels(m), _posts(m)).select(F.col("feed_id").cast("string").alias("url"), F.col("document").alias("body")))).select("feed_url", "pos", "guid", "title", "published_at"))
 add("str01_hourly_rollup", "select time_bucket(interval 1 hour, ts) as hour, event_type, count(*) as lines, round(sum(value), 4) as amount from events group by 1, 2", lambda m: rollups.hourly(m.base("events")).withColumn("hour", F.col("hour").cast("timestamp_ntz")))
 add("str02_gauge", "select date_trunc('hour', ts) as hour, max_by(value, (ts, event_id)) as value from events group by 1", lambda m: rollups.gauge(m.base("events")))

@@ -76,11 +76,11 @@ for _name, _relation, _key, _rest, _rows in INSERTS:
     add(_name, f"with n as (select distinct on ({', '.join(_key.split())}) {', '.join(_cols)} from ({_rows}) order by {', '.join(_cols)}) select {', '.join(_cols)} from {_relation} union all select {', '.join(_cols)} from n where not exists (select 1 from {_relation} t where {_on})",
         lambda m, r=_relation, k=_key, c=_cols, q=_rows: M.insert_new(getattr(m, r).select(*c), m.spark.sql(q.replace(f"from {r}", "from {t}"), t=getattr(m, r)), *k.split()))
 
-add("dml01_upsert_items", """with o as (select feed_id, guid, title, case when id % 5 = 0 then null else published_at end as published_at, audio_url from items where id % 3 <> 0 qualify row_number() over (partition by feed_id, guid order by id, title, published_at, audio_url) = 1),
-    n as (select feed_id, guid, 'new ' || title as title, published_at, coalesce(audio_url, 'x') as audio_url from items qualify row_number() over (partition by feed_id, guid order by id, title, published_at, audio_url) = 1)
+add("dml01_upsert_items", """with o as (select feed_id, guid, title, case when id % 5 = 0 then null else published_at end as published_at, audio_url from items qualify row_number() over (partition by feed_id, guid order by id, title, published_at, audio_url) = 1),
+    n as (select feed_id, case when id % 3 = 0 then guid || '-new' else guid end as guid, 'new ' || title as title, published_at, coalesce(audio_url, 'x') as audio_url from items qualify row_number() over (partition by feed_id, guid order by id, title, published_at, audio_url) = 1)
     select feed_id, guid, coalesce(o.title, n.title) as title, coalesce(o.published_at, n.published_at) as published_at, coalesce(o.audio_url, n.audio_url) as audio_url from o full join n using (feed_id, guid)""",
-    lambda m: (lambda one: M.merge(one.where("id % 3 <> 0").select("feed_id", "guid", "title", F.expr("case when id % 5 = 0 then null else published_at end").alias("published_at"), "audio_url"),
-                                   one.select("feed_id", "guid", F.concat(F.lit("new "), "title").alias("title"), "published_at", F.coalesce("audio_url", F.lit("x")).alias("audio_url")), ["feed_id", "guid"], published_at=M.fill("published_at"), audio_url=M.fill("audio_url")))(
+    lambda m: (lambda one: M.merge(one.select("feed_id", "guid", "title", F.expr("case when id % 5 = 0 then null else published_at end").alias("published_at"), "audio_url"),
+                                   one.select("feed_id", F.expr("case when id % 3 = 0 then guid || '-new' else guid end").alias("guid"), F.concat(F.lit("new "), "title").alias("title"), "published_at", F.coalesce("audio_url", F.lit("x")).alias("audio_url")), ["feed_id", "guid"], published_at=M.fill("published_at"), audio_url=M.fill("audio_url")))(
         m.spark.sql("select * from (select *, row_number() over (partition by feed_id, guid order by id, title, published_at, audio_url) as n from {t}) where n = 1", t=m.items)))
 add("dml02_newest_items", "select feed_id, guid, id, title from items qualify row_number() over (partition by feed_id order by published_at desc nulls last, id desc, title) <= 2", lambda m: top_per(m.items, "feed_id", 2, F.col("published_at").desc_nulls_last(), F.col("id").desc(), F.col("title")).select("feed_id", "guid", "id", "title"))
 add("dml15_upsert_author", "with n as (select id, case when id % 2 = 0 then '' else 'New ' || name end as name, case when id % 3 = 1 then 'n@example.org' end as email, 0.5 as confidence from authors where id < 60 union all select 1000, 'Someone', null, 0.4) select id, case when a.id is null then n.name when n.id is null then a.name else coalesce(nullif(n.name, ''), a.name) end as name, case when n.id is null then a.email else coalesce(nullif(n.email, ''), a.email) end as email, (case when a.id is null then n.confidence when n.id is null then a.confidence else greatest(a.confidence, n.confidence) end)::double as confidence from (select id, name, email, confidence from authors) a full join n using (id)",

@@ -13,8 +13,9 @@ RIVER = "order by published_at desc nulls last, id, cluster_key"
 FOLD = """select id, cluster_key, published_at, 0 as duplicates from {t} where cluster_key = '' union all
     select id, cluster_key, published_at, n - 1 from (select *, row_number() over (partition by cluster_key order by published_at desc nulls last, id) as r, count(*) over (partition by cluster_key) as n from {t} where cluster_key <> '') where r = 1"""
 ITEM = ["id", "cluster_key", "published_at"]
-add("win02_merge_river", f"with x as (select id, cluster_key, published_at from items where feed_id in (1, 77) union all select id, cluster_key, published_at from items where feed_id between 100 and 400) select * from ({FOLD.format(t='x')}) {RIVER} limit 60",
-    lambda m: W.merge_river([m.items.where("feed_id in (1, 77)").select(ITEM), m.items.where("feed_id between 100 and 400").select(ITEM)]))
+#: What readers follow, and what is filed under topics by its publisher: two rivers that have posts in common.
+add("win02_merge_river", f"with r as (select id, cluster_key, published_at from items where feed_id in (select feed_id from follows) union all select id, cluster_key, published_at from items where feed_id in (select feed_id from feed_keywords where source = 'category')), x as (select * from r) select * from ({FOLD.format(t='x')}) {RIVER} limit 60",
+    lambda m: W.merge_river([m.items.join(m.follows.select("feed_id"), "feed_id", "left_semi").select(ITEM), m.items.join(m.feed_keywords.where("source = 'category'").select("feed_id"), "feed_id", "left_semi").select(ITEM)]))
 add("win03_following", f"""with s as (select 'feeds' as source, feed_id from follows where user_id = 110 union all select distinct 'topics', k.feed_id from feed_keywords k join topic_follows t on t.slug = k.slug where t.user_id = 110),
     p as (select *, row_number() over (partition by source order by published_at desc nulls last, id, cluster_key) as n from (select i.id, i.cluster_key, i.published_at, s.source from items i join s on s.feed_id = i.feed_id)),
     x as (select distinct id, cluster_key, published_at from p where n <= 60) select * from ({FOLD.format(t='x')}) {RIVER} limit 60""",
@@ -42,7 +43,10 @@ add("win14_import_feeds", "select id, url from (select *, row_number() over (par
 add("win16_series_authors", "select feed_id, min_by(name, id) as name, min(id) as id from (select feed_id, id, case when id % 2 = 0 then upper('supplier ' || (supplier % 3)::varchar) else 'Supplier ' || (supplier % 3)::varchar end as name from items) group by feed_id, lower(name)",
     lambda m: W.first_spelling(m.items.select("feed_id", "id", F.expr("case when id % 2 = 0 then upper('supplier ' || cast(supplier % 3 as string)) else 'Supplier ' || cast(supplier % 3 as string) end").alias("name")), "name", "id", "feed_id"))
 add("win17_candidate_sites", f"select id as pos, {HOST} as host from feeds qualify row_number() over (partition by {HOST} order by id) = 1", lambda m: W.candidate_sites(m.feeds.withColumnRenamed("id", "pos"), S.host_of(F.col("feed_url"))).select("pos", "host"))
-add("win24_rate_limit", None, lambda m: W.first_window_limit(m.log.select(F.col("subject").alias("identity"), "at"), 3))
-add("set03_keyword_diff", """with a as (select feed_id, slug, keyword, case when feed_id % 3 = 0 then count + 1 else count end as count from feed_keywords where feed_id % 5 <> 0), b as (select feed_id, slug, keyword, count from feed_keywords where feed_id % 7 <> 0)
+add("win24_rate_limit", """with recursive per as (select subject as identity, date_trunc('second', "at") as "at", count(*) as hits from log group by 1, 2),
+    o as (select identity, min("at") as opened from per group by 1 union all select p.identity, min(p."at") from o join per p on p.identity = o.identity and p."at" >= o.opened + interval 1 hour group by 1),
+    w as (select p.*, o.opened from per p asof join o on p.identity = o.identity and p."at" >= o.opened), u as (select *, coalesce(sum(hits) over (partition by identity, opened order by "at" rows between unbounded preceding and 1 preceding), 0) as used from w)
+    select identity, "at", hits, opened, greatest(least(hits, 3 - used), 0)::bigint as allowed from u""", lambda m: W.first_window_limit(m.log.select(F.col("subject").alias("identity"), "at"), 3))
+add("set03_keyword_diff", """with a as (select feed_id, case when feed_id % 5 = 0 then slug || '-new' else slug end as slug, keyword, case when feed_id % 3 = 0 then count + 1 else count end as count from feed_keywords), b as (select feed_id, slug, keyword, count from feed_keywords)
     select coalesce(a.feed_id, b.feed_id) as feed_id, coalesce(a.slug, b.slug) as slug, case when a.slug is null then 'delete' when b.slug is null then 'insert' else 'update' end as op from a full join b on a.feed_id = b.feed_id and a.slug = b.slug where a.slug is null or b.slug is null or a.count <> b.count or a.keyword <> b.keyword""",
-    lambda m: W.keyword_diff(m.feed_keywords.where("feed_id % 5 <> 0").withColumn("count", F.expr("case when feed_id % 3 = 0 then count + 1 else count end")), m.feed_keywords.where("feed_id % 7 <> 0")).select("feed_id", "slug", "op"))
+    lambda m: W.keyword_diff(m.feed_keywords.withColumn("count", F.expr("case when feed_id % 3 = 0 then count + 1 else count end")).withColumn("slug", F.expr("case when feed_id % 5 = 0 then slug || '-new' else slug end")), m.feed_keywords).select("feed_id", "slug", "op"))

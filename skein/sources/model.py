@@ -107,6 +107,8 @@ def oracle(body: str) -> str:
     body = duck_sql(body).strip()
     if not own:
         return body
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {own}, {body[15:]}"
     return f"with {own}, {body[5:]}" if body.lower().startswith("with ") else f"with {own} {body}"
 
 
