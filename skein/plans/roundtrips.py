@@ -96,3 +96,29 @@ add("dml20_win_move", """with own as (select id, user_id, lane, position, lag(id
     last as (select * from own qualify row_number() over (partition by user_id, lane order by position desc, id desc) = 1 and before_id is not null), swap as (select id, before as position from last union all select before_id, position from last)
     select q.id, coalesce(s.position, q.position) as position from queue_entries q left join swap s using (id)""",
     lambda m: M.move_all(m.queue_entries, m.spark.sql("select user_id, lane, max_by(id, struct(position, id)) as id from {q} where not done group by 1, 2", q=m.queue_entries)).select("id", "position"))
+
+LINKED = "select id, site_url as url, '<html><head><link rel=\"alternate\" type=\"application/rss+xml\" href=\"/feed/' || cast(id as string) || '\"><LINK type=\"application/atom+xml\" rel=\"alternate\" href=\" https://x.example/a \"><link rel=\"stylesheet\" type=\"text/css\" href=\"/s.css\"><link rel=\"alternate\" hreflang=\"de\" href=\"/de\"><link rel=\"alternate\" type=\"application/rss+xml\" href=\"' || site_url || 'feed/' || cast(id as string) || '\"></head><body><a href=\"list.m3u\">a</a><a href=\"/b' || cast(id as string) || '.PLS?x=1\">b</a><a href=\"c.mp3\">c</a><a href=\"list.m3u\">again</a></body></html>' as html from feeds"
+add("src23_feed_links", "select id, [site_url || 'feed/' || id::varchar, 'https://x.example/a'] as v from feeds", lambda m: derived(m, LINKED, feeds=m.feeds).select("id", pages.page_feed_links("html", "url").alias("v")))
+add("src11_playlist_links", "select id, [site_url || 'list.m3u', site_url || 'b' || id::varchar || '.PLS?x=1'] as v from feeds", lambda m: derived(m, LINKED, feeds=m.feeds).select("id", pages.page_playlist_links("html", "url").alias("v")))
+PICTURES = "select id, case id % 3 when 0 then '89504E470D0A1A0A0000000D49484452' || lpad(hex(id % 5000), 8, '0') || lpad(hex(id % 300), 8, '0') when 1 then '474946383961' || substr(lpad(hex(256 * (id % 250) + 1), 4, '0'), 1, 4) || '0100' else 'FFD8FFE0' end as data from feeds"
+add("txt57_image_size", "select id, case id % 3 when 0 then 'png' when 1 then 'gif' end as format, case id % 3 when 0 then id % 5000 when 1 then 256 + id % 250 end as width, case id % 3 when 0 then id % 300 when 1 then 1 end as height from feeds",
+    lambda m: derived(m, PICTURES, feeds=m.feeds).select("id", pages.picture_size(F.unhex("data")).alias("s")).select("id", "s.*"))
+_ARTICLE = "'<article><h2><a href=\"/p/{0}' || cast(id as string) || '\">A long enough title {0}</a></h2><time datetime=\"2001-02-0{0}T00:00:00Z\">x</time><p>A paragraph of more than forty characters, for the summary.</p></article>'"
+_LD = "'{{{{\"@type\":\"BlogPosting\",\"url\":\"/p/{0}' || cast(id as string) || '\",\"headline\":\"A long enough title {0}\",\"datePublished\":\"2001-02-0{0}T00:00:00Z\",\"description\":\"A paragraph of more than forty characters, for the summary.\"}}}}'"
+_BLOCK = "'<div class=\"post x\"><h3><a href=\"/p/{0}' || cast(id as string) || '\">A long enough title {0}</a></h3><time>2001-02-0{0}T00:00:00Z</time><p>A paragraph of more than forty characters, for the summary.</p></div>'"
+EXPECTED = "select id, k - 1 as pos, site_url || 'p/' || k::varchar || id::varchar as url, 'A long enough title ' || k::varchar as title, make_timestamp(2001, 2, k, 0, 0, 0) as published_at, 'A paragraph of more than forty characters, for the summary.' as summary from feeds, (values (1), (2), (3), (4)) v(k)"
+for _name, _open, _close, _part, _glue in (("src18_posts_from_json_ld", "'<html><head><script type=\"application/ld+json\">['", "']</script></head><body><p>x</p></body></html>'", _LD, " || ',' || "),
+                                           ("src19_posts_from_articles", "'<html><body><nav><article><h2><a href=\"/no\">Not a post of this page</a></h2></article></nav>'", "'</body></html>'", _ARTICLE, " || "),
+                                           ("src20_posts_from_clusters", "'<html><body><div class=\"menu\"><a href=\"/a\">A</a></div><main>'", "'</main></body></html>'", _BLOCK, " || ")):
+    _html = f"select id, site_url as url, {_open} || {_glue.join(_part.format(k) for k in range(1, 5))} || {_close} as html from feeds"
+    add(_name, EXPECTED, lambda m, h=_html: derived(m, h, feeds=m.feeds).select("id", F.posexplode(pages.page_feed("html", "url")["items"]).alias("pos", "i")).select("id", "pos", "i.url", "i.title", F.col("i.published_at").cast("timestamp_ntz").alias("published_at"), "i.summary"))
+TAGGED = "select id, '<rss xmlns:media=\"http://search.yahoo.com/mrss/\" xmlns:itunes=\"http://www.itunes.com/dtds/podcast-1.0.dtd\"><channel><title>t</title><item><title>one</title>' || case id % 4 when 0 then '<media:thumbnail url=\"https://i.example/t' || cast(id as string) || '.png\"/>' when 1 then '<description>&lt;p&gt;&lt;img src=\"https://i.example/d.png\"&gt;</description>' when 2 then '<enclosure type=\"image/png\" url=\"https://i.example/e.png\"/>' else '' end || '<category>Linux</category><category> linux </category><itunes:category text=\"B' || cast(id as string) || '\"/></item></channel></rss>' as body from feeds"
+add("txt29_item_image", "select id, case id % 4 when 0 then 'https://i.example/t' || id::varchar || '.png' when 1 then 'https://i.example/d.png' when 2 then 'https://i.example/e.png' end as v from feeds", lambda m: derived(m, TAGGED, feeds=m.feeds).select("id", documents.parsed("body", F.lit(""))["items"][0]["image"].alias("v")))
+add("txt32_categories", "select id, ['Linux', 'B' || id::varchar] as v from feeds", lambda m: derived(m, TAGGED, feeds=m.feeds).select("id", documents.parsed("body", F.lit(""))["items"][0]["categories"].alias("v")))
+CHUNKS = "select id, '<outline text=\"a\" xmlUrl=\"' || feed_url || '\"/><outline text=\"x\"><outline xmlUrl=\"https://b.example/' || cast(id as string) || '\"/></outline>' as xml from feeds"
+add("src14_scan_chunks", "select id, [feed_url, 'https://b.example/' || id::varchar] as v from feeds", lambda m: derived(m, CHUNKS, feeds=m.feeds).select("id", outlines.scanned("xml").alias("v")))
+ADDED = "select id + 5000000 as id, user_id, case when id % 2 = 0 then item_id else item_id + 1 end as item_id, lane from queue_entries"
+add("dml39_enqueue", f"""with n as (select distinct on (user_id, lane, item_id) * from ({ADDED}) a order by user_id, lane, item_id, id), o as (select user_id, lane, item_id from queue_entries where not done), l as (select user_id, lane, max(position) as last from queue_entries group by 1, 2),
+    f as (select n.*, coalesce(last, 0) + row_number() over (partition by n.user_id, n.lane order by n.id) as position from n left join l using (user_id, lane) where not exists (select 1 from o where o.user_id = n.user_id and o.lane = n.lane and o.item_id = n.item_id))
+    select id, user_id, item_id, lane, position, done from queue_entries q where not exists (select 1 from f where f.user_id = q.user_id and f.lane = q.lane and f.item_id = q.item_id) union all select id, user_id, item_id, lane, position, false from f""",
+    lambda m: M.enqueue(m.queue_entries, derived(m, ADDED, queue_entries=m.queue_entries)))

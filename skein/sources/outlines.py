@@ -49,6 +49,19 @@ def outline_urls(xml: Column) -> Column:
     return F.transform(F.regexp_extract_all(xml, F.lit(r'(?i)<outline\b[^>]*?\bxmlUrl\s*=\s*"([^"]*)"'), F.lit(1)), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
 
 
+def _scan_all(texts: pd.Series) -> pd.Series:
+    out = []
+    for t in texts:
+        s = Scanner()
+        out.append([u for i in range(0, len(t or ""), 7) for u in s.push(t[i : i + 7])])
+    return pd.Series(out, dtype=object)
+
+
+def scanned(xml: str) -> Column:
+    """A column of the addresses of outlines, read in chunks as a stream gives them."""
+    return F.pandas_udf(_scan_all, "array<string>")(xml)
+
+
 def _read_all(bodies: pd.Series) -> pd.Series:
     return pd.Series([parse_opml(b) for b in bodies], dtype=object)
 

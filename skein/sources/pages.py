@@ -388,6 +388,31 @@ def page_identities(html, url):
     return F.pandas_udf(_page_identities, "struct<profiles:array<string>,people:array<struct<name:string,source:string,confidence:double>>>")(html, url)
 
 
+def _feed_links(html: pd.Series, url: pd.Series) -> pd.Series:
+    return pd.Series([feed_links(h, u or "") for h, u in zip(html, url, strict=True)], dtype=object)
+
+
+def page_feed_links(html, url):
+    return F.pandas_udf(_feed_links, "array<string>")(html, url)
+
+
+def _playlist_links(html: pd.Series, url: pd.Series) -> pd.Series:
+    return pd.Series([playlist_links(h, u or "") for h, u in zip(html, url, strict=True)], dtype=object)
+
+
+def page_playlist_links(html, url):
+    return F.pandas_udf(_playlist_links, "array<string>")(html, url)
+
+
+def _sizes(data: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([image_size(d) or (None, None, None) for d in data], columns=["format", "width", "height"])
+
+
+def picture_size(data):
+    """A column of (format, width, height) of pictures' bytes; nulls where the header is none."""
+    return F.pandas_udf(_sizes, "struct<format:string,width:long,height:long>")(data)
+
+
 def page_title(html: Column) -> Column:
     """The title element's text, by expressions alone."""
     from skein.functions.text import strip_html
