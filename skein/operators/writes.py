@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.scalars import UNDATED_CEILING, clamp
-from skein.functions.text import assess_feed, assess_series, extract_keywords, feed_topics
-from skein.operators.merges import fill, merge
+from skein.functions.text import assess_feed, assess_series, extract_keywords, feed_topics, identity_key
+from skein.operators.merges import fill, highest, merge, owner_wins
 from skein.operators.windows import numbered
 from skein.sources.sinks import ad_positions
 
@@ -94,3 +94,31 @@ def interleave(items: DataFrame, ads: DataFrame, by: str) -> DataFrame:
     placed = slots.join(ads.select("n", F.col("id").alias("_ad")), "n").join(items, [by, "pos"])
     rows = items.select(by, "pos", F.lit(False).alias("ad"), "id", "at").unionByName(placed.select(by, "pos", F.lit(True).alias("ad"), F.col("_ad").alias("id"), (F.col("at") - F.expr("interval 1 second")).alias("at")))
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy("pos", "ad")) - 1)
+
+
+def replace_keywords(stored: DataFrame, topics: DataFrame) -> DataFrame:
+    """Stored keywords with those of each feed in ``topics`` replaced; other feeds keep theirs."""
+    kept = stored.join(topics.select("feed_id").distinct(), "feed_id", "left_anti")
+    return kept.unionByName(topics.select(stored.columns))
+
+
+def prepare_credits(credits: DataFrame, feeds: DataFrame) -> DataFrame:
+    """(feed_id, identity_key, name, email, url, role, confidence) of credits (feed_id, name, email, url, role, confidence, pos): one a person of a feed, the surest first, an owner's role wins."""
+    key = identity_key(F.col("url"), F.col("name"), F.col("feed_url"))
+    df = credits.join(feeds.select(F.col("id").alias("feed_id"), "feed_url"), "feed_id").withColumn("identity_key", key).where("identity_key is not null")
+    sure = F.struct(-F.col("confidence"), F.col("pos"))
+    first = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", sure)).alias(c)
+    role = F.when(F.bool_or(F.col("role") == "owner"), "owner").otherwise(F.min_by("role", sure)).alias("role")
+    return df.groupBy("feed_id", "identity_key").agg(first("name"), first("email"), first("url"), role, F.max("confidence").alias("confidence"))
+
+
+def store_credits(authors: DataFrame, feed_authors: DataFrame, prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(authors, feed_authors) after the credits: authors (identity_key, name, email, confidence) are merged by key, links (feed_id, identity_key, role, confidence) by feed and key.
+
+    A stored name stays, a missing address is filled, the higher confidence and an owner's role win.
+    """
+    sure = F.struct(-F.col("confidence"), F.col("feed_id"))
+    one = prepared.groupBy("identity_key").agg(F.min_by("name", sure).alias("name"), F.min_by("email", F.when(F.col("email").isNotNull(), sure)).alias("email"), F.max("confidence").alias("confidence"))
+    people = merge(authors.select("identity_key", "name", "email", "confidence"), one, ["identity_key"], email=fill("email"), confidence=highest("confidence"))
+    links = merge(feed_authors.select("feed_id", "identity_key", "role", "confidence"), prepared.select("feed_id", "identity_key", "role", "confidence"), ["feed_id", "identity_key"], role=owner_wins(), confidence=highest("confidence"))
+    return people, links

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import identity as I
 from skein.operators import windows as W
+from skein.operators import writes
 from skein.plans.columns import N, pick
 from skein.plans.reads import add
 from skein.plans.verdicts import derived
@@ -37,3 +38,25 @@ add("txt36_links_of_bio", f"select id, case when id % 2 = 0 then ['github:ann' |
 SHOWN = f"select id, site_url as url, '<img src=\"' || site_url || 'a' || {N} || '.png\"><IMG width=\"150\" src=\"' || site_url || 'small.png\"><img src=\"https://cdn.other.test/x.png\"><img src=\"' || site_url || 'static/y.png\"><img height=300 width=\"900\" src=\"' || replace(site_url, 'www', 'img') || 'b.png\"><img src=\"' || site_url || 'p/my-logo.png\"><img src=\"/c.png\">' as html from feeds"
 add("txt59_figures", f"select id, [site_url || 'a' || {N} || '.png', replace(site_url, 'www', 'img') || 'b.png'] as v from feeds",
     lambda m: derived(m, SHOWN, feeds=m.feeds).select("id", I.figures(F.col("html"), F.col("url")).alias("v")))
+
+CREDITED = f"{NAMED}, w as (select n.*, case when url is not null then site else lower(person) || '@host' || regexp_extract(feed_url, 'host(\\d+)', 1) || '.example' end as identity_key, coalesce(role, 'author') as part, row_number() over (partition by feed_id, person order by n.confidence desc, pos) as k from n join feeds f on f.id = n.feed_id where person is not null)"
+PREPARED = "p as (select feed_id, identity_key, min_by(person, (-confidence, pos)) as name, min_by(mail, case when mail is not null then (-confidence, pos) end) as email, case when bool_or(part = 'owner') then 'owner' else min_by(part, (-confidence, pos)) end as role, max(confidence)::double as confidence from w group by 1, 2)"
+
+
+def _prepared(m):
+    inputs = derived(m, INPUTS, feeds=m.feeds).withColumn("confidence", F.col("confidence").cast("double"))
+    credits = inputs.withColumn("c", I.credit(F.col("name"), F.col("email"), F.col("url"))).where("c is not null").select("feed_id", "c.*", F.coalesce("role", F.lit("author")).alias("role"), "confidence", "pos")
+    return writes.prepare_credits(credits, m.feeds)
+
+
+KNOWN = "select 'https://social.example/@p' || cast(id * 6 as string) as identity_key, name, case when id % 2 = 0 then email end as email, confidence from authors"
+TIED = "select id as feed_id, 'https://social.example/@p' || cast(id as string) as identity_key, 'author' as role, cast(0.9 as double) as confidence from feeds where id % 6 = 0"
+add("str30_prepare_credits", f"with {CREDITED}, {PREPARED} select feed_id, identity_key, name, email, role, confidence from p", lambda m: _prepared(m).select("feed_id", "identity_key", "name", "email", "role", "confidence"))
+add("str36_store_credits", f"""with {CREDITED}, {PREPARED}, o as (select identity_key, min_by(name, (-confidence, feed_id)) as name, min_by(email, case when email is not null then (-confidence, feed_id) end) as email, max(confidence) as confidence from p group by 1), a as ({KNOWN})
+    select identity_key, coalesce(a.name, o.name) as name, coalesce(a.email, o.email) as email, case when a.identity_key is null then o.confidence when o.identity_key is null then a.confidence else greatest(a.confidence, o.confidence) end as confidence from a full join o using (identity_key)""",
+    lambda m: writes.store_credits(derived(m, KNOWN, authors=m.authors), derived(m, TIED, feeds=m.feeds), _prepared(m))[0])
+add("dml16_credit_links", f"""with {CREDITED}, {PREPARED}, t as ({TIED}) select feed_id, identity_key, case when t.role = 'owner' or p.role = 'owner' then 'owner' else coalesce(t.role, p.role) end as role, case when t.feed_id is null then p.confidence when p.feed_id is null then t.confidence else greatest(t.confidence, p.confidence) end as confidence
+    from t full join p using (feed_id, identity_key)""", lambda m: writes.store_credits(derived(m, KNOWN, authors=m.authors), derived(m, TIED, feeds=m.feeds), _prepared(m))[1])
+NEW_TOPICS = "select id as feed_id, 'topic-new' as slug, 'new' as keyword, cast(1 as bigint) as count from feeds where id % 4 = 0 union all select id, 'topic-1', 'one', id % 7 from feeds where id % 4 = 0"
+add("txt08_refresh_feed_keywords", f"with t as ({NEW_TOPICS}) select feed_id, slug, keyword, count from feed_keywords where feed_id not in (select feed_id from t) union all select * from t",
+    lambda m: writes.replace_keywords(m.feed_keywords.select("feed_id", "slug", "keyword", "count"), derived(m, NEW_TOPICS, feeds=m.feeds)))
