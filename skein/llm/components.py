@@ -2,7 +2,8 @@
 
 Each round halves the height of the trees at least on average; every round's edges are written to
 the shared folder, so a lost executor costs a part of one round. Nothing but two numbers per round
-reaches the driver.
+reaches the driver. The root of a large component is one key with all its leaves in the joins, which
+adaptive execution splits (spark.sql.adaptive.skewJoin, on by default); its minimum is a partial aggregate.
 """
 
 from __future__ import annotations

@@ -191,6 +191,7 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give each row of ``pieces`` (any columns, with length from 1 to capacity) its sequence_id and offset.
 
+    Columns named part, rank, sequence_id and offset are the operator's own: a caller's are left out.
     Every row gets a place, equal rows too; the table is written once in between so that ranks stay
     what they were when an executor is lost. A row of another length raises an error. An empty
     table gives no rows.
