@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.scalars import EPISODE_CHARS
+
 ITEM = "struct<guid:string,url:string,title:string,summary:string,content:string,author:string,published_at:timestamp,image:string,categories:array<string>,audio:struct<url:string,type:string,bytes:bigint,seconds:bigint>>"
 FEED = f"struct<format:string,title:string,description:string,site_url:string,language:string,image:string,kind:string,categories:array<string>,items:array<{ITEM}>>"
 _ENTITY = re.compile(r"&([A-Za-z][A-Za-z0-9]*);")
@@ -141,22 +143,31 @@ def _item(guid, url, title, content, author, date, image, categories, audio) ->
     return {"guid": guid or url or title, "url": url, "title": title, "summary": plain(content), "content": content, "author": author, "published_at": parse_date(date), "image": image, "categories": categories, "audio": audio}
 
 
-def kind_of(items: list[dict], medium: str | None, podcast: bool, url: str) -> str:
-    """The class of a feed by what it declares and what its first posts hold."""
+#: A channel's tags of podcasts, and those by which its publisher declares one.
+PODCAST_TAGS = ("itunes:owner", "itunes:category", "itunes:explicit", "itunes:type", "podcast:guid", "podcast:medium")
+DECLARED_TAGS = ("itunes:type", "podcast:guid", "podcast:medium")
+
+
+def kind_of(items: list[dict], medium: str | None, tags: set[str], url: str) -> str:
+    """The class of a feed by what it declares and what its first posts hold: enclosures count where tags or a show's shape bear them out.
+
+    A newsroom is told from stored posts and not from a document (``is_newsroom``).
+    """
     if medium in ("music", "video", "podcast"):
         return medium
-    if "youtube.com/feeds" in url:
-        return "video"
     sample = items[:5]
-    audio = sum(bool(i["audio"]) for i in sample)
-    video = sum(bool(i["audio"]) and (i["audio"]["type"] or "").startswith("video") for i in sample)
-    if sample and 2 * video > len(sample):
+    if "youtube.com/feeds" in url or any("youtube.com/watch" in (i["url"] or "") for i in sample):
+        return "video"
+    podcast, media = bool(tags & set(PODCAST_TAGS)), [i for i in sample if i["audio"]]
+    video = [i for i in media if (i["audio"]["type"] or "").startswith("video")]
+    brief = sum(len(plain(i["content"], 10**9) or "") < EPISODE_CHARS for i in video)
+    if video and (podcast or (2 * len(video) > len(sample) and 2 * brief > len(video))):
         return "video"
-    return "podcast" if podcast or sample and 2 * audio > len(sample) else "blog"
+    return "podcast" if podcast and (tags & set(DECLARED_TAGS) or not sample or len(media) > len(video)) else "blog"
 
 
-def _feed(fmt: str, title, description, site, language, image, items: list[dict], categories=(), medium=None, podcast=False, url="") -> dict:
-    return {"format": fmt, "title": title, "description": plain(description), "site_url": site, "language": language, "image": image, "kind": kind_of(items, medium, podcast, url), "categories": list(categories), "items": items}
+def _feed(fmt: str, title, description, site, language, image, items: list[dict], categories=(), medium=None, tags=frozenset(), url="") -> dict:
+    return {"format": fmt, "title": title, "description": plain(description), "site_url": site, "language": language, "image": image, "kind": kind_of(items, medium, set(tags), url), "categories": list(categories), "items": items}
 
 
 def parse_rss(root: ET.Element, url: str = "") -> dict:
@@ -168,9 +179,8 @@ def parse_rss(root: ET.Element, url: str = "") -> dict:
         guid = _text(e, "guid") or next((v for k, v in e.attrib.items() if k.endswith("about")), None)
         items.append(_item(guid, link, _text(e, "title"), content, _text(e, "dc:creator", "author", "itunes:author"), _text(e, "pubDate", "dc:date"), _image(e, content), _categories(e), _audio(e)))
     image = channel.find("itunes:image")
-    own = [c for c in channel if c.tag in ("itunes:category", "itunes:owner", "itunes:explicit", "podcast:locked")]
     return _feed("rdf" if root.tag == "RDF" else "rss", _text(channel, "title"), _text(channel, "description"), _text(channel, "link"), _text(channel, "language", "dc:language"),
-                 (image.get("href") if image is not None else None) or _text(channel.find("image"), "url") or _text(root.find("image"), "url"), items, _categories(channel), _text(channel, "podcast:medium"), bool(own), url)
+                 (image.get("href") if image is not None else None) or _text(channel.find("image"), "url") or _text(root.find("image"), "url"), items, _categories(channel), _text(channel, "podcast:medium"), {c.tag for c in channel}, url)
 
 
 def parse_atom(root: ET.Element, url: str = "") -> dict:
@@ -196,7 +206,7 @@ def parse_json_feed(raw: dict, url: str = "") -> dict | None:
         audio = a and {"url": a.get("url"), "type": a.get("mime_type"), "bytes": a.get("size_in_bytes"), "seconds": a.get("duration_in_seconds")}
         guid = e.get("id")
         items.append(_item(None if guid is None else str(guid), e.get("url") or e.get("external_url"), e.get("title"), content, who.get("name"), e.get("date_published") or e.get("date_modified"), e.get("image") or e.get("banner_image"), [str(t) for t in e.get("tags") or []], audio))
-    return _feed("json", raw.get("title"), raw.get("description"), raw.get("home_page_url"), raw.get("language"), raw.get("icon") or raw.get("favicon"), items, medium=None, podcast="_itunes" in raw, url=url)
+    return _feed("json", raw.get("title"), raw.get("description"), raw.get("home_page_url"), raw.get("language"), raw.get("icon") or raw.get("favicon"), items, medium=None, tags={"itunes:owner"} if "_itunes" in raw else (), url=url)
 
 
 def parse_feed(body: str | None, url: str = "") -> dict | None:

@@ -16,12 +16,23 @@ RDF = """<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns=
 def test_rss():
     f = D.parse_feed(RSS)
     one, two = f["items"]
-    assert (f["format"], f["title"], f["kind"]) == ("rss", "A\xa0B", "podcast" if f["kind"] == "podcast" else f["kind"])
+    assert (f["format"], f["title"], f["kind"]) == ("rss", "A\xa0B", "blog")
     assert one["published_at"] == datetime(2026, 8, 3, 10) and one["summary"] == "Hi & bye"
     assert one["audio"] == {"url": "https://x/a.mp3", "type": "audio/mpeg", "bytes": 12, "seconds": 62}
     assert one["categories"] == ["Go"] and two["guid"] == "https://a.example/2" and two["published_at"] is None
 
 
+def test_kinds():
+    head = RSS.index("<link>https://a.example</link>")
+    kind = lambda tags, body=RSS: D.parse_feed(body[:head] + tags + body[head:])["kind"]
+    assert kind("<itunes:type>episodic</itunes:type>") == "podcast" and kind("<itunes:explicit>no</itunes:explicit>") == "podcast"
+    video = RSS.replace("audio/mpeg", "video/mp4")
+    silent = RSS.replace('<enclosure url="https://x/a.mp3" type="audio/mpeg" length="12"/>', "")
+    assert kind("<itunes:explicit>no</itunes:explicit>", silent) == "blog" and kind("<itunes:type>episodic</itunes:type>", silent) == "podcast"
+    assert kind("", video) == "blog" and kind("<itunes:explicit>no</itunes:explicit>", video) == "video"
+    assert D.parse_feed(RSS, "https://www.youtube.com/feeds/videos.xml?x")["kind"] == "video"
+
+
 def test_atom_rdf_json():
     a = D.parse_feed(ATOM)
     assert a["site_url"] == "https://h.example" and a["items"][0]["author"] == "Ann Bee" and a["items"][0]["guid"] == "urn:1"
