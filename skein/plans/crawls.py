@@ -119,7 +119,7 @@ add("src49_interleave_ads", f"""with i as ({LONG}), c as (select by_id, count(*)
 add("src53_each_feed_for_export", "select id, title from feeds where status <> 'dead'", lambda m: sinks.export_rows(m.feeds).select("id", "title"))
 TITLED = "select id, case id % 6 when 0 then 'API' when 1 then '  ' when 2 then 'Feed' else 'Title ' || cast(id % 40 as string) end as title, case when id % 12 = 1 then null else site_url end as url from import_entries join (select id as fid, site_url from feeds) f on fid = id"
 add("win15_unique_slug", f"""with b as (select id, case when trim(title) <> '' then lower(replace(title, ' ', '-')) when url is not null then replace(regexp_extract(url, '^https?://(?:www\\.)?([^/]+)', 1), '.', '-') else 'untitled' end as base from ({TITLED})),
-    n as (select *, row_number() over (partition by base order by id) as k from b), g as (select base, v, row_number() over (partition by base order by v) as k from (select distinct base, v from b, (select unnest(generate_series(1, 6000)) as v) s) c where not (v = 1 and base in ('api', 'feed')) and case when v = 1 then base else base || '-' || v::varchar end not in (select slug from feeds))
+    n as (select *, row_number() over (partition by base order by id) as k from b), g as (select base, v, row_number() over (partition by base order by v) as k from (select distinct base, v from b, (select unnest(generate_series(1, (select max(id) from feeds) + 6000)) as v) s) c where not (v = 1 and base in ('api', 'feed')) and case when v = 1 then base else base || '-' || v::varchar end not in (select slug from feeds))
     select n.id, case when v = 1 then n.base else n.base || '-' || v::varchar end as slug from n join g on g.base = n.base and g.k = n.k""",
     lambda m: W.unique_slugs(derived(m, TITLED, import_entries=m.import_entries, feeds=m.feeds), m.feeds.select("slug")).select("id", "slug"))
 CHANNEL = "select id, case id % 8 when 0 then 'music' when 1 then 'newsletter' end as medium, case when id % 10 = 3 then 'https://www.youtube.com/feeds/videos.xml?x' else feed_url end as feed_url, id % 3 as videos, id % 4 as audios, id % 5 < 2 as tags, id % 7 = 0 as declared, id % 11 = 0 as shaped, id % 13 < 4 as newsroom, id % 6 as sample from feeds"
