@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chroma, langid, neardup, packing, passages, pieces, ppm, quality_crf, rules, toolcalls
+from . import chroma, langid, neardup, packing, passages, pieces, ppm, prefixes, quality_crf, rules, toolcalls
 from .shared import documents
 
 QUERIES = {}
@@ -95,6 +95,12 @@ def op8_toolcalls(spark, sf_dir):
     return out.select("conv_id", "turn", "call_id", "name", "copies", "linked", "level", F.array_join("errors", "; ").alias("errors"), "json")
 
 
+@_query
+def op11_prefix_counts(spark, sf_dir):
+    """Tokens of every whole text by the 32k piece model, and where a text over 4,096 tokens would be cut."""
+    return prefixes.measure(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), 4096)
+
+
 ORACLE_SQL["op8_toolcalls"] = """
 with recursive c as (select *, length(text) as n, conv_id::varchar || '-' || turn::varchar as call_id,
     case when length(text) % 13 = 0 then conv_id::varchar || '-' || (turn + 2)::varchar when turn >= 3 then conv_id::varchar || '-' || (turn - 2)::varchar end as after

@@ -15,7 +15,7 @@ import pytest
 from odd_rows import ODD
 from pyspark.sql import functions as F
 
-from skein.llm import chroma, langid, neardup, packing, passages, pieces, ppm, quality_crf, queries, rules, toolcalls
+from skein.llm import chroma, langid, neardup, packing, passages, pieces, ppm, prefixes, quality_crf, queries, rules, toolcalls
 from skein.llm.components import connected_components
 from skein.llm.textops import slices
 
@@ -773,3 +773,47 @@ def test_digest_queries(spark, sf):
     for r in two[:20]:
         ids = packing.tokenizer(path).encode(texts[r.doc_id]) + np.array([2], "<u4").tobytes()
         assert r.ids_crc32 == zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)])
+
+
+# 11
+def test_prefix_counts_equal_the_library_at_every_prefix(spark, docs):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(11)
+    signs = [*"abcdetnis ▁\n\t<>0xA/*;\r\"'()é中", "\U0001F600", "  ", "     ", "\x00", "</s>", "<0x0A>", "the", "ing", "tion", " {", "});\r\n"]
+    texts = [None, "", " ", "▁", "x" * 300, " " * 90] + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(400)] + [prose(rng, 60)]
+    got = {r.doc_id: r.counts for r in prefixes.prefix_counts(docs(texts), path).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [len(lib.encode((t or "")[:n])) for n in range(len(t or "") + 1)], t
+
+
+def test_budgets_read_the_prefix_table(spark, docs):
+    path = P.path("piece_bpe_32k.model")
+    rng = random.Random(12)
+    texts = [None, "", "é\U0001F600 中"] + [prose(rng, rng.randint(1, 60)) for _ in range(40)]
+    tables = prefixes.prefix_counts(docs(texts), path)
+    counts = {r.doc_id: r.counts for r in tables.collect()}
+    for budget in (0, 1, 7, 40, 10_000):
+        got = {r.doc_id: r for r in prefixes.measure(docs(texts), path, budget).collect()}
+        asked = {r.doc_id: r for r in tables.select("doc_id", prefixes.within_budget(budget).alias("cut"), prefixes.tokens_of(9).alias("nine")).collect()}
+        for i, t in enumerate(texts):
+            want = max(n for n, c in enumerate(counts[i]) if c <= budget)
+            assert (got[i].cut_chars, asked[i].cut) == (want, want)
+            assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), counts[i][-1], counts[i][-1] > budget)
+            assert asked[i].nine == counts[i][min(9, len(t or ""))]
+
+
+def test_prefix_counts_on_odd_rows(spark, docs, odd):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    out = prefixes.measure(odd, path, 4096)
+    rows = sorted(out.collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+    texts = [t for t in ODD if t is not Ellipsis]
+    assert [r.n_tokens for r in rows] == [len(lib.encode(t or "")) for t in texts] + [0]
+    assert [r.over_limit for r in rows] == [len(lib.encode(t or "")) > 4096 for t in texts] + [False]
+    assert prefixes.measure(docs([]), path, 5).count() == prefixes.prefix_counts(docs([]), path).count() == 0
+    assert prefixes.measure(odd.union(odd), path, 5).count() == 2 * len(ODD)
