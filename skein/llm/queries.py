@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chroma, langid, neardup, packing, passages, pieces, ppm, prefixes, quality_crf, rules, toolcalls
+from . import chroma, langid, manifest, neardup, packing, passages, pieces, ppm, prefixes, quality_crf, rules, toolcalls
 from .shared import documents
 
 QUERIES = {}
@@ -101,6 +101,14 @@ def op11_prefix_counts(spark, sf_dir):
     return prefixes.measure(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
+@_query
+def op12_manifest(spark, sf_dir):
+    """A Merkle tree per source and one over the sources; each row's proof, checked against the rows as they are found now."""
+    return manifest.documents_manifest(documents(spark, sf_dir))
+
+
+ORACLE_SQL["op12_manifest"] = manifest.sql()
+
 ORACLE_SQL["op8_toolcalls"] = """
 with recursive c as (select *, length(text) as n, conv_id::varchar || '-' || turn::varchar as call_id,
     case when length(text) % 13 = 0 then conv_id::varchar || '-' || (turn + 2)::varchar when turn >= 3 then conv_id::varchar || '-' || (turn - 2)::varchar end as after

@@ -15,7 +15,7 @@ import pytest
 from odd_rows import ODD
 from pyspark.sql import functions as F
 
-from skein.llm import chroma, langid, neardup, packing, passages, pieces, ppm, prefixes, quality_crf, queries, rules, toolcalls
+from skein.llm import chroma, langid, manifest, neardup, packing, passages, pieces, ppm, prefixes, quality_crf, queries, rules, toolcalls
 from skein.llm.components import connected_components
 from skein.llm.textops import slices
 
@@ -817,3 +817,98 @@ def test_prefix_counts_on_odd_rows(spark, docs, odd):
     assert [r.over_limit for r in rows] == [len(lib.encode(t or "")) > 4096 for t in texts] + [False]
     assert prefixes.measure(docs([]), path, 5).count() == prefixes.prefix_counts(docs([]), path).count() == 0
     assert prefixes.measure(odd.union(odd), path, 5).count() == 2 * len(ODD)
+
+
+# 12
+def _hash(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def _tree(hashes):
+    """All levels of a tree, the leaves first."""
+    out = [hashes]
+    while len(out[-1]) > 1:
+        out.append([_hash(*out[-1][i : i + 16]) for i in range(0, len(out[-1]), 16)])
+    return out
+
+
+def _climb(tree, i, own):
+    """Siblings of a leaf level by level, and the root over ``own`` in its place."""
+    siblings = []
+    for level in tree[:-1]:
+        first = i // 16 * 16
+        run = level[first : first + 16]
+        siblings += run[: i - first] + run[i - first + 1 :]
+        own, i = _hash(*run[: i - first], own, *run[i - first + 1 :]), i // 16
+    return siblings, own
+
+
+def _manifest(rows):
+    value = lambda x: "-" if x is None else f"{len(str(x).encode())}:{x}"
+    digest = lambda r, text: _hash(*map(value, (r["doc_id"], r["source"], r["lang"], r["n_chars"], text)))
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r["source"]].append((digest(r, r["text"]), r))
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = []
+    for s in names:
+        groups[s].sort(key=lambda x: (x[1]["doc_id"] is not None, x[1]["doc_id"] or 0, x[0]))
+        trees.append(_tree([h for h, _ in groups[s]]))
+    top = _tree([t[-1][0] for t in trees])
+    for g, s in enumerate(names):
+        for i, (own, r) in enumerate(groups[s]):
+            now = own
+            if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0:
+                now = digest(r, None if r["text"] is None else r["text"].translate(LOWER))
+            below, sub = _climb(trees[g], i, now)
+            above, root = _climb(top, g, sub)
+            yield (r["doc_id"], own, trees[g][-1][0], top[-1][0], _hash(*below, *above), root, root == top[-1][0])
+
+
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long, digest string, tree int, index int, size int, path int"
+
+
+def _rows(rng, sizes):
+    out = []
+    for s, n in sizes.items():
+        for _ in range(n):
+            text = rng.choice([None, "", "Some Text", "no capitals", "É\U0001F600", prose(rng, 5)])
+            out.append({"doc_id": len(out) + 1, "text": text, "lang": rng.choice([None, "en"]), "source": s, "n_chars": rng.choice([None, 7])})
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"a": 1}, {None: 16}, {"a": 17}, {"a": 1, None: 2, "": 3, "é": 16, "z": 33, "hot": 600}, {f"s{i}": 1 + i % 3 for i in range(40)}])
+def test_manifest_equals_brute_force(spark, sizes):
+    rows = _rows(random.Random(12), sizes)
+    out = manifest.documents_manifest(spark.createDataFrame([(*r.values(), "x", 1, 2, 3, 4) for r in rows], DOCUMENT).repartition(5))
+    assert sorted(map(tuple, out.collect())) == sorted(_manifest(rows))
+
+
+def test_manifest_on_odd_rows(spark, odd):
+    docs = odd.withColumn("n_chars", F.length("text")).drop("n")
+    rows = [r.asDict() for r in docs.collect()]
+    for d, r in ((docs, rows), (docs.union(docs), rows + rows)):
+        assert sorted(str(tuple(x)) for x in manifest.documents_manifest(d).collect()) == sorted(map(str, _manifest(r)))
+    assert manifest.documents_manifest(docs.limit(0)).count() == 0
+
+
+def test_frontiers_meet_after_tasks_that_see_parts():
+    """Events of one tree dealt out at random: what tasks leave open is whole after they meet, whatever their order."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    leaves = [hashlib.sha256(bytes([i % 256, i // 256])).digest() for i in range(700)]
+    events = [("t", 700, 0, i, h) for i, h in enumerate(leaves)]
+    rng.shuffle(events)
+    batch = lambda rows: pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], ["tree", "size", "level", "index", "digest"])
+    whole, left = [], []
+    for part in range(3):
+        for b in manifest.combine(iter([batch(events[part::3])])):
+            for r in b.to_pylist():
+                (whole if r["children"] else left).append((r["tree"], r["size"], r["level"], r["index"], r["digest"]))
+    found = [r for b in manifest.combine(iter([batch(left[:100]), batch(left[100:])])) for r in b.to_pylist()]
+    assert all(r["children"] for r in found)
+    want = _tree([h.hex() for h in leaves])
+    got = {(r["level"], r["index"]): r["digest"].hex() for r in found} | {(x[2], x[3]): x[4].hex() for x in whole}
+    assert got == {(k, i): h for k, level in enumerate(want) if k for i, h in enumerate(level)}
