@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chroma, langid, manifest, neardup, packing, passages, pieces, ppm, prefixes, quality_crf, rules, toolcalls
+from . import chroma, collocations, langid, manifest, neardup, packing, passages, pieces, ppm, prefixes, quality_crf, rules, toolcalls
 from .shared import documents
 
 QUERIES = {}
@@ -109,6 +109,14 @@ def op12_manifest(spark, sf_dir):
 
 ORACLE_SQL["op12_manifest"] = manifest.sql()
 
+@_query
+def op13_collocations(spark, sf_dir):
+    """The 2,000 best phrases of each language."""
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+ORACLE_SQL["op13_collocations"] = collocations.sql()
+
 ORACLE_SQL["op8_toolcalls"] = """
 with recursive c as (select *, length(text) as n, conv_id::varchar || '-' || turn::varchar as call_id,
     case when length(text) % 13 = 0 then conv_id::varchar || '-' || (turn + 2)::varchar when turn >= 3 then conv_id::varchar || '-' || (turn - 2)::varchar end as after
