@@ -15,7 +15,7 @@ import pytest
 from odd_rows import ODD
 from pyspark.sql import functions as F
 
-from skein.llm import chroma, langid, manifest, neardup, packing, passages, pieces, ppm, prefixes, quality_crf, queries, rules, toolcalls
+from skein.llm import chroma, collocations, langid, manifest, neardup, packing, passages, pieces, ppm, prefixes, quality_crf, queries, rules, toolcalls
 from skein.llm.components import connected_components
 from skein.llm.textops import slices
 
@@ -912,3 +912,88 @@ def test_frontiers_meet_after_tasks_that_see_parts():
     want = _tree([h.hex() for h in leaves])
     got = {(r["level"], r["index"]): r["digest"].hex() for r in found} | {(x[2], x[3]): x[4].hex() for x in whole}
     assert got == {(k, i): h for k, level in enumerate(want) if k for i, h in enumerate(level)}
+
+
+# 13
+def _collocations(rows, most=2000, least=30):
+    """By counting every phrase of every piece."""
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i : i + m])) for m in (1, 2, 3, 4) for i in range(len(w) - m + 1))
+    found = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    inside = defaultdict(int)
+    for (lang, w), a in found.items():
+        for m in range(2, len(w)):
+            for i in range(len(w) - m + 1):
+                inside[lang, w[i : i + m]] = max(inside[lang, w[i : i + m]], a)
+    out = defaultdict(list)
+    for (lang, w), a in found.items():
+        if 100 * inside[lang, w] < 80 * a:
+            parts = [(f[lang, w[:k]], f[lang, w[k:]]) for k in range(1, len(w))]
+            score, _, l, r = min((2_000_000 * a // (l + r), k, l, r) for k, (l, r) in enumerate(parts))
+            out[lang].append((-score, -a, " ".join(w).encode(), l, r))
+    return [(lang, i, p.decode(), -a, l, r, n[lang], -s) for lang, best in out.items() for i, (s, a, p, l, r) in enumerate(sorted(best)[:most], 1)]
+
+
+def _phrase_rows(seed):
+    rng = random.Random(seed)
+    words = [*"abcdefg", "É", "B", "x\x00y", "\x1f", "c\x0bd"]
+    text = lambda: "".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\t", ", ", ".", "\n", "\r\n"]) for _ in range(rng.randint(0, 60)))
+    fixed = ["new york city hall", "new york", "of the day"]
+    return [(rng.choice([None, "en", "de", "und"]), rng.choice([None, "", text(), text(), text() + " " + rng.choice(fixed), rng.choice(fixed)])) for _ in range(1500)]
+
+
+@pytest.mark.parametrize("most", [2000, 7])
+def test_collocations_equal_brute_force(spark, most):
+    rows = _phrase_rows(13)
+    docs = spark.createDataFrame([(i, t, x, 1, 2) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string, f long, phrase int").repartition(7)
+    got = collocations.collocations(docs, most=most)
+    want = _collocations(rows, most)
+    assert len(want) > 20 and {r[0] for r in want} == {"en", "de", "und"}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_collocations_on_odd_rows(spark, odd, docs):
+    got = collocations.collocations(odd)
+    assert sorted(map(tuple, got.collect())) == sorted(_collocations([(r.lang, r.text) for r in odd.collect()]))
+    assert collocations.collocations(docs([])).count() == collocations.collocations(docs([None, "", "one word"])).count() == 0
+    many = docs(["to be or not"] * 20)
+    assert collocations.collocations(many).count() == 0
+    assert [tuple(r)[2:] for r in collocations.collocations(many.union(many)).collect()] == [("to be or not", 40, 40, 40, 160, 1_000_000)]
+
+
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
+    rows = _phrase_rows(14)
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(collocations, "BITS", 64)
+    assert sorted(map(tuple, collocations.collocations(docs).collect())) == sorted(_collocations(rows))
+
+
+def test_the_automaton_equals_one_built_word_by_word():
+    """States, endpos counts and suffix links against the online construction, whose substrings are cut off at four words."""
+    rng = random.Random(15)
+    for _ in range(60):
+        runs = [[rng.randrange(4) for _ in range(rng.randint(1, 12))] for _ in range(rng.randint(1, 6))]
+        places = defaultdict(set)
+        at = 0
+        for run in runs:
+            for i in range(len(run)):
+                for m in range(1, min(4, i + 1) + 1):
+                    places[tuple(run[i + 1 - m : i + 1])].add(at + i)
+            at += len(run)
+        classes = defaultdict(list)
+        for w, p in places.items():
+            classes[frozenset(p)].append(w)
+        want = sorted((max(ws, key=len), min(map(len, ws)), len(p)) for p, ws in classes.items())
+        flat = [w for run in runs for w in run]
+        begins = np.array([i == 0 for run in runs for i in range(len(run))])
+        a = collocations.Automaton(np.array(flat, np.uint64), begins, 4)
+        got = [(tuple(flat[e + 1 - m : e + 1]), int(s), int(c)) for m, level in enumerate(a.states(), 1) for e, c, s in zip(*level, strict=True)]
+        assert sorted(got) == want
+        for m in range(1, 4):
+            for e, link in zip(a.ends[m], a.links[m], strict=True):
+                assert link == a.ids[m - 1][e]
