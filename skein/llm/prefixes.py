@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,23 +28,31 @@ class PrefixTable:
     def __init__(self, pieces: PieceModel) -> None:
         self.pieces = pieces
         self.spans = _Spans(self._span)
+        # the pieces that end at a character, each with its length and id
+        self.ends = ahocorasick.Automaton()
+        for p in pieces.known:
+            self.ends.add_word(p, (len(p), pieces.id[p]))
+        self.ends.make_automaton()
 
     def _run(self, run: str, out: list[int]) -> None:
         """Append what each character adds to the count of a run whose characters all have pieces; it can be less than nothing."""
         m = self.pieces
-        ids, fits = m.id, m.fits
+        fits, seen = m.fits, m._fits
         last, count = [-1] * (len(run) + 1), [0] * (len(run) + 1)
         done = 0
-        for end, size in m.trie.iter(run):
-            at = end + 1
-            if at == done:  # its token is found already
+        for end, (size, token) in self.ends.iter(run):
+            if end < done:  # its token is found already
                 continue
-            token = ids[run[at - size : at]]
-            before = last[at - size]
-            if at == size or before >= 0 and fits(before, token):
-                last[at], count[at] = token, count[at - size] + 1
-                out.append(count[at] - count[end])
-                done = at
+            start = end + 1 - size
+            if start:
+                before = last[start]
+                pair = before << 32 | token
+                ok = seen.get(pair)
+                if not (fits(before, token) if ok is None else ok):
+                    continue
+            done = end + 1
+            last[done], count[done] = token, count[start] + 1
+            out.append(count[done] - count[end])
         if done != len(run):
             raise ValueError("no tokens cover this text")
 
