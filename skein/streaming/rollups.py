@@ -1,10 +1,7 @@
-"""Structured Streaming: hourly rollups, log tails, alert cursors; each has a batch twin."""
+"""Structured Streaming: hourly rollups and log tails; each has a batch twin."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,27 +34,6 @@ def merge_hours(target: DataFrame | None, batch: DataFrame) -> DataFrame:
     return rows.groupBy("hour", "event_type").agg(F.sum("lines").alias("lines"), F.round(F.sum("amount"), 4).alias("amount"))
 
 
-STATE = "cursor timestamp, sent long"
-OUTPUT = "user_id long, event_id long, at timestamp, first_pass boolean"
-
-
-def _deliver(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """The first pass only sets the cursor; later ones give what came in after it, and move it first."""
-    rows = pd.concat(list(batches)) if state is not None else pd.DataFrame()
-    cursor, sent = state.get if state.exists else (None, 0)
-    newest = rows["at"].max()
-    out = rows.iloc[0:0] if cursor is None else rows[rows["at"] > cursor].sort_values(["at", "event_id"])
-    moved = newest if cursor is None else max(cursor, newest)
-    state.update((moved, sent + len(out)))
-    yield pd.DataFrame({"user_id": key[0], "event_id": out["event_id"], "at": out["at"], "first_pass": cursor is None})[["user_id", "event_id", "at", "first_pass"]]
-
-
-def alerts(events: DataFrame) -> DataFrame:
-    """What each user is told, by a cursor over the moments at which rows came in."""
-    rows = events.select(F.col("user_id").cast("long").alias("user_id"), "event_id", F.col("ts").cast("timestamp").alias("at"))
-    return rows.groupBy("user_id").applyInPandasWithState(_deliver, OUTPUT, STATE, "append", "NoTimeout")
-
-
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into a table in memory, for tests and small looks."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
