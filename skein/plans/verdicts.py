@@ -24,13 +24,14 @@ def derived(m, sql: str, **tables):
 VARIED = """select id, category, case id % 41 when 0 then feed_url || '/comments/feed' when 1 then feed_url || '?feed=comments' when 2 then feed_url || '/COMMENTS.RSS'
         when 3 then replace(feed_url, '/feed/', '/Tags/') when 4 then replace(feed_url, '/feed/', '/author/') when 5 then feed_url || '/commentsy' else feed_url end as feed_url,
     case id % 29 when 0 then '(untitled)' when 1 then '  ' else title end as title, case id % 31 when 0 then ' ' when 1 then null else description end as description from feeds"""
-#: Posts of whole hosts, so that some owners have many; some linked by white space only.
-POSTED = """select feed_id % 997 as feed_id, case when feed_id % 997 < 9 then 'One Title' when id % 10 = 1 then ' PART ' else title end as title,
-    case when feed_id % 997 % 5 = 0 then ' ' when id % 3 = 0 then null else 'https://post.example/' || cast(id as string) end as url,
-    case when feed_id % 997 % 7 <> 0 then published_at - DAYS(feed_id % 997) end as published_at,
-    case when feed_id % 997 % 4 = 0 then ' ' when feed_id % 997 % 4 = 1 then case when id % 2 = 0 then 'Ann Bee' else ' ann bee' end
-        when feed_id % 997 % 4 = 2 then 'Author ' || cast(supplier % 3 as string) else 'Author ' || cast(supplier as string) end as author from items where feed_id % 997 <= 700"""
-FEEDS = f"select id, max(feed_url) as feed_url, max(title) as title, max(description) as description from ({VARIED}) v where id < 1100 group by 1"
+#: Posts of their feeds, or of whole groups of feeds, so that some feeds have many and some none; some linked by white space only.
+POSTED = """select feed as feed_id, case when feed % 997 < 9 then 'One Title' when id % 10 = 1 then ' PART ' else title end as title,
+    case when feed % 997 % 5 = 0 then ' ' when id % 3 = 0 then null else 'https://post.example/' || cast(id as string) end as url,
+    case when feed % 997 % 7 <> 0 then published_at - DAYS(feed % 997) end as published_at,
+    case when feed % 997 % 4 = 0 then ' ' when feed % 997 % 4 = 1 then case when id % 2 = 0 then 'Ann Bee' else ' ann bee' end
+        when feed % 997 % 4 = 2 then 'Author ' || cast(supplier % 3 as string) else 'Author ' || cast(supplier as string) end as author
+    from (select *, case when feed_id % 4 = 0 then feed_id - feed_id % 64 + 4 else feed_id end as feed from items) x"""
+FEEDS = f"select id, max(feed_url) as feed_url, max(title) as title, max(description) as description from ({VARIED}) v group by 1"
 RANKED = "least(greatest(p, 0), 100)"
 
 add(
