@@ -8,9 +8,10 @@ where both have the same count they have the same endpos set and are one state.
 one row a state, its longest substring and the length of its shortest; Spark
 unfolds them, adds the counts of all shards and does the rest as joins.
 
-Most substrings are rare. The first pass counts hashes of pairs of words, and those that are
-frequent are set in a bitmap of fixed size. The second pass leaves out what has a pair that is not set:
-it cannot be frequent. A hash that stands for several pairs lets more through and loses nothing.
+Most substrings are rare, and what has a rare part is rare. So a first pass counts hashes of pairs of words
+and a second one hashes of three words of which both pairs are frequent; what is frequent is set in a
+bitmap of fixed size, and the last pass leaves out what has a part that is not set. Hashes that share
+a bit let more through and lose nothing. A task sends its hashes in blocks, sorted, as the steps from one to the next.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from .shared import cut
 from .textops import Slice, mix, slices
 
 LONGEST, LEAST = 4, 30
-#: Bits of the bitmap of frequent pairs: 8 MB, however many there are; the fuller it is, the less it spares.
+#: Bits of a bitmap of what is frequent: 8 MB, however much there is; the fuller it is, the less it spares.
 BITS = 1 << 26
+#: Bits of a hash that are counted, of which the first ones (all but 32) say its range; hashes that a task holds before it sends them.
+HASH_BITS, HELD = 44, 2_000_000
 #: Bytes of text in a shard, as far as whole texts allow.
 SHARD_BYTES = 4 << 20
 #: Parts in which a language's phrases are ranked before they meet.
@@ -80,10 +83,13 @@ class Phrases(Slice):
         return out.tobytes(), at
 
 
-def pair_hashes(words: np.ndarray) -> np.ndarray:
-    """A hash of each word and the one before it; of the first word nothing that counts."""
-    out = np.zeros(len(words), np.uint64)
-    out[1:] = mix(words[:-1] * _LEFT + words[1:] * _RIGHT)
+def gram_hashes(words: np.ndarray, m: int) -> np.ndarray:
+    """A hash of each word and the m - 1 before it; of the first words nothing that counts."""
+    out = words
+    for _ in range(1, m):
+        more = np.zeros(len(words), np.uint64)
+        more[1:] = mix(out[:-1] * _LEFT + words[1:] * _RIGHT)
+        out = more
     return out
 
 
@@ -92,22 +98,22 @@ class Automaton:
 
     ``ids[m][i]`` numbers the substring of m + 1 words that ends at word i (-1: none, or left out),
     ``counts[m]`` has the sizes of endpos sets, ``ends[m]`` an end of each and ``links[m]`` the
-    number of its longest proper suffix. ``keep`` says which pairs of words, by their ends, are not left out.
+    number of its longest proper suffix. ``keep[m]`` says which substrings of m words, by their ends, are not left out.
     """
 
-    def __init__(self, words: np.ndarray, begins: np.ndarray, depth: int, keep: np.ndarray | None = None) -> None:
+    def __init__(self, words: np.ndarray, begins: np.ndarray, depth: int, keep: dict[int, np.ndarray]) -> None:
         _, first, ids, count = np.unique(words, return_index=True, return_inverse=True, return_counts=True)
         self.ids, self.counts, self.ends, self.links = [ids], [count], [first], [np.full(len(count), -1)]
         n = len(count)
-        inside = ~begins if keep is None else ~begins & keep
-        for _ in range(1, depth):
+        for m in range(2, depth + 1):
             below = self.ids[-1]
-            at = np.flatnonzero(inside[1:] & (below[:-1] >= 0) & (below[1:] >= 0)) + 1
+            here = ~begins & keep[m] if m in keep else ~begins
+            at = np.flatnonzero(here[1:] & (below[:-1] >= 0) & (below[1:] >= 0)) + 1
             _, first, found, count = np.unique(below[at - 1] * n + ids[at], return_index=True, return_inverse=True, return_counts=True)
-            here = np.full(len(words), -1)
-            here[at] = found
+            level = np.full(len(words), -1)
+            level[at] = found
             ends = at[first]
-            self.ids.append(here)
+            self.ids.append(level)
             self.counts.append(count)
             self.ends.append(ends)
             self.links.append(below[ends])
@@ -141,26 +147,91 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Phrases, list[s
             yield texts, names, of, mix(texts.word_hashes + salts[of])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for texts, _, _, words in _shards(batches):
-        if len(words) < 2:
-            continue
-        a = Automaton(words, texts.begins, 2)
-        yield pa.record_batch([pa.array(pair_hashes(words)[a.ends[1]].view(np.int64)), pa.array(a.counts[1])], ["pair", "n"])
+def is_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    spot = hashes >> np.uint64(64 - HASH_BITS) & np.uint64(len(bits) * 64 - 1)
+    return ((bits[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def _states(frequent: Callable[[], np.ndarray], longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def kept(words: np.ndarray, frequent: dict[int, Callable[[], np.ndarray]]) -> dict[int, np.ndarray]:
+    return {m: is_set(bits(), gram_hashes(words, m)) for m, bits in frequent.items()}
+
+
+def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts[order], first)
+
+
+def pack(keys: np.ndarray, counts: np.ndarray, most: int) -> Iterator[tuple[int, bytes]]:
+    """(range, block) of sorted hashes: the bytes of their steps and counts, the first bytes of all first. Counts from ``most`` on are alike."""
+    cuts = np.flatnonzero(np.diff(keys >> np.uint64(32))) + 1
+    for part, n in zip(np.split(keys, cuts), np.split(np.minimum(counts, most), cuts), strict=True):
+        steps = np.diff(part & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)).astype("<u4")
+        yield int(part[0] >> np.uint64(32)), steps.view(np.uint8).reshape(-1, 4).T.tobytes() + n.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes in their range, and their counts."""
+    planes = np.frombuffer(block, np.uint8).reshape(6, -1)
+    return np.cumsum(planes[:4].T.copy().view("<u4").ravel().astype(np.uint64)), planes[4:].T.copy().view("<u2").ravel().astype(np.int64)
+
+
+def _grams(m: int, frequent: dict[int, Callable[[], np.ndarray]], least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            rows = list(pack(*added(*map(np.concatenate, zip(*held, strict=True))), least))
+            held.clear()
+            for i in range(0, len(rows), 256):
+                yield pa.record_batch([pa.array([r[0] for r in rows[i : i + 256]], pa.int32()), pa.array([r[1] for r in rows[i : i + 256]], pa.binary())], ["range", "block"])
+
+        for texts, _, _, words in _shards(batches):
+            if len(words) < m:
+                continue
+            a = Automaton(words, texts.begins, m, kept(words, frequent))
+            if len(a.ends[-1]):
+                held.append((gram_hashes(words, m)[a.ends[-1]] >> np.uint64(64 - HASH_BITS), a.counts[-1]))
+            if sum(len(k) for k, _ in held) > HELD:
+                yield from blocks()
+        if held:
+            yield from blocks()
+
+    return run
+
+
+def frequent_grams(texts: DataFrame, m: int, frequent: dict[int, Callable[[], np.ndarray]], least: int) -> Callable[[], np.ndarray]:
+    """The bitmap of what has m words and occurs ``least`` times, sent to all executors. A range of hashes is added up in one task: it has the same share of all, however often one of them occurs."""
+
+    def add(group: pa.Table) -> pa.Table:
+        places, counts = (np.concatenate(x) for x in zip(*map(unpack, group["block"].to_pylist()), strict=True))
+        places, counts = added(places, counts)
+        spots = (np.uint64(group["range"][0].as_py()) << np.uint64(32) | places[counts >= least]) & np.uint64(BITS - 1)
+        at, inverse = np.unique(spots >> np.uint64(6), return_inverse=True)
+        bits = np.zeros(len(at), np.uint64)
+        np.bitwise_or.at(bits, inverse, np.uint64(1) << (spots & np.uint64(63)))
+        return pa.table([pa.array(at.astype(np.int64)), pa.array(bits.view(np.int64))], ["at", "bits"])
+
+    found = texts.mapInArrow(_grams(m, frequent, least), "range int, block binary").groupBy("range").applyInArrow(add, "at long, bits long")
+    found = found.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(BITS >> 6, np.uint64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    sent = texts.sparkSession.sparkContext.broadcast(out)
+    return lambda: sent.value
+
+
+def _states(frequent: dict[int, Callable[[], np.ndarray]], longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (lang, phrase, shortest, words, n): the states of a shard, and a row without a phrase with the number of words a language has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = frequent()
         for texts, names, of, words in _shards(batches):
             if not len(words):
                 continue
-            pairs = pair_hashes(words)
-            spot = pairs & np.uint64(len(bits) * 64 - 1)
-            keep = ((bits[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1)).astype(bool)
-            a = Automaton(words, texts.begins, longest, keep)
+            a = Automaton(words, texts.begins, longest, kept(words, frequent))
             # a word by itself counts where a pair has it
             inside = np.zeros(len(words), bool)
             inside[a.ids[1] >= 0] = True
@@ -192,15 +263,13 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, t
 
     Of single words, those that are in a frequent pair are sure to be there.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    pairs = texts.mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    spot = F.col("pair").bitwiseAND(BITS - 1)
-    words = pairs.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
-    bitmap = np.zeros(BITS >> 6, np.uint64)
-    bitmap[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    sent = spark.sparkContext.broadcast(bitmap)
-    states = texts.mapInArrow(_states(lambda: sent.value, longest), "lang string, phrase string, shortest int, words int, n long")
+    if not 1 <= least <= 0xFFFF:
+        raise ValueError("least is from 1 to 65535")
+    frequent: dict[int, Callable[[], np.ndarray]] = {}
+    for m in range(2, min(longest, 3) + 1):
+        frequent = frequent | {m: frequent_grams(texts, m, frequent, least)}
+    states = texts.mapInArrow(_states(frequent, longest), "lang string, phrase string, shortest int, words int, n long")
     # the members of a state are its longest substring without its first words
     member = F.explode(F.sequence("shortest", "words")).alias("left")
     members = states.select("lang", "phrase", "n", member).select("lang", F.expr("substring_index(phrase, ' ', -left)").alias("phrase"), "n")

@@ -991,7 +991,7 @@ def test_the_automaton_equals_one_built_word_by_word():
         want = sorted((max(ws, key=len), min(map(len, ws)), len(p)) for p, ws in classes.items())
         flat = [w for run in runs for w in run]
         begins = np.array([i == 0 for run in runs for i in range(len(run))])
-        a = collocations.Automaton(np.array(flat, np.uint64), begins, 4)
+        a = collocations.Automaton(np.array(flat, np.uint64), begins, 4, {})
         got = [(tuple(flat[e + 1 - m : e + 1]), int(s), int(c)) for m, level in enumerate(a.states(), 1) for e, c, s in zip(*level, strict=True)]
         assert sorted(got) == want
         for m in range(1, 4):
