@@ -477,6 +477,27 @@ def test_chroma_against_all_pairs_and_offsets(spark):
     assert set(pairs) <= set(best) and all(math.isclose(r.bit_error, best[k][0], abs_tol=1e-12) for k, r in pairs.items())
 
 
+@pytest.mark.parametrize("flipped", [0.03, 0.04, 0.05, 0.06])
+def test_chroma_finds_noisy_pairs_inside_its_threshold(spark, flipped):
+    """Pairs of 60 frames with flipped bits in both, of which every offset that fits is known: nine of ten are found."""
+    rng = np.random.default_rng(int(1000 * flipped))
+    prints, pairs = {}, []
+    while len(pairs) < 80:
+        base = rng.integers(1, 1 << 32, 60, dtype=np.uint32)
+        x, y = base.copy(), base.copy()
+        for own in (x, y):
+            for bit in range(32):
+                own[rng.random(60) < flipped] ^= np.uint32(1 << bit)
+        if chroma.bit_error(x, y, 0)[0] <= chroma.MAX_BIT_ERROR:
+            k = len(prints)
+            prints[k], prints[k + 1] = x, y
+            pairs.append((k, k + 1))
+    rows = [(i, bytearray(x.astype("<u4").tobytes())) for i, x in prints.items()]
+    got = {r.rec_id: r.component_id for r in chroma.align(spark.createDataFrame(rows, "rec_id long, print binary")).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 72
+    assert len(set(got.values())) >= 80
+
+
 def test_fingerprint_is_a_sum_over_frames():
     """The integral image gives what plain sums over rectangles give."""
     rng = np.random.default_rng(5)
