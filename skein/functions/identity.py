@@ -80,14 +80,14 @@ def feed_contacts(inputs: DataFrame) -> DataFrame:
     nobody = inputs.where(credit(F.col("name"), F.col("email"), F.col("url")).isNull())
     mail = personal_email(F.coalesce("email", "name"))
     links = nobody.select("feed_id", "source", "pos", F.posexplode(F.array(F.concat(F.lit("mailto:"), mail), F.col("url"))).alias("k", "url")).where("url is not null")
-    links = links.withColumn("network", classify_link(F.col("url"))[0]).where("network is not null")
+    links = links.withColumn("network", classify_link(F.col("url"))["network"]).where("network is not null")
     return links.groupBy("feed_id", "url").agg(F.min_by(F.struct("network", "source"), F.struct("pos", "k")).alias("m")).select("feed_id", "url", "m.*")
 
 
 def links_of_bio(html: Column) -> Column:
     """Profiles (network, url, handle) among the addresses of a page that lists a person's links, each once; the list's own host is none."""
     found = F.array_distinct(F.slice(F.regexp_extract_all(html, F.lit(r"(https?://[^\s\"'<>\\)]+)"), F.lit(1)), 1, 500))
-    typed = F.transform(found, lambda u: F.struct(classify_link(u)[0].alias("network"), u.alias("url"), classify_link(u)[1].alias("handle")))
+    typed = F.transform(F.transform(found, lambda u: F.struct(u.alias("url"), classify_link(u).alias("as"))), lambda t: F.struct(t["as"]["network"].alias("network"), t["url"].alias("url"), t["as"]["handle"].alias("handle")))
     return F.filter(typed, lambda t: t["network"].isNotNull() & ~_host(t["url"]).isin("linktr.ee", "www.linktr.ee"))
 
 

@@ -7,12 +7,13 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skein.functions.forms import unaccented
 from skein.sources.model import KINDS, SEGMENTS
 
 #: Minutes to wait after so many failures in a row.
 BACKOFF = [60, 180, 360, 720, 1440]
 MIN_INTERVAL, MAX_INTERVAL, UNDATED_CEILING = 60, 129_600, 1440
-EPISODE_CHARS, RIVER_DEFAULT = 1200, 60
+EPISODE_CHARS, RIVER_DEFAULT = 1200, 50
 
 
 def clamp(x: Column, low: int, high: int) -> Column:
@@ -55,25 +56,57 @@ def plausible_host(host: Column) -> Column:
     return name | ip
 
 
+def js_number(text: Column) -> Column:
+    """A text as a number: blank is 0, decimal, exponent and hexadecimal spellings are read, all else is null."""
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    plain = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
+    hexed = F.when(t.rlike(r"^0[xX][0-9A-Fa-f]{1,15}$"), F.conv(F.substring(t, 3, 15), 16, 10).cast("double"))
+    return F.when(t == "", F.lit(0.0)).otherwise(F.coalesce(plain, hexed))
+
+
+def round_half_up(x: Column) -> Column:
+    return F.floor(x + 0.5)
+
+
 def normalize_url(url: Column) -> Column:
-    """https where no scheme is named; http(s) with a plausible host only; no fragment; null otherwise."""
-    u = F.trim(url)
-    u = F.when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), u).otherwise(F.concat(F.lit("https://"), u))
-    u = F.regexp_replace(u, "#.*$", "")
-    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z]+)://", 1))
-    host = F.lower(F.regexp_extract(u, r"^[A-Za-z]+://(?:[^/@]*@)?([^/?:]+)", 1))
-    rest = F.regexp_extract(u, r"^[A-Za-z]+://[^/?]*(.*)$", 1)
-    port = F.regexp_extract(u, r"^[A-Za-z]+://[^/?:]+(:\d+)", 1)
-    return F.when(scheme.isin("http", "https") & plausible_host(host), F.concat(scheme, F.lit("://"), host, port, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
+    """https where no scheme is named, also after ``//``; http(s) with a plausible host only; no fragment; null otherwise."""
+    u = F.regexp_replace(F.regexp_replace(url, r"^[\s]+|[\s]+$", ""), r"[\t\r\n]", "")
+    u = F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(u)
+    named, other = u.rlike("(?i)^https?://"), u.rlike("(?i)^[a-z][a-z0-9+.-]*:")
+    u = F.when(named, u).when(~other, F.concat(F.lit("https://"), u))
+    u = F.replace(F.regexp_replace(u, "#.*$", ""), F.lit(" "), F.lit("%20"))
+    parts = r"(?i)^(https?):/*((?:[^/?#@]*@)?)([^/?#:@]+)((?::\d{0,5})?)([/?].*)?$"
+    part = lambda i: F.regexp_extract(u, parts, i)
+    scheme, host, port, rest = F.lower(part(1)), F.lower(part(3)), F.regexp_replace(part(4), "^:$", ""), part(5)
+    port = F.when((scheme == "https") & (port == ":443") | (scheme == "http") & (port == ":80"), "").otherwise(port)
+    fits = (port == "") | (F.substring(port, 2, 5).try_cast("int") <= 65_535)
+    return F.when(plausible_host(host) & fits, F.concat(scheme, F.lit("://"), part(2), host, port, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
+
+
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_V4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
+
+
+def _v6() -> str:
+    """IPv6: so many groups before the gap and at most so many after it, the last two of which may be an IPv4 address."""
+    group = "[0-9a-fA-F]{1,4}"
+    ways = [f"(?:{group}:){{7}}(?:{group}|:)", f"(?:{group}:){{6}}(?:{_V4}|:{group}|:)"]
+    for n in range(5, 0, -1):
+        ways.append(f"(?:{group}:){{{n}}}(?:(?::{group}){{0,{5 - n}}}:{_V4}|(?::{group}){{1,{7 - n}}}|:)")
+    ways.append(f":(?:(?::{group}){{0,5}}:{_V4}|(?::{group}){{1,7}}|:)")
+    return "^(?:" + "|".join(ways) + ")(?:%[0-9a-zA-Z.:-]+)?$"
 
 
 def is_blocked_address(ip: Column) -> Column:
-    """Private, loopback, link-local, shared, multicast and reserved addresses, and what is no address."""
-    p = F.transform(F.split(ip, r"\."), lambda x: F.try_to_number(x, F.lit("999")).cast("int"))
+    """Private, loopback, link-local, shared, multicast and reserved addresses, also where IPv6 holds them, and what is no address."""
+    v4 = F.when(ip.rlike(f"^{_V4}$"), ip)
+    v6 = F.when(ip.rlike(_v6()), F.lower(ip))
+    four = F.coalesce(v4, F.nullif(F.regexp_extract(v6, rf"^::ffff:({_V4})$", 1), F.lit("")))
+    p = F.transform(F.split(four, r"\."), lambda x: x.cast("int"))
     a, b = F.get(p, F.lit(0)), F.get(p, F.lit(1))
-    v4 = a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & b.isin(0, 168)) | ((a == 198) & b.isin(18, 19))
-    v6 = F.lower(ip).rlike(r"^(::1?|fc.*|fd.*|fe[89ab].*|ff.*)$")
-    return F.when(ip.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), v4).when(ip.contains(":"), v6).otherwise(True)
+    inner = a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
+    own = v6.isin("::", "::1") | v6.startswith("fe80") | v6.startswith("fc") | v6.startswith("fd")
+    return F.when(four.isNotNull(), inner).when(v6.isNotNull(), own).otherwise(True)
 
 
 def backoff_minutes(errors: Column) -> Column:
@@ -88,11 +121,12 @@ def throttle_minutes(retry_after: Column) -> Column:
 
 
 def retry_after_seconds(header: Column, now: Column) -> Column:
-    """Seconds of a Retry-After header, a number or a date, within a day; null where it is neither."""
-    number = F.when(F.trim(header).rlike(r"^\d+$"), F.trim(header).cast("double"))
-    date = F.try_to_timestamp(F.regexp_replace(header, r"^[A-Za-z]{3},\s*", ""), F.lit("dd MMM yyyy HH:mm:ss 'GMT'"))
+    """Whole seconds of a Retry-After header, a number or a date, within a day; null where it is neither."""
+    number = F.when(F.trim(header) != "", js_number(header))
+    number = F.when(number >= 0, number)
+    date = F.try_to_timestamp(F.regexp_replace(F.trim(header), r"^[A-Za-z]{3},\s*", ""), F.lit("dd MMM yyyy HH:mm:ss 'GMT'"))
     seconds = F.coalesce(number, (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double"))
-    return F.when(seconds.isNotNull(), clamp(seconds, 0, 86_400))
+    return F.when(seconds.isNotNull(), clamp(round_half_up(seconds).cast("double"), 0, 86_400))
 
 
 def billing_period_start(now: Column, day: int = 13) -> Column:
@@ -114,21 +148,34 @@ def normalize_email(email: Column) -> Column:
     return F.lower(F.trim(email))
 
 
+#: Types of playlists.
+PLAYLIST_TYPES = ["audio/x-mpegurl", "audio/mpegurl", "application/x-mpegurl", "application/mpegurl", "application/vnd.apple.mpegurl", "audio/x-scpls", "audio/scpls", "application/pls+xml"]
+
+
+def looks_like_references(body: Column) -> Column:
+    """Whether the first twenty lines that are neither blank nor a comment are there and hold no markup."""
+    lines = F.transform(F.split(F.coalesce(body, F.lit("")), r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    lines = F.slice(F.filter(lines, lambda x: (x != "") & ~x.startswith("#")), 1, 20)
+    return (F.size(lines) > 0) & F.forall(lines, lambda x: ~x.rlike(r"[<{]"))
+
+
 def looks_like_playlist(content_type: Column, body: Column, url: Column) -> Column:
-    """By the type, by the first characters, or by the address where the body is no markup."""
-    typed = F.coalesce(content_type, F.lit("")).rlike(r"(?i)mpegurl|scpls")
-    markup = F.coalesce(body, F.lit("")).rlike(r"^\s*<")
-    return typed | has_playlist_header(body) | (F.coalesce(playlist_extension(url).isNotNull(), F.lit(False)) & ~markup)
+    """By the type, by the first characters, or by the address where the body is a list of references."""
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
+    typed = F.exists(F.array(*map(F.lit, PLAYLIST_TYPES)), lambda t: F.contains(kind, t))
+    return typed | has_playlist_header(body) | (F.coalesce(playlist_extension(url).isNotNull(), F.lit(False)) & looks_like_references(body))
 
 
-def is_transient(state: Column) -> Column:
-    return (state == "error") | state.rlike(r"^http-5\d\d$")
+def is_transient(status: Column, reason: Column) -> Column:
+    """Errors, and refusals by a server that failed itself."""
+    return F.coalesce((status == "error") | ((status == "blocked") & reason.rlike(r"^http-[5-9]\d\d$")), F.lit(False))
 
 
 def should_fetch(state: Column, fetched_at: Column, now: Column) -> Column:
     """Passing failures are tried again after ten minutes, other ones after a day, what went well never; an unknown time counts as long ago."""
     age = F.unix_timestamp(now) - F.unix_timestamp(fetched_at)
-    wait = F.when(is_transient(state), 600).otherwise(86_400)
+    refused = F.when(state.startswith("http-"), "blocked").otherwise(state)
+    wait = F.when(is_transient(refused, state), 600).otherwise(86_400)
     return F.when(state.isNull(), True).when(state == "ok", False).otherwise(F.coalesce(age >= wait, F.lit(True)))
 
 
@@ -155,17 +202,21 @@ def human_gap(seconds: Column) -> Column:
 
 
 def eta_label(hours: Column) -> Column:
-    return F.when(hours.isNull(), None).when(hours < 1, F.concat(F.ceil(hours * 60).cast("string"), F.lit("m"))).when(hours < 48, F.concat(F.ceil(hours).cast("string"), F.lit("h"))).otherwise(F.concat(F.ceil(hours / 24).cast("string"), F.lit("d")))
+    """Minutes (one at least) within the hour, hours within two days, else days, each rounded; a dash where nothing is known."""
+    said = lambda x, unit: F.concat(x.cast("long").cast("string"), F.lit(unit))
+    return (F.when(hours.isNull(), "—").when(hours < 1, said(F.greatest(round_half_up(hours * 60), F.lit(1)), "m")).when(hours < 48, said(round_half_up(hours), "h"))
+            .otherwise(said(round_half_up(hours / 24), "d")))
 
 
-def media_kind(url: Column, mime: Column) -> Column:
-    """audio, video, youtube or peertube; null without media."""
-    return (F.when(url.isNull() | (url == ""), None).when(url.rlike(r"^https?://(www\.)?(youtube\.com|youtu\.be)/"), "youtube").when(url.rlike(r"/(videos/watch|w)/[0-9A-Za-z-]+"), "peertube")
-            .when(F.lower(mime).startswith("video/"), "video").when(F.lower(mime).startswith("audio/"), "audio"))
+def media_kind(url: Column, mime: Column, page: Column | None = None) -> Column:
+    """peertube, youtube, video or, of any other type, audio; null without media. ``page`` is the post's own address."""
+    kind = F.lower(F.coalesce(mime, F.lit("")))
+    tube = F.lit(False) if page is None else peertube_embed(page, url, mime).isNotNull()
+    return F.when(F.coalesce(url, F.lit("")) == "", None).when(tube, "peertube").when(kind == "video/youtube", "youtube").when(kind.startswith("video/"), "video").otherwise("audio")
 
 
-def is_episode(url: Column, mime: Column, chars: Column) -> Column:
-    return media_kind(url, mime).isNotNull() & (F.coalesce(chars, F.lit(0)) < EPISODE_CHARS)
+def is_episode(url: Column, mime: Column, chars: Column, page: Column | None = None) -> Column:
+    return media_kind(url, mime, page).isNotNull() & (F.coalesce(chars, F.lit(0)) < EPISODE_CHARS)
 
 
 def lane_for(kind: Column) -> Column:
@@ -173,7 +224,8 @@ def lane_for(kind: Column) -> Column:
 
 
 def monogram(title: Column) -> Column:
-    return F.when(F.trim(title) != "", F.upper(F.substring(F.trim(title), 1, 1))).otherwise("?")
+    t = F.regexp_replace(F.coalesce(title, F.lit("")), r"^\s+|\s+$", "")
+    return F.when(t != "", F.upper(F.substring(t, 1, 1))).otherwise("·")
 
 
 def hash31(text: Column, modulus: int) -> Column:
@@ -183,16 +235,17 @@ def hash31(text: Column, modulus: int) -> Column:
 
 
 def clamp_text(text: Column, limit: int) -> Column:
-    """Cut at the last space if that is beyond 60 per cent of the limit, with an ellipsis."""
-    head = F.substring(text, 1, limit - 1)
+    """Cut at the limit, or at the last space before it if that is beyond 60 per cent of it, with an ellipsis."""
+    head = F.substring(text, 1, limit)
     space = F.length(head) - F.locate(" ", F.reverse(head))
-    at = F.when(F.contains(head, F.lit(" ")) & (space > 0.6 * limit), space).otherwise(limit - 1)
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.substring(head, F.lit(1), at.cast("int"))), F.lit("…")))
+    at = F.when(F.contains(head, F.lit(" ")) & (space > 0.6 * limit), space).otherwise(limit)
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(F.substring(head, F.lit(1), at.cast("int")), r"\s+$", ""), F.lit("…")))
 
 
 def hms(seconds: Column) -> Column:
-    h, m, s = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60
-    return F.when(h > 0, F.format_string("%d:%02d:%02d", h.cast("long"), m.cast("long"), s.cast("long"))).otherwise(F.format_string("%d:%02d", m.cast("long"), s.cast("long")))
+    """Hours, minutes and seconds with two digits each; nothing where there are none."""
+    total = F.floor(F.coalesce(seconds.cast("double"), F.lit(0.0))).cast("long")
+    return F.when(total <= 0, "").otherwise(F.format_string("%02d:%02d:%02d", F.floor(total / 3600).cast("long"), F.floor(total % 3600 / 60).cast("long"), total % 60))
 
 
 def rfc822(ts: Column) -> Column:
@@ -207,10 +260,11 @@ def escape_xml(text: Column) -> Column:
 
 
 def duration(text: Column) -> Column:
-    """Seconds of s, m:s or h:m:s."""
-    p = F.split(F.trim(text), ":")
-    ok = F.trim(text).rlike(r"^\d+(:\d{1,2}){0,2}(\.\d+)?$")
-    return F.when(ok, F.aggregate(p, F.lit(0).cast("double"), lambda t, x: t * 60 + x.cast("double")).cast("long"))
+    """Whole seconds of s, m:s or h:m:s, in any numbers; null where a part is none or nothing is left."""
+    parts = F.transform(F.split(F.trim(text), ":"), js_number)
+    ok = (F.trim(text) != "") & F.size(parts).between(1, 3) & F.forall(parts, lambda x: F.coalesce(x >= 0, F.lit(False)))
+    total = F.aggregate(parts, F.lit(0.0), lambda t, x: t * 60 + x)
+    return F.when(ok & (total > 0), F.floor(total).cast("long"))
 
 
 def normalize_lang(lang: Column) -> Column:
@@ -220,7 +274,7 @@ def normalize_lang(lang: Column) -> Column:
 
 
 def chunk_filename(month: Column, part: Column) -> Column:
-    return F.format_string("sitemap-%s-%d.xml", month, part)
+    return F.concat(F.lit("blogs-"), month, F.when(part == 1, "").otherwise(F.concat(F.lit("-"), part.cast("string"))), F.lit(".xml"))
 
 
 def card_fit(width: Column, height: Column) -> Column:
@@ -242,10 +296,23 @@ def published(value: Column) -> Column:
     return F.coalesce(F.unix_timestamp(F.try_to_timestamp(value)), F.lit(-(2**62)))
 
 
+#: Platforms whose pages are no sites, and those whose subdomains are.
+PLATFORM_HOSTS = (
+    "amazon.com ebay.com etsy.com facebook.com instagram.com linkedin.com pinterest.com quora.com reddit.com threads.net tiktok.com tumblr.com twitter.com walmart.com wikipedia.org x.com yelp.com "
+    "youtube.com youtu.be"
+).split()
+BLOG_PLATFORM_APEXES = "blogger.com blogspot.com bearblog.dev ghost.io medium.com micro.blog substack.com wordpress.com write.as".split()
+#: Endings of files that are no pages.
+FILES = r"(?i)\.(?:pdf|jpe?g|png|gif|webp|svg|mp[34]|zip|docx?|xlsx?)$"
+
+
 def is_candidate_link(link: Column) -> Column:
-    """A page of a site, and no file or platform."""
-    platforms = r"(facebook|twitter|x|instagram|linkedin|pinterest|reddit|youtube|tiktok|amazon|wikipedia|google)\.[a-z.]+$"
-    return ~host_of(link).rlike(rf"(^|\.){platforms}") & ~F.lower(F.regexp_replace(link, r"[?#].*$", "")).rlike(r"\.(pdf|docx?|xlsx?|pptx?|zip|jpe?g|png|gif|mp[34])$")
+    """A page of a site over http(s), and no file, platform or front page of a blogging platform."""
+    parts = r"(?i)^\s*https?:/*(?:[^/?#@]*@)?([^/?#:]+)(?::\d*)?([^?#]*)"
+    host = F.regexp_replace(F.lower(F.regexp_extract(link, parts, 1)), r"^www\.", "")
+    apex = apex_of(host)
+    front = apex.isin(BLOG_PLATFORM_APEXES) & (host == apex)
+    return F.coalesce((host != "") & ~apex.isin(PLATFORM_HOSTS) & ~front & ~F.regexp_extract(link, parts, 2).rlike(FILES), F.lit(False))
 
 
 def playlist_feed_url(playlist_id: Column) -> Column:
@@ -256,16 +323,27 @@ def instance_feed_url(host: Column, live: bool = False) -> Column:
     return F.concat(F.lit("https://"), host, F.lit("/feeds/videos.xml?isLive=true" if live else "/feeds/videos.xml"))
 
 
+#: Where feeds often are.
+FEED_PATHS = ["/feed", "/feed.xml", "/rss", "/rss.xml", "/atom.xml", "/index.xml", "/feed/", "/feeds/posts/default", "/?feed=rss2", "/feed.json"]
+#: Types of feeds.
+FEED_TYPES = ["application/rss+xml", "application/atom+xml", "application/feed+json", "application/xml", "text/xml", "application/json"]
+
+
 def guess_feed_urls(site: Column) -> Column:
-    """Addresses at which a site's feed often is."""
-    origin = F.regexp_extract(site, r"^(https?://[^/?#]+)", 1)
-    paths = ("feed", "feed/", "rss", "rss.xml", "feed.xml", "atom.xml", "index.xml", "feed.json", "blog/feed", "?feed=rss2")
-    return F.transform(F.array(*[F.lit(p) for p in paths]), lambda p: F.concat(origin, F.lit("/"), p))
+    """Addresses at which a site's feed often is, none where the site's own is no address."""
+    origin = F.lower(F.regexp_extract(site, r"(?i)^(https?://[^/?#]+)", 1))
+    return F.when(origin == "", F.array().cast("array<string>")).otherwise(F.transform(F.array(*map(F.lit, FEED_PATHS)), lambda p: F.concat(origin, p)))
 
 
-def looks_like_feed(content_type: Column, body: Column) -> Column:
-    head = F.lower(F.substring(F.ltrim(body), 1, 2000))
-    return F.coalesce(F.lower(content_type).rlike(r"(rss|atom|rdf|feed\+json)"), F.lit(False)) | head.rlike(r"<(rss|feed|rdf:rdf)[\s>]") | (head.startswith("{") & head.contains("jsonfeed.org"))
+def looks_like_feed(content_type: Column, body: Column, url: Column | None = None) -> Column:
+    """A playlist, or by its type, of which plain JSON must look like a feed, or by what it begins with."""
+    kind, text = F.lower(F.coalesce(content_type, F.lit(""))), F.coalesce(body, F.lit(""))
+    typed = F.exists(F.array(*map(F.lit, FEED_TYPES)), lambda t: F.contains(kind, t))
+    bare = kind.contains("json") & ~kind.contains("feed+json")
+    head = F.lower(F.substring(text, 1, 2000))
+    starts = head.rlike(r"<rss\b") | head.rlike(r"<feed\b[^>]*xmlns") | head.rlike(r"<rdf:rdf\b") | head.rlike(r'"version"\s*:\s*"https://jsonfeed\.org')
+    listed = looks_like_playlist(content_type, body, F.lit("") if url is None else url)
+    return listed | F.when(typed, ~bare | text.rlike(r'"(?:items|version)"\s*:')).otherwise(starts)
 
 
 def is_picture(html: Column) -> Column:
@@ -288,16 +366,22 @@ def lanes_offered(kind: Column) -> Column:
     return F.when(lane == "read", F.array(F.lit("read"))).otherwise(F.array(lane, F.lit("read")))
 
 
-def peertube_embed(url: Column) -> Column:
-    """The player of a video's page on the same host."""
-    host, video = F.regexp_extract(url, r"^(https?://[^/]+)/(?:videos/watch|w)/([0-9A-Za-z-]+)", 1), F.regexp_extract(url, r"^(https?://[^/]+)/(?:videos/watch|w)/([0-9A-Za-z-]+)", 2)
-    return F.when(video != "", F.concat(host, F.lit("/videos/embed/"), video))
+def peertube_embed(page: Column, url: Column, mime: Column) -> Column:
+    """The player of a video's page, where the file is a video on the same host."""
+    kind = F.lower(F.coalesce(mime, F.lit("")))
+    host = lambda x: F.lower(F.regexp_extract(x, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    origin = F.lower(F.regexp_extract(page, r"(?i)^(https?://)(?:[^/?#@]*@)?([^/?#]+)", 1))
+    place = F.regexp_replace(F.lower(F.regexp_extract(page, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#]+)", 1)), F.when(origin == "https://", ":443$").otherwise(":80$"), "")
+    video = F.regexp_extract(page, r"(?i)^https?://[^/?#]+(?-i:/w/|/videos/watch/)([A-Za-z0-9_-]{6,})/?(?:[?#].*)?$", 1)
+    ok = kind.startswith("video/") & (kind != "video/youtube") & (video != "") & (host(page) == host(url))
+    return F.when(ok, F.concat(origin, place, F.lit("/videos/embed/"), video))
 
 
-def playable_media(url: Column, mime: Column) -> Column:
+def playable_media(url: Column, mime: Column, page: Column | None = None) -> Column:
     """Kind and source over https, null where there is nothing to play."""
-    kind = media_kind(url, mime)
-    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.regexp_replace(url, "^http:", "https:").alias("src")))
+    kind = media_kind(url, mime, page)
+    source = url if page is None else F.when(kind == "peertube", peertube_embed(page, url, mime)).otherwise(url)
+    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.regexp_replace(source, "^http:", "https:").alias("src")))
 
 
 def thumb_src(raw: Column) -> Column:
@@ -322,17 +406,21 @@ def post_thumb(*images: Column) -> Column:
 
 
 def parse_chunk_filename(name: Column) -> Column:
-    month, part = F.regexp_extract(name, r"^sitemap-(\d{4}-\d{2})-(\d+)\.xml$", 1), F.regexp_extract(name, r"^sitemap-(\d{4}-\d{2})-(\d+)\.xml$", 2)
-    return F.when(month != "", F.struct(month.alias("month"), part.cast("int").alias("part")))
+    """Month and part of a file's name; the first part is not spelt out."""
+    month, part = (F.regexp_extract(name, r"^blogs-(\d{4}-\d{2})(?:-(\d{1,9}))?\.xml$", i) for i in (1, 2))
+    number = F.when(part == "", 1).otherwise(part.try_cast("int"))
+    return F.when((month != "") & (number >= 1) & (part != "1"), F.struct(month.alias("month"), number.alias("part")))
 
 
 def river_limit(raw: Column, fallback: int = RIVER_DEFAULT) -> Column:
-    return clamp(F.coalesce(F.try_to_number(F.regexp_extract(raw, r"^\s*(\d{1,9})\s*$", 1), F.lit("999999999")).cast("int"), F.lit(fallback)), 1, 200)
+    """A number between 1 and 200; the fallback where it is none or zero."""
+    asked = js_number(raw)
+    return clamp(F.when(asked.isNull() | (asked == 0), F.lit(float(fallback))).otherwise(asked), 1, 200).cast("double")
 
 
 def fold(text: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
-    return F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Without accents, in lower case, white space folded."""
+    return F.trim(F.regexp_replace(F.lower(unaccented(text)), r"[\s\x{a0}\x{feff}]+", " "))
 
 
 def terms(query: Column) -> Column:
@@ -340,18 +428,57 @@ def terms(query: Column) -> Column:
 
 
 #: What reasons in code mean.
-REASONS = {"comments-feed": "It is a feed of comments.", "partial-feed": "It is a part of a site's feed.", "too-few-items": "It has too few posts.", "abandoned": "Nothing was posted for long.", "duplicate-titles": "All posts have one title."}
-
-
-def explain(code: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    for k, v in REASONS.items():
-        out = out.when(code == k, v)
-    return out.otherwise(code)
-
-
-def text_line(at: Column, event: Column, status: Column, detail: Column) -> Column:
-    return F.concat_ws(" ", F.date_format(at, "yyyy-MM-dd HH:mm:ss"), event, status, detail)
+REASONS = {
+    "already-indexed": "already in the directory",
+    "comments-feed": "a comment feed, not a blog",
+    "partial-feed": "a tag or category feed",
+    "too-few-items": "too few entries",
+    "abandoned": "nothing posted in over 18 months",
+    "duplicate-titles": "every entry has the same title",
+    "unlinked-items": "entries link nowhere",
+    "undated": "no dates on any entry",
+    "untitled": "no title",
+    "low-score": "did not score high enough",
+    "no-feed-found": "no feed on the site",
+    "timeout": "site did not respond",
+    "fetch-failed": "site could not be reached",
+    "blocked-host": "not a public address",
+    "off-topic": "not about what was searched for",
+    "blocked-redirect": "redirected somewhere we will not follow",
+    "invalid-url": "not a usable address",
+}
+
+
+def explain(raw: Column) -> Column:
+    """One code, or a JSON list of them, in words; answers of servers by their number."""
+    value = F.coalesce(raw, F.lit(""))
+    codes = F.when(value.startswith("["), F.coalesce(F.from_json(value, "array<string>"), F.array(value))).otherwise(F.array(value))
+    named = F.create_map(*[x for k, v in REASONS.items() for x in (F.lit(k), F.lit(v))])
+
+    def words(code: Column) -> Column:
+        number = F.regexp_extract(code, r"^http-(\d{3})$", 1)
+        said = (F.when(number == "", code).when(number == "403", "site refused us (403)").when(number == "404", "page not found (404)").when(number == "429", "site rate-limited us (429)")
+                .when(number >= "500", F.concat(F.lit("site is erroring ("), number, F.lit(")"))).otherwise(F.concat(F.lit("site answered "), number)))
+        return F.coalesce(F.try_element_at(named, code), said)
+
+    return F.when(value == "", "unknown").otherwise(F.coalesce(F.nullif(F.array_join(F.transform(codes, words), ", "), F.lit("")), F.lit("unknown")))
+
+
+def described(event: Column, status: Column, subject: Column, amount: Column, detail: Column) -> Column:
+    """What a line of the log says: of a feed that was crawled in a sentence, of other events what they carry."""
+    feed, posts = F.coalesce(subject, F.lit("a feed")), F.coalesce(amount, F.lit(0)).cast("long")
+    crawled = F.concat(F.lit("crawled "), feed, F.lit(" — "), F.when(posts == 0, "nothing new").otherwise(F.concat(F.format_number(posts, 0), F.lit(" new "), F.when(posts == 1, "post").otherwise("posts"))))
+    failed = F.concat(feed, F.lit(" could not be crawled — "), F.coalesce(detail, F.lit("unknown")))
+    carried = F.concat_ws(" ", F.nullif(subject, F.lit("")), F.nullif(detail, F.lit("")))
+    return F.when((event == "feed") & (status == "error"), failed).when(event == "feed", crawled).otherwise(carried)
+
+
+def text_line(at: Column, event: Column, status: Column, subject: Column, amount: Column, detail: Column, ms: Column) -> Column:
+    """A line of the log as text: moment, level and event in columns, what it says, and how long it took."""
+    pad = lambda x, n: F.when(F.length(x) < n, F.rpad(x, n, " ")).otherwise(x)
+    took = F.when(ms.isNull(), "").otherwise(F.concat(F.lit(" ("), ms.cast("string"), F.lit("ms)")))
+    moment = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.concat(moment, F.lit(" "), pad(F.coalesce(status, F.lit("info")), 5), F.lit(" "), pad(event, 16), F.lit(" "), described(event, status, subject, amount, detail), took)
 
 
 def playlist_extension(url: Column) -> Column:
@@ -363,15 +490,23 @@ def has_playlist_header(body: Column) -> Column:
 
 
 def vod_seconds(text: Column) -> Column:
-    """Running time of a stream that has an end."""
-    total = F.aggregate(F.regexp_extract_all(text, F.lit(r"#EXTINF:\s*(\d+(?:\.\d+)?)"), F.lit(1)), F.lit(0.0), lambda t, x: t + x.cast("double"))
-    return F.when(text.contains("#EXT-X-ENDLIST"), F.round(total).cast("long"))
+    """Whole running time of a stream that has an end; null where there is none."""
+    found = F.regexp_extract_all(text, F.lit(r"(?im)^#EXTINF\s*:\s*([\d.]+)"), F.lit(1))
+    total = F.aggregate(found, F.lit(0.0), lambda t, x: t + F.coalesce(F.regexp_extract(x, r"^(\d*\.?\d*)", 1).try_cast("double"), F.lit(0.0)))
+    return F.when(text.rlike(r"(?im)^#EXT-X-ENDLIST\b") & (total > 0), F.floor(total).cast("long"))
+
+
+#: What only numbers.
+NUMBERING = r"(?i)^(?:\d+|s\d+\s*e\d+|(?:ep|episode|track|part|no|pt)\.?\s*\d+)$"
 
 
-def split_artist(raw: Column) -> Column:
-    """Artist of ``Artist - Title`` unless it only numbers."""
-    artist = F.trim(F.regexp_extract(raw, r"^(.{1,80}?)\s+[-–—]\s+.+$", 1))
-    return F.when((artist != "") & ~F.lower(artist).rlike(r"^(track|disc|cd|part|chapter|episode|ep)?\s*\d+$"), artist)
+def split_artist(raw: Column, declared: Column | None = None) -> Column:
+    """(title, author) of ``Artist - Title`` unless the left side only numbers or the author is declared."""
+    text = F.trim(F.coalesce(raw, F.lit("")))
+    left, right = (F.trim(F.regexp_extract(text, r"^(.{1,80}?)\s+-\s+(.+)$", i)) for i in (1, 2))
+    split = F.when((left != "") & ~left.rlike(NUMBERING), F.struct(right.alias("title"), left.alias("author"))).otherwise(F.struct(text.alias("title"), F.lit("").alias("author")))
+    given = F.lit("") if declared is None else F.coalesce(declared, F.lit(""))
+    return F.when(given != "", F.struct(text.alias("title"), given.alias("author"))).otherwise(split)
 
 
 def entity(code: Column) -> Column:
@@ -379,8 +514,16 @@ def entity(code: Column) -> Column:
     return F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
+#: What begins the words of a site's furniture, and the fewest characters of a title.
+FURNITURE = (
+    r"(?i)^(?:read(?: more| the rest)?|continue reading|older posts?|newer posts?|next page|previous page|subscribe|sign (?:up|in)|log ?in|contact(?: us)?|privacy policy|terms(?: of service)?"
+    r"|back to top|view all|see all|learn more|share this)\b"
+)
+TITLE_CHARS = 12
+
+
 def usable_title(title: Column) -> Column:
-    return (F.length(title) >= 12) & ~title.rlike(r"(?i)^(read more|continue reading|learn more|click here|subscribe|sign up|all posts)")
+    return (F.length(title) >= TITLE_CHARS) & ~title.rlike(FURNITURE)
 
 
 def body_length(*bodies: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.forms import compatible, folded
+
 #: Grammar words, never a topic.
 STOPWORDS = (
     "a an and are as at be been being but by can could did do does doing done for from had has have having he her here hers herself him himself his how i if in into is it its itself just "
@@ -33,26 +35,6 @@ GENERIC_WORDS = 4
 MIN_BLOCK, MIN_WORD, MIN_PHRASE, MOST_KEYWORDS, MOST_TOPICS = 8, 3, 2, 250, 25
 
 
-def _compatible() -> tuple[str, str]:
-    """Characters that stand for one other (full width, superscripts, presentation forms and such), and those others, by Unicode's rule NFKC."""
-    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
-    pairs = [(a, b) for a, b in pairs if a != b and len(b) == 1]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-_FROM, _TO = _compatible()
-#: Ligatures.
-LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st", "\u0132": "IJ", "\u0133": "ij", "\u2026": "..."}
-
-
-def compatible(text: Column) -> Column:
-    """Compatible forms of characters as the plain ones: those that stand for one other, and ligatures. Accents in characters of their own stay apart."""
-    t = F.translate(text, _FROM, _TO)
-    for a, b in LIGATURES.items():
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return F.when(text.rlike(r"[^\x00-\x7F]"), t).otherwise(text)
-
-
 def tokenize(text: Column) -> Column:
     """Words in lower case: letters, digits, + # and inner hyphens; no stop words, no bare numbers, two characters at least."""
     t = F.regexp_replace(F.lower(compatible(text)), "['’]", "")
@@ -82,8 +64,8 @@ def search_slug(query: Column) -> Column:
 
 
 def slugify(text: Column, most: int = 80) -> Column:
-    """An address of letters and digits; accents of Latin letters are dropped."""
-    t = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """An address of letters and digits of any script; accents and apostrophes are dropped."""
+    t = F.regexp_replace(F.lower(folded(text)), "['’]", "")
     t = F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
     return F.regexp_replace(F.substring(t, 1, most), "-+$", "")
 
@@ -177,11 +159,39 @@ def text_length(html: Column) -> Column:
     return F.length(strip_html(F.coalesce(html, F.lit(""))))
 
 
+#: Named characters as they are written out, one after the other.
+NAMED = [("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("rsquo|lsquo|apos|#39", "'"), ("rdquo|ldquo|bdquo", '"'), ("mdash|ndash|minus", "-"), ("hellip", "…")]
+
+
+def plain_text(html: Column) -> Column:
+    """Text without scripts, styles and tags, characters written out, unknown ones left out, white space folded."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script.*?</script>", " "), r"(?is)<style.*?</style>", " ")
+    t = F.regexp_replace(t, "<[^>]+>", " ")
+    for names, char in NAMED:
+        t = F.regexp_replace(t, f"(?i)&(?:{names});", char)
+
+    def numbered(piece: Column, digits: str, base: int) -> Column:
+        code = F.regexp_extract(piece, digits, 1)
+        value = F.conv(F.right(code, F.lit(9)), base, 10).cast("long")
+        char = F.when(value.between(32, 0x10FFFF) & ~value.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(value), 8, "0")), "UTF-32")).otherwise(" ")
+        return F.when(code != "", F.concat(char, F.regexp_replace(piece, digits, "")))
+
+    pieces = F.split(t, "&#")
+    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.coalesce(numbered(p, "^[xX]([0-9A-Fa-f]+);", 16), numbered(p, "^([0-9]+);", 10), F.concat(F.lit("&#"), p)))
+    t = F.array_join(F.concat(F.slice(pieces, 1, 1), rest), "")
+    t = F.regexp_replace(t, "(?i)&[a-z][a-z0-9]{1,10};", " ")
+    return F.trim(F.regexp_replace(t, r"[\s\x{a0}\x{feff}]+", " "))
+
+
 def summarize(html: Column, most: int = 400) -> Column:
-    t = strip_html(html)
-    head = F.substring(t, 1, most)
-    at = F.length(head) - F.locate(" ", F.reverse(head))
-    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.when(F.contains(head, F.lit(" ")), F.substring(head, F.lit(1), at)).otherwise(head), F.lit("…")))
+    """The plain text, cut at the last space up to ``most`` characters."""
+
+    def cut(t: Column) -> Column:
+        head = F.substring(t, 1, most + 1)
+        at = F.length(head) - F.locate(" ", F.reverse(head))
+        return F.when(F.length(t) <= most, t).otherwise(F.concat(F.trim(F.when(F.contains(head, F.lit(" ")) & (at > 0), F.substring(head, F.lit(1), at)).otherwise(F.substring(t, 1, most))), F.lit("…")))
+
+    return bound(plain_text(html), cut)
 
 
 def reasons_of(*pairs: tuple[Column, str]) -> Column:
@@ -269,61 +279,161 @@ def byline_count(items: DataFrame, author: str = "author") -> DataFrame:
 
 
 def clean_name(value: Column) -> Column:
-    """A name without ``by``, an address beside it, or separators at its end."""
-    t = F.trim(F.regexp_replace(value, r"\s+", " "))
-    in_brackets = F.regexp_extract(t, r"^\S+@\S+\s*\((.+)\)$", 1)
-    t = F.when(in_brackets != "", in_brackets).otherwise(t)
-    t = F.regexp_replace(t, r"(?i)^(written by|by|author:?)\s+", "")
-    return F.trim(F.regexp_replace(t, r"[\s,;|–-]+$", ""))
+    """A name without what introduces it, a separator at its end, or the address before it."""
+    t = F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"[\s\x{a0}]+", " "))
+    t = F.regexp_replace(t, r"(?i)^(?:by|written by|posted by|author:?)\s+", "")
+    t = F.regexp_replace(t, r"\s*[|·•—–-]\s*$", "")
+    inner = F.regexp_extract(t, r"^\S+@\S+\s*\((.+)\)$", 1)
+    return F.trim(F.when(inner != "", inner).otherwise(t))
+
+
+#: Names that are roles, mailboxes that are shared, and the most characters of a name.
+ROLE_NAMES = (
+    "admin, administrator, author, contact, contributor, correspondent, editor, editors, editorial, editorial board, editorial staff, editorial team, guest, guest author, guest post, info, moderator, "
+    "news desk, news staff, newsroom, noreply, no reply, staff, staff writer, staff writers, support, team, the editor, the editors, the team, unknown, anonymous, webmaster, wordpress, root, user, "
+    "guest contributor, press office, press team, media team, marketing, marketing team, sales, sales team, hello, enquiries, inquiries"
+).split(", ")
+ROLE_MAILBOXES = (
+    "admin administrator billing contact enquiries feedback help hello hi info information inquiries jobs legal mail marketing media news newsletter noreply no-reply office postmaster press privacy sales "
+    "security social support team webmaster abuse careers partnerships subscribe unsubscribe"
+).split()
+NAME_CHARS = 60
 
 
 def looks_like_person(name: Column) -> Column:
-    """Two to five words of letters, each with a capital, none that is a role."""
-    n = F.trim(name)
-    return F.length(n).between(3, 60) & n.rlike(r"^[\p{L}'’.-]+( [\p{L}'’.-]+){1,4}$") & ~F.lower(n).rlike(r"\b(team|staff|editor|editors|admin|press|news|office|desk|group|inc|llc)\b") & n.rlike(r"\p{Lu}")
+    """One to five words with a letter each, no role, no group, no address; a single one must not read as a login."""
+
+    def judged(n: Column) -> Column:
+        folded_ = normalize_name(n)
+        words = F.split(n, r"\s+")
+        role = folded_.isin(ROLE_NAMES) | F.regexp_replace(folded_, r"^(?:the|our|a)\s+", "").isin(ROLE_NAMES)
+        address = (n.contains("@") & ~n.rlike(r"\s")) | n.rlike("(?i)^https?://")
+        group = (F.size(words) > 1) & F.element_at(words, -1).rlike("(?i)^(?:team|staff|desk|board|crew|bot|editors|writers|contributors)$")
+        camel = n.rlike(r"\p{Ll}\p{Lu}") & ~n.rlike(r"^(?:Mc|Mac|De|Di|Du|La|Le|Van|Von|O')\p{Lu}")
+        login = (F.size(words) == 1) & (n.rlike(r"[\d_]") | (F.length(n) < 2) | ((n == F.lower(n)) & (F.length(n) > 3)) | camel)
+        return F.length(n).between(1, NAME_CHARS) & ~role & ~address & (F.size(words) <= 5) & ~group & F.forall(words, lambda w: w.rlike(r"\p{L}")) & ~login
+
+    return bound(clean_name(name), judged)
 
 
 def split_bylines(value: Column) -> Column:
-    parts = F.transform(F.split(value, r"\s*(?:[,;&/]|\band\b|\bwith\b)\s*"), clean_name)
-    return F.array_distinct(F.filter(parts, looks_like_person))
+    """The people of a byline, each once without regard to case, as first spelt."""
+    parts = F.transform(F.split(clean_name(value), r"(?i)\s*(?:,|;|&|/|\band\b|\bwith\b)\s*"), clean_name)
+    people = F.filter(parts, looks_like_person)
+    keys = F.transform(people, normalize_name)
+    return F.filter(people, lambda p, i: F.array_position(keys, normalize_name(p)) == i + 1)
 
 
 def is_role_email(email: Column) -> Column:
-    local = F.lower(F.regexp_extract(email, r"^([^@\s]+)@[^@\s]+\.[^@\s]+$", 1))
-    return F.coalesce((local == "") | local.rlike(r"^(info|admin|contact|hello|support|webmaster|editor|team|press|office|noreply|no-reply|mail|postmaster|news)([.+-].*)?$"), F.lit(True))
+    """Whether an address is a shared mailbox, by its local part or the beginning of it, or none at all."""
+    address = F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(email, F.lit("")), "(?i)^mailto:", ""), r"(?s)\?.*$", "")))
+    return bound(F.regexp_extract(address, r"^([^@\s]+)@[^@\s]+\.[^@\s]+$", 1), lambda local: (local == "") | local.isin(ROLE_MAILBOXES) | F.get(F.split(local, "[+._-]"), F.lit(0)).isin(ROLE_MAILBOXES))
 
 
 def personal_email(text: Column) -> Column:
-    first = F.lower(F.regexp_extract(text, r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", 1))
-    return F.when(~is_role_email(first), first)
+    """The first address of a text in lower case; null where there is none or it is a shared mailbox."""
+    first = F.lower(F.regexp_extract(text, r"([\w.+-]+@[\w-]+(?:\.[\w-]+)+)", 1))
+    return bound(first, lambda x: F.when(~is_role_email(x), x))
 
 
 def identity_url(url: Column) -> Column:
-    """https, the host in lower case, no user, fragment, tracking or slash at the end."""
+    """https, the host in lower case, no user, fragment, tracking or slash at the end, but for the root's."""
     u = F.regexp_replace(F.trim(url), r"#.*$", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^https?://(?:[^/@]*@)?([^/?]+)", 1)), r":\d+$", "")
-    path = F.regexp_extract(u, r"^https?://[^/?]+([^?]*)", 1)
-    query = F.regexp_extract(u, r"\?(.*)$", 1)
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("(?i)^(utm_[a-z]+|ref|fbclid|gclid)=")), "&")
-    return F.when(host != "", F.concat(F.lit("https://"), host, F.regexp_replace(path, "/+$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
-
-
-#: Networks, by the pattern of their profiles' addresses.
-NETWORKS = [
-    ("github", r"^https?://(?:www\.)?github\.com/([A-Za-z0-9-]+)/?$"), ("gitlab", r"^https?://gitlab\.com/([A-Za-z0-9_.-]+)/?$"), ("codeberg", r"^https?://codeberg\.org/([A-Za-z0-9_.-]+)/?$"),
-    ("twitter", r"^https?://(?:www\.)?(?:twitter|x)\.com/([A-Za-z0-9_]{1,15})/?$"), ("youtube", r"^https?://(?:www\.)?youtube\.com/(?:@|c/|user/|channel/)([A-Za-z0-9_.-]+)/?$"),
-    ("linkedin", r"^https?://(?:www\.)?linkedin\.com/in/([A-Za-z0-9_%-]+)/?$"), ("instagram", r"^https?://(?:www\.)?instagram\.com/([A-Za-z0-9_.]+)/?$"), ("bluesky", r"^https?://bsky\.app/profile/([A-Za-z0-9.:-]+)/?$"),
-    ("mastodon", r"^https?://[^/]+/@([A-Za-z0-9_]+)/?$"), ("email", r"^mailto:([^?\s]+)"),
+    part = lambda i: F.regexp_extract(u, r"(?i)^(https?)://(?:[^/@?]*@)?([^/?:]+)(?::(\d*))?([^?]*)(?:\?(.*))?$", i)
+    host, port, path = F.lower(part(2)), part(3), F.when(part(4) == "", "/").otherwise(part(4))
+    port = F.when((port == "") | (port == F.when(F.lower(part(1)) == "https", "443").otherwise("80")), "").otherwise(F.concat(F.lit(":"), port))
+    path = F.when((path != "/") & path.endswith("/"), F.regexp_replace(path, "/$", "")).otherwise(path)
+    kept = F.array_join(F.filter(F.split(part(5), "&"), lambda p: (p != "") & ~p.rlike("(?i)^(?:utm_|ref(=|$)|ref_|fbclid|gclid|mc_|source(=|$)|si(=|$))")), "&")
+    full = F.concat(F.lit("https://"), host, port, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+    return F.when(host != "", F.when(path == "/", full).otherwise(F.regexp_replace(full, "/$", "")))
+
+
+#: Networks as (name, the last two labels of their host, what may stand before them, the path of a profile). A name in the host is a handle itself.
+_W = r"(?:www\.)?"
+PROFILES = [
+    ("github", "github.com", _W, r"([A-Za-z0-9](?:[A-Za-z0-9-]{0,38}))"),
+    ("gitlab", "gitlab.com", _W, r"([A-Za-z0-9][\w.-]{1,254})"),
+    ("codeberg", "codeberg.org", "", r"([A-Za-z0-9][\w.-]{0,38})"),
+    ("sourcehut", "sr.ht", r"git\.", r"~([\w.-]{1,64})"),
+    ("bluesky", "bsky.app", _W, r"profile/([\w.:-]+)"),
+    ("twitter", "twitter.com", r"(?:www\.|mobile\.)?", r"(\w{1,15})"),
+    ("twitter", "x.com", r"(?:www\.|mobile\.)?", r"(\w{1,15})"),
+    ("linkedin", "linkedin.com", r"(?:[a-z]{2}\.)?(?:www\.)?", r"in/([\w%-]{1,120})"),
+    ("youtube", "youtube.com", r"(?:www\.|m\.)?", r"(?:@|c/|user/|channel/(?=UC[\w-]{20,26}/?$))([\w.-]{1,120})"),
+    ("instagram", "instagram.com", _W, r"([\w.]{1,30})"),
+    ("tiktok", "tiktok.com", _W, r"@([\w.]{1,30})"),
+    ("threads", "threads.net", _W, r"@([\w.]{1,30})"),
+    ("threads", "threads.com", _W, r"@([\w.]{1,30})"),
+    ("facebook", "facebook.com", r"(?:www\.|web\.|m\.)?", r"([\w.]{3,60})"),
+    ("reddit", "reddit.com", r"(?:www\.|old\.|new\.)?", r"u(?:ser)?/([\w-]{1,30})"),
+    ("medium", "medium.com", _W, r"@([\w.-]{1,60})"),
+    ("devto", "dev.to", "", r"([\w-]{1,60})"),
+    ("hashnode", "hashnode.com", "", r"@([\w-]{1,60})"),
+    ("patreon", "patreon.com", _W, r"([\w-]{1,60})"),
+    ("kofi", "ko-fi.com", _W, r"([\w-]{1,60})"),
+    ("buymeacoffee", "buymeacoffee.com", _W, r"([\w-]{1,60})"),
+    ("keybase", "keybase.io", "", r"([\w-]{1,60})"),
+    ("telegram", "t.me", _W, r"(\w{5,32})"),
+    ("matrix", "matrix.to", "", r"#/(@[^/]+)"),
+    ("flickr", "flickr.com", _W, r"(?:people|photos)/([\w@.-]{1,64})"),
+    ("goodreads", "goodreads.com", _W, r"(?:author/show|user/show)/([\w.-]{1,64})"),
+    ("stackoverflow", "stackoverflow.com", _W, r"users/(\d+)(?:/[\w-]*)?"),
+    ("twitch", "twitch.tv", _W, r"(\w{3,25})"),
+    ("soundcloud", "soundcloud.com", _W, r"([\w-]{1,60})"),
+    ("bandcamp", "bandcamp.com", r"([\w-]{1,60})\.", ""),
+    ("substack", "substack.com", r"([\w-]{1,60})\.", ""),
+    ("microblog", "micro.blog", _W, r"([\w.-]{1,60})"),
+    ("tumblr", "tumblr.com", r"([\w-]{1,32})\.", ""),
+    ("orcid", "orcid.org", _W, r"(\d{4}-\d{4}-\d{4}-\d{3}[\dXx])"),
+    ("nostr", "njump.me", "", r"(npub1\w{20,70})"),
+    ("nostr", "primal.net", _W, r"p/(npub1\w{20,70})"),
+    ("nostr", "snort.social", "", r"p/(npub1\w{20,70})"),
+    ("nostr", "iris.to", "", r"(npub1\w{20,70})"),
 ]
+#: Hosts of pages that only hold a person's links.
+BIO_HOSTS = (
+    "linktr.ee bio.link beacons.ai campsite.bio taplink.cc solo.to lnk.bio allmylinks.com hoo.be magic.ly many.link shor.by withkoji.com liinks.co links.page bento.me about.me linkin.bio msha.ke contactin.bio"
+).split()
+
+
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
 
+def _profile(at: Column, found: Column) -> Column:
+    """(network, handle, url) of a web address with its host and path, by the row of its network, or as a page of links or a server of the fediverse."""
+    host, path, url = at["host"], at["path"], at["url"]
+    user = F.regexp_extract(path, r"^/(?:@|users/)([A-Za-z0-9_]{1,30})/?$", 1)
+    row = lambda network, handle: F.struct(network.alias("network"), handle.alias("handle"), url.alias("url"))
+    own = F.when(F.rlike(path, found["path"]), row(found["network"], F.call_function("regexp_extract", F.when(found["in_host"], host).otherwise(path), F.when(found["in_host"], found["host"]).otherwise(found["path"]), F.lit(1))))
+    page = row(F.lit("linktree"), F.coalesce(F.nullif(F.regexp_extract(path, "^/?([^/]*)", 1), F.lit("")), host))
+    return F.when(F.coalesce(F.rlike(host, found["host"]), F.lit(False)), own).when(host.isin(BIO_HOSTS), page).when(user != "", row(F.lit("fediverse"), F.concat(F.lit("@"), user, F.lit("@"), host)))
 
-def classify_link(url: Column) -> tuple[Column, Column]:
-    """(network, handle) of a profile's address."""
-    network, handle = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(""))
-    for name, pattern in NETWORKS:
-        network = network.when(url.rlike(pattern), name)
-        handle = handle.when(url.rlike(pattern), F.regexp_extract(url, pattern, 1))
-    return network, handle
+
+def classify_link(value: Column) -> Column:
+    """(network, handle, url) of a profile; null where it is none.
+
+    Networks are one table, looked up by the last two labels of the host; what its pattern of hosts
+    fits must have the path of a profile. Other hosts may be pages of links or servers of the fediverse.
+    """
+    rows = []
+    for name, end, before, own in PROFILES:
+        host = f"^{before}{end.replace('.', chr(92) + '.')}$"
+        rows += [F.lit(end), F.struct(F.lit(name).alias("network"), F.lit(host).alias("host"), F.lit(f"^/{own}/?$" if own else "^/?$").alias("path"), F.lit(not own).alias("in_host"))]
+
+    def web(url: Column) -> Column:
+        part = lambda i: F.regexp_extract(url, r"^https://([^/?:]+)(?::\d+)?([^?]*)", i)
+        apex = lambda at: F.regexp_extract(at["host"], r"([^.]+\.[^.]+|[^.]+)$", 1)
+        return bound(F.struct(part(1).alias("host"), part(2).alias("path"), url.alias("url")), lambda at: bound(F.try_element_at(F.create_map(*rows), apex(at)), lambda found: _profile(at, found)))
+
+    def known(raw: Column) -> Column:
+        key, jid = F.lower(F.regexp_extract(raw, r"(?i)^nostr:(npub1\w{20,70})$", 1)), F.lower(F.regexp_extract(raw, r"(?i)^xmpp:([^?\s]+@[^?\s]+)", 1))
+        one = lambda network, handle, before: F.when(F.coalesce(handle, F.lit("")) != "", F.struct(F.lit(network).alias("network"), handle.alias("handle"), F.concat(F.lit(before), handle).alias("url")))
+        mail = F.when(raw.rlike("(?i)^mailto:"), personal_email(raw))
+        return F.when(raw.rlike("(?i)^https?:"), bound(identity_url(raw), web)).otherwise(F.coalesce(one("email", mail, "mailto:"), one("nostr", key, "https://njump.me/"), one("xmpp", jid, "xmpp:")))
+
+    return bound(F.trim(F.coalesce(value, F.lit(""))), known)
 
 
 def kind_of_channel(medium: Column, feed_url: Column, videos: Column, audios: Column, podcast_tags: Column, declared: Column, show_shaped: Column, newsroom: Column, sample: Column) -> Column:
@@ -392,9 +502,8 @@ def normalize_name(name: Column) -> Column:
 
 def identity_key(url: Column, name: Column, feed_url: Column) -> Column:
     """Who a person is: their address, or else their name at the feed's host."""
-    from skein.functions.scalars import host_of
-
-    return F.coalesce(identity_url(url), F.concat(normalize_name(name), F.lit("@"), host_of(feed_url)))
+    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(feed_url, F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", "")
+    return F.coalesce(identity_url(url), F.concat(normalize_name(F.coalesce(name, F.lit(""))), F.lit("@"), host))
 
 
 def links_back(html: Column, url: Column) -> Column:

@@ -21,19 +21,20 @@ add("txt51_handles", "select id, " + pick(f"'user' || {N}", f"'a-' || {N}", "nul
 INPUTS = "select id as feed_id, n as pos, case n when 0 then " + pick("'ann' || cast(id as string) || '@x.org (Ann Bee)'", "'News Team'", "null", "'By Cy Dee, '", "'editor@x.org (Editor)'") + " else " + pick("'Ann Bee'", "'ann'", "'The Staff'", "'Eve Fox'", "null", "'cy' || cast(id as string) || '@home.example'", "'Site'") + """ end as name,
     case when n = 1 and id % 4 = 0 then 'Eve' || cast(id as string) || '@mail.example' end as email, case when id % 3 = 0 then 'https://Social.example/@p' || cast(id as string) || '/' when id % 3 = 1 then 'https://www.host.example/' end as url,
     case n when 0 then 'managing-editor' else 'itunes-owner' end as source, case n when 0 then 'owner' end as role, case n when 0 then 0.8 else 0.75 end as confidence from feeds, (select 0 as n union all select 1) k"""
-MAIL = "case when regexp_matches(lower({0}), '^(editor|news)') then null else nullif(lower(regexp_extract({0}, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}})', 1)), '') end"
-NAMED = f"n as (select *, case when name like '%(Ann Bee)' or name = 'Ann Bee' then 'Ann Bee' when name like '%Cy Dee%' then 'Cy Dee' when name = 'Eve Fox' then 'Eve Fox' when name = 'The Staff' then null end as person, {MAIL.format('coalesce(email, name)')} as mail, case when url like '%Social%' then 'https://social.example/@p' || feed_id::varchar else 'https://www.host.example' end as site from ({INPUTS}) i)"
+MAIL = "nullif(lower(regexp_extract({0}, '([A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\\.[A-Za-z0-9_-]+)+)', 1)), '')"
+NAMED = f"n as (select *, case when name like '%(Ann Bee)' or name = 'Ann Bee' then 'Ann Bee' when name like '%Cy Dee%' then 'Cy Dee,' when name in ('Eve Fox', 'ann', 'Site') then name end as person, {MAIL.format('coalesce(email, name)')} as mail, case when url like '%Social%' then 'https://social.example/@p' || feed_id::varchar else 'https://www.host.example/' end as site from ({INPUTS}) i)"
 add("txt41_credit", f"with {NAMED} select feed_id, pos, person as name, mail as email, case when url is not null then site end as url from n where person is not null",
     lambda m: derived(m, INPUTS, feeds=m.feeds).select("feed_id", "pos", I.credit(F.col("name"), F.col("email"), F.col("url")).alias("c")).where("c is not null").select("feed_id", "pos", "c.*"))
-add("txt39_feed_contacts", f"""with {NAMED}, l as (select feed_id, pos, 0 as k, 'mailto:' || mail as url, 'email' as network, source from n where person is null and mail is not null union all select feed_id, pos, 1, url, 'mastodon', source from n where person is null and url like '%Social%')
+add("txt39_feed_contacts", f"""with {NAMED}, l as (select feed_id, pos, 0 as k, 'mailto:' || mail as url, 'email' as network, source from n where person is null and mail is not null union all select feed_id, pos, 1, url, 'fediverse', source from n where person is null and url like '%Social%')
     select feed_id, url, network, source from l qualify row_number() over (partition by feed_id, url order by pos, k) = 1""", lambda m: I.feed_contacts(derived(m, INPUTS, feeds=m.feeds)))
 SIGNED = "select feed_id, guid as pos, title, case id % 6 when 0 then title when 1 then 'Ann Bee and Cy Dee' when 2 then 'Order ' || cast(feed_id as string) when 3 then 'Gus Hill, News Team' when 4 then '' end as author from items"
 add("txt38_feed_credits", f"""with {NAMED}, q as (select *, row_number() over (partition by feed_id order by pos, title) as k from ({SIGNED}) s), b as (select feed_id, 1000 + k as pos, unnest(case author when 'Ann Bee and Cy Dee' then ['Ann Bee', 'Cy Dee'] when 'Gus Hill, News Team' then ['Gus Hill'] else [] end) as name from q),
-    c as (select feed_id, pos, person as name, mail as email, case when url is not null then site end as url, coalesce(role, 'author') as role, confidence::double as confidence from n where person is not null union all select feed_id, pos, name, null, null, 'author', 0.6 from b)
-    select feed_id, name, max(confidence) as confidence, case when bool_or(role = 'owner') then 'owner' else 'author' end as role, min_by(email, case when coalesce(email, '') <> '' then pos end) as email, min_by(url, case when coalesce(url, '') <> '' then pos end) as url from c group by 1, 2""",
+    c as (select feed_id, pos, person as name, mail as email, case when url is not null then site end as url, coalesce(role, 'author') as role, confidence::double as confidence from n where person is not null union all select feed_id, pos, name, null, null, 'author', 0.6 from b),
+    d as (select * replace (case when name = 'ann' and bool_or(name = 'Ann Bee') over (partition by feed_id) then 'Ann Bee' else name end as name, case when name = 'ann' then pos + 5000 else pos end as pos) from c)
+    select feed_id, name, max(confidence) as confidence, case when bool_or(role = 'owner') then 'owner' else 'author' end as role, min_by(email, case when coalesce(email, '') <> '' then pos end) as email, min_by(url, case when coalesce(url, '') <> '' then pos end) as url from d group by 1, 2""",
     lambda m: W.merge_credits(I.feed_credits(m.feeds.select(F.col("id").alias("feed_id"), "title"), derived(m, INPUTS, feeds=m.feeds).withColumn("confidence", F.col("confidence").cast("double")), derived(m, SIGNED, items=m.items))))
 BIO = f"select id, '<a href=\"https://github.com/ann' || {N} || '\">x</a> {{{{\"u\":\"https://bsky.app/profile/b' || {N} || '.example\"}}}} <a href=\"https://github.com/ann' || {N} || '\">again</a> https://linktr.ee/@ann ' || case when id % 2 = 0 then 'https://m.example/@c' || {N} else site_url end as html from feeds"
-add("txt36_links_of_bio", f"select id, case when id % 2 = 0 then ['github:ann' || {N}, 'bluesky:b' || {N} || '.example', 'mastodon:c' || {N}] else ['github:ann' || {N}, 'bluesky:b' || {N} || '.example'] end as v from feeds",
+add("txt36_links_of_bio", f"select id, case when id % 2 = 0 then ['github:ann' || {N}, 'bluesky:b' || {N} || '.example', 'fediverse:@c' || {N} || '@m.example'] else ['github:ann' || {N}, 'bluesky:b' || {N} || '.example'] end as v from feeds",
     lambda m: derived(m, BIO, feeds=m.feeds).select("id", F.transform(I.links_of_bio(F.col("html")), lambda t: F.concat_ws(":", t["network"], t["handle"])).alias("v")))
 SHOWN = f"select id, site_url as url, '<img src=\"' || site_url || 'a' || {N} || '.png\"><IMG width=\"150\" src=\"' || site_url || 'small.png\"><img src=\"https://cdn.other.test/x.png\"><img src=\"' || site_url || 'static/y.png\"><img height=300 width=\"900\" src=\"' || replace(site_url, 'www', 'img') || 'b.png\"><img src=\"' || site_url || 'p/my-logo.png\"><img src=\"/c.png\">' as html from feeds"
 add("txt59_figures", f"select id, [site_url || 'a' || {N} || '.png', replace(site_url, 'www', 'img') || 'b.png'] as v from feeds",

@@ -404,6 +404,15 @@ def page_playlist_links(html, url):
     return F.pandas_udf(_playlist_links, "array<string>")(html, url)
 
 
+def _humans(body: pd.Series) -> pd.Series:
+    return pd.Series([[{"name": p["name"], "role": p.get("role")} for p in humans_txt(b)] for b in body], dtype=object)
+
+
+def people_of_humans(body):
+    """The people that a humans.txt names."""
+    return F.pandas_udf(_humans, "array<struct<name:string,role:string>>")(body)
+
+
 def _sizes(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([image_size(d) or (None, None, None) for d in data], columns=["format", "width", "height"])
 
