@@ -106,11 +106,19 @@ def group_by_host(feeds: DataFrame, host: Column) -> DataFrame:
 
 
 def numbered(rows: DataFrame, by: str, ranges: int = 512) -> DataFrame:
-    """``rows`` with their place (from 0) in the order of a number, from ranks within equal ranges and the sizes of the ranges before: no task sees all rows."""
-    lo, hi = rows.agg(F.min(by), F.max(by)).first()
-    if lo is None:
+    """``rows`` with their place (from 0) in the order of a number, from ranks within ranges and the sizes of the ranges before: no task sees all rows.
+
+    The ranges are cut at approximate quantiles, so that ids that crowd together are dealt out as well
+    as others; where they are cut does not matter for the places. Equal numbers share a range, in any order; nulls come first.
+    """
+    steps = [1 << k for k in reversed(range((ranges - 1).bit_length()))]
+    cuts = rows.agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
+    if cuts is None:
         return rows.withColumn("place", F.lit(None).cast("long"))
-    dealt = rows.withColumn("_range", F.floor((F.col(by) - lo) * ranges / (hi - lo + 1)))
+    bounds = F.lit(sorted(set(cuts)))
+    # how many bounds are not above the number, by halves
+    beyond = lambda at, step: F.when(F.get(bounds, at + step - 1) <= F.col(by), at + step).otherwise(at)
+    dealt = rows.withColumn("_range", F.aggregate(F.lit(steps), F.lit(0), beyond))
     sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     # one row for each range
     before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
