@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from skein.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
-from skein.plans import alerts, columns, crawls, expressions, joins, media, mutations, people, reads, rollups, roundtrips, rules, sequences, texts, verdicts  # noqa: F401
+from skein.plans import alerts, columns, crawls, expressions, joins, media, mutations, people, profiles, reads, rollups, roundtrips, rules, sequences, texts, verdicts  # noqa: F401
 from skein.sources.tables import table
 
 
