@@ -13,6 +13,7 @@ from skein.plans.reads import add
 from skein.plans.texts import HTML
 from skein.plans.verdicts import derived
 from skein.sources import documents, outlines, pages, sinks
+from skein.sources.reframe import reframed
 
 
 def _read(m, fmt: str):
@@ -122,3 +123,12 @@ add("dml39_enqueue", f"""with n as (select distinct on (user_id, lane, item_id)
     f as (select n.*, coalesce(last, 0) + row_number() over (partition by n.user_id, n.lane order by n.id) as position from n left join l using (user_id, lane) where not exists (select 1 from o where o.user_id = n.user_id and o.lane = n.lane and o.item_id = n.item_id))
     select id, user_id, item_id, lane, position, done from queue_entries q where not exists (select 1 from f where f.user_id = q.user_id and f.lane = q.lane and f.item_id = q.item_id) union all select id, user_id, item_id, lane, position, false from f""",
     lambda m: M.enqueue(m.queue_entries, derived(m, ADDED, queue_entries=m.queue_entries)))
+
+#: Pages with one link of each kind, whose frame SQL can tell.
+FRAMED = """select id, feed_url as url, '<html><head><title>T</title>' || case when id % 2 = 0 then '<base href="/wiki/">' else '' end || '</head><body>' || case id % 5 when 0 then '<a href="x' || cast(id as string) || '">x</a>' when 1 then '<a href="#n">n</a>'
+    when 2 then '<a href="mailto:a@b.org">m</a>' when 3 then '<form action="/s"></form>' else '<a href="javascript:x">j</a>' end || '</body></html>' as html from feeds"""
+add("txt60_reframe_page", f"""with p as ({FRAMED}), b as (select *, regexp_extract(url, '^https://[^/]+') as site, case when id % 2 = 0 then regexp_extract(url, '^https://[^/]+') || '/wiki/' else url end as base, 'https://reader.example/api/frame?u=' as frame from p)
+    select id, '<!doctype html>' || chr(10) || '<html><head><script>try{{parent.postMessage({{"source":"reader","url":"' || url || '"}},"https://reader.example")}}catch(e){{}}</script>' || case when id % 2 = 0 then '' else '<base href="' || url || '">' end || '<title>T</title>'
+    || case when id % 2 = 0 then '<base href="' || base || '">' else '' end || '</head><body>' || case id % 5 when 0 then '<a href="' || frame || replace(replace(regexp_replace(base, '[^/]*$', '') || 'x' || id::varchar, ':', '%3A'), '/', '%2F') || '">x</a>'
+        when 1 then '<a href="' || frame || replace(replace(url, ':', '%3A'), '/', '%2F') || '#n">n</a>' when 2 then '<a href="mailto:a@b.org" target="_blank">m</a>' when 3 then '<form action="' || site || '/s" target="_blank"></form>' else '<a href="javascript:x">j</a>' end || '</body></html>' as html from b""",
+    lambda m: derived(m, FRAMED, feeds=m.feeds).select("id", reframed(F.col("html"), F.col("url"), "https://reader.example").alias("html")))
