@@ -77,6 +77,11 @@ def _class(chars: str) -> str:
     return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _form(text: Column, form: str, marks: bool) -> Column:
     source, target, many = _tables(form, marks)
     pairs = _pairs(marks)
@@ -86,19 +91,22 @@ def _form(text: Column, form: str, marks: bool) -> Column:
         """Whether a text has one of the characters; most texts have none that lies as far up as the first of them."""
         return x.rlike(f"[\\x{{{ord(min(chars)):x}}}-\\x{{10ffff}}]") & x.rlike(pattern)
 
-    t = F.translate(text, source, target)
     held = F.create_map(*[x for k, v in many.items() for x in (F.lit(k), F.lit(v))])
-    wide = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.when(c.rlike(several), F.try_element_at(held, c)), c)), "")
-    t = F.when(has(t, several, list(many)), wide).otherwise(t)
     joined = F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), F.lit(v))])
 
+    def widened(t: Column) -> Column:
+        wide = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.when(c.rlike(several), F.try_element_at(held, c)), c)), "")
+        return F.when(has(t, several, list(many)), wide).otherwise(t)
+
     def put(done: Column, c: Column) -> Column:
         last = F.right(done, F.lit(1))
         both = F.when(c.rlike(second), F.try_element_at(joined, F.concat(last, c)))
         return F.when(both.isNotNull(), F.concat(F.left(done, F.length(done) - 1), both)).otherwise(F.concat(done, c))
 
-    t = F.when(has(t, second, [p[1] for p in pairs]), F.aggregate(F.split(t, ""), F.lit(""), put)).otherwise(t)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), t).otherwise(text)
+    def composed(t: Column) -> Column:
+        return F.when(has(t, second, [p[1] for p in pairs]), F.aggregate(F.split(t, ""), F.lit(""), put)).otherwise(t)
+
+    return F.when(text.rlike(r"[^\x00-\x7F]"), bound(bound(F.translate(text, source, target), widened), composed)).otherwise(text)
 
 
 def folded(text: Column) -> Column:

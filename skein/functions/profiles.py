@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skein.functions.text import bound, classify_link
+from skein.functions.forms import bound
+from skein.functions.text import classify_link
 
 #: Where networks answer for a handle.
 ADDRESSES = {"github": "https://api.github.com/users/{}", "gitlab": "https://gitlab.com/api/v4/users?username={}", "codeberg": "https://codeberg.org/api/v1/users/{}"}

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.forms import compatible, folded
+from skein.functions.forms import bound, compatible, folded
 
 #: Grammar words, never a topic.
 STOPWORDS = (
@@ -396,11 +394,6 @@ BIO_HOSTS = (
 ).split()
 
 
-def bound(x: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` names it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def _profile(at: Column, found: Column) -> Column:
     """(network, handle, url) of a web address with its host and path, by the row of its network, or as a page of links or a server of the fediverse."""
     host, path, url = at["host"], at["path"], at["url"]

@@ -73,9 +73,10 @@ def cumulative_back(series: DataFrame, at: str, added: str, total: DataFrame) ->
     return series.crossJoin(total.toDF("_total")).withColumn("running", F.col("_total") - F.coalesce(later, F.lit(0))).drop("_total")
 
 
-def day_labels(spark, today: str, days: int) -> DataFrame:
-    """The last days up to today."""
-    return spark.sql(f"select explode(sequence(date_sub(date '{today}', {days - 1}), date '{today}')) as day")
+def day_labels(today: DataFrame, days: int) -> DataFrame:
+    """The last days up to the one day of ``today``; none where it is null."""
+    day = F.col(today.columns[0])
+    return today.select(F.explode(F.sequence(F.date_sub(day, days - 1), day)).alias("day"))
 
 
 def filled_hours(hourly: DataFrame, until: str, hours: int) -> DataFrame:

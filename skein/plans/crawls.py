@@ -97,7 +97,7 @@ def _logged(m):
 add("cad03_interval_from_changes", f"""with l as ({_brackets(LOGS)}), t as (select distinct id, unnest(log) as t from l), v as (select id, t from t where t <= {AS_OF}), g as (select id, t, (epoch(t) - epoch(lag(t) over (partition by id order by t))) / 60 as gap from v),
     s as (select id, median(gap) as gap, (epoch({AS_OF}) - epoch(max(t))) / 60 as silence from g group by 1), x as (select id, coalesce(gap, silence) as gap, silence from s)
     select l.id, case when gap is not null then least(greatest(round(case when silence <= 3 * gap then gap / 2 else silence / 4 end), 60), 129600)::bigint end as minutes from l left join x using (id)""", lambda m: _logged(m).select("id", C.interval_from_changes(F.col("log"), _now()).alias("minutes")))
-add("cad04_record_change", f"with l as ({_brackets(LOGS)}) select id, case when id % 2 = 0 then list_prepend({AS_OF}, coalesce(log, []))[:12] else log end as log from l", lambda m: _logged(m).select("id", C.record_change(F.col("log"), F.col("id") % 2 == 0, F.expr(AS_OF).cast("timestamp")).alias("log")))
+add("cad04_record_change", f"with l as ({_brackets(LOGS)}) select id, list_transform(case when id % 2 = 0 then list_prepend({AS_OF}, coalesce(log, []))[:12] else log end, lambda t: strftime(t, '%Y-%m-%d %H:%M:%S')) as log from l", lambda m: _logged(m).select("id", F.transform(C.record_change(F.col("log"), F.col("id") % 2 == 0, F.expr(AS_OF).cast("timestamp")), lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")).alias("log")))
 add("cad05_never_sooner", "select id, case when id % 3 = 0 then null else greatest(id % 4000, case when id % 5 = 0 then 0 else interval_minutes end, 60) end as v from feeds", lambda m: m.feeds.select("id", C.never_sooner(F.when(F.col("id") % 3 != 0, F.col("id") % 4000), F.when(F.col("id") % 5 != 0, F.col("interval_minutes"))).alias("v")))
 add("cad06_newest_published", "select feed_id, least(max(published_at), timestamp '1998-01-01')::timestamp as newest from items where published_at <= timestamp '1998-01-02' group by 1",
     lambda m: C.newest_published(m.items, F.expr("timestamp '1998-01-01'")).select("feed_id", F.col("newest").cast("timestamp_ntz").alias("newest")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import scalars as S
 from skein.functions import text as T
+from skein.functions.forms import bound
 from skein.plans.columns import N, pick
 from skein.plans.reads import add
 from skein.plans.verdicts import derived
@@ -94,7 +95,7 @@ CASES: dict[str, tuple[Callable[[Column], Column], list[tuple[str, str]]]] = {
         (f"'info@a' || {N} || '.org'", "true"), (f"'ann' || {N} || '@a.org'", "false"), ("title", "true"), (f"'News+' || {N} || '@a.org'", "true"), (f"'information@a' || {N} || '.org'", "true"), ("'jobs@a.org'", "true"), ("'editor@a.org'", "false"), ("'MAILTO:press.office@a.org?subject=x'", "true"), ("null", "true")]),
     "txt47_personal_email": (T.personal_email, [
         (f"'write to Ann' || {N} || '@a.org, please'", f"'ann' || {N} || '@a.org'"), ("'info@a.org ' || title", "null"), ("title", "null"), (f"'sales@a' || {N} || '.org'", "null"), (f"'editor@a' || {N} || '.org'", f"'editor@a' || {N} || '.org'")]),
-    "txt49_classify_link": (lambda x: F.coalesce(T.bound(T.classify_link(x), lambda p: F.concat_ws(" ", p["network"], p["handle"], p["url"])), F.lit("")), [
+    "txt49_classify_link": (lambda x: F.coalesce(bound(T.classify_link(x), lambda p: F.concat_ws(" ", p["network"], p["handle"], p["url"])), F.lit("")), [
         (f"'https://www.github.com/ann' || {N} || '/'", f"'github ann' || {N} || ' https://www.github.com/ann' || {N}"), (f"'https://github.com/ann/' || {N}", "''"), (f"'https://m.example/@ann' || {N}", f"'fediverse @ann' || {N} || '@m.example https://m.example/@ann' || {N}"),
         (f"'mailto:a' || {N} || '@b.org?x'", f"'email a' || {N} || '@b.org mailto:a' || {N} || '@b.org'"), ("'mailto:info@b.org'", "''"), ("site_url", "''"), (f"'https://bsky.app/profile/a' || {N} || '.example/'", f"'bluesky a' || {N} || '.example https://bsky.app/profile/a' || {N} || '.example'"),
         (f"'http://a-' || {N} || '.bandcamp.com/'", f"'bandcamp a-' || {N} || ' https://a-' || {N} || '.bandcamp.com/'"), (f"'https://linktr.ee/ann' || {N}", f"'linktree ann' || {N} || ' https://linktr.ee/ann' || {N}"), ("'nostr:npub1' || repeat('q', 58)", "'nostr npub1' || repeat('q', 58) || ' https://njump.me/npub1' || repeat('q', 58)"),

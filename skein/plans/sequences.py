@@ -28,7 +28,8 @@ add("win04_select_batch", """with pool as (select o.user_id, o.source, i.id, i.c
     select user_id, item_key, id, created_at, max(created_at) over (partition by user_id) as next_cursor from k""",
     lambda m: W.select_batch(m.items.join(m.follows.where("alerts").select("user_id", "feed_id", F.concat(F.lit("f"), (F.col("feed_id") % 3).cast("string")).alias("source")), "feed_id").select(
         "user_id", "source", "id", "created_at", F.when(F.col("cluster_key") != "", F.concat(F.lit("c:"), "cluster_key")).otherwise(F.concat(F.lit("g:"), F.col("id").cast("string"))).alias("item_key")), m.alert_sent, 8, 5))
-add("win06_day_labels", "select cast(unnest(generate_series(date '2000-12-03', date '2001-01-01', interval 1 day)) as date) as day", lambda m: W.day_labels(m.spark, "2001-01-01", 30))
+add("win06_day_labels", "with d as (select max(\"at\")::date as today from log) select day, count(l.id) as lines from (select cast(unnest(generate_series(today - 29, today, interval 1 day)) as date) as day from d) left join log l on l.\"at\"::date = day group by 1",
+    lambda m: W.day_labels(m.log.agg(F.max("at").cast("date").alias("today")), 30).join(m.log.select(F.col("at").cast("date").alias("day"), "id"), "day", "left").groupBy("day").agg(F.count("id").alias("lines")))
 add("win07_queue_history", "select hour, crawled from hourly where hour >= timestamp '2024-01-29 00:00:00' order by hour", lambda m: m.hourly.where("hour >= timestamp '2024-01-29 00:00:00'").select("hour", "crawled").orderBy("hour"))
 GRID = "g as (select unnest(generate_series(timestamp '2024-01-29 01:00:00', timestamp '2024-01-31 00:00:00', interval 1 hour)) as hour)"
 add("win08_indexing_history", f"with {GRID} select g.hour, coalesce(crawled, 0) as crawled, h.hour is not null as recorded from g left join hourly h on h.hour = g.hour", lambda m: W.filled_hours(m.hourly.withColumn("hour", F.col("hour").cast("timestamp_ntz")), "2024-01-31 00:00:00", 48))
