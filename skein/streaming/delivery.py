@@ -106,7 +106,9 @@ class Delivery(StatefulProcessor):
             return
         cursor, number = pd.Timestamp(known[0]), known[1]
         out: list[tuple] = []
-        for batch, cursor in passes(found, cursor, lambda k: self.sent.containsKey((k,)), self.per_source, self.per_message):
+        # one reading of what an account was told costs less than a question a story
+        told = {k[0] for k in self.sent.keys()} if any(t[0] > cursor for t in found) else set()
+        for batch, cursor in passes(found, cursor, told.__contains__, self.per_source, self.per_message):
             if batch:
                 number += 1
                 out += [(key[0], number, place, k, i, f, at, KINDS[rank], via) for place, (at, rank, via, i, k, f) in enumerate(batch)]
