@@ -8,10 +8,11 @@ where both have the same count they have the same endpos set and are one state.
 one row a state, its longest substring and the length of its shortest; Spark
 unfolds them, adds the counts of all shards and does the rest as joins.
 
-Most substrings are rare, and what has a rare part is rare. So a first pass counts hashes of pairs of words
-and a second one hashes of three words of which both pairs are frequent; what is frequent is set in a
-bitmap of fixed size, and the last pass leaves out what has a part that is not set. Hashes that share
-a bit let more through and lose nothing. A task sends its hashes in blocks, sorted, as the steps from one to the next.
+Most substrings are rare, and what has a rare part is rare. So a first pass counts hashes of words, a second one
+hashes of pairs of frequent words and a third one hashes of three words of which both pairs are frequent; what is
+frequent in all shards together is set in a bitmap of fixed size, and the last pass leaves out what has a part that
+is not set. A shard may have a frequent word in no frequent pair, so each shard hands out its frequent words too. Hashes
+that share a bit let more through and lose nothing. A task sends its hashes in blocks, sorted, as the steps from one to the next.
 """
 
 from __future__ import annotations
@@ -98,11 +99,14 @@ class Automaton:
 
     ``ids[m][i]`` numbers the substring of m + 1 words that ends at word i (-1: none, or left out),
     ``counts[m]`` has the sizes of endpos sets, ``ends[m]`` an end of each and ``links[m]`` the
-    number of its longest proper suffix. ``keep[m]`` says which substrings of m words, by their ends, are not left out.
+    number of its longest proper suffix. ``keep[m]`` says which substrings of m words, by their ends, are not left out;
+    of a word that is left out only the count is there.
     """
 
     def __init__(self, words: np.ndarray, begins: np.ndarray, depth: int, keep: dict[int, np.ndarray]) -> None:
         _, first, ids, count = np.unique(words, return_index=True, return_inverse=True, return_counts=True)
+        if 1 in keep:
+            ids = np.where(keep[1], ids, -1)
         self.ids, self.counts, self.ends, self.links = [ids], [count], [first], [np.full(len(count), -1)]
         n = len(count)
         for m in range(2, depth + 1):
@@ -232,19 +236,13 @@ def _states(frequent: dict[int, Callable[[], np.ndarray]], longest: int) -> Call
             if not len(words):
                 continue
             a = Automaton(words, texts.begins, longest, kept(words, frequent))
-            # a word by itself counts where a pair has it
-            inside = np.zeros(len(words), bool)
-            inside[a.ids[1] >= 0] = True
-            inside[:-1] |= inside[1:]
-            wanted = np.zeros(len(a.counts[0]), bool)
-            wanted[a.ids[0][inside]] = True
             buffer, at = texts.joined
             langs = pa.array(names, pa.string())
             total = np.bincount(of, minlength=len(names))
             yield pa.record_batch([langs, pa.array([""] * len(names)), pa.array(np.ones(len(names), np.int32)), pa.array(np.ones(len(names), np.int32)), pa.array(total)], _STATE)
             for m, (ends, counts, shortest) in enumerate(a.states(), 1):
                 if m == 1:
-                    k = wanted[a.ids[0][ends]]
+                    k = a.ids[0][ends] >= 0
                     ends, counts, shortest = ends[k], counts[k], shortest[k]
                 for i in range(0, len(ends), 50_000):
                     e = ends[i : i + 50_000]
@@ -259,15 +257,12 @@ _STATE = ["lang", "phrase", "shortest", "words", "n"]
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, phrase, f): exact counts of the phrases of 1 to ``longest`` words that occur ``least`` times, and of all words as the phrase ``''``.
-
-    Of single words, those that are in a frequent pair are sure to be there.
-    """
+    """(lang, phrase, f): exact counts of the phrases of 1 to ``longest`` words that occur ``least`` times, and of all words as the phrase ``''``."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
     if not 1 <= least <= 0xFFFF:
         raise ValueError("least is from 1 to 65535")
     frequent: dict[int, Callable[[], np.ndarray]] = {}
-    for m in range(2, min(longest, 3) + 1):
+    for m in range(1, min(longest, 3) + 1):
         frequent = frequent | {m: frequent_grams(texts, m, frequent, least)}
     states = texts.mapInArrow(_states(frequent, longest), "lang string, phrase string, shortest int, words int, n long")
     # the members of a state are its longest substring without its first words

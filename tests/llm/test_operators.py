@@ -978,6 +978,14 @@ def test_collocations_equal_brute_force(spark, most):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_words_of_shards_without_their_frequent_pairs(spark):
+    """A part counts in every shard, also where the shard has it in no frequent pair."""
+    rows = [("en", "new york. " * 40)] * 2 + [("en", f"new{i} york, york x{i}. y{i} new z{i}") for i in range(50)] + [(None, "york; new")]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(9, "doc_id")
+    got = sorted(map(tuple, collocations.collocations(docs).collect()))
+    assert got == sorted(_collocations(rows)) == [("en", 1, "new york", 80, 130, 180, 510, 516_129)]
+
+
 def test_collocations_on_odd_rows(spark, odd, docs):
     got = collocations.collocations(odd)
     assert sorted(map(tuple, got.collect())) == sorted(_collocations([(r.lang, r.text) for r in odd.collect()]))
