@@ -225,6 +225,30 @@ def test_passages_whose_leader_has_a_part_only(spark, docs):
     assert any(g[0] == n + 1 and g[2] <= 20 and g[3] == 70 for g in got)
 
 
+@pytest.mark.parametrize("crowd,block", [(8, 1024), (2, 1024), (1, 1)])
+def test_edited_passages_whose_signature_leads_elsewhere(spark, docs, monkeypatch, crowd, block):
+    """A smaller document that has a passage's line only hides no edited passage, in pairs as in blocks."""
+    monkeypatch.setattr(passages, "CROWD", crowd, raising=False)
+    monkeypatch.setattr(passages, "BLOCK", block, raising=False)
+    rng = random.Random(3)
+    texts, want = [], set()
+    for _ in range(150):
+        line, before, after = prose(rng, 52).split(), prose(rng, 4), prose(rng, 4)
+        edited = [*line[:26], "edited", *line[27:]]
+        texts += [f"{prose(rng, 40)} {' '.join(line[2:-2])} {prose(rng, 40)}"]
+        texts += [f"{prose(rng, 40)} {before} {' '.join(w)} {after} {prose(rng, 40)}" for w in (line, edited)]
+        want.add((len(texts) - 1, len(texts) - 2))
+    assert len(want & {(r.doc_id, r.source_doc_id) for r in passages.shared_passages(docs(texts)).collect()}) >= 139
+
+
+def test_common_counts_all_pairs(monkeypatch):
+    monkeypatch.setattr(passages, "LIGHT", 3)
+    rng = np.random.default_rng(4)
+    x = [rng.integers(0, 40 + 3 * i, 30).astype(np.uint32) for i in range(300)]
+    want = [[j for j in range(i) if len(set(x[i].tolist()) & set(x[j].tolist())) >= 6] for i in range(300)]
+    assert [(i, found.tolist()) for i, found in passages._common(x, 6)] == list(enumerate(want))
+
+
 def test_exact_repeats_are_covered_whole(spark):
     """Every word of a stretch of 50 that a smaller doc_id has is in a row of its document, or the document has the stretch earlier."""
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
