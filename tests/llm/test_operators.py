@@ -241,6 +241,40 @@ def test_edited_passages_whose_signature_leads_elsewhere(spark, docs, monkeypatc
     assert len(want & {(r.doc_id, r.source_doc_id) for r in passages.shared_passages(docs(texts)).collect()}) >= 139
 
 
+def test_edited_passages_with_a_run_in_common_are_all_found(spark, docs):
+    """Of passages with one word of 50 replaced none is missed, wherever the word is."""
+    rng = random.Random(5)
+    fresh = lambda n: [f"u{rng.randint(0, 10**9)}" for _ in range(n)]
+    texts, want = [], set()
+    for at in [*range(5, 45)] * 5:
+        p = fresh(50)
+        texts += [" ".join(fresh(20) + w + fresh(25)) for w in (p, [*p[:at], "edited", *p[at + 1 :]])]
+        want.add((len(texts) - 1, len(texts) - 2))
+    assert want <= {(r.doc_id, r.source_doc_id) for r in passages.shared_passages(docs(texts)).collect()}
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_near_copies_give_classes_and_words_in_rows_of_their_number(spark, docs, monkeypatch, block):
+    """Many near copies of a passage: one class, all their words, and no row for each pair."""
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rng = random.Random(6)
+    fresh = lambda n: [f"u{rng.randint(0, 10**9)}" for _ in range(n)]
+    groups, texts = [fresh(70) for _ in range(3)], []
+    for i in range(120):
+        p = list(groups[i % 3])
+        if i >= 3:
+            p[rng.randrange(8, 62)] = f"edit{i}"
+        texts.append(" ".join(fresh(15) + p + fresh(15)))
+    found = passages.with_classes(passages.shared_passages(docs(texts))).collect()
+    assert {r.doc_id: r.class_id for r in found} == {i: i % 3 for i in range(3, 120)}
+    covered = defaultdict(set)
+    for r in found:
+        covered[r.doc_id] |= set(range(r.start_word, r.end_word))
+    assert all(covered[i] >= set(range(15, 85)) for i in range(3, 120))
+    if block > 120:
+        assert len({(r.doc_id, r.source_doc_id) for r in found}) < 5 * 120
+
+
 def test_common_counts_all_pairs(monkeypatch):
     monkeypatch.setattr(passages, "LIGHT", 3)
     rng = np.random.default_rng(4)
