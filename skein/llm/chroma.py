@@ -3,11 +3,14 @@
 A recording is cut into overlapping frames whose spectra are folded into the twelve pitch classes.
 Over the integral image of these frames sixteen rectangle filters are evaluated at every place;
 each gives two bits by three thresholds, and the sixteen make one packed integer a frame.
-Recordings whose integers agree but for one of four groups of bits vote for offsets, from all places of
-such a value: one or two flipped bits, if they are neighbours, hide no meeting. A value with more
-than CROWD places (silence, held notes) tells little: of its places those meet whose next value is equal
-as well, or the next three, and so on. Every offset that two places vote for is checked by the share of
-differing bits over the whole overlap, and the one with the smallest share is kept.
+From FRAMES of them in a row some bits are taken, in four ways, each of which leaves one group of bits
+out: these are a place's keys. All places with a key in common vote for offsets of their recordings. Every
+offset that has a vote is checked by the share of differing bits over the whole overlap, and of a
+pair's the one with the smallest share is kept.
+
+A key with more than CROWD places (silence, held notes, many copies) lists no pairs. Its places vote with its
+smallest one first. Then those that are not chained to one another by what was found are compared in
+blocks, all of one class with all of the others. So classes are those of all pairs, and n copies give some n links.
 """
 
 from __future__ import annotations
@@ -29,11 +32,12 @@ SPAN = 12
 #: Bits that may differ, and frames that must overlap, for two recordings to be the same.
 MAX_BIT_ERROR = 0.15
 MIN_OVERLAP = 24
-#: What an integer is compared by: all bits but eight, in four ways.
-MASKS = [0xFFFFFFFF & ~(0xFF << 8 * j) for j in range(4)]
-#: Places of a value that all meet one another; of more those meet whose next values are equal too, and so on by RUNS.
-CROWD = 32
-RUNS = (1, 2, 4, 8, 16)
+#: Bits that a key takes of each of so many integers in a row, in four ways: none of the j-th byte.
+FRAMES, BITS = 8, 4
+#: Places of a key that are listed in pairs; of more, so many make a block.
+CROWD, BLOCK = 32, 256
+_RNG = np.random.default_rng(11)
+MASKS = [[sum(1 << int(b) for b in _RNG.choice([b for b in range(32) if b >> 3 != j], BITS, replace=False)) for _ in range(FRAMES)] for j in range(4)]
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
@@ -143,23 +147,111 @@ def bit_error(x: np.ndarray, y: np.ndarray, offset: int) -> tuple[float, int]:
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, place, keys) for each of MASKS: the runs of RUNS values from each place on, as hashes; null where the print ends sooner."""
+    """(key, id, place) for each of MASKS and each place with FRAMES integers from it on."""
     for b in batches:
         ids, prints = b.column(0).to_numpy(), b.column(1).to_pylist()
         for at in range(0, len(prints), 256):
-            some = [np.frombuffer(p, "<u4").astype(np.uint64) for p in prints[at : at + 256]]
+            some = [np.frombuffer(p, "<u4") for p in prints[at : at + 256]]
             size = np.array([len(p) for p in some])
-            x = np.concatenate(some)
-            place = np.concatenate([np.arange(n) for n in size]) if len(size) else size
-            left = np.repeat(size, size) - place
-            for j, mask in enumerate(MASKS):
-                run = x & np.uint64(mask) | np.uint64(j << 32)
-                keys = [pa.array(run.view(np.int64))]
-                for n in RUNS[1:]:
-                    half = n // 2
-                    run = mix(run * np.uint64(3) + np.roll(run, -half) * np.uint64(5) + np.uint64(n))
-                    keys.append(pa.array(run.view(np.int64), mask=left < n))
-                yield pa.record_batch([pa.array(np.repeat(ids[at : at + 256], size)), pa.array(place.astype(np.int32)), *keys], ["id", "place", *(f"k{n}" for n in RUNS)])
+            many = np.maximum(size - FRAMES + 1, 0)
+            place = np.concatenate([np.arange(n) for n in many])
+            if not len(place):
+                continue
+            x, first = np.concatenate(some), np.repeat(np.cumsum(size) - size, many) + place
+            for j, masks in enumerate(MASKS):
+                key = np.full(len(place), j, np.uint64)
+                for k, mask in enumerate(masks):
+                    key = mix(key * np.uint64(3) + (x[first + k] & np.uint32(mask)).astype(np.uint64) + np.uint64(k << 32))
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.repeat(ids[at : at + 256], many)), pa.array(place.astype(np.int32))], ["key", "id", "place"])
+
+
+MET = "key long, a long, b long, offset int, place int"
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows key, id, place in this order -> MET: all votes of keys with CROWD places at most (key is null); of others each place with its vote for the smallest one."""
+    held = [np.zeros(0, np.int64)] * 3
+    crowd = None  # the first row of the last key, if it is known to have more than CROWD places
+
+    def settle(key: np.ndarray, ids: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        edge = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+        first = np.repeat(edge[:-1], np.diff(edge))
+        many = np.repeat(np.diff(edge), np.diff(edge)) > CROWD
+        a, b = [], []
+        for step in range(1, CROWD):
+            i = np.flatnonzero((key[step:] == key[:-step]) & ~many[step:]) + step
+            if not len(i):
+                break
+            a.append(i)
+            b.append(i - step)
+        a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b))
+        a, b = a[ids[a] != ids[b]], b[ids[a] != ids[b]]
+        return rows(a, b, key, ids, place, np.flatnonzero(many), ids[first[many]], place[first[many]])
+
+    def rows(a, b, key, ids, place, i, least, at) -> pa.RecordBatch:  # noqa: ANN001
+        keys = pa.array(np.concatenate((key[a], key[i])), mask=np.arange(len(a) + len(i)) < len(a))
+        columns = [np.concatenate(v) for v in ((ids[a], ids[i]), (ids[b], least), (place[a] - place[b], place[i] - at), (place[a], place[i]))]
+        return pa.record_batch([keys, *(pa.array(c).cast(k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True))], ["key", "a", "b", "offset", "place"])
+
+    none = np.zeros(0, np.int64)
+    for batch in batches:
+        new = [batch.column(c).to_numpy().astype(np.int64) for c in range(3)]
+        if crowd is not None and len(new[0]):
+            n = int(np.sum(new[0] == crowd[0]))
+            if n:
+                yield rows(none, none, *(c[:n] for c in new), np.arange(n), np.full(n, crowd[1]), np.full(n, crowd[2]))
+            new = [c[n:] for c in new]
+            if len(new[0]):
+                crowd = None
+        held = [np.concatenate(v) for v in zip(held, new, strict=True)]
+        if not len(held[0]):
+            continue
+        same = held[0] == held[0][-1]
+        last = int(np.argmax(same))
+        if len(held[0]) - last > CROWD:
+            crowd = tuple(int(c[last]) for c in held)
+            last = len(held[0])
+        if last:
+            yield settle(*(c[:last] for c in held))
+            held = [c[last:] for c in held]
+    if len(held[0]):
+        yield settle(*held)
+
+
+LINK = "a long, b long, offset int, bit_error double, overlap long"
+
+
+def _across(group: pa.Table) -> pa.Table:
+    """Rows lo, hi, block, id, place, component, print of one key and two blocks (or one with itself): links that join all components of which a pair fits, the key's places being one another."""
+    lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+    block, ids, place, of = (group[c].to_numpy().copy() for c in ("block", "id", "place", "component"))
+    x = [np.frombuffer(p, "<u4") for p in group["print"].to_pylist()]
+    left, right = int(place.max()), max(len(p) - int(q) for p, q in zip(x, place, strict=True))
+    wide, there = np.zeros((len(x), left + right), np.uint32), np.zeros((len(x), left + right), bool)
+    for p, w, h, q in zip(x, wide, there, left - place, strict=True):
+        w[q : q + len(p)], h[q : q + len(p)] = p, True
+    out = []
+    for i in range(1, len(x)):
+        j = np.flatnonzero((of[:i] != of[i]) & ((block[:i] != block[i]) | (lo == hi)))
+        both = there[j] & there[i]
+        n = both.sum(1)
+        error = np.where(both, np.bitwise_count(wide[j] ^ wide[i]), 0).sum(1) / np.maximum(32 * n, 1)
+        fit = (error <= MAX_BIT_ERROR) & (n >= MIN_OVERLAP)
+        j, error, n = j[fit], error[fit], n[fit]
+        while len(j):
+            k = int(np.argmin(error))
+            a, b = (i, int(j[k])) if ids[i] > ids[j[k]] else (int(j[k]), i)
+            out.append((int(ids[a]), int(ids[b]), int(place[a] - place[b]), float(error[k]), int(n[k])))
+            of[of == of[j[k]]] = of[i]
+            keep = of[j] != of[i]
+            j, error, n = j[keep], error[keep], n[keep]
+    return pa.Table.from_batches([_linked(out)])
+
+
+def _linked(rows: list[tuple]) -> pa.RecordBatch:
+    out = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64()]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["a", "b", "offset", "bit_error", "overlap"])
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,44 +265,36 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if fit:
                 e, d, n = min(fit)
                 rows.append((a, o, d, e, n))
-        out = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64()]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["a", "b", "offset", "bit_error", "overlap"])
+        yield _linked(rows)
 
 
 def align(prints: DataFrame) -> DataFrame:
     """(rec_id, n_frames, class_id, component_id, match_id, offset, bit_error) for every recording.
 
     class_id is the smallest rec_id with an equal print, component_id the smallest one that chains
-    of matches reach; match_id, offset and bit_error tell the best match of the class with another
-    (null if there is none). Empty prints match nothing; null ids are left out of matching; an empty
+    of matches reach; match_id, offset and bit_error tell the best match of the class with another among those
+    compared (null if there is none). Empty prints match nothing; null ids are left out of matching; an empty
     table gives no rows.
     """
     prints = cut(prints, "prints")
     some = prints.where(F.length("print") > 0).where("rec_id is not null")
     classes = cut(some.groupBy("print").agg(F.min("rec_id").alias("id")), "classes")
-    rows = cut(classes.select("id", "print").mapInArrow(_values, "id long, place int, " + ", ".join(f"k{n} long" for n in RUNS)), "values")
-    votes = None
-    for n in RUNS:
-        key = f"k{n}"
-        sized = rows.where(f"{key} is not null").groupBy(key).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "place")).alias("least")).where("c > 1")
-        few = rows.join(sized.where(F.col("c") <= CROWD).select(key), key).select(F.col(key).alias("key"), "id", "place")
-        met = few.join(few.select("key", F.col("id").alias("b"), F.col("place").alias("q")), "key").where("id > b").select(F.col("id").alias("a"), "b", (F.col("place") - F.col("q")).alias("offset"), "place")
-        votes = met if votes is None else votes.unionByName(met)
-        crowds = sized.where(F.col("c") > CROWD)
-        if n == RUNS[-1]:
-            # sixteen values in a row: whoever has them meets the smallest recording that has
-            met = rows.join(crowds.select(key, "least"), key).where("id <> least.id")
-            votes = votes.unionByName(met.select(F.col("id").alias("a"), F.col("least.id").alias("b"), (F.col("place") - F.col("least.place")).alias("offset"), "place"))
-        else:
-            rows = cut(rows.join(crowds.select(key), key, "left_semi"), "crowds")
-            if rows.isEmpty():
-                break
-    histogram = votes.groupBy("a", "b", "offset").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    best = histogram.where("first < last").groupBy("a", "b").agg(F.collect_list("offset").alias("offsets"))
+    keys = classes.select("id", "print").mapInArrow(_values, "key long, id long, place int")
+    met = cut(keys.repartition("key").sortWithinPartitions("key", "id", "place").mapInArrow(_meetings, MET), "met")
+    best = met.where("a <> b").select("a", "b", "offset").distinct().groupBy("a", "b").agg(F.collect_list("offset").alias("offsets"))
     with_a = best.join(classes.select(F.col("id").alias("a"), F.col("print").alias("pa")), "a")
     both = with_a.join(classes.select(F.col("id").alias("b"), F.col("print").alias("pb")), "b")
-    links = cut(both.select("a", "b", "offsets", "pa", "pb").mapInArrow(_check, "a long, b long, offset int, bit_error double, overlap long"), "links")
+    links = cut(both.select("a", "b", "offsets", "pa", "pb").mapInArrow(_check, LINK), "links")
+    crowds = met.where("key is not null").select("key", F.col("a").alias("id"), "place")
+    if not crowds.isEmpty():
+        of = connected_components(links).select("id", "component")
+        crowds = cut(crowds.join(of, "id", "left").withColumn("component", F.coalesce("component", "id")), "crowds")
+        # of a key whose places are of one component no pair is left to find
+        sized = crowds.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+        block = crowds.join(sized.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key")
+        block = block.withColumn("block", F.pmod(F.xxhash64("id", "place"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        block = block.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "place", "component").join(classes, "id")
+        links = cut(links.unionByName(block.groupBy("key", "lo", "hi").applyInArrow(_across, LINK)), "links")
     found = connected_components(links)
     either = links.select("a", "b", "offset", "bit_error").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("offset")).alias("offset"), "bit_error"))
     match = either.groupBy("a").agg(F.min(F.struct("bit_error", "b", "offset")).alias("m"))

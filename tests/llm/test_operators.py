@@ -556,6 +556,26 @@ def test_chroma_finds_noisy_pairs_inside_its_threshold(spark, flipped):
     assert len(set(got.values())) >= 80
 
 
+@pytest.mark.parametrize("crowd,block", [(32, 256), (2, 3)])
+def test_chroma_pairs_behind_crowded_values(spark, monkeypatch, crowd, block):
+    """Noisy pairs that meet only where many other recordings have the same values are found."""
+    monkeypatch.setattr(chroma, "CROWD", crowd)
+    monkeypatch.setattr(chroma, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    hum = rng.integers(1, 1 << 32, 12, dtype=np.uint32)
+    prints, pairs = {}, []
+    for g in range(30):
+        base = rng.integers(1, 1 << 32, 30, dtype=np.uint32)
+        # a bit of each byte differs, and the hum that all have is all that is equal
+        other = base ^ np.uint32(0x01010101)
+        for own in (base, other):
+            prints[len(prints)] = np.concatenate((own[:15], hum, own[15:]))
+        pairs.append((2 * g, 2 * g + 1))
+    rows = [(i, bytearray(x.astype("<u4").tobytes())) for i, x in prints.items()]
+    got = {r.rec_id: r for r in chroma.align(spark.createDataFrame(rows, "rec_id long, print binary")).collect()}
+    assert all(got[a].component_id == got[b].component_id == a and got[b].match_id == a and got[b].offset == 0 for a, b in pairs)
+
+
 def test_fingerprint_is_a_sum_over_frames():
     """The integral image gives what plain sums over rectangles give."""
     rng = np.random.default_rng(5)
