@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from odd_rows import ODD
 from pyspark.sql import functions as F
@@ -275,6 +276,52 @@ def test_near_copies_give_classes_and_words_in_rows_of_their_number(spark, docs,
         assert len({(r.doc_id, r.source_doc_id) for r in found}) < 5 * 120
 
 
+def crowd_rows(x, p):
+    """One key's stretches as passages._crowd takes them, the first of document 0."""
+    n = len(x)
+    stretches = [np.ascontiguousarray(s.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for s in x]
+    none = pa.array(np.zeros(n, np.int32))
+    return pa.table({"lo": none, "hi": none, "block": none, "doc": pa.array(range(n), pa.int64()), "s": pa.array(np.full(n, p, np.int32)), "p": pa.array(np.full(n, p, np.int32)), "x": pa.array(stretches, pa.binary())})
+
+
+def test_a_crowd_is_not_compared_in_all_pairs(monkeypatch):
+    """A passage in many different surroundings, and many near copies: pairs compared grow with the stretches, classes and words are those of all pairs."""
+    compared = []
+    spans = passages._spans
+    monkeypatch.setattr(passages, "_spans", lambda equal: compared.append(len(equal)) or spans(equal))
+    rng = np.random.default_rng(8)
+    passage = rng.integers(1, 1 << 24, 93)
+    for kind in ("surroundings", "edits"):
+        for n in (200, 800):
+            compared.clear()
+            x = np.tile(passage, (n, 1))
+            for own in x[1:]:
+                if kind == "surroundings":
+                    own[:16], own[76:] = rng.integers(1, 1 << 24, 16), rng.integers(1, 1 << 24, 17)
+                else:
+                    at = rng.integers(0, 25)
+                    own[at : at + 5] = rng.integers(1, 1 << 24, 5)
+            got = passages._crowd(crowd_rows(x, 36)).to_pylist()
+            covered = defaultdict(set)
+            for r in got:
+                assert r["source_doc_id"] < r["doc_id"]
+                covered[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+            want = set(range(16, 80)) if kind == "surroundings" else set(range(30, 97))
+            assert sum(compared) <= 20 * n and len(got) <= 3 * n
+            assert sorted(covered) == list(range(1, n)) and all(c >= want for c in covered.values())
+
+
+def test_passages_of_repeated_lines_in_a_crowd():
+    """Stretches with fewer different shingles than a passage has in all are compared too: a line that comes again and again."""
+    rng = np.random.default_rng(9)
+    line = rng.integers(1, 1 << 24, 30)
+    x = [np.tile(line, 3).copy() for _ in range(12)]
+    for own in x[1:]:
+        own[62:67] = rng.integers(1, 1 << 24, 5)
+    got = passages._crowd(crowd_rows(x, 36)).to_pylist()
+    assert {r["doc_id"] for r in got} == set(range(1, 12))
+
+
 def test_common_counts_all_pairs(monkeypatch):
     monkeypatch.setattr(passages, "LIGHT", 3)
     rng = np.random.default_rng(4)
