@@ -4,7 +4,8 @@ A recording is cut into overlapping frames whose spectra are folded into the twe
 Over the integral image of these frames sixteen rectangle filters are evaluated at every place;
 each gives two bits by three thresholds, and the sixteen make one packed integer a frame.
 From FRAMES of them in a row some bits are taken, in four ways, each of which leaves one group of bits
-out: these are a place's keys. All places with a key in common vote for offsets of their recordings. Every
+out: these are a place's keys. A key has 64 other bits of the same integers with it, of which places that vote for one
+another differ in NEAR at most: where keys agree by chance they mostly differ in more, and are not compared. All places with a key in common vote for offsets of their recordings. Every
 offset that has a vote is checked by the share of differing bits over the whole overlap, and of a
 pair's the one with the smallest share is kept.
 
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +36,15 @@ MAX_BIT_ERROR = 0.15
 MIN_OVERLAP = 24
 #: Bits that a key takes of each of so many integers in a row, in four ways: none of the j-th byte.
 FRAMES, BITS = 8, 4
+#: Bits of each of these integers beside the key's, and how many of all 64 may differ (25 per cent; overlaps may differ in 15).
+OTHER, NEAR = 8, 16
 #: Places of a key that are listed in pairs; of more, so many make a block.
 CROWD, BLOCK = 32, 256
+#: Votes of a task that are held to give each once.
+VOTES = 1 << 20
 _RNG = np.random.default_rng(11)
 MASKS = [[sum(1 << int(b) for b in _RNG.choice([b for b in range(32) if b >> 3 != j], BITS, replace=False)) for _ in range(FRAMES)] for j in range(4)]
+OTHERS = [[[int(b) for b in _RNG.choice([b for b in range(32) if not mask >> b & 1], OTHER, replace=False)] for mask in masks] for masks in MASKS]
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
@@ -147,7 +154,7 @@ def bit_error(x: np.ndarray, y: np.ndarray, offset: int) -> tuple[float, int]:
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, place) for each of MASKS and each place with FRAMES integers from it on."""
+    """(key, id, place, other bits) for each of MASKS and each place with FRAMES integers from it on."""
     for b in batches:
         ids, prints = b.column(0).to_numpy(), b.column(1).to_pylist()
         for at in range(0, len(prints), 256):
@@ -159,21 +166,47 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             x, first = np.concatenate(some), np.repeat(np.cumsum(size) - size, many) + place
             for j, masks in enumerate(MASKS):
-                key = np.full(len(place), j, np.uint64)
+                key, other = np.full(len(place), j, np.uint64), np.zeros(len(place), np.uint64)
                 for k, mask in enumerate(masks):
+                    for n, bit in enumerate(OTHERS[j][k], k * OTHER):
+                        other |= (x[first + k] >> np.uint32(bit) & np.uint32(1)).astype(np.uint64) << np.uint64(n)
                     key = mix(key * np.uint64(3) + (x[first + k] & np.uint32(mask)).astype(np.uint64) + np.uint64(k << 32))
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.repeat(ids[at : at + 256], many)), pa.array(place.astype(np.int32))], ["key", "id", "place"])
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.repeat(ids[at : at + 256], many)), pa.array(place.astype(np.int32)), pa.array(other.view(np.int64))], ["key", "id", "place", "other"])
 
 
 MET = "key long, a long, b long, offset int, place int"
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows key, id, place in this order -> MET: all votes of keys with CROWD places at most (key is null); of others each place with its vote for the smallest one."""
-    held = [np.zeros(0, np.int64)] * 3
+    """The rows of _votes, each once of so many as VOTES in a row: a pair that is alike has votes for one offset all along."""
+    held: list[pa.RecordBatch] = []
+    for batch in _votes(batches):
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= VOTES:
+            yield from _once(held)
+            held = []
+    if held:
+        yield from _once(held)
+
+
+def _once(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    votes = pa.Table.from_batches(held)
+    lists = votes.filter(pc.is_valid(votes["key"]))
+    pairs = votes.filter(pc.is_null(votes["key"]))
+    a, b, offset = (pairs[c].to_numpy() for c in ("a", "b", "offset"))
+    by = np.lexsort((offset, b, a))
+    new = np.ones(len(by), bool)
+    new[1:] = (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1]) | (offset[by][1:] != offset[by][:-1])
+    yield from lists.to_batches()
+    yield from pairs.take(pa.array(by[new])).to_batches()
+
+
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows key, id, place, other in this order -> MET: all votes of places with near other bits of keys with CROWD places at most (key is null); of others each place with its vote for the smallest one."""
+    held = [np.zeros(0, np.int64)] * 4
     crowd = None  # the first row of the last key, if it is known to have more than CROWD places
 
-    def settle(key: np.ndarray, ids: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    def settle(key: np.ndarray, ids: np.ndarray, place: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
         edge = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
         first = np.repeat(edge[:-1], np.diff(edge))
         many = np.repeat(np.diff(edge), np.diff(edge)) > CROWD
@@ -182,6 +215,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = np.flatnonzero((key[step:] == key[:-step]) & ~many[step:]) + step
             if not len(i):
                 break
+            i = i[np.bitwise_count((other[i] ^ other[i - step]).view(np.uint64)) <= NEAR]
             a.append(i)
             b.append(i - step)
         a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b))
@@ -195,11 +229,11 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     none = np.zeros(0, np.int64)
     for batch in batches:
-        new = [batch.column(c).to_numpy().astype(np.int64) for c in range(3)]
+        new = [batch.column(c).to_numpy().astype(np.int64) for c in range(4)]
         if crowd is not None and len(new[0]):
             n = int(np.sum(new[0] == crowd[0]))
             if n:
-                yield rows(none, none, *(c[:n] for c in new), np.arange(n), np.full(n, crowd[1]), np.full(n, crowd[2]))
+                yield rows(none, none, *(c[:n] for c in new[:3]), np.arange(n), np.full(n, crowd[1]), np.full(n, crowd[2]))
             new = [c[n:] for c in new]
             if len(new[0]):
                 crowd = None
@@ -209,7 +243,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = held[0] == held[0][-1]
         last = int(np.argmax(same))
         if len(held[0]) - last > CROWD:
-            crowd = tuple(int(c[last]) for c in held)
+            crowd = tuple(int(c[last]) for c in held[:3])
             last = len(held[0])
         if last:
             yield settle(*(c[:last] for c in held))
@@ -279,7 +313,7 @@ def align(prints: DataFrame) -> DataFrame:
     prints = cut(prints, "prints")
     some = prints.where(F.length("print") > 0).where("rec_id is not null")
     classes = cut(some.groupBy("print").agg(F.min("rec_id").alias("id")), "classes")
-    keys = classes.select("id", "print").mapInArrow(_values, "key long, id long, place int")
+    keys = classes.select("id", "print").mapInArrow(_values, "key long, id long, place int, other long")
     met = cut(keys.repartition("key").sortWithinPartitions("key", "id", "place").mapInArrow(_meetings, MET), "met")
     best = met.where("a <> b").select("a", "b", "offset").distinct().groupBy("a", "b").agg(F.collect_list("offset").alias("offsets"))
     with_a = best.join(classes.select(F.col("id").alias("a"), F.col("print").alias("pa")), "a")

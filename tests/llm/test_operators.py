@@ -623,6 +623,22 @@ def test_chroma_pairs_behind_crowded_values(spark, monkeypatch, crowd, block):
     assert all(got[a].component_id == got[b].component_id == a and got[b].match_id == a and got[b].offset == 0 for a, b in pairs)
 
 
+def test_chroma_votes_tell_chance_from_likeness():
+    """Recordings that are alike meet once for their offset, noisy ones too; one that has a key's bits by chance does not meet them."""
+    rng = np.random.default_rng(10)
+    x = rng.integers(1, 1 << 32, 60, dtype=np.uint32)
+    noisy, chance = x.copy(), rng.integers(1, 1 << 32, 60, dtype=np.uint32)
+    for bit in range(32):
+        noisy[rng.random(60) < 0.06] ^= np.uint32(1 << bit)
+    for k, mask in enumerate(chroma.MASKS[0]):
+        chance[k] = x[k] & np.uint32(mask) | chance[k] & ~np.uint32(mask)
+    prints = [p.astype("<u4").tobytes() for p in (x, x ^ np.uint32(1 << 31), noisy, chance)]
+    keys = pa.Table.from_batches(chroma._values(iter([pa.record_batch([pa.array(range(4), pa.int64()), pa.array(prints, pa.binary())], ["id", "print"])])))
+    keys = keys.sort_by([("key", "ascending"), ("id", "ascending"), ("place", "ascending")])
+    met = pa.Table.from_batches(chroma._meetings(iter(keys.to_batches())))
+    assert sorted(zip(*(met[c].to_pylist() for c in ("a", "b", "offset")), strict=True)) == [(1, 0, 0), (2, 0, 0), (2, 1, 0)]
+
+
 def test_fingerprint_is_a_sum_over_frames():
     """The integral image gives what plain sums over rectangles give."""
     rng = np.random.default_rng(5)
