@@ -88,3 +88,9 @@ def test_streams(spark, sf, tmp_path):
     batch = {(r.hour, r.event_type): (r.lines, r.amount) for r in R.hourly(events).collect()}
     got = R.run_to_table(R.hourly(R.events_stream(spark, str(tmp_path / "e"), 10)), "hours", "complete")
     assert {(r.hour, r.event_type): (r.lines, r.amount) for r in got.collect()} == batch
+
+
+def test_entity_of_a_byte_order_mark(spark):
+    codes = [0, 1, 65, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFEFF, 0xFFFE, 0xFFFF, 0x10000, 0x10FFFF, 0x110000]
+    got = {r.c: r.v for r in spark.createDataFrame([(c,) for c in codes], "c long").select("c", S.entity(F.col("c")).alias("v")).collect()}
+    assert got == {c: chr(c) if 0 < c < 0x110000 and not 0xD800 <= c < 0xE000 else None for c in codes}
