@@ -83,3 +83,35 @@ def test_image_sizes():
     assert P.image_size(b"GIF89a" + struct.pack("<HH", 5, 6)) == ("gif", 5, 6)
     assert P.image_size(b"\xff\xd8\xff\xc0\0\x11\x08" + struct.pack(">HH", 7, 8) + b"\0" * 9) == ("jpeg", 8, 7)
     assert P.image_size(b"") is None and P.image_size(None) is None
+
+
+def test_documents_are_parsed_once_and_by_all_cores(spark, sf):
+    """A file of one row group is dealt to as many tasks as a shuffle has before Python reads what is made of it, and is read once."""
+    from skein.plans.catalogue import QUERIES
+
+    for name in ("src19_posts_from_articles", "src20_posts_from_clusters"):
+        assert QUERIES[name](spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in ("src02_read_rss", "src03_read_atom"):
+        found = QUERIES[name](spark, sf)
+        assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert found._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_moments_are_told_in_the_session_s_time(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            feed = spark.createDataFrame([(RSS, "u"), ("none", "u"), (None, None)], "body string, url string").select(D.parsed("body", "url").alias("f"))
+            told = [r[0] for r in feed.selectExpr("cast(f.items[0].published_at as string)").collect()]
+            assert told == ["2026-08-03 10:00:00", None, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_nodes_know_what_is_in_them():
+    root = P.tree("<div><p>a<b>b</b><br>c</p><ul><li>1<li>2</ul></div><i>d</i>")
+    div, p = root.find("div")[0], root.find("p")[0]
+    assert [n.tag for n in root.walk()] == ["", "div", "p", "b", "br", "ul", "li", "li", "i"]
+    assert [n.tag for n in div.walk()] == ["div", "p", "b", "br", "ul", "li", "li"] and [n.tag for n in p.walk()] == ["p", "b", "br"]
+    assert div.has(p) and not p.has(div) and not div.has(root.find("i")[0])
