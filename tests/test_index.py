@@ -91,3 +91,22 @@ def test_facets_and_limits(spark, stored):
 def test_a_query_reads_the_buckets_of_its_terms(spark, stored):
     plan = index.hits(spark, stored, [["dog"]], buckets=8)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (=|IN)", plan) and re.search(r"PushedFilters: \[[^\]]*(EqualTo\(term,dog\)|In\(term)", plan)
+
+
+def test_a_word_is_stemmed_once(spark, tmp_path, monkeypatch):
+    """Stems are asked for by word and not by place: of 40 texts with the same three words six words or so are stemmed a segment."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(words):
+        def pass_on(ws):
+            asked.add(len(ws))
+            return ws
+
+        return F.udf(pass_on, "array<string>")(words)
+
+    monkeypatch.setattr(index, "stems", counted)
+    texts = spark.createDataFrame([(i, "red green blue " * 5) for i in range(40)], "id long, text string")
+    index.add(texts, str(tmp_path), "id", "text", buckets=2, files=1)
+    assert 3 <= asked.value <= 12
+    found = spark.read.parquet(f"{tmp_path}/postings")
+    assert found.count() == 120 and found.where("id = 7 and term = 'green'").first().positions == [1, 4, 7, 10, 13]
